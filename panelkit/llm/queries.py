@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import simhash
+from panelkit.llm import bpe, simhash
 from panelkit.llm._common import table
 
 
@@ -14,5 +14,22 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op9_simhash_golay": op9_simhash_golay}
+def word_bpe() -> str:
+    """The tokenizer file of the contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe()), word_bpe())
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op9_simhash_golay": op9_simhash_golay, "op10_bpe_forced_boundary": op10_bpe_forced_boundary}
 ORACLES: dict[str, str] = {}
