@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, quality, simhash, substring
+from panelkit.llm import bpe, mixing, quality, sharding, simhash, substring
 from panelkit.llm._common import table, text_key
 
 
@@ -21,6 +21,16 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.records(table(spark, sf_dir, "documents"))
+    placed = sharding.assign_shards(rows, ["text_crc32", "doc_id"], "size", 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = substring.repeated_spans(docs).select("k1", "k2", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -44,5 +54,5 @@ def op10_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_simhash_golay": op9_simhash_golay, "op10_bpe_forced_boundary": op10_bpe_forced_boundary}
+QUERIES = {"op1_sampled_splitters": op1_sampled_splitters, "op3_fair_queueing": op3_fair_queueing, "op2_substring_dedup": op2_substring_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_simhash_golay": op9_simhash_golay, "op10_bpe_forced_boundary": op10_bpe_forced_boundary}
 ORACLES: dict[str, str] = {}
