@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, mixing, quality, sharding, simhash, substring
+from panelkit.llm import bpe, media, mixing, quality, sharding, simhash, substring
 from panelkit.llm._common import table, text_key
 
 
@@ -37,6 +37,22 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *text_key(F.col("text"))).join(found, ["k1", "k2"]).drop("k1", "k2")
 
 
+def op4_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = media.with_payload(media.with_probe(media.with_media(docs)))
+    ranges = F.transform("probe.key_ranges", lambda r: F.concat_ws("+", r["offset"], r["length"]))
+    return rows.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", "probe.codec", "probe.timescale", "probe.duration", "probe.n_samples", "probe.n_keys", F.array_join(ranges, ",")).alias("feature"),
+    )
+
+
 def word_bpe() -> str:
     """The tokenizer file of the contract."""
     import public_tokenizers
@@ -54,5 +70,5 @@ def op10_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sampled_splitters": op1_sampled_splitters, "op3_fair_queueing": op3_fair_queueing, "op2_substring_dedup": op2_substring_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_simhash_golay": op9_simhash_golay, "op10_bpe_forced_boundary": op10_bpe_forced_boundary}
+QUERIES = {"op1_sampled_splitters": op1_sampled_splitters, "op3_fair_queueing": op3_fair_queueing, "op4_iso_media": op4_iso_media, "op2_substring_dedup": op2_substring_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_simhash_golay": op9_simhash_golay, "op10_bpe_forced_boundary": op10_bpe_forced_boundary}
 ORACLES: dict[str, str] = {}
