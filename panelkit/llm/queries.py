@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, html, media, mixing, quality, sharding, simhash, substring
+from panelkit.llm import bpe, html, media, mixing, quality, sharding, simhash, substring, toxicity
 from panelkit.llm._common import table, text_key
 
 
+def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.with_toxicity(docs.select("doc_id", "text"), model)
+    score = F.col("toxicity.score")
+    offsets = F.transform("toxicity.spans", lambda s: F.struct(s["first"].alias("first"), s["end"].alias("end")))
+    return scored.select("doc_id", (quality.remainder("doc_id", 3) == 1).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"), F.to_json(offsets).alias("offending"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -75,5 +84,5 @@ def op10_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sampled_splitters": op1_sampled_splitters, "op3_fair_queueing": op3_fair_queueing, "op4_iso_media": op4_iso_media, "op6_line_blocks": op6_line_blocks, "op2_substring_dedup": op2_substring_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_simhash_golay": op9_simhash_golay, "op10_bpe_forced_boundary": op10_bpe_forced_boundary}
+QUERIES = {"op1_sampled_splitters": op1_sampled_splitters, "op3_fair_queueing": op3_fair_queueing, "op4_iso_media": op4_iso_media, "op6_line_blocks": op6_line_blocks, "op2_substring_dedup": op2_substring_dedup, "op7_toxicity_crf": op7_toxicity_crf, "op8_quality_classifier": op8_quality_classifier, "op9_simhash_golay": op9_simhash_golay, "op10_bpe_forced_boundary": op10_bpe_forced_boundary}
 ORACLES: dict[str, str] = {}
