@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, html, media, mixing, quality, sharding, simhash, substring, toxicity
+from panelkit.llm import bpe, embeddings, html, media, mixing, quality, sharding, simhash, substring, toxicity
 from panelkit.llm._common import table, text_key
 
 
@@ -62,6 +62,10 @@ def op4_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lattice_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op6_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -84,5 +88,5 @@ def op10_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sampled_splitters": op1_sampled_splitters, "op3_fair_queueing": op3_fair_queueing, "op4_iso_media": op4_iso_media, "op6_line_blocks": op6_line_blocks, "op2_substring_dedup": op2_substring_dedup, "op7_toxicity_crf": op7_toxicity_crf, "op8_quality_classifier": op8_quality_classifier, "op9_simhash_golay": op9_simhash_golay, "op10_bpe_forced_boundary": op10_bpe_forced_boundary}
+QUERIES = {"op1_sampled_splitters": op1_sampled_splitters, "op3_fair_queueing": op3_fair_queueing, "op4_iso_media": op4_iso_media, "op5_lattice_hashing": op5_lattice_hashing, "op6_line_blocks": op6_line_blocks, "op2_substring_dedup": op2_substring_dedup, "op7_toxicity_crf": op7_toxicity_crf, "op8_quality_classifier": op8_quality_classifier, "op9_simhash_golay": op9_simhash_golay, "op10_bpe_forced_boundary": op10_bpe_forced_boundary}
 ORACLES: dict[str, str] = {}
