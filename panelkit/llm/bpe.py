@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 import unicodedata
 
 import numpy as np
@@ -44,14 +45,14 @@ class ForcedBoundaryBpe:
         self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
-        self.bytes = byte_alphabet()
+        self.letters = dict(enumerate(byte_alphabet()))
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"])
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        inner: set[str] = set()
+        inner: set[tuple[str, str]] = set()
         for t in self.vocab:
             t = t.removesuffix(self.suffix) if self.suffix else t
-            inner.update(a + b for a, b in zip(t, t[1:], strict=False))
+            inner.update(zip(t, t[1:], strict=False))
         #: Pairs that occur inside a token; every other pair is a certain cut.
         self.inner = inner
         self.words: dict[str, bytes] = {}
@@ -59,13 +60,9 @@ class ForcedBoundaryBpe:
 
     def cut(self, piece: str) -> list[str]:
         """The fragments of a pre-token (in the byte alphabet) between its forced boundaries."""
-        out, start = [], 0
-        for i in range(1, len(piece)):
-            if piece[i - 1 : i + 1] not in self.inner:
-                out.append(piece[start:i])
-                start = i
-        out.append(piece[start:])
-        return out
+        inner = self.inner
+        at = [i for i, pair in enumerate(zip(piece, piece[1:], strict=False), 1) if pair not in inner]
+        return [piece] if not at else [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)], strict=True)]
 
     def fragment(self, text: str, last: bool) -> list[int]:
         known = self.fragments.get((text, last))
@@ -83,12 +80,19 @@ class ForcedBoundaryBpe:
         return ids
 
     def _merge_short(self, symbols: list[str]) -> list[str]:
-        rank, none = self.rank, len(self.rank)
-        while len(symbols) > 1:
-            best, at = min((rank.get(p, none), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
+        get, none = self.rank.get, len(self.rank)
+        ranks = [get(p, none) for p in zip(symbols, symbols[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
             if best == none:
                 break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            i = ranks.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            ranks.pop(i)
+            if i:
+                ranks[i - 1] = get((symbols[i - 1], symbols[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((symbols[i], symbols[i + 1]), none)
         return symbols
 
     def _merge_long(self, symbols: list[str]) -> list[str]:
@@ -115,18 +119,17 @@ class ForcedBoundaryBpe:
 
     def word(self, raw: str) -> bytes:
         """Ids, little-endian, of a run without white space."""
-        text = raw
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+        text = raw if raw.isascii() else unicodedata.normalize("NFC", raw)
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
         ids: list[int] = []
-        for piece in self.pieces.findall(text):
-            mapped = "".join([self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")])
-            parts = self.cut(mapped)
+        for piece in [text] if text.isalpha() and text.isascii() else self.pieces.findall(text):
+            if not (piece.isascii() and piece.isprintable()):
+                piece = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+            parts = self.cut(piece)
             for part in parts[:-1]:
                 ids += self.fragment(part, False)
             ids += self.fragment(parts[-1], True)
-        out = np.array(ids, dtype="<u4").tobytes()
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(raw) < LONG:
             if len(self.words) >= CACHED_WORDS:
                 self.words.clear()
@@ -147,7 +150,7 @@ class ForcedBoundaryBpe:
         out: list[bytes] = []
         for part in self.marks.split(text):
             if part in self.special:
-                out.append(np.array([self.special[part]], dtype="<u4").tobytes())
+                out.append(struct.pack("<I", self.special[part]))
             elif part:
                 out += self._plain(part)
         return b"".join(out)

@@ -29,7 +29,7 @@ def test_equals_library():
 def test_cuts_lie_outside_every_token():
     coder = bpe.ForcedBoundaryBpe(open(PATH, encoding="utf-8").read())
     assert coder.cut("abc") == ["abc"]
-    piece = "".join(coder.bytes[b] for b in "qxzjvq".encode())
+    piece = "qxzjvq"
     assert "".join(coder.cut(piece)) == piece and len(coder.cut(piece)) > 1
 
 
