@@ -1 +1,3 @@
+"""Registered queries, by family."""
 
+from panelkit.plans import temporal  # noqa: F401
