@@ -36,7 +36,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with the number of tokens and the text that they decode to."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), word_bpe()), word_bpe())
+    coded = bpe.encode_decode(docs.select("doc_id", "source", "text"), word_bpe())
     return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 

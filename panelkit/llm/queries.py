@@ -79,7 +79,7 @@ def word_bpe() -> str:
 
 
 def op10_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe()), word_bpe())
+    coded = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe())
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -39,3 +39,10 @@ def test_columns(spark):
     rows = out.collect()
     assert len(rows) == 3 and {r.decoded for r in rows} == {"", "a</w> b</w>"}
     assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+def test_one_pass_equals_two(spark):
+    rows = spark.createDataFrame([(1, "Plain words, plain words"), (2, None), (3, ""), (4, "Größe <b>x</b> 漢字")], "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    two = bpe.decode(bpe.encode(rows, path), path).orderBy("doc_id").collect()
+    assert bpe.encode_decode(rows, path).orderBy("doc_id").collect() == two
