@@ -15,13 +15,17 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: Words and fragments kept by a Python worker; a full cache is emptied.
 CACHED_WORDS, CACHED_FRAGMENTS = 100_000, 20_000
+#: Rows whose ids and texts a Python worker holds at a time.
+SLICE = 256
 #: From this many symbols on, merges are taken from a heap.
 LONG = 32
 
@@ -205,14 +209,23 @@ def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col:
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``encode`` and ``decode`` in one pass: one Python worker a task and one transfer, instead of two of each."""
+    """``encode`` and ``decode`` in one pass, in place of the text; all other columns are passed on as they are.
+
+    One Python worker a task; it holds the results of ``SLICE`` rows at a time, whatever the batch. A null or
+    empty text has no ids and an empty decoded text; existing ``ids_col`` and ``out_col`` are replaced.
+    """
     shared = _share(docs.sparkSession, tokenizer_path)
+    rest = docs.select(*[c for c in docs.columns if c not in (text_col, ids_col, out_col)])
+    n = len(rest.columns)
+    schema = T.StructType([*rest.schema.fields, T.StructField(ids_col, T.BinaryType()), T.StructField(out_col, T.StringType())])
 
-    @F.pandas_udf("ids binary, decoded string")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches):
         coder = _coder(shared)
-        ids = [coder.encode(t) for t in texts]
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([coder.decode(x) for x in ids], dtype=object)})
-
-    coded = docs.withColumn("_coded", run(F.col(text_col).cast("string")))
-    return coded.withColumn(ids_col, F.col("_coded.ids")).withColumn(out_col, F.col("_coded.decoded")).drop("_coded")
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = [coder.encode(t) for t in part.column(n).to_pylist()]
+                decoded = [coder.decode(x) for x in ids]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=schema.names)
+
+    return docs.select(*rest.columns, F.col(text_col).cast("string").alias("_whole")).mapInArrow(run, schema)
