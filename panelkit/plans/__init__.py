@@ -1,3 +1,3 @@
 """Registered queries, by family."""
 
-from panelkit.plans import temporal  # noqa: F401
+from panelkit.plans import relations, temporal  # noqa: F401
