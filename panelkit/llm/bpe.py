@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import string
 import struct
 import unicodedata
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-#: Words and fragments kept by a Python worker; a full cache is emptied.
-CACHED_WORDS, CACHED_FRAGMENTS = 100_000, 20_000
+#: Words and pre-tokens whose ids a Python worker keeps.
+CACHED_WORDS, CACHED_PIECES = 100_000, 60_000
 #: Rows whose ids and texts a Python worker holds at a time.
 SLICE = 256
 #: From this many symbols on, merges are taken from a heap.
@@ -40,109 +41,152 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class Recent:
+    """The results of about ``size`` keys: two generations, so that filling up drops only what was not used lately."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.new, self.old = size // 2, {}, {}
+
+    def find(self, key: str) -> bytes | None:
+        """A result of the older generation, moved into the newer; callers look into ``new`` themselves."""
+        known = self.old.get(key)
+        if known is not None:
+            self.keep(key, known)
+        return known
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.size:
+            self.old = dict(self.new)
+            self.new.clear()
+        self.new[key] = value
+
+
 class ForcedBoundaryBpe:
     def __init__(self, tokenizer_json: str) -> None:
         spec = json.loads(tokenizer_json)
         model = spec["model"]
-        self.suffix = model.get("end_of_word_suffix") or ""
-        self.vocab: dict[str, int] = model["vocab"]
-        self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+        suffix = model.get("end_of_word_suffix") or ""
+        vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
+        self.token = {i: t for t, i in [*vocab.items(), *self.special.items()]}
         self.letters = dict(enumerate(byte_alphabet()))
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(split["pattern"]["Regex"])
+        self.pattern = regex.compile(split["pattern"]["Regex"])
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        inner: set[tuple[str, str]] = set()
-        for t in self.vocab:
-            t = t.removesuffix(self.suffix) if self.suffix else t
-            inner.update(zip(t, t[1:], strict=False))
-        #: Pairs that occur inside a token; every other pair is a certain cut.
-        self.inner = inner
-        self.words: dict[str, bytes] = {}
-        self.fragments: dict[tuple[str, bool], list[int]] = {}
+        #: Ids of a byte's letter inside a pre-token and at its end; -1 where the vocabulary has none.
+        self.inside = {c: vocab.get(c, -1) for c in self.letters.values()}
+        self.ending = {c: vocab.get(c + suffix, -1) for c in self.letters.values()}
+        #: Ranks of pairs of ids, and the id that the merge of each rank makes.
+        self.bits = max(self.token).bit_length()
+        self.rank: dict[int, int] = {}
+        self.made: list[int] = []
+        for i, merge in enumerate(model["merges"]):
+            left, right = merge.split(" ") if isinstance(merge, str) else merge
+            self.rank[vocab[left] << self.bits | vocab[right]] = i
+            self.made.append(vocab[left + right])
+        self.none = len(self.made)
+        #: Pairs of letters that occur inside a token, with their ranks; every other pair is a certain cut.
+        self.inner: dict[tuple[str, str], int] = {}
+        for t in vocab:
+            t = t.removesuffix(suffix) if suffix else t
+            for a, b in zip(t, t[1:], strict=False):
+                if (a, b) not in self.inner:
+                    self.inner[a, b] = self.rank.get(self.inside.get(a, -1) << self.bits | self.inside.get(b, -1), self.none)
+        self.words, self.pieces = Recent(CACHED_WORDS), Recent(CACHED_PIECES)
 
     def cut(self, piece: str) -> list[str]:
         """The fragments of a pre-token (in the byte alphabet) between its forced boundaries."""
-        inner = self.inner
-        at = [i for i, pair in enumerate(zip(piece, piece[1:], strict=False), 1) if pair not in inner]
-        return [piece] if not at else [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)], strict=True)]
+        ranks = list(map(self.inner.get, zip(piece, piece[1:], strict=False)))
+        at = [i for i, r in enumerate(ranks, 1) if r is None]
+        return [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)], strict=True)]
 
-    def fragment(self, text: str, last: bool) -> list[int]:
-        known = self.fragments.get((text, last))
+    def piece(self, text: str) -> bytes:
+        """Ids of a pre-token: its fragments are encoded on their own and concatenated."""
+        known = self.pieces.find(text)
         if known is not None:
             return known
-        symbols = list(text)
-        if last:
-            symbols[-1] += self.suffix
-        merged = self._merge_long(symbols) if len(symbols) >= LONG else self._merge_short(symbols)
-        ids = [self.vocab[s] for s in merged if s in self.vocab]
+        chars = text if text.isascii() and text.isprintable() else text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        ids = list(map(self.inside.__getitem__, chars))
+        ids[-1] = self.ending[chars[-1]]
+        ranks = list(map(self.inner.get, zip(chars, chars[1:])))
+        if len(ranks) and ranks[-1] is not None:
+            ranks[-1] = self.rank.get(ids[-2] << self.bits | ids[-1], self.none)
+        if None in ranks:
+            whole, start = ids, 0
+            ids = []
+            for i in [i for i, r in enumerate(ranks) if r is None] + [len(ranks)]:
+                ids += self._merge(whole[start : i + 1], ranks[start:i])
+                start = i + 1
+        else:
+            ids = self._merge(ids, ranks)
+        if -1 in ids:
+            ids = [i for i in ids if i >= 0]
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(text) < LONG:
-            if len(self.fragments) >= CACHED_FRAGMENTS:
-                self.fragments.clear()
-            self.fragments[(text, last)] = ids
-        return ids
+            self.pieces.keep(text, out)
+        return out
 
-    def _merge_short(self, symbols: list[str]) -> list[str]:
-        get, none = self.rank.get, len(self.rank)
-        ranks = [get(p, none) for p in zip(symbols, symbols[1:], strict=False)]
+    def _merge(self, ids: list[int], ranks: list[int]) -> list[int]:
+        """Merges a fragment's ids, lowest rank first and leftmost of equals; ranks[i] is that of ids i and i + 1."""
+        if len(ids) >= LONG:
+            return self._merge_long(ids, ranks)
+        get, none, bits, made = self.rank.get, self.none, self.bits, self.made
         while ranks:
             best = min(ranks)
             if best == none:
                 break
             i = ranks.index(best)
-            symbols[i] += symbols.pop(i + 1)
-            ranks.pop(i)
+            ids[i] = both = made[best]
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get((symbols[i - 1], symbols[i]), none)
+                ranks[i - 1] = get(ids[i - 1] << bits | both, none)
             if i < len(ranks):
-                ranks[i] = get((symbols[i], symbols[i + 1]), none)
-        return symbols
+                ranks[i] = get(both << bits | ids[i + 1], none)
+        return ids
 
-    def _merge_long(self, symbols: list[str]) -> list[str]:
+    def _merge_long(self, ids: list[int], ranks: list[int]) -> list[int]:
         """The same merges in n log n: a heap of (rank, place) over a linked list."""
-        n, rank = len(symbols), self.rank
+        n, get, none, bits = len(ids), self.rank.get, self.none, self.bits
         following, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
-        heap = [(r, i) for i in range(n - 1) if (r := rank.get((symbols[i], symbols[i + 1]))) is not None]
+        heap = [(r, i) for i, r in enumerate(ranks) if r != none]
         heapq.heapify(heap)
         while heap:
             r, i = heapq.heappop(heap)
             j = following[i] if alive[i] else -1
-            if j < 0 or rank.get((symbols[i], symbols[j])) != r:
+            if j < 0 or get(ids[i] << bits | ids[j]) != r:
                 continue
-            symbols[i] += symbols[j]
+            ids[i] = self.made[r]
             alive[j] = False
             following[i] = k = following[j]
             if k >= 0:
                 before[k] = i
-                if (r := rank.get((symbols[i], symbols[k]))) is not None:
+                if (r := get(ids[i] << bits | ids[k])) is not None:
                     heapq.heappush(heap, (r, i))
-            if (k := before[i]) >= 0 and (r := rank.get((symbols[k], symbols[i]))) is not None:
+            if (k := before[i]) >= 0 and (r := get(ids[k] << bits | ids[i])) is not None:
                 heapq.heappush(heap, (r, k))
-        return [s for s, a in zip(symbols, alive, strict=True) if a]
+        return [s for s, a in zip(ids, alive, strict=True) if a]
 
     def word(self, raw: str) -> bytes:
         """Ids, little-endian, of a run without white space."""
+        known = self.words.find(raw)
+        if known is not None:
+            return known
         text = raw if raw.isascii() else unicodedata.normalize("NFC", raw)
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        ids: list[int] = []
-        for piece in [text] if text.isalpha() and text.isascii() else self.pieces.findall(text):
-            if not (piece.isascii() and piece.isprintable()):
-                piece = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-            parts = self.cut(piece)
-            for part in parts[:-1]:
-                ids += self.fragment(part, False)
-            ids += self.fragment(parts[-1], True)
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        body = text.rstrip(string.punctuation)
+        if body.isalpha():
+            parts = [body, text[len(body) :]] if len(body) < len(text) else [text]
+        else:
+            parts = self.pattern.findall(text)
+        get, piece = self.pieces.new.get, self.piece
+        out = b"".join([x if (x := get(p)) is not None else piece(p) for p in parts])
         if len(raw) < LONG:
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            self.words[raw] = out
+            self.words.keep(raw, out)
         return out
 
     def _plain(self, text: str) -> list[bytes]:
         words = text.split() if not regex.search("[\x1c-\x1f]", text) else [w for w in WHITE.split(text) if w]
-        get, word = self.words.get, self.word
+        get, word = self.words.new.get, self.word
         return [x if (x := get(w)) is not None else word(w) for w in words]
 
     def encode(self, text: str | None) -> bytes:
