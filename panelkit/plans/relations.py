@@ -54,12 +54,12 @@ def _(spark, d):
     return t(spark, d, "customer").select("c_custkey", F.rank().over(w.orderBy(F.desc("c_acctbal"))).alias("place"), F.count("*").over(w).alias("peers"))
 
 
-@query("assert_unique_key", """SELECT CAST(sum(n) AS BIGINT) AS n_rows, 0 AS n_null_keys, count(*) FILTER (n > 1) AS n_repeated_keys FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)""")
+@query("assert_unique_key", """SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_null_keys, count(*) FILTER (n > 1) AS n_repeated_keys FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)""")
 def _(spark, d):
     return quality.assert_unique_key(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @query("assert_references", """SELECT (SELECT count(*) FROM orders) AS n_child, (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) AS n_found,
-(SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS n_parents_without_child, 1.0 AS share_found, true AS ok""")
+(SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS n_parents_without_child, CAST(1 AS DOUBLE) AS share_found, true AS ok""")
 def _(spark, d):
     return quality.assert_references(t(spark, d, "orders"), t(spark, d, "customer"), [("o_custkey", "c_custkey")])
