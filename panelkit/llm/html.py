@@ -2,14 +2,15 @@
 
 Markup is stripped to lines, one for each block of the page, each with the marks of the elements around it.
 Lines inside elements that never hold an article (scripts, styles, menus, forms, notices, adverts, reader
-comments and the like) weigh nothing. The text lengths of the others are summed over a sliding window of
+comments and the like) are left out. The text lengths of the others are summed over a sliding window of
 lines; where the sum surges from a quiet stretch a candidate passage begins, where it falls back to nothing
-it dives and ends. Of the passages the one with the most text is kept, joined by its like inside the same
-article element, so that short paragraphs between long ones stay.
+it dives and ends. The passage with the most text is kept with all others that share its container, and with
+the short lines of that container between them and the short paragraphs at their ends.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from dataclasses import dataclass
@@ -18,8 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a window, and the share of the densest window's text that counts as a surge.
-WINDOW, SURGE = 3, 0.02
+#: Lines of a window, the share of the densest window's text that counts as a surge, and the most characters
+#: that the level can come to, so that one huge block does not make ordinary paragraphs quiet.
+WINDOW, SURGE, LEVEL = 3, 0.02, 30
 
 # Element names of HTML by role.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
@@ -30,14 +32,26 @@ INLINE_DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "se
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|popup|promo\w*|related|replies|respond|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|taboola|tags?|toolbar|widget)(?:$|[\s_-])", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+HOLDERS = {"html", "body", "main", "article", "div", "td", "center", "details"}
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "tbody"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
 
+@dataclass(eq=False)
+class Holder:
+    """An element that can contain an article."""
+
+    up: Holder | None
+    depth: int
+
+
 @dataclass
 class Line:
     text: str
     dropped: bool
     article: int
+    holder: Holder
+    prose: bool
 
 
 def _unwanted(name: str, attributes: str) -> bool:
@@ -64,21 +78,38 @@ def lines(page: str) -> list[Line]:
     """
     out: list[Line] = []
     text: list[str] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, Holder]] = []
+    top = Holder(None, 0)
     hidden = 0
     articles: list[int] = []
     seen_articles = 0
     at = 0
 
+    def inner() -> Holder:
+        return stack[-1][2] if stack else top
+
+    def push(name: str, bad: bool) -> None:
+        nonlocal hidden
+        holder = inner()
+        stack.append((name, bad, Holder(holder, holder.depth + 1) if name in HOLDERS else holder))
+        hidden += bad
+
+    def around() -> tuple[Holder, bool]:
+        """The container of the innermost open block, and whether that is a paragraph or heading."""
+        at = len(stack) - 1
+        while at > 0 and stack[at][0] not in BLOCKS:
+            at -= 1
+        return stack[at - 1][2] if at > 0 else top, at >= 0 and stack[at][0] in PROSE
+
     def flush() -> None:
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            out.append(Line(joined, hidden > 0, articles[-1] if articles else 0))
+            out.append(Line(joined, hidden > 0, articles[-1] if articles else 0, *around()))
         text.clear()
 
     def pop() -> None:
         nonlocal hidden
-        name, bad = stack.pop()
+        name, bad, _ = stack.pop()
         hidden -= bad
         if name in ("article", "main"):
             articles.pop()
@@ -101,8 +132,8 @@ def lines(page: str) -> list[Line]:
             else:
                 flush()
         if closing:
-            if any(x == name for x, _ in stack):
-                if not (name not in BLOCKS and any(x in BLOCKS for x, _ in stack[len(stack) - 1 - [x for x, _ in stack][::-1].index(name) :])):
+            if any(x == name for x, *_ in stack):
+                if not (name not in BLOCKS and any(x in BLOCKS for x, *_ in stack[len(stack) - 1 - [x for x, *_ in stack][::-1].index(name) :])):
                     while stack[-1][0] != name:
                         pop()
                     pop()
@@ -110,7 +141,7 @@ def lines(page: str) -> list[Line]:
         while stack and name in CLOSED_BY.get(stack[-1][0], ()):
             pop()
         if name in BLOCKS:
-            while any(x == "p" for x, _ in stack) and all(x == "p" or x not in BLOCKS for x, _ in stack[[x for x, _ in stack].index("p") :]):
+            while any(x == "p" for x, *_ in stack) and all(x == "p" or x not in BLOCKS for x, *_ in stack[[x for x, *_ in stack].index("p") :]):
                 pop()
         if name in VOID or attributes.rstrip().endswith("/") and name in ("svg", "path"):
             continue
@@ -118,11 +149,9 @@ def lines(page: str) -> list[Line]:
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)", re.I).search(page, at)
             at = len(page) if end is None else end.start()
-            stack.append((name, bad))
-            hidden += bad
+            push(name, bad)
             continue
-        stack.append((name, bad))
-        hidden += bad
+        push(name, bad)
         if name in ("article", "main"):
             seen_articles += 1
             articles.append(seen_articles)
@@ -130,12 +159,16 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def passages(rows: list[Line]) -> list[tuple[int, int]]:
-    """(surge, dive) of every stretch in which the text of a window of lines stays above the surge level."""
-    sizes = [0 if r.dropped else len(r.text) for r in rows]
+def surge_level(sums: list[int]) -> float:
+    return min(LEVEL, SURGE * max(sums, default=0))
+
+
+def passages(rows: list[Line]) -> tuple[list[tuple[int, int]], float]:
+    """(surge, dive) of every stretch in which the text of a window of lines stays above the surge level; the level."""
+    sizes = [len(r.text) for r in rows]
     half = WINDOW // 2
     sums = [sum(sizes[max(0, i - half) : i + half + 1]) for i in range(len(rows))]
-    level = SURGE * max(sums, default=0)
+    level = surge_level(sums)
     found, start = [], None
     for i, s in enumerate([*sums, 0]):
         if s > level and start is None:
@@ -143,26 +176,46 @@ def passages(rows: list[Line]) -> list[tuple[int, int]]:
         elif s <= level and start is not None:
             found.append((start, i))
             start = None
-    return found
+    return found, level
+
+
+def common(a: Holder, b: Holder) -> Holder:
+    """The innermost container of both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+    return a
 
 
 def main_text(page: str | None) -> str:
-    """The text between surge and dive points of the densest passage; empty for a page without text."""
-    rows = lines(page or "")
-    spans = passages(rows)
+    """The text between surge and dive points of the densest passage and its like; empty for a page without text."""
+    rows = [r for r in lines(page or "") if not r.dropped]
+    spans, level = passages(rows)
     if not spans:
         return ""
-    size = lambda a, b: sum(len(r.text) for r in rows[a:b] if not r.dropped)
-    if any(r.article and not r.dropped for r in rows):
+    size = lambda a, b: sum(len(r.text) for r in rows[a:b])
+    if any(r.article for r in rows):
         weight: dict[int, int] = {}
         for r in rows:
-            if r.article and not r.dropped:
+            if r.article:
                 weight[r.article] = weight.get(r.article, 0) + len(r.text)
         best = max(weight, key=lambda k: (weight[k], -k))
-        kept = [r for r in rows if r.article == best and not r.dropped]
+        kept = [r for r in rows if r.article == best]
     else:
         a, b = max(spans, key=lambda s: size(*s))
-        kept = [r for r in rows[a:b] if not r.dropped]
+        core = [r.holder for r in rows[a:b] if len(r.text) > level] or [r.holder for r in rows[a:b]]
+        shared = functools.reduce(common, core)
+        within = [common(r.holder, shared) is shared for r in rows]
+        joined = [(x, y) for x, y in spans if (x, y) == (a, b) or 2 * sum(len(rows[i].text) for i in range(x, y) if within[i]) > size(x, y)]
+        inside = {i for x, y in joined for i in range(x, y)}
+        first, last = min(x for x, _ in joined), max(y for _, y in joined)
+        while first > 0 and rows[first - 1].prose and within[first - 1]:
+            first -= 1
+        while last < len(rows) and rows[last].prose and within[last]:
+            last += 1
+        kept = [rows[i] for i in range(first, last) if i in inside or within[i]]
     return "\n".join(r.text for r in kept)
 
 

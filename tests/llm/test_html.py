@@ -24,6 +24,24 @@ def test_no_article_element():
     assert LONG.strip() in got and SECOND.strip() in got and "News" not in got and "d" not in got
 
 
+def test_dropped_lines_do_not_split():
+    page = f"<body><div><p>{LONG}</p><ul class='menu'><li>Home</li><li>News</li><li>x</li></ul><aside><p>a</p><p>b</p><p>c</p></aside><p>{SECOND}</p></div></body>"
+    assert text(page).split("\n") == [LONG.strip(), SECOND.strip()]
+
+
+def test_huge_paragraph_keeps_the_others():
+    page = "<body><div>" + f"<p>{LONG}</p>" * 8 + "<p>" + LONG * 400 + "</p>" + f"<p>{SECOND}</p>" * 8 + "</div></body>"
+    got = text(page).split("\n")
+    assert got == [LONG.strip()] * 8 + [(LONG * 400).strip()] + [SECOND.strip()] * 8
+
+
+def test_passages_of_one_container_are_joined():
+    short = "<p>So.</p>" * 4
+    page = f"<body><ul><li>Home</li><li>News</li><li>x</li><li>y</li><li>z</li></ul><div><p>{LONG * 3}</p>{short}<p>{SECOND * 3}</p>{short}</div><ul><li>a</li><li>b</li><li>c</li><li>d</li></ul><div><p>Unlike it.</p></div></body>"
+    got = text(page).split("\n")
+    assert [x for x in got if x not in ("z", "a")] == [(LONG * 3).strip(), *["So."] * 4, (SECOND * 3).strip(), *["So."] * 4]
+
+
 def test_odd_pages():
     assert text(None) == text("") == text("<p> </p>") == text("<script>a</script>") == ""
     assert text("plain text only") == "plain text only"
