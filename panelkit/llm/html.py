@@ -6,6 +6,9 @@ comments and the like) are left out. The text lengths of the others are summed o
 lines; where the sum surges from a quiet stretch a candidate passage begins, where it falls back to nothing
 it dives and ends. The passage with the most text is kept with all others that share its container, and with
 the short lines of that container between them and the short paragraphs at their ends.
+
+An outermost <article> or <main> is a weight and a border: its lines count four times and never as quiet, and
+no passage crosses its edge. Longer text outside can still win. Articles side by side in one element are joined.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 #: Lines of a window, the share of the densest window's text that counts as a surge, and the most characters
 #: that the level can come to, so that one huge block does not make ordinary paragraphs quiet.
 WINDOW, SURGE, LEVEL = 3, 0.02, 30
+#: What a character inside <article> or <main> counts.
+TAGGED = 4
 
 # Element names of HTML by role.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
@@ -49,10 +54,14 @@ class Holder:
 class Line:
     text: str
     dropped: bool
-    article: int
+    root: Holder | None
     holder: Holder
     prose: bool
 
+    @property
+    def weight(self) -> int:
+        return len(self.text) * TAGGED + LEVEL if self.root else len(self.text)
+
 
 def _unwanted(name: str, attributes: str) -> bool:
     if name in DROPPED:
@@ -81,8 +90,7 @@ def lines(page: str) -> list[Line]:
     stack: list[tuple[str, bool, Holder]] = []
     top = Holder(None, 0)
     hidden = 0
-    articles: list[int] = []
-    seen_articles = 0
+    roots: list[Holder] = []
     at = 0
 
     def inner() -> Holder:
@@ -104,7 +112,7 @@ def lines(page: str) -> list[Line]:
     def flush() -> None:
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            out.append(Line(joined, hidden > 0, articles[-1] if articles else 0, *around()))
+            out.append(Line(joined, hidden > 0, roots[0] if roots else None, *around()))
         text.clear()
 
     def pop() -> None:
@@ -112,7 +120,7 @@ def lines(page: str) -> list[Line]:
         name, bad, _ = stack.pop()
         hidden -= bad
         if name in ("article", "main"):
-            articles.pop()
+            roots.pop()
 
     while True:
         found = TAG.search(page, at)
@@ -153,8 +161,7 @@ def lines(page: str) -> list[Line]:
             continue
         push(name, bad)
         if name in ("article", "main"):
-            seen_articles += 1
-            articles.append(seen_articles)
+            roots.append(inner())
     flush()
     return out
 
@@ -164,13 +171,19 @@ def surge_level(sums: list[int]) -> float:
 
 
 def passages(rows: list[Line]) -> tuple[list[tuple[int, int]], float]:
-    """(surge, dive) of every stretch in which the text of a window of lines stays above the surge level; the level."""
-    sizes = [len(r.text) for r in rows]
+    """(surge, dive) of every stretch in which the text of a window of lines stays above the surge level; the level.
+
+    A stretch also ends at the edge of an outermost article.
+    """
+    sizes = [r.weight for r in rows]
     half = WINDOW // 2
     sums = [sum(sizes[max(0, i - half) : i + half + 1]) for i in range(len(rows))]
     level = surge_level(sums)
     found, start = [], None
     for i, s in enumerate([*sums, 0]):
+        if start is not None and i < len(rows) and rows[i].root is not rows[i - 1].root:
+            found.append((start, i))
+            start = None
         if s > level and start is None:
             start = i
         elif s <= level and start is not None:
@@ -195,20 +208,16 @@ def main_text(page: str | None) -> str:
     spans, level = passages(rows)
     if not spans:
         return ""
-    size = lambda a, b: sum(len(r.text) for r in rows[a:b])
-    if any(r.article for r in rows):
-        weight: dict[int, int] = {}
-        for r in rows:
-            if r.article:
-                weight[r.article] = weight.get(r.article, 0) + len(r.text)
-        best = max(weight, key=lambda k: (weight[k], -k))
-        kept = [r for r in rows if r.article == best]
+    size = lambda a, b: sum(r.weight for r in rows[a:b])
+    a, b = max(spans, key=lambda s: size(*s))
+    root = rows[a].root
+    if root:
+        kept = [r for x, y in spans for r in rows[x:y] if r.root and r.root.up is root.up]
     else:
-        a, b = max(spans, key=lambda s: size(*s))
-        core = [r.holder for r in rows[a:b] if len(r.text) > level] or [r.holder for r in rows[a:b]]
+        core = [r.holder for r in rows[a:b] if r.weight > level] or [r.holder for r in rows[a:b]]
         shared = functools.reduce(common, core)
-        within = [common(r.holder, shared) is shared for r in rows]
-        joined = [(x, y) for x, y in spans if (x, y) == (a, b) or 2 * sum(len(rows[i].text) for i in range(x, y) if within[i]) > size(x, y)]
+        within = [not r.root and common(r.holder, shared) is shared for r in rows]
+        joined = [(x, y) for x, y in spans if (x, y) == (a, b) or 2 * sum(rows[i].weight for i in range(x, y) if within[i]) > size(x, y)]
         inside = {i for x, y in joined for i in range(x, y)}
         first, last = min(x for x, _ in joined), max(y for _, y in joined)
         while first > 0 and rows[first - 1].prose and within[first - 1]:

@@ -42,6 +42,18 @@ def test_passages_of_one_container_are_joined():
     assert [x for x in got if x not in ("z", "a")] == [(LONG * 3).strip(), *["So."] * 4, (SECOND * 3).strip(), *["So."] * 4]
 
 
+def test_window_sums_choose_against_tags():
+    page = f"<body><article><p>A teaser.</p></article><article><p>Another.</p></article><div><p>{LONG * 3}</p><p>{SECOND * 3}</p></div></body>"
+    assert text(page).split("\n") == [(LONG * 3).strip(), (SECOND * 3).strip()]
+
+
+def test_sections_of_main_and_articles_side_by_side():
+    page = f"<body><p>{LONG}</p><main><h1>T</h1><article><p>{LONG}</p><ul><li>a</li><li>b</li><li>c</li></ul></article><section><p>{SECOND}</p></section><p>e</p><p>f</p><p>g</p></main></body>"
+    assert text(page).split("\n") == ["T", LONG.strip(), "a", "b", "c", SECOND.strip(), "e", "f", "g"]
+    page = f"<body><article><p>{LONG}</p></article><article><p>{SECOND}</p></article></body>"
+    assert text(page).split("\n") == [LONG.strip(), SECOND.strip()]
+
+
 def test_odd_pages():
     assert text(None) == text("") == text("<p> </p>") == text("<script>a</script>") == ""
     assert text("plain text only") == "plain text only"
