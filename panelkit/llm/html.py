@@ -9,6 +9,10 @@ the short lines of that container between them and the short paragraphs at their
 
 An outermost <article> or <main> is a weight and a border: its lines count four times and never as quiet, and
 no passage crosses its edge. Longer text outside can still win. Articles side by side in one element are joined.
+
+An element marked by its class or id as none of the article is left out too, unless it contains an article or most
+of the page's text. The page's first article makes it a wrapper that counts like any other element; else its text
+counts a sixteenth, when passages are compared, and is joined with no text outside.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -27,6 +32,8 @@ from pyspark.sql import functions as F
 WINDOW, SURGE, LEVEL = 3, 0.02, 30
 #: What a character inside <article> or <main> counts.
 TAGGED = 4
+#: What the text of a marked element is divided by.
+MARKED = 16
 
 # Element names of HTML by role.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
@@ -34,7 +41,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 DROPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "header", "footer", "aside", "form", "menu", "button", "select", "option", "textarea", "label", "fieldset", "iframe", "object", "svg", "math", "canvas", "audio", "video", "dialog", "noembed", "noframes"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 INLINE_DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|popup|promo\w*|related|replies|respond|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|taboola|tags?|toolbar|widget)(?:$|[\s_-])", re.I)
+MARKS = re.compile(r"(?:^|\s|(?<!\bhas)(?<!\bno)(?<!\bwith)(?<!\bwithout)[_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|popup|promo\w*|related|replies|respond|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|taboola|tags?|toolbar|widget)(?:$|[\s_-])", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 HOLDERS = {"html", "body", "main", "article", "div", "td", "center", "details"}
@@ -50,6 +57,25 @@ class Holder:
     depth: int
 
 
+@dataclass(eq=False)
+class Mark:
+    """An element whose class or id says that it is none of the article."""
+
+    up: Mark | None
+    size: int = 0
+    articles: int = 0
+    first: bool = False
+
+    def kept(self, total: int) -> bool:
+        return self.articles > 0 or 2 * self.size > total
+
+    def chain(self) -> Iterator[Mark]:
+        at: Mark | None = self
+        while at:
+            yield at
+            at = at.up
+
+
 @dataclass
 class Line:
     text: str
@@ -57,11 +83,22 @@ class Line:
     root: Holder | None
     holder: Holder
     prose: bool
+    mark: Mark | None
 
     @property
     def weight(self) -> int:
         return len(self.text) * TAGGED + LEVEL if self.root else len(self.text)
 
+    @property
+    def zone(self) -> tuple[Holder | None, Mark | None]:
+        return self.root, self.mark
+
+
+def _marked(name: str, attributes: str) -> bool:
+    if not attributes or name in ("body", "html", "main", "article"):
+        return False
+    return any(key.lower() in ("class", "id") and MARKS.search(a or b or c) for key, a, b, c in ATTRIBUTE.findall(attributes))
+
 
 def _unwanted(name: str, attributes: str) -> bool:
     if name in DROPPED:
@@ -70,8 +107,6 @@ def _unwanted(name: str, attributes: str) -> bool:
         return False
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
-        if key in ("class", "id") and MARKS.search(value):
-            return True
         if key == "role" and value.lower() in INLINE_DROP_ROLES or key == "aria-hidden" and value.lower() == "true":
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -88,6 +123,8 @@ def lines(page: str) -> list[Line]:
     out: list[Line] = []
     text: list[str] = []
     stack: list[tuple[str, bool, Holder]] = []
+    marks: list[Mark | None] = [None]
+    seen: set[str] = set()
     top = Holder(None, 0)
     hidden = 0
     roots: list[Holder] = []
@@ -96,9 +133,16 @@ def lines(page: str) -> list[Line]:
     def inner() -> Holder:
         return stack[-1][2] if stack else top
 
-    def push(name: str, bad: bool) -> None:
+    def push(name: str, bad: bool, attributes: str) -> None:
         nonlocal hidden
         holder = inner()
+        if name in ("article", "main") and not hidden:
+            if marks[-1] and not any(x == "article" for x, *_ in stack):
+                for mark in marks[-1].chain():
+                    mark.articles += 1
+                    mark.first |= name not in seen
+            seen.add(name)
+        marks.append(Mark(marks[-1]) if not bad and _marked(name, attributes) else marks[-1])
         stack.append((name, bad, Holder(holder, holder.depth + 1) if name in HOLDERS else holder))
         hidden += bad
 
@@ -112,12 +156,13 @@ def lines(page: str) -> list[Line]:
     def flush() -> None:
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            out.append(Line(joined, hidden > 0, roots[0] if roots else None, *around()))
+            out.append(Line(joined, hidden > 0, roots[0] if roots else None, *around(), marks[-1]))
         text.clear()
 
     def pop() -> None:
         nonlocal hidden
         name, bad, _ = stack.pop()
+        marks.pop()
         hidden -= bad
         if name in ("article", "main"):
             roots.pop()
@@ -157,12 +202,21 @@ def lines(page: str) -> list[Line]:
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)", re.I).search(page, at)
             at = len(page) if end is None else end.start()
-            push(name, bad)
+            push(name, bad, attributes)
             continue
-        push(name, bad)
+        push(name, bad, attributes)
         if name in ("article", "main"):
             roots.append(inner())
     flush()
+    shown = [r for r in out if not r.dropped]
+    for r in shown:
+        for mark in r.mark.chain() if r.mark else ():
+            mark.size += len(r.text)
+    total = sum(len(r.text) for r in shown)
+    for r in shown:
+        if r.mark:
+            r.dropped = not all(x.kept(total) for x in r.mark.chain())
+            r.mark = next((x for x in r.mark.chain() if not x.first), None)
     return out
 
 
@@ -173,7 +227,7 @@ def surge_level(sums: list[int]) -> float:
 def passages(rows: list[Line]) -> tuple[list[tuple[int, int]], float]:
     """(surge, dive) of every stretch in which the text of a window of lines stays above the surge level; the level.
 
-    A stretch also ends at the edge of an outermost article.
+    A stretch also ends at the edge of an outermost article or a marked element.
     """
     sizes = [r.weight for r in rows]
     half = WINDOW // 2
@@ -181,7 +235,7 @@ def passages(rows: list[Line]) -> tuple[list[tuple[int, int]], float]:
     level = surge_level(sums)
     found, start = [], None
     for i, s in enumerate([*sums, 0]):
-        if start is not None and i < len(rows) and rows[i].root is not rows[i - 1].root:
+        if start is not None and i < len(rows) and rows[i].zone != rows[i - 1].zone:
             found.append((start, i))
             start = None
         if s > level and start is None:
@@ -209,14 +263,14 @@ def main_text(page: str | None) -> str:
     if not spans:
         return ""
     size = lambda a, b: sum(r.weight for r in rows[a:b])
-    a, b = max(spans, key=lambda s: size(*s))
-    root = rows[a].root
+    a, b = max(spans, key=lambda s: size(*s) / (MARKED if rows[s[0]].mark else 1))
+    root, mark = rows[a].zone
     if root:
-        kept = [r for x, y in spans for r in rows[x:y] if r.root and r.root.up is root.up]
+        kept = [r for x, y in spans for r in rows[x:y] if r.root and r.root.up is root.up and r.mark is mark]
     else:
         core = [r.holder for r in rows[a:b] if r.weight > level] or [r.holder for r in rows[a:b]]
         shared = functools.reduce(common, core)
-        within = [not r.root and common(r.holder, shared) is shared for r in rows]
+        within = [r.zone == (root, mark) and common(r.holder, shared) is shared for r in rows]
         joined = [(x, y) for x, y in spans if (x, y) == (a, b) or 2 * sum(rows[i].weight for i in range(x, y) if within[i]) > size(x, y)]
         inside = {i for x, y in joined for i in range(x, y)}
         first, last = min(x for x, _ in joined), max(y for _, y in joined)

@@ -54,6 +54,21 @@ def test_sections_of_main_and_articles_side_by_side():
     assert text(page).split("\n") == [LONG.strip(), SECOND.strip()]
 
 
+def test_layout_wrappers_with_mark_words():
+    for name in ("content with-sidebar", "has-sidebar", "no-comments", "nav-layout", "sidebar", "page banner-top"):
+        aside = f"<div class='sidebar'><p>{SECOND}</p></div>"
+        assert text(f"<body><div class='{name}'><article><p>{LONG}</p></article>{aside}</div></body>") == LONG.strip()
+        assert text(f"<body><div class='{name}'><p>{LONG}</p><p>{LONG}</p>{aside}</div></body>").split("\n") == [LONG.strip()] * 2
+        assert text(f"<main><h1>T</h1><div id='{name}'><article><p>{LONG}</p></article></div><p>e</p></main>").split("\n") == ["T", LONG.strip(), "e"]
+
+
+def test_comments_longer_than_the_story():
+    comments = f"<section class='comments'>{f'<article><p>{SECOND}</p></article>' * 8}</section>"
+    assert text(f"<body><article><p>{LONG}</p>{comments}</article></body>") == LONG.strip()
+    assert text(f"<body><main><article><p>{LONG}</p></article>{comments}</main></body>") == LONG.strip()
+    assert text(f"<body><div><p>{LONG}</p></div>{comments.replace('article', 'div')}</body>") == LONG.strip()
+
+
 def test_odd_pages():
     assert text(None) == text("") == text("<p> </p>") == text("<script>a</script>") == ""
     assert text("plain text only") == "plain text only"
