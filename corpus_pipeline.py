@@ -20,8 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keeps the smallest id of each group of near-duplicates: shingles of five words, similarity 0.8 or more."""
+    return simhash.keep_one(docs, similarity=0.8, shingle_words=5)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,10 @@ second differs in at most one bit. A segment is decoded to a codeword of the per
 Each fingerprint is stored under (equal segment, index of its own codeword) and looks up (equal segment,
 index of every codeword that it or one of its one-bit neighbours decodes to), so no linked pair is missed;
 pairs that meet are verified by their Hamming distance.
+
+Texts that share four fifths of their shingles differ in ten bits on average, and keys that are complete for so many
+would bring a fixed share of all pairs together. ``similar_texts`` therefore takes more keys from the same shingle
+hashes, bands of minima, and verifies all that meet on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ from panelkit.llm._graph import components
 GENERATOR = 0b110001110101
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 _CHUNK = 1 << 16
+#: Keys of a text from minima of its shingle hashes, and minima in each: a pair of similarity 0.8 meets in none with
+#: probability (1 - 0.8 ** 4) ** 16 = 0.0002.
+BANDS, BAND_ROWS = 16, 4
 
 
 def _parity(info: np.ndarray) -> np.ndarray:
@@ -87,6 +94,70 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fp
     return docs.withColumn(out_col, simhash(F.col(text_col)))
 
 
+def shingles(text: str | None, shingle_words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; none for no words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    k = min(shingle_words, len(words))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(x), 42) for x in zip(*(words[i:] for i in range(k)), strict=False)], dtype=np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band; texts without shingles share all of theirs."""
+    rng = np.random.default_rng(5)
+    factors = rng.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+    offsets = rng.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64)
+    minima = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        mixed = (hashes[at : at + 4096, None] ^ offsets) * factors
+        np.minimum(minima, (mixed ^ mixed >> np.uint64(32)).min(axis=0), out=minima)
+    rows = minima.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], dtype=np.uint64).view(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches ``similarity``; two empty sets are the same."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
+
+
+def clusters(texts: list[str | None], keys: list, shingle_words: int, similarity: float) -> list[int]:
+    """For each text the place of the first one that it is linked to; links are similar texts with a key in common."""
+    sets = [shingles(t, shingle_words) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    met: dict[int, list[list[int]]] = {}
+    for i, own in enumerate(keys):
+        tried: set[int] = set()
+
+        def alike(j: int, i: int = i, tried: set[int] = tried) -> bool:
+            if j in tried:
+                return False
+            tried.add(j)
+            return similar(sets[i], sets[j], similarity)
+
+        for key in own:
+            groups = met.setdefault(key, [])
+            for group in groups:
+                if find(group[0]) != find(i) and any(alike(j) for j in group):
+                    a, b = find(group[0]), find(i)
+                    root[max(a, b)] = min(a, b)
+            mine = next((g for g in groups if find(g[0]) == find(i)), None)
+            if mine is None:
+                groups.append([i])
+            else:
+                mine.append(i)
+    return [find(i) for i in range(len(sets))]
+
+
 def _keys(values: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): the keys under which fingerprints are stored, or those that they look up."""
     code, words = golay(), values.view(np.uint64)
@@ -143,9 +214,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), "k1", "k2", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input's columns with one row of each component: the smallest id, repeated rows taken once."""
-    found = near_duplicates(docs, id_col, text_col, **options).withColumn("group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), "fp")))
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, max_bits: int = 2, shingle_words: int = 5) -> DataFrame:
+    """Like ``near_duplicates``, with links between texts whose sets of shingles have that Jaccard similarity or more.
+
+    Texts meet under the keys of their bands or by fingerprints within ``max_bits``, and all that meet are verified.
+    Texts that are connected by keys are compared in one task, in which each text is held once.
+    """
+
+    @F.pandas_udf("fp long, keys array<long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        fps = np.array([fingerprint(t, shingle_words) for t in texts], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"fp": fps, "keys": [band_keys(shingles(t, shingle_words)) for t in texts]})
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["k1", "k2"], ignore_index=True)
+        first = clusters(list(pdf["text"]), list(pdf["keys"]), shingle_words, similarity)
+        return pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "r1": pdf["k1"].to_numpy()[first], "r2": pdf["k2"].to_numpy()[first]})
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), *text_key(text))
+    ids = cut(rows.select("id", "k1", "k2", sketch("text").alias("s")).select("id", "k1", "k2", "s.fp", "s.keys"))
+    texts = ids.groupBy("k1", "k2").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    classes = components(linked_fingerprints(ids.select("fp").distinct(), max_bits)).select(F.col("node").alias("fp"), "root")
+    texts = texts.join(classes, "fp", "left").withColumn("keys", F.array_append("keys", F.coalesce("root", "fp")))
+    texts = cut(texts.select("k1", "k2", "keys"))
+    places = texts.select(F.col("k1").alias("b"), F.posexplode("keys").alias("at", "key"))
+    hubs = places.groupBy("at", "key").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a <> last").drop("last")
+    met = components(places.join(hubs, ["at", "key"]).select("a", "b")).select(F.col("node").alias("k1"), F.col("root").alias("met"))
+    met = cut(texts.join(met, "k1"))
+    known = rows.select("text", "k1", "k2").join(met.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    found = cut(known.join(met, ["k1", "k2"]).groupBy("met").applyInPandas(verify, "k1 long, k2 long, r1 long, r2 long"))
+    ids = ids.drop("keys").join(found, ["k1", "k2"], "left").withColumns({"r1": F.coalesce("r1", "k1"), "r2": F.coalesce("r2", "k2")})
+    least = ids.groupBy("r1", "r2").agg(F.min("id").alias("component_id"))
+    return ids.join(least, ["r1", "r2"]).select(F.col("id").alias(id_col), "k1", "k2", F.concat_ws(" ", "r1", "r2").alias("fp"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:
+    """The input's columns with one row of each component: the smallest id, repeated rows taken once.
+
+    Links are those of ``near_duplicates``, or those of ``similar_texts`` where a similarity is given.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options) if similarity is None else similar_texts(docs, id_col, text_col, similarity, **options)
+    found = found.withColumn("group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), "fp")))
     won = found.groupBy("group").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "k1", "k2")).alias("w"))
     won = cut(won.select(F.col("w.id").alias("w_id"), F.col("w.k1").alias("w_k1"), F.col("w.k2").alias("w_k2")))
     k1, k2 = text_key(F.col(text_col).cast("string"))

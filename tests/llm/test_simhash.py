@@ -78,3 +78,50 @@ def test_keep_one_and_empty(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 2), (False, 7), (True, None)]
     none = spark.createDataFrame([], schema)
     assert simhash.keep_one(none).count() == 0 and simhash.near_duplicates(none).count() == 0
+
+
+def near_copies():
+    """Word texts with copies at similarities around 0.8, as (id, text)."""
+    rng = random.Random(8)
+    rows = []
+    for n, edits in [(300, 2), (300, 4), (300, 6), (300, 12), (1000, 5), (1000, 20), (1000, 40), (20, 1), (8, 1)] * 3:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for _ in range(3):
+            copy = list(base)
+            for at in rng.sample(range(n), edits):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+        rows.append(" ".join(base))
+    rows += ["", None, " ", "one two", "One  two", "one three"]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def jaccard_roots(rows):
+    grams = []
+    for _, t in rows:
+        words = (t or "").lower().split()
+        grams.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        union = len(grams[i] | grams[j])
+        if not union or 5 * len(grams[i] & grams[j]) >= 4 * union:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return {rows[i][0] for i in range(len(rows)) if find(i) == i}
+
+
+def test_stage_keeps_one_of_similar_texts(spark):
+    import corpus_pipeline
+
+    rows = near_copies()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()}
+    assert kept == jaccard_roots(rows)
+    assert corpus_pipeline.simhash_near_dedup(spark, df.limit(0), "").count() == 0
