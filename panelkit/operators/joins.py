@@ -1,38 +1,219 @@
-"""Joins with contracts, as of a time, and between mirrored rows."""
+"""Joins with contracts, as of a time, inside windows, and between mirrored rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkit.operators._names import refuse, spare
+
+
+def _known(columns: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns], F.lit(True))
+
+
+def micros(at: Column) -> Column:
+    """A date or time as microseconds."""
+    return F.unix_micros(at.cast("timestamp"))
+
+
+def join_validated(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", validate: str = "m:1") -> DataFrame:
+    """Equi join on columns of the same names that raises where a side declared as 1 repeats a key.
+
+    The check is one count for each declared side and ignores keys with a null, which join with nothing.
+    """
+    for side, df, kind in zip(("left", "right"), (left, right), validate.split(":"), strict=True):
+        if kind == "1" and df.where(_known(on)).groupBy(*on).count().where("count > 1").limit(1).count():
+            raise ValueError(f"{validate}: the {side} side repeats a key of {on}")
+    return left.join(right, on, how)
+
+
+def semi(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left rows with a right row of the same key (EXISTS, IN); null keys have none."""
+    return left.join(right.select(*on), on, "left_semi")
+
+
+def anti(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left rows without a right row of the same key (NOT EXISTS); rows with null keys stay."""
+    return left.join(right.select(*on), on, "left_anti")
+
+
+def not_in(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """SQL's NOT IN: as ``anti``, but nothing stays where the right side holds a null, nor null keys where it has rows."""
+    state = right.agg(F.count("*").alias("n"), F.count(F.when(F.col(on).isNull(), 1)).alias("nulls"))
+    kept = anti(left, right, [on]).join(F.broadcast(state))
+    return kept.where((F.col("nulls") == 0) & (F.col(on).isNotNull() | (F.col("n") == 0))).select(*left.columns)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], how: str = "inner") -> DataFrame:
+    """Join in which nulls are equal (IS NOT DISTINCT FROM); key columns of both sides stay, so their names must differ."""
+    refuse(left, *right.columns)
+    same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in on])
+    return left.join(right, same, how)
+
+
+def distinct_from(a: Column, b: Column) -> Column:
+    return ~a.eqNullSafe(b)
+
+
+def cross_grid(*dims: DataFrame) -> DataFrame:
+    """All combinations of the rows of small dimensions."""
+    return reduce(lambda a, b: a.crossJoin(b), dims)
+
+
+def complete(df: DataFrame, by: list[str], grid: DataFrame, fill: dict | None = None) -> DataFrame:
+    """The grid's rows with the columns of ``df`` (one row or more each); cells without a row get ``fill`` or nulls."""
+    out = grid.join(df, by, "left")
+    return out.fillna(fill) if fill else out
+
 
 def join_asof_backward(left: DataFrame, right: DataFrame, by: list[str], time: str, right_time: str, values: list[str]) -> DataFrame:
     """Latest right row at or before the left time, with values null where there is none; equal right times: the largest values.
 
-    Both sides are stacked and carried forward in one shuffle on ``by``, so no pairs are made.
+    Adds ``matched_<right_time>`` and the values; a left column of one of these names raises. Rows with a null key or time
+    match nothing. Both sides are stacked and carried forward in one shuffle on ``by``, so no pairs are made.
     """
-    payload = F.struct(F.col(right_time).alias("t"), *values)
-    l = left.select("*", F.col(time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_p"))
-    r = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), payload.alias("_p"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side", "_p").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r, allowMissingColumns=True).withColumn("_hit", F.last("_p", ignorenulls=True).over(w))
-    return both.where("_side = 1").select(*left.columns, F.col("_hit.t").alias(f"matched_{right_time}"), *[F.col(f"_hit.{v}").alias(v) for v in values])
+    refuse(left, f"matched_{right_time}", *values)
+    t, side, p, hit = spare(left, "t", "side", "p", "hit")
+    payload = F.struct(F.col(right_time).alias("t"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    usable = right.where(_known([*by, right_time]))
+    kind = usable.select(payload.alias("p")).schema["p"].dataType
+    l = left.select("*", F.col(time).alias(t), F.lit(1).alias(side), F.lit(None).cast(kind).alias(p))
+    r = usable.select(*by, F.col(right_time).alias(t), F.lit(0).alias(side), payload.alias(p))
+    w = Window.partitionBy(*by).orderBy(t, side, p).rowsBetween(Window.unboundedPreceding, 0)
+    both = l.unionByName(r, allowMissingColumns=True).withColumn(hit, F.last(p, ignorenulls=True).over(w))
+    found = F.when(_known([*by, time]), F.col(hit))
+    return both.where(F.col(side) == 1).select(*left.columns, found["t"].alias(f"matched_{right_time}"), *[found[f"v{i}"].alias(v) for i, v in enumerate(values)])
 
 
 def join_mirror_self(df: DataFrame, key: str, side: str, values: list[str]) -> DataFrame:
-    """Adds ``opp_`` columns from the other row of the same key; keys hold the sides 0 and 1."""
+    """Adds ``opp_`` columns from the other row of the same key; keys hold the sides 0 and 1.
+
+    They are null where the key is null, or the other side is absent or held by several rows.
+    """
     w = Window.partitionBy(key)
-    return df.select("*", *[F.max(F.when(F.col(side) == s, F.col(v))).over(w).alias(f"_{v}{s}") for v in values for s in (0, 1)]).select(
-        *df.columns, *[F.when(F.col(side) == 0, F.col(f"_{v}1")).otherwise(F.col(f"_{v}0")).alias(f"opp_{v}") for v in values]
-    )
+    names = spare(df, *[f"{v}{s}" for v in values for s in (0, 1)], "n0", "n1")
+    cells = [F.max(F.when(F.col(side) == s, F.col(v))).over(w) for v in values for s in (0, 1)]
+    cells += [F.count(F.when(F.col(side) == s, 1)).over(w) for s in (0, 1)]
+    out = df.select("*", *[c.alias(n) for c, n in zip(cells, names, strict=True)])
+
+    def other(i: int) -> Column:
+        zero = F.when(F.col(names[-2]) == 1, F.col(names[2 * i]))
+        one = F.when(F.col(names[-1]) == 1, F.col(names[2 * i + 1]))
+        return F.when(F.col(key).isNotNull(), F.when(F.col(side) == 0, one).when(F.col(side) == 1, zero))
+
+    return out.select(*df.columns, *[other(i).alias(f"opp_{v}") for i, v in enumerate(values)])
 
 
 def unique_both_sides(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Distinct pairs in which neither id stands in another pair."""
-    p = pairs.distinct()
-    counted = p.withColumn("_na", F.count("*").over(Window.partitionBy(a))).withColumn("_nb", F.count("*").over(Window.partitionBy(b)))
-    return counted.where("_na = 1 AND _nb = 1").drop("_na", "_nb")
+    """Distinct pairs in which neither id stands in another pair; pairs with a null id are left out."""
+    p = pairs.where(_known([a, b])).distinct()
+    na, nb = spare(p, "na", "nb")
+    counted = p.withColumn(na, F.count("*").over(Window.partitionBy(a))).withColumn(nb, F.count("*").over(Window.partitionBy(b)))
+    return counted.where((F.col(na) == 1) & (F.col(nb) == 1)).drop(na, nb)
+
+
+def asof_revision_in_force(revisions: DataFrame, targets: DataFrame, by: str, time: str, revision: str, content: str, valid: str, target: str, revert_days: float = 3, fallback_days: float = 30, look_back: int = 24) -> DataFrame:
+    """For each target the revision in force: revision id, its time, skipped_revert, fell_back; nulls before the first one.
+
+    The revision at or before the target is passed over where the next one restores the content of an earlier one of the
+    last ``look_back``, in ``revert_days`` of the first edit after that. One that isn't valid gives way to the
+    latest earlier valid one that is at most ``fallback_days`` old at the target. Ties of time go by revision id.
+    """
+    w = Window.partitionBy(by).orderBy(time, revision)
+    own = F.struct(F.col(time).alias("t"), F.col(revision).alias("id"), F.col(valid).alias("ok"))
+    rows = revisions.where(_known([by, time])).select(by, time, revision, content, own.alias("own"))
+    rows = rows.withColumn("good", F.last(F.when(F.col("own.ok"), F.struct("own.t", "own.id")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    full = F.struct(F.col("own.t").alias("t"), F.col("own.id").alias("id"), F.col("own.ok").alias("ok"), F.col("good").alias("good"), F.col(content).alias("content"))
+    rows = rows.withColumn("full", full).withColumn("before", F.collect_list("full").over(w.rowsBetween(-look_back, -1)))
+    rows = rows.withColumns({"next_content": F.lead(content).over(w), "next_t": F.lead(time).over(w)})
+    rows = rows.withColumn("k", F.expr("array_max(transform(before, (x, i) -> if(x.content = next_content, i, null)))"))
+    after = F.coalesce(F.expr("try_element_at(before, cast(k + 2 as int))")["t"], F.col(time))
+    span = (micros(F.col("next_t")) - micros(after)) / 86400e6
+    undone = F.coalesce(span <= revert_days, F.lit(False))
+    picked = F.when(undone, F.expr("try_element_at(before, cast(k + 1 as int))")).otherwise(F.col("full"))
+    rows = rows.select(by, time, F.col("own.id").alias("order"), picked.alias("pick"), undone.cast("int").alias("skipped_revert"))
+    rows = rows.select(by, time, F.struct("order", "pick.t", "pick.id", "pick.ok", F.col("pick.good").alias("good"), "skipped_revert").alias("found"))
+    hit = join_asof_backward(targets, rows, [by], target, time, ["found"])
+    age = (micros(F.col(target)) - micros(F.col("found.good.t"))) / 86400e6
+    back = ~F.col("found.ok") & F.coalesce(age <= fallback_days, F.lit(False))
+    use = F.when(back, F.col("found.good")).otherwise(F.struct("found.t", "found.id"))
+    return hit.select(*targets.columns, use["id"].alias(revision), use["t"].alias(time), F.col("found.skipped_revert").alias("skipped_revert"), back.cast("int").alias("fell_back"))
 
 
-def anti(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    return left.join(right.select(on).distinct(), on, "left_anti")
+def assign_period_snapshot(facts: DataFrame, snapshots: DataFrame, by: list[str], time: str, cut: str, values: list[str]) -> DataFrame:
+    """The snapshot whose stretch, from its cut to before the next one, holds the fact; null before the first. Never a later one."""
+    return join_asof_backward(facts, snapshots, by, time, cut, values)
+
+
+def join_effective_range(rows: DataFrame, contracts: DataFrame, by: list[str], period: str, signed: str, sequence: str, values: list[str]) -> DataFrame:
+    """The governing contract of a period: latest signed at or before it, ties by the later sequence; the values and its ``signed``."""
+    last = contracts.where(_known([*by, signed])).groupBy(*by, signed).agg(F.max_by(F.struct(*values), F.struct(sequence, *values)).alias("_governs"))
+    hit = join_asof_backward(rows, last, by, period, signed, ["_governs"])
+    return hit.select(*rows.columns, F.col(f"matched_{signed}").alias(signed), *[F.col(f"_governs.{v}").alias(v) for v in values])
+
+
+def pick_in_window(windows: DataFrame, candidates: DataFrame, by: list[str], date: str, lower: str, upper: str, kind: str, strong: str, quote: str) -> DataFrame:
+    """For each window, candidates with date in (lower, upper]: the earliest of the strong kind, else of any; the latest where lower is null.
+
+    Adds picked_date, picked_kind, n_dates (different dates) and quote (of the pick, ties by text). Windows without a
+    candidate keep nulls and 0.
+    """
+    w = windows.withColumn("_row", F.struct(*windows.columns))
+    c = candidates.select(*[F.col(x).alias(f"_b{i}") for i, x in enumerate(by)], F.col(date).alias("_d"), F.col(kind).alias("_kind"), F.col(quote).alias("_q"))
+    same = reduce(lambda a, b: a & b, [F.col(x) == F.col(f"_b{i}") for i, x in enumerate(by)])
+    inside = (F.col("_d") <= F.col(upper)) & (F.col(lower).isNull() | (F.col("_d") > F.col(lower)))
+    far = F.when(F.col("_row")[lower].isNull(), -micros(F.col("_d"))).otherwise(micros(F.col("_d")))
+    order = F.when(F.col("_d").isNotNull(), F.struct((F.col("_kind") != strong).alias("weak"), far.alias("far"), F.col("_q").alias("q"), F.col("_kind").alias("k"), F.col("_d").alias("d")))
+    best = w.join(c, same & inside, "left").groupBy("_row").agg(F.min(order).alias("_best"), F.countDistinct("_d").alias("n_dates"))
+    return best.select("_row.*", F.col("_best.d").alias("picked_date"), F.col("_best.k").alias("picked_kind"), "n_dates", F.col("_best.q").alias("quote"))
+
+
+def cascade_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rules: list[tuple[str, list[tuple[str, str]]]]) -> DataFrame:
+    """(left_id, right_id, method): ordered rules of (name, [(left column, right column)]); a later rule sees only what is unlinked on both sides.
+
+    A rule links a pair only where neither id meets another under it. Both ids must be keys of their frames.
+    """
+    links = None
+    for name, on in rules:
+        a = left.select(F.col(left_id).alias("_a"), *[F.col(x).alias(f"_k{i}") for i, (x, _) in enumerate(on)])
+        b = right.select(F.col(right_id).alias("_b"), *[F.col(y).alias(f"_k{i}") for i, (_, y) in enumerate(on)])
+        if links is not None:
+            a, b = anti(a, links, ["_a"]), anti(b, links, ["_b"])
+        keys = [f"_k{i}" for i in range(len(on))]
+        alone = [x.where(_known(keys)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n = 1").drop("_n") for x in (a, b)]
+        found = alone[0].join(alone[1], keys).select("_a", "_b", F.lit(name).alias("method"))
+        links = found if links is None else links.union(found)
+    return links.select(F.col("_a").alias(left_id), F.col("_b").alias(right_id), "method")
+
+
+def pair_kth_duplicate(a: DataFrame, b: DataFrame, a_id: str, b_id: str, passes: list[tuple[str, list[str]]]) -> DataFrame:
+    """(a_id, b_id, method): rows of equal terms are paired in order of their ids, k-th with k-th; later passes take what is left on weaker terms.
+
+    Rows with a null term are left out of that pass. Each pass is one numbering a side and one join.
+    """
+    out = None
+    for name, keys in passes:
+        sides = []
+        for df, own in ((a, a_id), (b, b_id)):
+            left = df if out is None else anti(df, out, [own])
+            numbered = left.where(_known(keys)).select(F.col(own), *keys, F.row_number().over(Window.partitionBy(*keys).orderBy(own)).alias("_k"))
+            sides.append(numbered)
+        found = sides[0].join(sides[1], [*keys, "_k"]).select(a_id, b_id, F.lit(name).alias("method"))
+        out = found if out is None else out.union(found)
+    return out
+
+
+def resolve_shared_link(links: DataFrame, row: str, linked: str, scores: list[tuple[str, bool]]) -> DataFrame:
+    """Of the rows linked to one id only the best by (score, descending) keeps the link; if the best two tie, none does.
+
+    Rows that lose get a null link; nulls score worst; rows without a link, and ids with one row, stay as they are.
+    """
+    place, tied = spare(links, "place", "tied")
+    order = [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in scores]
+    out = links.withColumn(place, F.rank().over(Window.partitionBy(linked).orderBy(*order)))
+    out = out.withColumn(tied, F.count("*").over(Window.partitionBy(linked, place)))
+    keep = (F.col(place) == 1) & (F.col(tied) == 1)
+    return out.select(*[F.when(keep, F.col(linked)).alias(c) if c == linked else F.col(c) for c in links.columns])

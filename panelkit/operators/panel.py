@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkit.operators._names import refuse, spare
+
 
 def lag_consecutive(df: DataFrame, by: list[str], time: str, value: str, out: str, n: int = 1) -> DataFrame:
     """Value of the same unit exactly n periods before (after, for negative n); null where that period is absent.
@@ -22,16 +24,14 @@ def lag_consecutive(df: DataFrame, by: list[str], time: str, value: str, out: st
     return df.withColumn(out, found)
 
 
-def change_flags(df: DataFrame, by: list[str], time: str, holder: str) -> DataFrame:
+def change_flags(df: DataFrame, by: list[str], time: str, holder: str, order: str) -> DataFrame:
     """Holders per unit and period, whether they changed within it, and against the last of the period before.
 
-    Input: one row per (unit, period, seq) with ``seq`` giving the order; null holders are passed over.
+    ``order`` gives the order of rows in a period; null holders are passed over. changed_before is null where the period
+    before isn't there.
     """
-    per = df.groupBy(*by, time).agg(
-        F.countDistinct(holder).alias("n_holders"),
-        F.min_by(holder, F.when(F.col(holder).isNotNull(), F.col("seq"))).alias("first_holder"),
-        F.max_by(holder, F.when(F.col(holder).isNotNull(), F.col("seq"))).alias("last_holder"),
-    )
+    at = F.when(F.col(holder).isNotNull(), F.col(order))
+    per = df.groupBy(*by, time).agg(F.countDistinct(holder).alias("n_holders"), F.min_by(holder, at).alias("first_holder"), F.max_by(holder, at).alias("last_holder"))
     out = lag_consecutive(per, by, time, "last_holder", "previous_holder")
     return out.withColumn("changed_within", (F.col("n_holders") > 1).cast("int")).withColumn(
         "changed_before", (F.col("first_holder") != F.col("previous_holder")).cast("int")
@@ -39,12 +39,17 @@ def change_flags(df: DataFrame, by: list[str], time: str, holder: str) -> DataFr
 
 
 def runs_islands(df: DataFrame, by: list[str], time: str, first_observed: Column | None = None) -> DataFrame:
-    """Runs of consecutive periods: run_id (from 1), position (from 1), left_censored when a run starts the data."""
+    """Runs of consecutive periods: run_id (from 1), position (from 1), left_censored when a run starts the data.
+
+    (by, time) is a key. Columns of these names raise.
+    """
+    refuse(df, "run_id", "position", *(["left_censored"] if first_observed is not None else []))
+    (new,) = spare(df, "new")
     w = Window.partitionBy(*by).orderBy(time)
     starts = F.coalesce(F.col(time) - F.lag(time).over(w) != 1, F.lit(True)).cast("int")
-    out = df.withColumn("_start", starts).withColumn("run_id", F.sum("_start").over(w))
+    out = df.withColumn(new, starts).withColumn("run_id", F.sum(new).over(w))
     run = Window.partitionBy(*by, "run_id").orderBy(time)
-    out = out.withColumn("position", F.row_number().over(run)).drop("_start")
+    out = out.withColumn("position", F.row_number().over(run)).drop(new)
     if first_observed is None:
         return out
     return out.withColumn("left_censored", (F.col(time) - F.col("position") + 1 == first_observed).cast("int"))
@@ -58,40 +63,54 @@ def format_spans(df: DataFrame, by: list[str], time: str, out: str = "spans") ->
     return listed.select(*by, F.array_join("_l.t", ", ").alias(out))
 
 
-def dedupe_priority(df: DataFrame, key: list[str], order: list) -> DataFrame:
-    """The first row of each key in the order given, with the number of rows of the key as n_candidates."""
-    w = Window.partitionBy(*key)
-    out = df.withColumn("n_candidates", F.count("*").over(w)).withColumn("_rn", F.row_number().over(w.orderBy(*order)))
-    return out.where("_rn = 1").drop("_rn")
+def dedupe_priority(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """The row of smallest ``order`` of each key, with the number of rows of the key as n_candidates; equal orders: any one of them.
+
+    One aggregate that combines on the map side, so a key with very many rows is no window.
+    """
+    refuse(df, "n_candidates")
+    rest = [c for c in df.columns if c not in key]
+    best = F.min_by(F.struct(*rest), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    out = df.groupBy(*key).agg(best.alias("_row"), F.count("*").alias("n_candidates"))
+    return out.select(*[f"_row.{c}" if c in rest else c for c in df.columns], "n_candidates")
 
 
 def count_spells(df: DataFrame, by: list[str], time: str, owner: str, excused: str) -> DataFrame:
     """Spells per unit: a new owner or a gap starts one, but a gap of one period with ``excused`` set on the row after it doesn't."""
+    (new,) = spare(df, "new")
     w = Window.partitionBy(*by).orderBy(time)
     gap, same = F.col(time) - F.lag(time).over(w), F.col(owner).eqNullSafe(F.lag(owner).over(w))
     goes_on = same & ((gap == 1) | ((gap == 2) & F.col(excused)))
-    return df.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).groupBy(*by).agg(F.sum("_new").alias("n_spells"), F.count("*").alias("n_periods"))
+    return df.withColumn(new, (~F.coalesce(goes_on, F.lit(False))).cast("int")).groupBy(*by).agg(F.sum(new).alias("n_spells"), F.count("*").alias("n_periods"))
 
 
 def next_period_outcome(df: DataFrame, by: list[str], time: str, last_observed: int, out: str, k: int = 1) -> DataFrame:
     """1 if the unit is there k periods later, 0 if not, null where period t+k isn't observed at all."""
-    there = lag_consecutive(df, by, time, time, "_next", -k)
+    (nxt,) = spare(df, "next")
+    there = lag_consecutive(df, by, time, time, nxt, -k)
     known = F.col(time) + k <= last_observed
-    return there.withColumn(out, F.when(known, F.col("_next").isNotNull().cast("int"))).drop("_next")
+    return there.withColumn(out, F.when(known, F.col(nxt).isNotNull().cast("int"))).drop(nxt)
 
 
 def first_event_hazard(df: DataFrame, by: list[str], time: str, event: Column) -> DataFrame:
-    """First period with the event per unit; before, at_risk (not yet hit when the period starts) and event_now."""
-    w = Window.partitionBy(*by)
-    out = df.withColumn("first_event", F.min(F.when(event, F.col(time))).over(w))
+    """First period with the event per unit; before, at_risk (not yet hit when the period starts) and event_now.
+
+    The first events are one small aggregate that joins back; units with a null key have none.
+    """
+    refuse(df, "first_event", "at_risk", "before", "event_now")
+    first = df.groupBy(*by).agg(F.min(F.when(event, F.col(time))).alias("first_event")).where("first_event IS NOT NULL")
     hit = F.col("first_event")
-    return out.withColumn("at_risk", F.coalesce(F.col(time) <= hit, F.lit(True)).cast("int")).withColumn(
-        "before", F.coalesce(F.col(time) < hit, F.lit(True)).cast("int")
-    ).withColumn("event_now", F.coalesce(F.col(time) == hit, F.lit(False)).cast("int"))
+    out = df.join(first, by, "left").select(*df.columns, "first_event")
+    return out.withColumns({
+        "at_risk": F.coalesce(F.col(time) <= hit, F.lit(True)).cast("int"),
+        "before": F.coalesce(F.col(time) < hit, F.lit(True)).cast("int"),
+        "event_now": F.coalesce(F.col(time) == hit, F.lit(False)).cast("int"),
+    })
 
 
 def career_to_date(df: DataFrame, by: list[str], time: str, values: list[str]) -> DataFrame:
-    """Sums over strictly earlier periods, null where none is recorded."""
+    """Sums over strictly earlier periods as ``<value>_before``, null where none is recorded."""
+    refuse(df, *[f"{v}_before" for v in values])
     w = Window.partitionBy(*by).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
     for v in values:
         df = df.withColumn(f"{v}_before", F.sum(v).over(w))
@@ -105,17 +124,19 @@ def prior_count(df: DataFrame, by: list[str], time: str, out: str = "n_prior") -
 
 
 def expand_spans(df: DataFrame, start: str, end: str, lo: int, hi: int, out: str) -> DataFrame:
-    """One row per period from start to end (null: open) inside [lo, hi]; spans outside give none."""
+    """One row per period from start to end (null: open) inside [lo, hi]; spans outside, and those with a null start, give none."""
     a = F.greatest(F.col(start), F.lit(lo))
     b = F.least(F.coalesce(F.col(end), F.lit(hi)), F.lit(hi))
-    return df.where(a <= b).withColumn(out, F.explode(F.sequence(a, b)))
+    return df.where(F.col(start).isNotNull() & (a <= b)).withColumn(out, F.explode(F.sequence(a, b)))
 
 
 def adjacent_change(df: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
     """First differences between events of consecutive order; null otherwise."""
-    for v in values:
-        df = lag_consecutive(df, by, order, v, f"_b_{v}")
-    return df.select("*", *[(F.col(v) - F.col(f"_b_{v}")).alias(f"d_{v}") for v in values]).drop(*[f"_b_{v}" for v in values])
+    refuse(df, *[f"d_{v}" for v in values])
+    names, out = spare(df, *values), df
+    for v, n in zip(values, names, strict=True):
+        out = lag_consecutive(out, by, order, v, n)
+    return out.select(*df.columns, *[(F.col(v) - F.col(n)).alias(f"d_{v}") for v, n in zip(values, names, strict=True)])
 
 
 def collapse_roles(df: DataFrame, key: list[str], role: str, rank: Column, flags: dict[str, Column]) -> DataFrame:

@@ -35,6 +35,27 @@ def assert_references(child: DataFrame, parent: DataFrame, on: list[tuple[str, s
     return out.withColumn("share_found", share).withColumn("ok", F.coalesce(share >= floor, F.lit(True)))
 
 
+def assert_mapped(df: DataFrame, codes: dict[str, DataFrame], floor: float = 1.0) -> DataFrame:
+    """One row per code column: distinct codes, those that its dimension (one column) lacks, the share of rows mapped, ok.
+
+    Rows with a null code don't count.
+    """
+    out = None
+    for column, dim in codes.items():
+        known = dim.toDF("_code").distinct().withColumn("_known", F.lit(True))
+        counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_code")).agg(F.count("*").alias("_n")).join(known, "_code", "left")
+        row = counts.agg(F.lit(column).alias("column_name"), F.count("*").alias("n_codes"), F.count(F.when(F.col("_known").isNull(), 1)).alias("n_unmapped"), F.try_divide(F.sum(F.when(F.col("_known"), F.col("_n")).otherwise(0)), F.sum("_n")).alias("share_mapped"))
+        row = row.withColumn("ok", F.coalesce(F.col("share_mapped") >= floor, F.lit(True)))
+        out = row if out is None else out.union(row)
+    return out
+
+
+def sums_to_one(columns: list[str], tolerance: float = 1e-6) -> Column:
+    """A rule for ``assert_ranges``: probabilities in [0, 1] that sum to 1."""
+    total = reduce(lambda a, b: a + b, [F.col(c) for c in columns])
+    return reduce(lambda a, b: a & b, [F.col(c).between(0, 1) for c in columns], F.abs(total - 1) <= tolerance)
+
+
 def assert_window_complete(df: DataFrame, period: str, first: int, last: int, columns: list[str]) -> DataFrame:
     """One row per expected period: rows, null shares of columns, severity (CRITICAL when the period is missing)."""
     spark = df.sparkSession
@@ -60,6 +81,22 @@ def assert_no_lookahead(df: DataFrame, known: str, cutoff: str, fact: str) -> Da
     )
 
 
+def assert_provenance(roles: DataFrame, sources: DataFrame, on: list[str], known: str, cutoff: str) -> DataFrame:
+    """Opening roles: those without a source row, and those whose earliest source is later than the cutoff."""
+    first = sources.groupBy(*on).agg(F.min(known).alias("_known"))
+    rows = roles.join(first, on, "left")
+    return rows.agg(F.count("*").alias("n_rows"), F.count(F.when(F.col("_known").isNull(), 1)).alias("n_without_source"), F.count(F.when(F.col("_known") > F.col(cutoff), 1)).alias("n_source_too_late"))
+
+
+def assert_recount(stored: DataFrame, recount: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Stored totals against an independent recount: keys on one side only, keys that differ, and the largest gap."""
+    a, b = stored.select(*key, F.col(value).alias("_a")), recount.select(*key, F.col(value).alias("_b"))
+    both = a.join(b, key, "full_outer")
+    return both.agg(
+        F.count("*").alias("n_keys"), F.count(F.when(F.col("_a").isNull() | F.col("_b").isNull(), 1)).alias("n_one_side"), F.count(F.when(F.col("_a") != F.col("_b"), 1)).alias("n_differ"), F.coalesce(F.max(F.abs(F.col("_a") - F.col("_b"))), F.lit(0)).alias("max_gap")
+    )
+
+
 def assert_lag_identity(df: DataFrame, by: list[str], time: str, value: str, stored: str) -> DataFrame:
     """Compares a stored lag with the same unit's value in exactly the period before."""
     before = df.select(*by, (F.col(time) + 1).alias(time), F.col(value).alias("_before"))

@@ -1,3 +1,3 @@
 """Registered queries, by family."""
 
-from panelkit.plans import invariants, relations, temporal  # noqa: F401
+from panelkit.plans import aggregates, columns, estimates, invariants, joining, latents, relations, scans, spells, temporal, texts  # noqa: F401

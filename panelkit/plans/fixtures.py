@@ -28,8 +28,9 @@ SQL = {
 
 
 def with_fixtures(body: str, *names: str) -> str:
-    """SQL text with the named fixtures in front as common table expressions."""
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + "\n" + body
+    """SQL text with the named fixtures in front as common table expressions; the text may have more of them."""
+    ours = "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names)
+    return f"{ours},\n{body[5:]}" if body.startswith("WITH ") else f"{ours}\n{body}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,65 +1,43 @@
-"""Queries of joins, aggregates and quality jobs."""
+"""Queries of key and reference checks, on rows with planted faults."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelkit.operators import joins, quality
+from panelkit.operators import quality
 from panelkit.plans import fixtures as fx
 from panelkit.registry import query
 
 t = fx.table
 
 
-@query("join_asof_backward", """SELECT o.o_orderkey, (SELECT max(p.o_orderdate) FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderstatus = 'F' AND p.o_orderdate <= o.o_orderdate) AS matched_f_date FROM orders o""")
+@query("assert_unique_key", """WITH r AS (SELECT CASE WHEN l_tax > 0 THEN l_orderkey END AS k, l_linenumber AS n FROM lineitem), c AS (SELECT k, n, count(*) AS m FROM r GROUP BY 1, 2)
+SELECT CAST(sum(m) AS BIGINT) AS n_rows, CAST(sum(CASE WHEN k IS NULL THEN m ELSE 0 END) AS BIGINT) AS n_null_keys, count(*) FILTER (k IS NOT NULL AND m > 1) AS n_repeated_keys FROM c""")
 def _(spark, d):
-    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
-    r = o.where("o_orderstatus = 'F'").select("o_custkey", F.col("o_orderdate").alias("f_date"))
-    return joins.join_asof_backward(o, r, ["o_custkey"], "o_orderdate", "f_date", []).select("o_orderkey", "matched_f_date")
+    """Lines whose order is hidden where no tax is due."""
+    rows = t(spark, d, "lineitem").select(F.when(F.col("l_tax") > 0, F.col("l_orderkey")).alias("k"), F.col("l_linenumber").alias("n"))
+    return quality.assert_unique_key(rows, ["k", "n"])
 
 
-@query("join_mirror_self", fx.with_fixtures("SELECT a.*, b.l_suppkey AS opp_l_suppkey FROM fx_mirror a JOIN fx_mirror b ON a.l_orderkey = b.l_orderkey AND a.side <> b.side", "fx_mirror"))
+@query("assert_references", """WITH c AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN -1 - o_custkey ELSE o_custkey END AS k FROM orders WHERE o_totalprice < 150000), p AS (SELECT c_custkey FROM customer WHERE c_custkey % 7 > 0)
+SELECT count(*) AS n_child, count(*) FILTER (k IN (SELECT c_custkey FROM p)) AS n_found, (SELECT count(*) FROM p WHERE c_custkey NOT IN (SELECT k FROM c)) AS n_parents_without_child, count(*) FILTER (k IN (SELECT c_custkey FROM p)) / count(*) AS share_found, count(*) FILTER (k IN (SELECT c_custkey FROM p)) / count(*) >= 0.9 AS ok FROM c""")
 def _(spark, d):
-    return joins.join_mirror_self(fx.mirror(spark, d), "l_orderkey", "side", ["l_suppkey"])
+    """Some orders name customers that are not there, and some customers are taken out."""
+    c = t(spark, d, "orders").where("o_totalprice < 150000").select(F.when(F.col("o_orderkey") % 10 == 0, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("k"))
+    return quality.assert_references(c, t(spark, d, "customer").where("c_custkey % 7 > 0"), [("k", "c_custkey")], 0.9)
 
 
-@query("unique_both_sides", """WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT * FROM p
-WHERE l_orderkey IN (SELECT l_orderkey FROM p GROUP BY 1 HAVING count(*) = 1) AND l_suppkey IN (SELECT l_suppkey FROM p GROUP BY 1 HAVING count(*) = 1)""")
+@query("assert_mapped", """SELECT 'o_custkey' AS column_name, count(DISTINCT o_custkey) AS n_codes, count(DISTINCT o_custkey) FILTER (o_custkey % 9 = 0) AS n_unmapped, count(*) FILTER (o_custkey % 9 > 0) / count(*) AS share_mapped, false AS ok FROM orders
+UNION ALL SELECT 'o_orderstatus', count(DISTINCT o_orderstatus), 0, 1, true FROM orders""")
 def _(spark, d):
-    return joins.unique_both_sides(t(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey")
+    o = t(spark, d, "orders")
+    return quality.assert_mapped(o, {"o_custkey": t(spark, d, "customer").where("c_custkey % 9 > 0").select("c_custkey"), "o_orderstatus": o.select("o_orderstatus")})
 
 
-@query("semi_anti_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("assert_recount", """WITH a AS (SELECT l_orderkey, count(*) + CASE WHEN l_orderkey % 50 = 0 THEN 2 ELSE 0 END AS n FROM lineitem WHERE l_orderkey % 20 > 0 OR l_orderkey % 50 = 0 GROUP BY 1), b AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT count(*) AS n_keys, count(*) FILTER (a.n IS NULL OR b.n IS NULL) AS n_one_side, count(*) FILTER (a.n <> b.n) AS n_differ, max(abs(a.n - b.n)) AS max_gap FROM a FULL JOIN b USING (l_orderkey)""")
 def _(spark, d):
-    return joins.anti(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
-
-
-@query("agg_conditional", """SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'click') AS n_clicks, max(value) FILTER (event_type = 'purchase') AS top_purchase FROM events GROUP BY 1""")
-def _(spark, d):
-    kind = F.col("event_type")
-    return t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count(F.when(kind == "click", 1)).alias("n_clicks"), F.max(F.when(kind == "purchase", F.col("value"))).alias("top_purchase"))
-
-
-@query("agg_rollup", "SELECT l_returnflag, l_linestatus, grouping(l_returnflag) + grouping(l_linestatus) AS level, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
-def _(spark, d):
-    level = F.grouping("l_returnflag").cast("int") + F.grouping("l_linestatus").cast("int")
-    return t(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(level.alias("level"), F.count("*").alias("n"))
-
-
-@query("rank_within_group", "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS place, count(*) OVER (PARTITION BY c_nationkey) AS peers FROM customer")
-def _(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("c_nationkey")
-    return t(spark, d, "customer").select("c_custkey", F.rank().over(w.orderBy(F.desc("c_acctbal"))).alias("place"), F.count("*").over(w).alias("peers"))
-
-
-@query("assert_unique_key", """SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_null_keys, count(*) FILTER (n > 1) AS n_repeated_keys FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)""")
-def _(spark, d):
-    return quality.assert_unique_key(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
-
-
-@query("assert_references", """SELECT (SELECT count(*) FROM orders) AS n_child, (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) AS n_found,
-(SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS n_parents_without_child, CAST(1 AS DOUBLE) AS share_found, true AS ok""")
-def _(spark, d):
-    return quality.assert_references(t(spark, d, "orders"), t(spark, d, "customer"), [("o_custkey", "c_custkey")])
+    """Stored counts of lines with a fault on some orders, and without some others."""
+    line = t(spark, d, "lineitem")
+    stored = line.where("l_orderkey % 20 > 0 OR l_orderkey % 50 = 0").groupBy("l_orderkey").agg((F.count("*") + F.when(F.col("l_orderkey") % 50 == 0, 2).otherwise(0)).alias("n"))
+    return quality.assert_recount(stored, line.groupBy("l_orderkey").agg(F.count("*").alias("n")), ["l_orderkey"], "n")

@@ -24,7 +24,7 @@ SELECT a.*, b.last_holder AS previous_holder, CAST(a.n_holders > 1 AS INT) AS ch
 FROM p a LEFT JOIN p b ON a.user_id = b.user_id AND b.wk = a.wk - 1""")
 def _(spark, d):
     e = fx.table(spark, d, "events").select("user_id", fx.week().alias("wk"), "event_type", F.col("event_id").alias("seq"))
-    return panel.change_flags(e, ["user_id"], "wk", "event_type")
+    return panel.change_flags(e, ["user_id"], "wk", "event_type", "seq")
 
 
 _RUNS = """r AS (SELECT c_custkey, ym, ym - row_number() OVER (PARTITION BY c_custkey ORDER BY ym) AS g FROM fx_cust_month)"""
@@ -48,7 +48,7 @@ SELECT user_id, event_id, event_type, value, CAST(date_diff('day', DATE '2024-01
 CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'click' THEN 3 WHEN 'view' THEN 4 ELSE 5 END AS pr FROM events)) WHERE rn = 1""")
 def _(spark, d):
     e = fx.table(spark, d, "events").withColumn("wk", fx.week()).withColumn("pr", fx.event_rank())
-    return panel.dedupe_priority(e, ["user_id", "wk"], ["pr", F.desc("value"), "event_id"]).select("user_id", "wk", "event_id", "event_type", "n_candidates")
+    return panel.dedupe_priority(e, ["user_id", "wk"], [F.col("pr"), -F.col("value"), F.col("event_id")]).select("user_id", "wk", "event_id", "event_type", "n_candidates")
 
 
 @query("count_spells_bye", with_fx("""SELECT c_custkey, sum(CASE WHEN owner = po AND (gap = 1 OR (gap = 2 AND excused)) THEN 0 ELSE 1 END) AS n_spells, count(*) AS n_periods FROM (
