@@ -17,8 +17,8 @@ counts a sixteenth, when passages are compared, and is joined with no text outsi
 
 from __future__ import annotations
 
-import functools
 import html
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,7 +42,8 @@ DROPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "h
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 INLINE_DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 MARKS = re.compile(r"(?:^|\s|(?<!\bhas)(?<!\bno)(?<!\bwith)(?<!\bwithout)[_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|popup|promo\w*|related|replies|respond|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|taboola|tags?|toolbar|widget)(?:$|[\s_-])", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+START = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 HOLDERS = {"html", "body", "main", "article", "div", "td", "center", "details"}
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
@@ -51,29 +52,42 @@ CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
 
 @dataclass(eq=False)
 class Holder:
-    """An element that can contain an article."""
+    """An element that can contain an article; the elements in it are those numbered from ``enter`` to ``leave``."""
 
     up: Holder | None
-    depth: int
+    enter: int
+    leave: float = math.inf
+
+    def contains(self, first: int, last: int) -> bool:
+        return self.enter <= first and last <= self.leave
 
 
 @dataclass(eq=False)
 class Mark:
-    """An element whose class or id says that it is none of the article."""
+    """An element whose class or id says that it is none of the article.
+
+    ``kept`` says that it and all marked elements around it stay; ``zone`` is the innermost of them that is no wrapper of
+    the page's first article.
+    """
 
     up: Mark | None
     size: int = 0
     articles: int = 0
     first: bool = False
+    kept: bool = True
+    zone: Mark | None = None
 
-    def kept(self, total: int) -> bool:
-        return self.articles > 0 or 2 * self.size > total
 
-    def chain(self) -> Iterator[Mark]:
-        at: Mark | None = self
-        while at:
-            yield at
-            at = at.up
+def settle(marks: list[Mark], total: int) -> None:
+    """Sums sizes and articles up to the elements around, which come earlier in the list, then decides from the outside in."""
+    for m in reversed(marks):
+        if m.up:
+            m.up.size += m.size
+            m.up.articles += m.articles
+            m.up.first |= m.first
+    for m in marks:
+        m.kept = (m.articles > 0 or 2 * m.size > total) and (m.up is None or m.up.kept)
+        m.zone = m if not m.first else m.up.zone if m.up else None
 
 
 @dataclass
@@ -114,6 +128,103 @@ def _unwanted(name: str, attributes: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" or "", name, attributes) of tags; comments and the like have no name, and CDATA is "cdata" with its text.
+
+    A quote that nothing closes is an ordinary character, so the tag ends at the next ">". What is found missing once is
+    not looked for again, so a page is read once.
+    """
+    at, missing = 0, set()
+
+    def find(text: str, place: int) -> int:
+        if text in missing:
+            return -1
+        found = page.find(text, place)
+        if found < 0:
+            missing.add(text)
+        return found
+
+    while (found := START.search(page, at)) is not None:
+        start, at = found.start(), found.end()
+        if found[2] is None:
+            close = {"<!--": "-->", "<![CDATA[": "]]>"}.get(found[0], ">")
+            end = find(close, at)
+            text = page[at : len(page) if end < 0 else end]
+            at = len(page) if end < 0 else end + len(close)
+            yield start, at, "", "cdata" if close == "]]>" else "", text
+            continue
+        inside, end = at, -1
+        while (stop := STOP.search(page, at)) is not None:
+            if stop[0] == ">":
+                end = stop.start()
+                break
+            quote = find(stop[0], stop.end())
+            at = stop.end() if quote < 0 else quote + 1
+        attributes = page[inside : len(page) if end < 0 else end]
+        at = len(page) if end < 0 else end + 1
+        name = found[2].lower()
+        yield start, at, found[1], name, attributes
+        if name in RAW and not found[1]:
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)", re.I).search(page, at) if f"/{name}" not in missing else None
+            if end is None:
+                missing.add(f"/{name}")
+            at = len(page) if end is None else end.start()
+
+
+class Stack:
+    """Open elements, with the places of each name, of blocks, and of blocks that are no paragraph."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.holders: list[Holder] = []
+        self.hidden: list[bool] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.others: list[int] = []
+        self.count = 0
+        self.top = Holder(None, 0)
+
+    def inner(self) -> Holder:
+        return self.holders[-1] if self.holders else self.top
+
+    def push(self, name: str, bad: bool) -> None:
+        at, holder = len(self.names), self.inner()
+        self.count += 1
+        self.names.append(name)
+        self.hidden.append(bad)
+        self.holders.append(Holder(holder, self.count) if name in HOLDERS else holder)
+        self.places.setdefault(name, []).append(at)
+        if name in BLOCKS:
+            self.blocks.append(at)
+            if name != "p":
+                self.others.append(at)
+
+    def pop(self) -> tuple[str, bool]:
+        at, name, bad, holder = len(self.names) - 1, self.names.pop(), self.hidden.pop(), self.holders.pop()
+        if name in HOLDERS:
+            holder.leave = self.count
+        self.places[name].pop()
+        for places in (self.blocks, self.others):
+            if places and places[-1] == at:
+                places.pop()
+        return name, bad
+
+    def closes(self, name: str) -> bool:
+        """Whether an end tag of that name ends something: an open element, but no inline one around a block."""
+        own = self.places.get(name)
+        return bool(own) and (name in BLOCKS or not self.blocks or self.blocks[-1] < own[-1])
+
+    def paragraph(self) -> bool:
+        """Whether a paragraph is open with no other block in it."""
+        own = self.places.get("p")
+        return bool(own) and (not self.others or self.others[-1] < own[0])
+
+    def around(self) -> tuple[Holder, bool]:
+        """The container of the innermost open block, and whether that is a paragraph or heading."""
+        at = self.blocks[-1] if self.blocks else 0
+        return self.holders[at - 1] if at > 0 else self.top, bool(self.names) and self.names[at] in PROSE
+
+
 def lines(page: str) -> list[Line]:
     """The blocks of a page in order; character references decoded, white space made single, empty blocks left out.
 
@@ -122,101 +233,86 @@ def lines(page: str) -> list[Line]:
     """
     out: list[Line] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, Holder]] = []
+    stack, every = Stack(), []
     marks: list[Mark | None] = [None]
     seen: set[str] = set()
-    top = Holder(None, 0)
     hidden = 0
     roots: list[Holder] = []
     at = 0
 
-    def inner() -> Holder:
-        return stack[-1][2] if stack else top
-
     def push(name: str, bad: bool, attributes: str) -> None:
         nonlocal hidden
-        holder = inner()
         if name in ("article", "main") and not hidden:
-            if marks[-1] and not any(x == "article" for x, *_ in stack):
-                for mark in marks[-1].chain():
-                    mark.articles += 1
-                    mark.first |= name not in seen
+            if marks[-1] and not stack.places.get("article"):
+                marks[-1].articles += 1
+                marks[-1].first |= name not in seen
             seen.add(name)
-        marks.append(Mark(marks[-1]) if not bad and _marked(name, attributes) else marks[-1])
-        stack.append((name, bad, Holder(holder, holder.depth + 1) if name in HOLDERS else holder))
+        if not bad and _marked(name, attributes):
+            every.append(Mark(marks[-1]))
+            marks.append(every[-1])
+        else:
+            marks.append(marks[-1])
+        stack.push(name, bad)
         hidden += bad
 
-    def around() -> tuple[Holder, bool]:
-        """The container of the innermost open block, and whether that is a paragraph or heading."""
-        at = len(stack) - 1
-        while at > 0 and stack[at][0] not in BLOCKS:
-            at -= 1
-        return stack[at - 1][2] if at > 0 else top, at >= 0 and stack[at][0] in PROSE
-
     def flush() -> None:
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            out.append(Line(joined, hidden > 0, roots[0] if roots else None, *around(), marks[-1]))
+            out.append(Line(joined, hidden > 0, roots[0] if roots else None, *stack.around(), marks[-1]))
         text.clear()
 
-    def pop() -> None:
+    def pop() -> str:
         nonlocal hidden
-        name, bad, _ = stack.pop()
+        name, bad = stack.pop()
         marks.pop()
         hidden -= bad
         if name in ("article", "main"):
             roots.pop()
-
-    while True:
-        found = TAG.search(page, at)
-        if found is None:
-            text.append(page[at:])
-            break
-        text.append(page[at : found.start()])
-        at = found.end()
-        if found[2] is None:
-            if found[0].startswith("<![CDATA["):
-                text.append(html.escape(found[0][9:].removesuffix("]]>")))
+        return name
+
+    skipped = False
+    for start, end, closing, name, attributes in tags(page):
+        if not skipped:
+            text.append(page[at:start])
+        skipped, at = False, end
+        if name == "cdata":
+            text.append(html.escape(attributes))
+            continue
+        if not name:
             continue
-        name, closing, attributes = found[2].lower(), found[1] == "/", found[3]
         if name in BLOCKS or name in DROPPED or name == "br":
             if name == "br":
                 text.append(" ")
             else:
                 flush()
         if closing:
-            if any(x == name for x, *_ in stack):
-                if not (name not in BLOCKS and any(x in BLOCKS for x, *_ in stack[len(stack) - 1 - [x for x, *_ in stack][::-1].index(name) :])):
-                    while stack[-1][0] != name:
-                        pop()
-                    pop()
+            if stack.closes(name):
+                while pop() != name:
+                    pass
             continue
-        while stack and name in CLOSED_BY.get(stack[-1][0], ()):
+        while stack.names and name in CLOSED_BY.get(stack.names[-1], ()):
             pop()
         if name in BLOCKS:
-            while any(x == "p" for x, *_ in stack) and all(x == "p" or x not in BLOCKS for x, *_ in stack[[x for x, *_ in stack].index("p") :]):
+            while stack.paragraph():
                 pop()
         if name in VOID or attributes.rstrip().endswith("/") and name in ("svg", "path"):
             continue
-        bad = _unwanted(name, attributes)
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)", re.I).search(page, at)
-            at = len(page) if end is None else end.start()
-            push(name, bad, attributes)
-            continue
-        push(name, bad, attributes)
+        push(name, _unwanted(name, attributes), attributes)
+        skipped = name in RAW
         if name in ("article", "main"):
-            roots.append(inner())
+            roots.append(stack.inner())
+    if not skipped:
+        text.append(page[at:])
     flush()
     shown = [r for r in out if not r.dropped]
     for r in shown:
-        for mark in r.mark.chain() if r.mark else ():
-            mark.size += len(r.text)
-    total = sum(len(r.text) for r in shown)
+        if r.mark:
+            r.mark.size += len(r.text)
+    settle(every, sum(len(r.text) for r in shown))
     for r in shown:
         if r.mark:
-            r.dropped = not all(x.kept(total) for x in r.mark.chain())
-            r.mark = next((x for x in r.mark.chain() if not x.first), None)
+            r.dropped = not r.mark.kept
+            r.mark = r.mark.zone
     return out
 
 
@@ -246,14 +342,13 @@ def passages(rows: list[Line]) -> tuple[list[tuple[int, int]], float]:
     return found, level
 
 
-def common(a: Holder, b: Holder) -> Holder:
-    """The innermost container of both."""
-    while a is not b:
-        if a.depth >= b.depth:
-            a = a.up
-        else:
-            b = b.up
-    return a
+def shared_holder(holders: list[Holder]) -> Holder:
+    """The innermost container of all."""
+    first, last = min(h.enter for h in holders), max(h.enter for h in holders)
+    at = holders[0]
+    while not at.contains(first, last):
+        at = at.up
+    return at
 
 
 def main_text(page: str | None) -> str:
@@ -269,8 +364,8 @@ def main_text(page: str | None) -> str:
         kept = [r for x, y in spans for r in rows[x:y] if r.root and r.root.up is root.up and r.mark is mark]
     else:
         core = [r.holder for r in rows[a:b] if r.weight > level] or [r.holder for r in rows[a:b]]
-        shared = functools.reduce(common, core)
-        within = [r.zone == (root, mark) and common(r.holder, shared) is shared for r in rows]
+        shared = shared_holder(core)
+        within = [r.zone == (root, mark) and shared.contains(r.holder.enter, r.holder.enter) for r in rows]
         joined = [(x, y) for x, y in spans if (x, y) == (a, b) or 2 * sum(rows[i].weight for i in range(x, y) if within[i]) > size(x, y)]
         inside = {i for x, y in joined for i in range(x, y)}
         first, last = min(x for x, _ in joined), max(y for _, y in joined)

@@ -1,3 +1,5 @@
+import time
+
 from panelkit.llm import html
 
 
@@ -83,3 +85,11 @@ def test_columns(spark):
     df = spark.createDataFrame([(1, "u", None, "n"), (1, "u", "<article>a</article>", None), (None, None, "<article>a</article>", "x")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in html.with_main_text(df).collect()) == ["", "a", "a"]
     assert html.with_main_text(df.limit(0)).count() == 0
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    for part in ("<div>x ", "<b>x ", '<p class="x>y ', "<article>x ", '<div class="nav">x y ', "<li>a "):
+        start = time.perf_counter()
+        html.main_text(part * 50_000)
+        assert time.perf_counter() - start < 10
+    assert html.main_text('<p class="x>Hello world of text') == "Hello world of text"
