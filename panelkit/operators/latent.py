@@ -303,6 +303,6 @@ def estimable_contrast(df: DataFrame, y: str, controls: list[str], p: str, q: st
     for v in null.T:
         d = v / scale
         part = sum((F.lit(float(d[i] - d[k + i])) * c for i, c in enumerate(base)), F.lit(0.0))
-        size = sum((F.lit(float(abs(d[i]) + abs(d[k + i]))) * F.abs(c) for i, c in enumerate(base)), F.lit(1e-12))
+        size = F.lit(float(np.abs(d).max())) * sum((F.abs(c) for c in base), F.lit(0.0))
         free = free & (F.abs(part) <= 1e-7 * size)
     return df.withColumn("contrast", F.when(free, contrast))
