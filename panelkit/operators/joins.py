@@ -132,7 +132,7 @@ def asof_revision_in_force(revisions: DataFrame, targets: DataFrame, by: str, ti
     rows = rows.withColumn("k", F.expr("array_max(transform(before, (x, i) -> if(x.content = next_content, i, null)))"))
     after = F.coalesce(F.expr("try_element_at(before, cast(k + 2 as int))")["t"], F.col(time))
     span = (micros(F.col("next_t")) - micros(after)) / 86400e6
-    undone = F.coalesce(span <= revert_days, F.lit(False))
+    undone = F.coalesce(F.col("k").isNotNull() & (span <= revert_days), F.lit(False))
     picked = F.when(undone, F.expr("try_element_at(before, cast(k + 1 as int))")).otherwise(F.col("full"))
     rows = rows.select(by, time, F.col("own.id").alias("order"), picked.alias("pick"), undone.cast("int").alias("skipped_revert"))
     rows = rows.select(by, time, F.struct("order", "pick.t", "pick.id", "pick.ok", F.col("pick.good").alias("good"), "skipped_revert").alias("found"))
