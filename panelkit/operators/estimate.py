@@ -65,6 +65,22 @@ def gram(df: DataFrame, columns: list[str], weight: str | None = None) -> tuple[
     return out, row["n"]
 
 
+def summed(df: DataFrame, f, size: int) -> np.ndarray:
+    """Sums over all rows of f(matrix of a batch), a vector of that size; a partition sends one vector."""
+
+    def run(batches):
+        out = np.zeros(size)
+        for pdf in batches:
+            if len(pdf):
+                out += f(pdf.to_numpy(dtype=np.float64))
+        yield pd.DataFrame({"i": range(size), "v": out})
+
+    out = np.zeros(size)
+    for r in df.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
 def independent_columns(g: np.ndarray, tolerance: float = 1e-9) -> list[int]:
     """Columns of a cross product that don't follow from the ones before them (Cholesky on the scaled matrix, in order)."""
     scale = np.sqrt(np.where(np.diag(g) > 0, np.diag(g), 1.0))
@@ -484,26 +500,32 @@ def logit_fe_ame(df: DataFrame, y: str, x: list[str], fe: str | None = None, clu
     z = [F.lit(1.0), *[F.col(c).cast("double") for c in x], *[(F.col(fe) == v).cast("double") for v in levels[1:]]]
     rows = rows.select(F.col(y).cast("double").alias("_y"), *[c.alias(f"_z{i}") for i, c in enumerate(z)], *([F.col(cluster).alias("_c")] if cluster else []))
     beta, k = np.zeros(len(z)), len(z)
+    rows = checkpointed(rows)
+    numbers = rows.select("_y", *[f"_z{i}" for i in range(k)])
+
+    def parts(b: np.ndarray):
+        def f(m: np.ndarray) -> np.ndarray:
+            p = 1 / (1 + np.exp(-np.clip(m[:, 1:] @ b, -700, 700)))
+            w = p * (1 - p)
+            return np.concatenate([[len(m), w.sum()], ((m[:, 1:] * w[:, None]).T @ m[:, 1:]).ravel(), m[:, 1:].T @ (m[:, 0] - p)])
+
+        return f
+
     for _ in range(rounds):
-        eta = sum((F.lit(float(b)) * F.col(f"_z{i}") for i, b in enumerate(beta)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-eta))
-        scored = rows.withColumns({"_w": p * (1 - p), "_r": F.col("_y") - p})
-        cells = [F.sum(F.col("_w") * F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"h{i}_{j}") for i in range(k) for j in range(i + 1)]
-        row = scored.agg(F.count("*").alias("n"), F.avg("_w").alias("w"), *cells, *[F.sum(F.col("_r") * F.col(f"_z{i}")).alias(f"s{i}") for i in range(k)]).first()
-        h = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i + 1):
-                h[i, j] = h[j, i] = row[f"h{i}_{j}"]
-        step = solve(h, np.array([row[f"s{i}"] for i in range(k)]))
+        sums = summed(numbers, parts(beta), 2 + k * k + k)
+        h = sums[2 : 2 + k * k].reshape(k, k)
+        step = solve(h, sums[2 + k * k :])
         if np.abs(step).max() < tolerance * (1 + np.abs(beta).max()):
             break
         beta = beta + step
+    eta = sum((F.lit(float(b)) * F.col(f"_z{i}") for i, b in enumerate(beta)), F.lit(0.0))
+    scored = rows.withColumn("_r", F.col("_y") - 1 / (1 + F.exp(-eta)))
     inverse = np.linalg.inv(h)
     v = inverse
     if cluster:
         meat, g = gram(scored.groupBy("_c").agg(*[F.sum(F.col("_r") * F.col(f"_z{i}")).alias(f"s{i}") for i in range(k)]), [f"s{i}" for i in range(k)])
         v = g / (g - 1) * inverse @ meat @ inverse
-    out = [(n, float(beta[i]), float(np.sqrt(v[i, i])), float(beta[i] * row["w"]), row["n"]) for i, n in enumerate(names)]
+    out = [(n, float(beta[i]), float(np.sqrt(v[i, i])), float(beta[i] * sums[1] / sums[0]), int(sums[0])) for i, n in enumerate(names)]
     return df.sparkSession.createDataFrame(out, "term string, estimate double, std_error double, average_effect double, n long")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from panelkit.functions import lgamma
 from panelkit.operators._state import checkpointed
 from panelkit.operators.aggregate import ratio
-from panelkit.operators.estimate import auc, auc_counts, gram, independent_columns, solve
+from panelkit.operators.estimate import auc, auc_counts, gram, independent_columns, solve, summed
 
 #: Cells of a prior's design, and of its likelihoods, that a fit may bring to the driver.
 MAX_CELLS = 100_000
@@ -241,42 +241,44 @@ def mixture_regression_em(df: DataFrame, y: str, x: list[str], probabilities: st
     Each round is one aggregate of weighted cross products per category; coefficients are solved on the driver. Starts from
     the probabilities as posteriors. Rows with a null are left out.
     """
-    rows = df.dropna(subset=[y, *x, probabilities])
-    names = ["_one", *x, y]
-    base = rows.withColumn("_one", F.lit(1.0))
-    post, fits, last = F.col(probabilities), [], None
+    rows = checkpointed(df.dropna(subset=[y, *x, probabilities]))
+    numbers = rows.select(F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(x)], F.col(y).cast("double").alias("_y"), *[F.col(probabilities)[k].cast("double").alias(f"_p{k}") for k in range(categories)])
+    width = len(x) + 2
+    fits: list[dict] = []
+    last = None
+
+    def parts(found: list[dict]):
+        def f(m: np.ndarray) -> np.ndarray:
+            d, p = m[:, :width], m[:, width:]
+            if found:
+                z = np.column_stack([(d[:, -1] - d[:, :-1] @ g["beta"]) / g["sigma"] for g in found])
+                logs = np.log(np.maximum(p, 1e-300)) - z * z / 2 - np.log([g["sigma"] for g in found])
+                p = softmax(logs)
+            return np.concatenate([((d * p[:, [k]]).T @ d).ravel() for k in range(categories)])
+
+        return f
+
     for _ in range(rounds):
-        scored = base.withColumn("_post", post)
-        cells = []
-        for k in range(categories):
-            w = F.col("_post")[k]
-            cells.append(F.sum(w).alias(f"n{k}"))
-            cells += [F.sum(w * F.col(a) * F.col(b)).alias(f"g{k}_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names[: i + 1])]
-        row = scored.agg(*cells).first()
+        grams = summed(numbers, parts(fits), categories * width * width).reshape(categories, width, width)
         fits = []
-        for k in range(categories):
-            g = np.zeros((len(names), len(names)))
-            for i in range(len(names)):
-                for j in range(i + 1):
-                    g[i, j] = g[j, i] = row[f"g{k}_{i}_{j}"] or 0.0
+        for g in grams:
             kept = independent_columns(g[:-1, :-1])
-            beta = np.zeros(len(names) - 1)
+            beta = np.zeros(width - 1)
             beta[kept] = solve(g[np.ix_(kept, kept)], g[kept, -1])
-            n = row[f"n{k}"] or 0.0
+            n = g[0, 0]
             ss = g[-1, -1] - 2 * beta @ g[:-1, -1] + beta @ g[:-1, :-1] @ beta
-            fits.append({"beta": beta, "sigma": math.sqrt(max(ss / max(n, 1e-300), 1e-12)), "n": n})
+            fits.append({"beta": beta, "sigma": math.sqrt(max(ss / max(n, 1e-300), 1e-12)), "n": float(n)})
         flat = np.concatenate([np.r_[f["beta"], f["sigma"]] for f in fits])
         if last is not None and np.abs(flat - last).max() <= tolerance * (1 + np.abs(flat).max()):
             break
         last = flat
-        parts = []
-        for k, f in enumerate(fits):
-            mean = sum((F.lit(float(b)) * F.col(c) for b, c in zip(f["beta"], names, strict=False)), F.lit(0.0))
-            z = (F.col(y) - mean) / F.lit(f["sigma"])
-            parts.append(F.log(F.greatest(F.col(probabilities)[k], F.lit(1e-300))) - z * z / 2 - F.lit(math.log(f["sigma"])))
-        top = F.greatest(*parts)
-        post = normalised(F.array(*[F.exp(c - top) for c in parts]))
-    return base.withColumn("posterior", post).drop("_one"), fits
+    logs = []
+    for k, f in enumerate(fits):
+        mean = sum((F.lit(float(b)) * (F.lit(1.0) if i == 0 else F.col(x[i - 1])) for i, b in enumerate(f["beta"])), F.lit(0.0))
+        z = (F.col(y) - mean) / F.lit(f["sigma"])
+        logs.append(F.log(F.greatest(F.col(probabilities)[k], F.lit(1e-300))) - z * z / 2 - F.lit(math.log(f["sigma"])))
+    top = F.greatest(*logs)
+    return rows.withColumn("posterior", normalised(F.array(*[F.exp(c - top) for c in logs]))), fits
 
 
 def estimable_contrast(df: DataFrame, y: str, controls: list[str], p: str, q: str) -> DataFrame:

@@ -21,7 +21,8 @@ def _(spark, d):
     return out.select("doc_id", "section", "number", "sentence", "previous", "next", F.array_join("terms", ",").alias("terms"), "noisy_only")
 
 
-@query("extract_dated_statements")
+@query("extract_dated_statements", """SELECT o_orderkey, 0 AS number, c_mktsegment AS entity_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, 'order' AS kind, 'Mr. Smith of the ' || lower(c_mktsegment) || ' office placed it on ' || strftime(o_orderdate, '%B %-d, %Y') || '.' AS sentence
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 NOT IN (1, 2, 3)""")
 def _(spark, d):
     """Dated order notices: one for each order, with the customer's segment as the entity, some with two dates, no verb or a denial."""
     o = t(spark, d, "orders").join(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
@@ -29,4 +30,4 @@ def _(spark, d):
     n = F.col("o_orderkey") % 7
     text = F.concat(F.lit("Mr. Smith of the "), F.lower("c_mktsegment"), F.when(n == 1, " office wrote on ").when(n == 2, " office never placed it on ").otherwise(" office placed it on "), day, F.when(n == 3, F.concat(F.lit(" or "), F.date_format(F.date_add("o_orderdate", 1), "MMMM d, yyyy"))).otherwise(""), F.lit(". It was paid. Nothing else."))
     names = t(spark, d, "customer").select(F.lower("c_mktsegment").alias("name"), F.col("c_mktsegment").alias("entity_id")).distinct()
-    return evidence.extract_dated_statements(o.select("o_orderkey", text.alias("text")), "o_orderkey", "text", r"\bplaced\b", r"\bnever\b", names, {"order": r"\bit\b"})
+    return evidence.extract_dated_statements(o.select("o_orderkey", text.alias("text")), "o_orderkey", "text", r"\bplaced\b", r"\bnever\b", names, {"order": r"\bit\b"}).withColumn("date", F.col("date").cast("string"))
