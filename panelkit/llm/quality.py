@@ -32,7 +32,7 @@ def shape(word: str) -> str:
         return "a"
     for pattern, by in _SHAPE:
         word = pattern.sub(by, word)
-    return word[:12]
+    return word
 
 
 def units(word: str) -> tuple[int, int]:
@@ -79,6 +79,8 @@ class QualityModel:
     w2: np.ndarray
     b2: float
     temperature: float
+    #: Added to the calibrated log odds, where the training rows were a sample with another mix of classes.
+    shift: float = 0.0
 
     def __post_init__(self) -> None:
         self.again = self.vectors[bucket(_REPEAT)]
@@ -118,7 +120,7 @@ class QualityModel:
         if not texts:
             return np.zeros(0)
         x = np.stack([self.pooled(t) for t in texts])
-        p = 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
+        p = 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature + self.shift, -500, 500)))
         return np.where([bool((t or "").split()) for t in texts], p, 0.0)
 
 
@@ -178,20 +180,25 @@ def fit(texts: list[str], labels, rounds: int = 400, seed: int = 5) -> QualityMo
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, usable, id_col: str = "doc_id", text_col: str = "text", limits: dict | None = None) -> pd.DataFrame:
-    """At most so many labelled rows (text, label) as ``limits`` has for each label, by a hash of the id.
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, usable, id_col: str = "doc_id", text_col: str = "text", limits: dict | None = None) -> tuple[pd.DataFrame, float]:
+    """At most so many labelled rows (text, label) as ``limits`` has for each label, by a hash of the id; and the shift of their log odds.
 
-    The ids are chosen from the labels alone; their number bounds what is broadcast and collected. Null
-    labels are left out; of repeated labels the largest counts; of repeated documents one text is taken.
+    The shift is what the log odds of the sample's classes lack against those of all usable labels, so that scores mean the
+    same however many rows there are. The ids are chosen from the labels alone; their number bounds what is broadcast and
+    collected. Null labels are left out; of repeated labels the largest counts; of repeated documents one text is taken.
     """
-    chosen = None
+    chosen, limits = None, limits or {0: MAX_TRAINING_ROWS // 2, 1: MAX_TRAINING_ROWS // 2}
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & usable).groupBy(F.col(id_col).alias("t_id")).agg(F.max(label_col).cast("int").alias("t_label"))
-    for label, most in (limits or {0: MAX_TRAINING_ROWS // 2, 1: MAX_TRAINING_ROWS // 2}).items():
+    for label, most in limits.items():
         part = known.where(F.col("t_label") == label).orderBy(F.xxhash64("t_id"), "t_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select(F.col(id_col).alias("t_id"), F.col(text_col).cast("string").alias("t_text"))
     pairs = texts.join(F.broadcast(chosen), "t_id").groupBy("t_id", "t_label").agg(F.max("t_text").alias("t_text"))
-    return pairs.select("t_id", "t_text", "t_label").toPandas().sort_values("t_id", ignore_index=True)
+    counts = {r["t_label"]: r["n"] for r in known.groupBy("t_label").agg(F.count("*").alias("n")).where(F.col("t_label").isin(0, 1)).collect()}
+    all_ = [counts.get(k, 0) for k in (0, 1)]
+    taken = [min(n, limits[k]) for k, n in enumerate(all_)]
+    shift = float(np.log(all_[1] / all_[0]) - np.log(taken[1] / taken[0])) if min(all_) else 0.0
+    return pairs.select("t_id", "t_text", "t_label").toPandas().sort_values("t_id", ignore_index=True), shift
 
 
 def remainder(id_col: str, by: int):
@@ -201,12 +208,14 @@ def remainder(id_col: str, by: int):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5) -> QualityModel:
     """A model of the labels whose id does not fall into fold 0; rows of a rare class are all taken up to half the bound."""
-    rows = training_rows(docs, labels, label_col, remainder(id_col, folds) != 0, id_col, text_col)
-    return fit(rows["t_text"].fillna("").tolist(), rows["t_label"].tolist())
+    rows, shift = training_rows(docs, labels, label_col, remainder(id_col, folds) != 0, id_col, text_col)
+    model = fit(rows["t_text"].fillna("").tolist(), rows["t_label"].tolist())
+    model.shift = shift
+    return model
 
 
 def with_score(docs: DataFrame, model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """Adds the score of each whole text, row by row; null and empty texts have a score too. ids, ties, repeated rows and other columns do not matter."""
+    """Adds the score of each whole text, row by row, in place of an existing ``out_col``; null and empty texts have a score too. ids, ties, repeated rows and other columns do not matter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -5,7 +5,7 @@ toxic if its form, or a prefix of it, is frequent in toxic documents and next to
 The field has two states, clean and toxic, with a weight for each such form or prefix, a bias and
 transitions; it is fitted by gradient steps on the forward-backward expectations of short windows. A
 document's score comes from the forward-backward marginals of its words; words with high marginals are the
-offending offsets. Words without any feature share one emission, so runs of them are one matrix power
+offending offsets. The chain starts with the first word's emission, in fitting as in inference. Words without any feature share one emission, so runs of them are one matrix power
 and a document costs no more than its few telling words.
 """
 
@@ -26,6 +26,8 @@ from panelkit.llm.quality import remainder, training_rows
 #: Labelled rows of each class that the model is fitted on at most, and features that it keeps at most.
 MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 2000, 3000, 4000
 PREFIXES = (3, 4, 5, 6)
+#: Where a word's score, and a document's summed evidence, no longer say more.
+EMISSION, SATURATED = 50.0, 20.0
 CACHED_WORDS = 200_000
 _TRIM = string.punctuation + "«»„“”‚‘’¿¡…–—"
 
@@ -106,11 +108,15 @@ class ToxicityModel:
             """Transitions across so many words without a feature."""
             return np.real(left * (values / values.max()) ** gap @ right)
 
-        emit = [np.array([1.0, np.exp(min(scores[i], 50.0))]) for i in at]
-        start = np.array([1.0, 0.0]) @ over(at[0])
+        emit = [np.array([1.0, np.exp(min(scores[i], EMISSION))]) for i in at]
         forward, backward = [], [None] * len(at)
         for k, e in enumerate(emit):
-            start = (start if k == 0 else start @ over(at[k] - at[k - 1] - 1)) @ step * e
+            if k:
+                start = start @ over(at[k] - at[k - 1] - 1) @ step * e
+            elif at[0]:
+                start = np.array([1.0, np.exp(self.bias)]) @ over(at[0] - 1) @ step * e
+            else:
+                start = e
             start = start / start.sum()
             forward.append(start)
         end = over(len(words) - at[-1] - 1) @ np.ones(2)
@@ -121,18 +127,16 @@ class ToxicityModel:
         both = np.array(forward) * np.array(backward)
         return np.array(at), both[:, 1] / both.sum(axis=1), len(words)
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        _, p, _ = self.marginals(text)
-        return (float(-np.log1p(-np.minimum(p, 1 - 1e-4)).sum()), float(p.max())) if len(p) else (0.0, 0.0)
-
     def score(self, texts) -> np.ndarray:
+        return self.calibrated([self.marginals(t)[1] for t in texts])
+
+    def calibrated(self, marginals: list[np.ndarray]) -> np.ndarray:
         a, b, c = self.calibration
-        x = np.array([self.evidence(t) for t in texts]).reshape(-1, 2)
-        return 1 / (1 + np.exp(-(a + b * np.minimum(x[:, 0], 20) + c * x[:, 1])))
+        x = np.array([evidence(p) for p in marginals]).reshape(-1, 2)
+        return 1 / (1 + np.exp(-(a + b * x[:, 0] + c * x[:, 1])))
 
-    def spans(self, text: str | None, threshold: float = 0.5) -> list[tuple[int, int, float]]:
-        """(first character, end, marginal) of the words tagged toxic."""
-        at, p, _ = self.marginals(text)
+    def tagged(self, text: str | None, at: np.ndarray, p: np.ndarray, threshold: float = 0.5) -> list[tuple[int, int, float]]:
+        """(first character, end, marginal) of the words tagged toxic, from the text's marginals."""
         tagged = {int(i): float(x) for i, x in zip(at, p, strict=True) if x >= threshold}
         out, place = [], 0
         for i, word in enumerate((text or "").split() if tagged else ()):
@@ -143,25 +147,28 @@ class ToxicityModel:
         return out
 
 
-def _windows(texts: list[str], toxic: list[bool], index: dict[str, int], reach: int = 6, background: int = 1500):
-    """Windows of words around telling words and some others: feature places, labels, lengths."""
-    rows, labels, plain = [], [], []
+def evidence(p: np.ndarray) -> tuple[float, float]:
+    """What a document's marginals say: -log of the probability that no word is toxic, up to SATURATED, and the highest."""
+    return (min(SATURATED, float(-np.log1p(-np.minimum(p, 1 - 1e-4)).sum())), float(p.max())) if len(p) else (0.0, 0.0)
+
+
+def _windows(texts: list[str], toxic: list[bool], index: dict[str, int], reach: int = 6):
+    """Windows of words around telling words, and one of every text without any: feature places, labels, lengths.
+
+    Words without a feature are alike, so one window stands for such a text.
+    """
+    rows, labels = [], []
     for t, bad in zip(texts, toxic, strict=True):
         words = t.split()
         ids = [[index[f] for f in features(w) if f in index] for w in words]
         hits = [i for i, x in enumerate(ids) if x]
         done = -1
-        for i in hits:
+        for i in hits or [0] * bool(words):
             if i > done:
                 a, b = max(0, i - reach), min(len(words), i + reach + 1)
                 rows.append(ids[a:b])
                 labels.append([int(bad and bool(x)) for x in ids[a:b]])
                 done = b - 1
-        if not hits and words:
-            plain.append((ids[: 2 * reach + 1], [0] * min(len(words), 2 * reach + 1)))
-    for ids, none in plain[:background]:
-        rows.append(ids)
-        labels.append(none)
     return rows, labels
 
 
@@ -200,7 +207,7 @@ def fit_field(texts: list[str], toxic: list[bool], chosen: list[str], rounds: in
         node[~there] = 0
         forward = np.zeros((n, width, 2))
         backward = np.zeros((n, width, 2))
-        forward[:, 0] = node[:, 0] + np.array([0.0, 0.0])
+        forward[:, 0] = node[:, 0]
         for j in range(1, width):
             new = _logsum(forward[:, j - 1, :, None] + p["t"], 1) + node[:, j]
             forward[:, j] = np.where(there[:, j, None], new, forward[:, j - 1])
@@ -219,14 +226,16 @@ def fit_field(texts: list[str], toxic: list[bool], chosen: list[str], rounds: in
     return ToxicityModel(dict(zip(chosen, p["w"].tolist(), strict=True)), float(p["b"]), p["t"])
 
 
-def fit(texts: list[str], labels) -> ToxicityModel:
-    """The whole model from labelled texts; near copies count once for the choice of features."""
+def fit(texts: list[str], labels, shift: float = 0.0) -> ToxicityModel:
+    """The whole model from labelled texts; near copies count once for the choice of features.
+
+    ``shift`` is added to the log odds, where the texts are a sample with another mix of classes.
+    """
     toxic = [bool(y) for y in labels]
     once = set(different(texts))
     sides = [[t for i, (t, y) in enumerate(zip(texts, toxic, strict=True)) if y == side and i in once] for side in (True, False)]
     model = fit_field(texts, toxic, telling(*sides))
-    x = np.array([model.evidence(t) for t in texts]).reshape(-1, 2)
-    x[:, 0] = np.minimum(x[:, 0], 20)
+    x = np.array([evidence(model.marginals(t)[1]) for t in texts]).reshape(-1, 2)
     y = np.array(toxic, dtype=float)
     if not len(y) or y.min() == y.max():
         return model
@@ -237,18 +246,18 @@ def fit(texts: list[str], labels) -> ToxicityModel:
         ridge = np.diag([1e-2, 5e-2, 5e-2])
         hessian = design.T @ (design * (s * (1 - s))[:, None]) + ridge
         w = w - np.clip(np.linalg.solve(hessian, design.T @ (s - y) + ridge @ w), -1, 1)
-    model.calibration = tuple(float(a) for a in w)
+    model.calibration = (float(w[0]) + shift, float(w[1]), float(w[2]))
     return model
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1) -> ToxicityModel:
     """A model of the labels whose id does not fall into fold ``held``, on a bounded number of rows of each class."""
-    rows = training_rows(docs, labels, label_col, remainder(id_col, folds) != held, id_col, text_col, {1: MAX_TOXIC, 0: MAX_CLEAN})
-    return fit(rows["t_text"].fillna("").tolist(), rows["t_label"].tolist())
+    rows, shift = training_rows(docs, labels, label_col, remainder(id_col, folds) != held, id_col, text_col, {1: MAX_TOXIC, 0: MAX_CLEAN})
+    return fit(rows["t_text"].fillna("").tolist(), rows["t_label"].tolist(), shift)
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
-    """Adds a struct of the score of each whole text and the offsets (characters) of its toxic words.
+    """Adds a struct of the score of each whole text and the offsets (characters) of its toxic words; an existing ``out_col`` is replaced.
 
     Null and empty texts have the score of a text without any telling word. Row-wise: ids, ties, repeated rows
     and other columns do not matter.
@@ -258,7 +267,8 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
     @F.pandas_udf("score double, spans array<struct<first:int,end:int,marginal:double>>")
     def run(texts: pd.Series) -> pd.DataFrame:
         model = shared.value
-        spans = [[{"first": a, "end": b, "marginal": p} for a, b, p in model.spans(t)] for t in texts]
-        return pd.DataFrame({"score": model.score(texts), "spans": spans})
+        found = [model.marginals(t) for t in texts]
+        spans = [[{"first": a, "end": b, "marginal": x} for a, b, x in model.tagged(t, at, p)] for t, (at, p, _) in zip(texts, found, strict=True)]
+        return pd.DataFrame({"score": model.calibrated([p for _, p, _ in found]), "spans": spans})
 
     return docs.withColumn(out_col, run(F.col(text_col).cast("string")))

@@ -19,20 +19,31 @@ def corpus(n=400):
 
 
 def test_marginals_match_enumeration():
-    model = toxicity.ToxicityModel({"x": 2.0, "y": 1.0}, -0.7, np.array([[0.3, -0.4], [-0.2, 0.9]]))
-    words = "a b x c y x d".split()
-    emit = [model.emission(w) for w in words]
-    total, tagged = 0.0, np.zeros(len(words))
-    for path in itertools.product((0, 1), repeat=len(words)):
-        s, before = 0.0, 0
-        for i, state in enumerate(path):
-            s += model.transitions[before, state] + (0 if not state else emit[i] if emit[i] is not None else model.bias)
-            before = state
-        total += np.exp(s)
-        tagged += np.exp(s) * np.array(path)
-    at, p, n = model.marginals(" ".join(words))
-    assert n == len(words) and at.tolist() == [2, 4, 5]
-    assert np.allclose(p, (tagged / total)[at])
+    """Every path of states by its emissions and the transitions between words; nothing comes before the first word."""
+    for weights, t, text in (
+        ({"x": 2.0, "y": 1.0}, [[0.3, -0.4], [-0.2, 0.9]], "a b x c y x d"),
+        ({"x": 2.0}, [[0.3, -1.4], [-0.2, 0.9]], "x"),
+        ({"x": 2.0}, [[0.3, -1.4], [-0.2, 0.9]], "x b x"),
+        ({"x": 2.0}, [[0.3, -1.4], [-0.2, 0.9]], "b x"),
+    ):
+        model = toxicity.ToxicityModel(weights, -0.7, np.array(t))
+        words = text.split()
+        total, tagged = 0.0, np.zeros(len(words))
+        for path in itertools.product((0, 1), repeat=len(words)):
+            s = sum(state * (-0.7 + weights.get(w, 0.0)) for state, w in zip(path, words, strict=True))
+            s += sum(t[a][b] for a, b in itertools.pairwise(path))
+            total += np.exp(s)
+            tagged += np.exp(s) * np.array(path)
+        at, p, n = model.marginals(text)
+        assert n == len(words) and at.tolist() == [i for i, w in enumerate(words) if w in weights]
+        assert np.allclose(p, (tagged / total)[at])
+
+
+def test_fit_and_inference_agree():
+    """The expectations that fitting uses are those of inference: at the optimum the mean marginal is the share of toxic words."""
+    texts = ["x a", "a x", "x", "a a a", "x b b x"] * 20
+    model = toxicity.fit_field(texts, [True, True, False, False, True] * 20, ["x"], rounds=3000)
+    assert abs(model.marginals("x")[1][0] - 0.0) < 0.25 and model.marginals("x a")[1][0] > 0.75
 
 
 def test_held_out_accuracy_and_offsets(spark):
@@ -58,3 +69,11 @@ def test_no_rows_one_class_and_long_text():
     text = "word " * 200_000 + "Grumble"
     at, p, n = model.marginals(text)
     assert n == 200_001 and at.tolist() == [200_000] and np.isfinite(p).all()
+
+
+def test_empty_table_and_clashing_column(spark):
+    model = toxicity.fit([t for _, t, _ in corpus(100)], [y for *_, y in corpus(100)])
+    docs = spark.createDataFrame([(1, "grumble", "kept")], "doc_id long, text string, toxicity string")
+    out = toxicity.with_toxicity(docs, model)
+    assert out.columns == ["doc_id", "text", "toxicity"] and out.count() == 1
+    assert toxicity.with_toxicity(docs.limit(0), model).count() == 0
