@@ -4,14 +4,19 @@ A pair of neighbouring bytes that stands inside no token of the vocabulary can b
 marks a certain cut. A pre-token is cut at all such pairs, the fragments are encoded independently, and
 their ids are concatenated. Results equal those of the tokenizer library for vocabularies of this kind:
 byte-level alphabet, NFC, lower case, white space dropped, an end-of-word suffix.
+
+Words with characters that Python's Unicode tables do not know are put in normal form and split by the tokenizer
+library's own normalizer and splitter, whose tables are newer; merges are ours there as well.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
 import string
 import struct
+import sys
 import unicodedata
 
 import numpy as np
@@ -41,6 +46,17 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def unknown_characters() -> re.Pattern:
+    """The code points without a category in Python's Unicode tables."""
+    ranges, last = [], None
+    for c in range(128, sys.maxunicode + 1):
+        if unicodedata.category(chr(c)) == "Cn":
+            if last is None or c != last + 1:
+                ranges.append([c, c])
+            ranges[-1][1] = last = c
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
 class Recent:
     """The results of about ``size`` keys: two generations, so that filling up drops only what was not used lately."""
 
@@ -93,6 +109,7 @@ class ForcedBoundaryBpe:
                 if (a, b) not in self.inner:
                     self.inner[a, b] = self.rank.get(self.inside.get(a, -1) << self.bits | self.inside.get(b, -1), self.none)
         self.words, self.pieces = Recent(CACHED_WORDS), Recent(CACHED_PIECES)
+        self.unknown, self.library, self.spec = unknown_characters(), None, tokenizer_json
 
     def cut(self, piece: str) -> list[str]:
         """The fragments of a pre-token (in the byte alphabet) between its forced boundaries."""
@@ -106,6 +123,13 @@ class ForcedBoundaryBpe:
         if known is not None:
             return known
         chars = text if text.isascii() and text.isprintable() else text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        out = self.fragments(chars)
+        if len(text) < LONG:
+            self.pieces.keep(text, out)
+        return out
+
+    def fragments(self, chars: str) -> bytes:
+        """Ids of a pre-token in the byte alphabet."""
         ids = list(map(self.inside.__getitem__, chars))
         ids[-1] = self.ending[chars[-1]]
         ranks = list(map(self.inner.get, zip(chars, chars[1:])))
@@ -121,10 +145,7 @@ class ForcedBoundaryBpe:
             ids = self._merge(ids, ranks)
         if -1 in ids:
             ids = [i for i in ids if i >= 0]
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(text) < LONG:
-            self.pieces.keep(text, out)
-        return out
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _merge(self, ids: list[int], ranks: list[int]) -> list[int]:
         """Merges a fragment's ids, lowest rank first and leftmost of equals; ranks[i] is that of ids i and i + 1."""
@@ -171,6 +192,8 @@ class ForcedBoundaryBpe:
         known = self.words.find(raw)
         if known is not None:
             return known
+        if not raw.isascii() and self.unknown.search(raw):
+            return self.foreign(raw)
         text = raw if raw.isascii() else unicodedata.normalize("NFC", raw)
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
         body = text.rstrip(string.punctuation)
@@ -184,6 +207,15 @@ class ForcedBoundaryBpe:
             self.words.keep(raw, out)
         return out
 
+    def foreign(self, raw: str) -> bytes:
+        """``word`` for characters that only the library's tables know."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.spec)
+        text = self.library.normalizer.normalize_str(raw)
+        return b"".join(self.fragments(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text))
+
     def _plain(self, text: str) -> list[bytes]:
         words = text.split() if not regex.search("[\x1c-\x1f]", text) else [w for w in WHITE.split(text) if w]
         get, word = self.words.new.get, self.word
@@ -204,8 +236,12 @@ class ForcedBoundaryBpe:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
-        """Tokens joined by one space, as a tokenizer without a decoder does."""
-        return " ".join(map(self.token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        """Tokens joined by one space, as a tokenizer without a decoder does; ids that are no token, and a broken last one, are passed over."""
+        numbers = np.frombuffer(ids, dtype="<u4", count=len(ids) // 4).tolist()
+        try:
+            return " ".join(map(self.token.__getitem__, numbers))
+        except KeyError:
+            return " ".join(self.token[i] for i in numbers if i in self.token)
 
 
 _loaded: dict[int, ForcedBoundaryBpe] = {}

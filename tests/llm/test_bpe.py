@@ -47,3 +47,13 @@ def test_one_pass_equals_two(spark):
     two = bpe.decode(bpe.encode(rows, path), path).drop("text").orderBy("doc_id").collect()
     assert bpe.encode_decode(rows, path).orderBy("doc_id").collect() == two
     assert bpe.encode_decode(rows.limit(0), path).columns == ["doc_id", "ids", "decoded"]
+
+
+def test_characters_newer_than_pythons_tables_and_bad_ids():
+    with open(PATH, encoding="utf-8") as f:
+        spec = f.read()
+    coder, library = bpe.ForcedBoundaryBpe(spec), Tokenizer.from_str(spec)
+    texts = [f"a{chr(c)}b {chr(c)}1" for c in (0x558, 0x58B, 0x1C89, 0x10EC0, 0x2FFE0, 0xFFFF, 0xE0080, 0x378)]
+    for text in texts:
+        assert coder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert coder.decode(np.array([1, 2**32 - 1, 2], dtype="<u4").tobytes() + b"\x01") == coder.decode(np.array([1, 2], dtype="<u4").tobytes())
