@@ -89,4 +89,16 @@ def op10_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_sampled_splitters": op1_sampled_splitters, "op3_fair_queueing": op3_fair_queueing, "op4_iso_media": op4_iso_media, "op5_lattice_hashing": op5_lattice_hashing, "op6_line_blocks": op6_line_blocks, "op2_substring_dedup": op2_substring_dedup, "op7_toxicity_crf": op7_toxicity_crf, "op8_quality_classifier": op8_quality_classifier, "op9_simhash_golay": op9_simhash_golay, "op10_bpe_forced_boundary": op10_bpe_forced_boundary}
-ORACLES: dict[str, str] = {}
+
+#: What SQL can state of the contracts in full. The others hold shards, models, fingerprints, media or ids that it can't make.
+ORACLES = {
+    "op2_substring_dedup": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS i FROM d), k AS (SELECT doc_id, n, i, w[i] AS word, CASE WHEN i + 34 <= n THEN array_to_string(w[i : i + 34], ' ') END AS win FROM p),
+r AS (SELECT *, CASE WHEN win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 THEN 1 ELSE 0 END AS again FROM k), c AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(x.gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(x.kept, '')) AS kept_sha256 FROM d LEFT JOIN (SELECT doc_id, sum(gone) AS gone, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY 1) x USING (doc_id)""",
+    "op5_lattice_hashing": """WITH RECURSIVE v AS (SELECT vec_id, CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 THEN CAST(embedding AS DOUBLE[]) END AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS s FROM v WHERE e IS NOT NULL AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) >= 0.9 * a.s * b.s),
+r(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node), m AS (SELECT node, min(root) AS root FROM r GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, root AS component_id, vec_id = root AS kept FROM embeddings JOIN m ON node = vec_id""",
+}
