@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as ``bytes.split()`` takes it and as the contracts' word pattern states it.
 SPACES = "[\\x20\\x09-\\x0D]+"
+#: What ``written`` and bucketed tables have left in this session, as (kind, name); ``clean`` removes it.
+made: list[tuple[str, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +37,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Materialises a wide frame as Parquet in the shared checkpoint folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/panelkit-{label}-{uuid.uuid4().hex}"
+    made.append(("folder", path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes the tables and folders of intermediate rows; to be called when results have been read."""
+    while made:
+        kind, name = made.pop()
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_key(text) -> list:
     """Two 64-bit columns that together identify a text."""
     known = F.coalesce(text, F.lit(""))

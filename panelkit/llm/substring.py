@@ -3,12 +3,18 @@
 Equal windows of words have the same minimal k-gram at the same place, so windows that repeat anywhere
 share an *anchor*. Texts are first collapsed to distinct ones and bucketed by their key; anchors that occur
 once are dropped; the passages around the others are the reference. A reference of a growing corpus has no
-bounded size and is not broadcast: its shards are the groups of passages that share an anchor, and each
-passage of a document is streamed only through the automaton of its own shard, which holds everything that
-the passage can repeat. The matching statistics then say, window by window, whether the longest match
-reaches the threshold and how often that sequence of words occurs. Words themselves are compared, never
-their hashes. Anchors with very many occurrences are dealt out by whole windows, so that no shard grows
-with the number of copies.
+bounded size and is not broadcast: its shards are the different passages that share an anchor, and each
+passage is streamed only through the automaton of its own shard, which holds everything that the passage
+can repeat. The matching statistics then say, window by window, whether the longest match reaches the
+threshold and how often that sequence of words occurs.
+
+An anchor with very many different passages is dealt into several shards of a fixed size. Each shard's
+automaton settles the windows that repeat inside it; of every window it passes on one place, and windows
+passed on by two shards repeat as well. So no shard grows with the corpus, copies of a passage cost one row,
+and every passage gets its bits back in one row before it meets its places.
+
+Automata and the exchange between shards compare words. Texts and passages are told apart by 128-bit
+digests, which also say where they meet.
 """
 
 from __future__ import annotations
@@ -21,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm._common import cut, parallelism, text_key, written
+from panelkit.llm._common import cut, made, parallelism, text_key, written
 
-#: From this many occurrences on, an anchor's passages are dealt out by whole windows.
-HOT_ANCHOR = 2048
+#: Different passages in one automaton, about; an anchor with more is dealt into several shards.
+SHARD = 2048
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _CHUNK = 1 << 20
@@ -139,8 +145,8 @@ class SuffixAutomaton:
             if self.link[state] >= 0:
                 self.count[self.link[state]] += self.count[state]
 
-    def repeated(self, words: list, window: int) -> list[int]:
-        """Starts of the windows whose match is long enough and occurs at two places or more."""
+    def windows(self, words: list, window: int) -> list[tuple[int, int, int]]:
+        """(start, state, places) of the windows whose match is long enough; equal windows have the same state."""
         state, matched, out = 0, 0, []
         for i, word in enumerate(words):
             while state and word not in self.next[state]:
@@ -152,21 +158,31 @@ class SuffixAutomaton:
             while state and self.length[self.link[state]] >= window:
                 state = self.link[state]
                 matched = self.length[state]
-            if matched >= window and self.count[state] >= 2:
-                out.append(i - window + 1)
+            if matched >= window:
+                out.append((i - window + 1, state, self.count[state]))
         return out
 
 
-def shard_masks(passages: list[str], counts: list[int], window: int) -> list[int]:
-    """For each different passage of a shard, the bits of the window starts that repeat."""
-    if len(passages) == 1 and counts[0] >= 2:
-        return [(1 << (len(passages[0].encode().split()) - window + 1)) - 1]
+def shard_masks(passages: list[str], counts: list[int], window: int, open_ended: bool = False) -> tuple[list[int], list[tuple[int, int, str, bool]]]:
+    """For each different passage of a shard, the bits of the window starts that repeat in it.
+
+    For an open-ended shard also (passage, start, window, single) of one place of every different window; it is
+    single where the shard has no other place.
+    """
     split = [p.encode("utf-8", "surrogatepass").split() for p in passages]
     automaton = SuffixAutomaton()
     for words, n in zip(split, counts, strict=True):
         automaton.add(words, n)
     automaton.finish()
-    return [sum(1 << s for s in automaton.repeated(words, window)) for words in split]
+    masks, passed, seen = [], [], set()
+    for at, words in enumerate(split):
+        found = automaton.windows(words, window)
+        masks.append(sum(1 << s for s, _, places in found if places >= 2))
+        for s, state, places in found if open_ended else ():
+            if state not in seen:
+                seen.add(state)
+                passed.append((at, s, b" ".join(words[s : s + window]).decode("utf-8", "surrogatepass"), places < 2))
+    return masks, passed
 
 
 def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -176,6 +192,7 @@ def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
     rows = docs.select(text).select(*text_key(F.col("text")), "text")
     once = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     name = f"panelkit_texts_{uuid.uuid4().hex}"
+    made.append(("table", name))
     once.write.format("parquet").option("compression", "zstd").bucketBy(parallelism(spark), "k1", "k2").saveAsTable(name)
     return spark.table(name)
 
@@ -194,59 +211,71 @@ def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
     return texts.select("k1", "k2", "text").mapInPandas(run, "h long, k1 long, k2 long, s1 int, s2 int")
 
 
-def _passages(texts: DataFrame, window: int, hot: int) -> DataFrame:
-    def pieces(words: list[bytes], runs):
-        for run in runs:
-            if run["n"] < hot:
-                yield run["h"], run["s1"], b" ".join(words[run["s1"] : run["s2"] + window])
-            else:
-                for s in range(run["s1"], run["s2"] + 1):
-                    text = b" ".join(words[s : s + window])
-                    yield xxhash.xxh64_intdigest(text, 3) - 2**63, s, text
+def _passages(texts: DataFrame, window: int) -> DataFrame:
+    """One row for every run of window starts with a shared anchor: the words that these windows cover."""
 
     def run(batches):
         for pdf in batches:
             out: list[tuple] = []
             for k1, k2, copies, text, runs in zip(pdf["k1"], pdf["k2"], pdf["copies"], pdf["text"], pdf["runs"], strict=True):
-                for g, s, passage in pieces(text.encode("utf-8", "surrogatepass").split(), runs):
+                words = text.encode("utf-8", "surrogatepass").split()
+                for r in runs:
+                    passage = b" ".join(words[r["s1"] : r["s2"] + window])
                     digest = xxhash.xxh3_128_intdigest(passage)
-                    out.append((g, (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, k1, k2, s, copies, passage.decode("utf-8", "surrogatepass")))
+                    out.append((r["h"], (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, k1, k2, r["s1"], copies, passage.decode("utf-8", "surrogatepass")))
                     if len(out) >= 8192:
                         yield pd.DataFrame(out, columns=names)
                         out = []
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    names = ["g", "p1", "p2", "k1", "k2", "s1", "copies", "passage"]
-    return texts.mapInPandas(run, "g long, p1 long, p2 long, k1 long, k2 long, s1 int, copies long, passage string")
+    names = ["h", "p1", "p2", "k1", "k2", "s1", "copies", "passage"]
+    return texts.mapInPandas(run, "h long, p1 long, p2 long, k1 long, k2 long, s1 int, copies long, passage string")
 
 
-def _shard_results(passages: DataFrame, window: int) -> DataFrame:
-    """(g, p1, p2, mask) from different passages; shards are streamed, one automaton at a time."""
+def _shard_results(different: DataFrame, window: int) -> DataFrame:
+    """(h, p1, p2, mask, passed, single) from (h, p1, p2, passage, n, shard, shards), one automaton at a time.
+
+    Rows with ``passed`` null hold the repeated starts of a passage; the others one start and its window.
+    """
 
     def run(batches):
         key, keys, texts, counts = None, [], [], []
 
         def close():
-            masks = shard_masks(texts, counts, window)
-            return [(*k, m) for k, m in zip(keys, masks, strict=True) if m]
+            masks, passed = shard_masks(texts, counts, window, key[2] > 1)
+            found = [(*k, m, None, False) for k, m in zip(keys, masks, strict=True) if m]
+            return found + [(*keys[at], 1 << s, words, single) for at, s, words, single in passed]
 
         for pdf in batches:
             done: list[tuple] = []
-            for g, p1, p2, text, n in zip(pdf["g"], pdf["p1"], pdf["p2"], pdf["passage"], pdf["n"], strict=True):
-                if g != key:
+            for h, shard, shards, p1, p2, text, n in zip(pdf["h"], pdf["shard"], pdf["shards"], pdf["p1"], pdf["p2"], pdf["passage"], pdf["n"], strict=True):
+                if (h, shard, shards) != key:
                     if keys:
                         done += close()
-                    key, keys, texts, counts = g, [], [], []
-                keys.append((g, p1, p2))
+                    key, keys, texts, counts = (h, shard, shards), [], [], []
+                keys.append((h, p1, p2))
                 texts.append(text)
                 counts.append(n)
             yield pd.DataFrame(done, columns=names)
         if keys:
             yield pd.DataFrame(close(), columns=names)
 
-    names = ["g", "p1", "p2", "mask"]
-    return passages.repartition(parallelism(passages.sparkSession), "g").sortWithinPartitions("g", "p1", "p2").mapInPandas(run, "g long, p1 long, p2 long, mask long")
+    names = ["h", "p1", "p2", "mask", "passed", "single"]
+    dealt = different.repartition("h", "shard").sortWithinPartitions("h", "shard", "p1", "p2")
+    return dealt.mapInPandas(run, "h long, p1 long, p2 long, mask long, passed string, single boolean")
+
+
+def _masks(different: DataFrame, window: int, shard: int) -> DataFrame:
+    """(h, p1, p2, mask): the repeated starts of every different passage, in one row."""
+    sizes = different.groupBy("h").agg(F.ceil(F.count("*") / shard).alias("shards"))
+    dealt = different.join(sizes, "h").withColumn("shard", F.pmod("p1", "shards"))
+    results = written(_shard_results(dealt, window), "masks")
+    passed = results.where("passed IS NOT NULL")
+    again = passed.groupBy("passed").agg(F.count("*").alias("n")).where("n >= 2").select("passed")
+    across = passed.where("single").join(again, "passed").select("h", "p1", "p2", "mask")
+    inside = results.where("passed IS NULL").select("h", "p1", "p2", "mask")
+    return inside.union(across).groupBy("h", "p1", "p2").agg(F.bit_or("mask").alias("mask"))
 
 
 def _kept(texts: DataFrame, window: int) -> DataFrame:
@@ -280,7 +309,7 @@ def _kept(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInPandas(run, "k1 long, k2 long, n_words long, n_removed long, kept string, spans array<struct<first:int,end:int>>")
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = 35, hot: int = HOT_ANCHOR) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = 35, shard: int = SHARD) -> DataFrame:
     """One row per different text: k1, k2 (its key), n_words, n_removed, kept (the other words joined by one space), spans of words.
 
     A word goes when a window of ``window`` words that covers it starts anywhere else, in another row or in
@@ -290,11 +319,10 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = 35, ho
     texts = _distinct_texts(docs, text_col)
     places = written(_anchor_rows(texts, window), "anchors")
     often = cut(places.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2"))
-    runs = places.join(often, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("s1", "s2", "h", "n")).alias("runs"))
-    pieces = written(_passages(texts.join(runs, ["k1", "k2"]), window, hot), "passages")
-    different = pieces.groupBy("g", "p1", "p2").agg(F.first("passage").alias("passage"), F.sum("copies").alias("n"))
-    masks = _shard_results(different, window)
-    found = pieces.select("g", "p1", "p2", "k1", "k2", "s1").join(masks, ["g", "p1", "p2"])
+    runs = places.join(often.select("h"), "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("s1", "s2", "h")).alias("runs"))
+    pieces = written(_passages(texts.join(runs, ["k1", "k2"]), window), "passages")
+    different = written(pieces.groupBy("h", "p1", "p2").agg(F.first("passage").alias("passage"), F.sum("copies").alias("n")), "different")
+    found = pieces.select("h", "p1", "p2", "k1", "k2", "s1").join(_masks(different, window, shard), ["h", "p1", "p2"])
     found = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("s1", "mask")).alias("found"))
     return _kept(texts.join(found, ["k1", "k2"], "left"), window)
 

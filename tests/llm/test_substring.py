@@ -32,10 +32,10 @@ def corpus(rng, n=60):
 
 
 def test_matches_brute_force(spark):
-    for seed, window, hot in ((1, 35, 2048), (2, 12, 3), (3, 5, 1)):
+    for seed, window, shard in ((1, 35, 2048), (2, 12, 3), (3, 5, 1)):
         texts = corpus(random.Random(seed))
         df = spark.createDataFrame([(t, 1, "x") for t in texts], "text string, k1 int, kept string")
-        got = {(r.n_words, r.n_removed, r.kept) for r in substring.repeated_spans(df, window=window, hot=hot).collect()}
+        got = {(r.n_words, r.n_removed, r.kept) for r in substring.repeated_spans(df, window=window, shard=shard).collect()}
         assert got == set(brute(texts, window))
 
 
