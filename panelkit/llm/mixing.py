@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelkit.llm._common import cut, text_key
+from panelkit.llm._common import cut, text_key, written
 from panelkit.llm._ranges import running_totals
 
 # Fixed values of the recipe: weights by place of the source, share of all words, passes over a source at most.
@@ -78,16 +78,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
-    """The mix itself with the input's columns: a document once for each pass that takes it; the one that the budget cuts is shortened to the words taken."""
+    """The mix itself with the input's columns: a document once for each pass that takes it; the one that the budget cuts is shortened to the words taken.
+
+    Rows with null or empty texts are never taken. Rows equal in id, text and source are copies of each other: they are
+    taken as often as their copies are, with the other columns of one of them.
+    """
     inner = [f"c{i}" for i in range(len(docs.columns))]
     at, text, source = (inner[docs.columns.index(c)] for c in (id_col, text_col, source_col))
-    taken = mix(docs, id_col, text_col, source_col).select(F.col(id_col).alias("t_id"), F.col("k1").alias("t_k1"), F.col("k2").alias("t_k2"), F.col(source_col).alias("t_source"), "size", F.explode("passes").alias("got")).where("got > 0")
-    whole = F.col("got") == F.col("size")
-    taken = taken.groupBy("t_id", "t_k1", "t_k2", "t_source").agg(F.count_if(whole).alias("whole"), F.max(F.when(~whole, F.col("got"))).alias("part"))
+    got = mix(docs, id_col, text_col, source_col)
+    whole, part = F.filter("passes", lambda g: (g > 0) & (g == F.col("size"))), F.filter("passes", lambda g: (g > 0) & (g < F.col("size")))
+    taken = got.groupBy(F.col(id_col).alias("t_id"), F.col("k1").alias("t_k1"), F.col("k2").alias("t_k2"), F.col(source_col).alias("t_source")).agg(
+        F.sum(F.size(whole)).alias("whole"), F.max(F.array_max(part)).alias("part"), (F.count("*") > 1).alias("again")
+    )
+    taken = written(taken.where("whole > 0 OR part IS NOT NULL"), "taken")
     k1, k2 = text_key(F.col(text).cast("string"))
-    once = docs.toDF(*inner).groupBy(F.col(at).alias("t_id"), k1.alias("t_k1"), k2.alias("t_k2"), F.col(source).cast("string").alias("t_source")).agg(F.first(F.struct(*inner)).alias("row"))
-    same = F.expr("l.t_id <=> r.t_id AND l.t_k1 = r.t_k1 AND l.t_k2 = r.t_k2 AND l.t_source <=> r.t_source")
-    joined = once.alias("l").join(taken.alias("r"), same).select("row", "whole", "part")
+    keyed = docs.toDF(*inner).select(F.struct(*inner).alias("row"), F.col(at).alias("l_id"), k1.alias("l_k1"), k2.alias("l_k2"), F.col(source).cast("string").alias("l_source"))
+    found = keyed.join(taken.hint("merge"), F.expr("l_id <=> t_id AND l_k1 = t_k1 AND l_k2 = t_k2 AND l_source <=> t_source"))
+    once = found.where("again").groupBy("t_id", "t_k1", "t_k2", "t_source").agg(*[F.first(c).alias(c) for c in ("row", "whole", "part")])
+    joined = found.where("NOT again").select("row", "whole", "part").union(once.select("row", "whole", "part"))
     times = F.array_repeat(F.lit(None).cast("long"), F.col("whole").cast("int"))
     rows = joined.withColumn("cut", F.explode(F.when(F.col("part").isNull(), times).otherwise(F.concat(times, F.array("part")))))
     short = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.{text}").cast("string"), F.lit(f"({WORD})")), F.lit(1), F.col("cut").cast("int")), " ")
