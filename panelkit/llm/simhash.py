@@ -9,7 +9,9 @@ pairs that meet are verified by their Hamming distance.
 
 Texts that share four fifths of their shingles differ in ten bits on average, and keys that are complete for so many
 would bring a fixed share of all pairs together. ``similar_texts`` therefore takes more keys from the same shingle
-hashes, bands of minima, and verifies all that meet on the shingles themselves.
+hashes, bands of minima, and verifies pairs that meet on the shingles themselves. A bucket of a key elects leaders and
+compares its members with them: near copies of one text settle in the first round, and only members that are still
+apart from the bucket's largest component lead in later ones, so no bucket's pairs are made at once.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm._common import cut, text_key
+from panelkit.llm._common import cut, text_key, written
 from panelkit.llm._graph import components
 
 # Fixed value: the generator polynomial of the (23, 12) Golay code.
@@ -30,6 +32,8 @@ _CHUNK = 1 << 16
 #: Keys of a text from minima of its shingle hashes, and minima in each: a pair of similarity 0.8 meets in none with
 #: probability (1 - 0.8 ** 4) ** 16 = 0.0002.
 BANDS, BAND_ROWS = 16, 4
+#: Leaders that a member meets as one list, and members that are verified together.
+CHUNK = 256
 
 
 def _parity(info: np.ndarray) -> np.ndarray:
@@ -94,68 +98,55 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fp
     return docs.withColumn(out_col, simhash(F.col(text_col)))
 
 
-def shingles(text: str | None, shingle_words: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, sorted; none for no words."""
+def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
+    """The hashes of a text's shingles in order, repeats included; none for no words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     k = min(shingle_words, len(words))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(x), 42) for x in zip(*(words[i:] for i in range(k)), strict=False)], dtype=np.uint64))
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    return np.fromiter((digest(join(x), 42) for x in zip(*(words[i:] for i in range(k)), strict=False)), dtype=np.uint64)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key for each band; texts without shingles share all of theirs."""
+def voted(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, as ``fingerprint`` makes it."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = hashes[at : at + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
+def band_keys(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """One key for each band, and a sketch of one bit of each minimum; texts without shingles share all of them."""
     rng = np.random.default_rng(5)
     factors = rng.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
     offsets = rng.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64)
     minima = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 4096):
-        mixed = (hashes[at : at + 4096, None] ^ offsets) * factors
-        np.minimum(minima, (mixed ^ mixed >> np.uint64(32)).min(axis=0), out=minima)
+    room = np.empty((1024, len(minima)), dtype=np.uint64)
+    for at in range(0, len(hashes), len(room)):
+        part = hashes[at : at + len(room), None]
+        mixed = np.bitwise_xor(part, offsets, out=room[: len(part)])
+        np.multiply(mixed, factors, out=mixed)
+        np.minimum(minima, mixed.min(axis=0), out=minima)
+    bits = int(np.packbits((minima >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).view(np.int64)[0])
     rows = minima.reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], dtype=np.uint64).view(np.int64)
-
-
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether the Jaccard similarity of two sorted sets reaches ``similarity``; two empty sets are the same."""
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
-
-
-def clusters(texts: list[str | None], keys: list, shingle_words: int, similarity: float) -> list[int]:
-    """For each text the place of the first one that it is linked to; links are similar texts with a key in common."""
-    sets = [shingles(t, shingle_words) for t in texts]
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    met: dict[int, list[list[int]]] = {}
-    for i, own in enumerate(keys):
-        tried: set[int] = set()
-
-        def alike(j: int, i: int = i, tried: set[int] = tried) -> bool:
-            if j in tried:
-                return False
-            tried.add(j)
-            return similar(sets[i], sets[j], similarity)
-
-        for key in own:
-            groups = met.setdefault(key, [])
-            for group in groups:
-                if find(group[0]) != find(i) and any(alike(j) for j in group):
-                    a, b = find(group[0]), find(i)
-                    root[max(a, b)] = min(a, b)
-            mine = next((g for g in groups if find(g[0]) == find(i)), None)
-            if mine is None:
-                groups.append([i])
-            else:
-                mine.append(i)
-    return [find(i) for i in range(len(sets))]
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], dtype=np.uint64).view(np.int64), bits
+
+
+def far_bits(similarity: float) -> int:
+    """Sketches of texts of that similarity differ in (1 - similarity) / 2 of their bits on average; five deviations more."""
+    p = (1 - similarity) / 2
+    return min(64, int(64 * p + 5 * np.sqrt(64 * p * (1 - p))))
+
+
+def similar(own: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Whether the Jaccard similarity of a sorted set and each of several others reaches ``similarity``; two empty sets are the same."""
+    sizes = np.array([len(x) for x in others])
+    if not len(own):
+        return sizes == 0
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+    shared = np.bincount(np.repeat(np.arange(len(others)), sizes), own[at] == every, len(others))
+    return shared >= similarity * (len(own) + sizes - shared) - 1e-9
 
 
 def _keys(values: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -214,39 +205,131 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), "k1", "k2", "fp", "component_id")
 
 
+def _asked(places: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
+    """(k, root, bucket, asks): for each text the leaders of its buckets that are in other components and not far, each once.
+
+    ``places`` holds (bucket, k, bits, root), ``leaders`` (bucket, l, l_bits, l_root). Members meet lists of CHUNK leaders, so
+    rows are not multiplied by leaders. ``bucket`` is the largest of the text's, so that texts which meet come together.
+    """
+    n = leaders.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    lists = leaders.join(n, "bucket").groupBy("bucket", F.pmod(F.xxhash64("l"), "chunks").alias("chunk")).agg(F.collect_list(F.struct("l", "l_bits", "l_root")).alias("ls"))
+    lists = lists.join(places.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    near = F.filter("ls", lambda l: (l["l_root"] != F.col("root")) & (F.bit_count(F.col("bits").bitwiseXOR(l["l_bits"])) <= far_bits(similarity)))
+    met = places.join(lists, "bucket").select("bucket", "n", "k", "root", F.transform(near, lambda l: l["l"]).alias("asks")).where(F.size("asks") > 0)
+    return met.groupBy("k").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("bucket"), F.min("root").alias("root"), F.array_distinct(F.flatten(F.collect_list("asks"))).alias("asks"))
+
+
+def _verified(asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect texts with the leaders they ask for; ``sets`` holds (k, hashes).
+
+    Texts of a bucket are dealt into blocks of about CHUNK; each of them, and each leader that one of them asks for, goes to
+    the block once. All pairs asked for are verified; a leader gives one link for each component that it is similar to.
+    """
+
+    def run(batches):
+        block, held, asks, roots = None, {}, {}, {}
+
+        def close():
+            out, by = [], {}
+            for k, leaders in asks.items():
+                for a in leaders:
+                    by.setdefault(a, []).append(k)
+            for a, members in by.items():
+                found = similar(held[a], [held[k] for k in members], similarity)
+                linked = {roots[k]: k for k, yes in zip(members, found, strict=True) if yes}
+                out += [(a, k) for k in linked.values()]
+            return out
+
+        for pdf in batches:
+            done = []
+            for to, k, root, leaders, data in zip(pdf["block"], pdf["k"], pdf["root"], pdf["asks"], pdf["hashes"], strict=True):
+                if to != block:
+                    done += close()
+                    block, held, asks, roots = to, {}, {}, {}
+                held[k] = np.frombuffer(data, dtype=np.uint64)
+                if leaders is not None:
+                    asks[k], roots[k] = leaders, root
+            yield pd.DataFrame(done, columns=["a", "b"])
+        yield pd.DataFrame(close(), columns=["a", "b"])
+
+    rows = written(asked, "asked")
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    rows = rows.join(sizes, "bucket").select(F.xxhash64("bucket", F.pmod(F.xxhash64("k"), "chunks")).alias("block"), "k", "root", "asks")
+    leaders = rows.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("asks"))).alias("asks")).select("block", F.explode("asks").alias("k"))
+    leaders = leaders.join(rows.select("block", "k"), ["block", "k"], "left_anti").select("block", "k", F.lit(None).cast("long").alias("root"), F.lit(None).cast("array<long>").alias("asks"))
+    found = rows.unionByName(leaders).join(sets, "k").repartition("block").sortWithinPartitions("block")
+    return found.mapInPandas(run, "a long, b long")
+
+
+def linked_texts(places: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the components of similar texts that share a bucket.
+
+    ``places`` holds (bucket, k, bits), a row for every bucket of a text. Each round a bucket's leaders are compared with
+    all members of other components; buckets that have become one component go. It is done when all members outside the
+    largest component of their bucket have led: then any two texts of a bucket in different components have been compared.
+    """
+    places = places.withColumn("root", F.col("k"))
+    leaders = places.groupBy("bucket").agg(F.min("k").alias("l"), F.min_by("bits", "k").alias("l_bits")).withColumn("l_root", F.col("l"))
+    asked = leaders.select("bucket", F.col("l").alias("k"))
+    edges, width = cut(_verified(_asked(places, leaders, similarity), sets, similarity)), 8
+    while True:
+        roots = components(edges)
+        state = places.drop("root").join(roots, F.col("k") == F.col("node"), "left").select("bucket", "k", "bits", F.coalesce("root", "k").alias("root"))
+        counts = state.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        split = counts.groupBy("bucket").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+        apart = written(state.join(split, "bucket"), "apart")
+        minor = apart.where("root <> main").join(asked, ["bucket", "k"], "left_anti")
+        leaders = minor.groupBy("bucket", F.pmod(F.xxhash64("k"), F.lit(width)).alias("way")).agg(F.min("k").alias("l"), F.min_by("bits", "k").alias("l_bits"), F.min_by("root", "k").alias("l_root"))
+        leaders = written(leaders.drop("way"), "leaders")
+        if leaders.isEmpty():
+            return roots
+        places = apart.drop("main")
+        asked = cut(asked.join(places.select("bucket").distinct(), "bucket", "left_semi").union(leaders.select("bucket", F.col("l").alias("k"))))
+        new = _verified(_asked(places, leaders, similarity), sets, similarity)
+        edges = cut(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(new))
+        width *= 8
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, max_bits: int = 2, shingle_words: int = 5) -> DataFrame:
     """Like ``near_duplicates``, with links between texts whose sets of shingles have that Jaccard similarity or more.
 
-    Texts meet under the keys of their bands or by fingerprints within ``max_bits``, and all that meet are verified.
-    Texts that are connected by keys are compared in one task, in which each text is held once.
+    Texts meet under the keys of their bands or by fingerprints within ``max_bits``; pairs are verified. Texts without
+    words share all keys and are linked; null counts as the empty text; null ids and repeated rows are kept.
     """
 
-    @F.pandas_udf("fp long, keys array<long>")
+    @F.pandas_udf("fp long, keys array<long>, bits long")
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        fps = np.array([fingerprint(t, shingle_words) for t in texts], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"fp": fps, "keys": [band_keys(shingles(t, shingle_words)) for t in texts]})
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["k1", "k2"], ignore_index=True)
-        first = clusters(list(pdf["text"]), list(pdf["keys"]), shingle_words, similarity)
-        return pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "r1": pdf["k1"].to_numpy()[first], "r2": pdf["k2"].to_numpy()[first]})
+        fps, keys, bits = [], [], []
+        for t in texts:
+            found = shingle_hashes(t, shingle_words)
+            fps.append(voted(found))
+            own, sketched = band_keys(np.unique(found))
+            keys.append(own)
+            bits.append(sketched)
+        return pd.DataFrame({"fp": np.array(fps, dtype=np.uint64).view(np.int64), "keys": keys, "bits": bits})
+
+    @F.pandas_udf("binary")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in texts])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), *text_key(text))
-    ids = cut(rows.select("id", "k1", "k2", sketch("text").alias("s")).select("id", "k1", "k2", "s.fp", "s.keys"))
-    texts = ids.groupBy("k1", "k2").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    classes = components(linked_fingerprints(ids.select("fp").distinct(), max_bits)).select(F.col("node").alias("fp"), "root")
-    texts = texts.join(classes, "fp", "left").withColumn("keys", F.array_append("keys", F.coalesce("root", "fp")))
-    texts = cut(texts.select("k1", "k2", "keys"))
-    places = texts.select(F.col("k1").alias("b"), F.posexplode("keys").alias("at", "key"))
-    hubs = places.groupBy("at", "key").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a <> last").drop("last")
-    met = components(places.join(hubs, ["at", "key"]).select("a", "b")).select(F.col("node").alias("k1"), F.col("root").alias("met"))
-    met = cut(texts.join(met, "k1"))
-    known = rows.select("text", "k1", "k2").join(met.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    found = cut(known.join(met, ["k1", "k2"]).groupBy("met").applyInPandas(verify, "k1 long, k2 long, r1 long, r2 long"))
-    ids = ids.drop("keys").join(found, ["k1", "k2"], "left").withColumns({"r1": F.coalesce("r1", "k1"), "r2": F.coalesce("r2", "k2")})
-    least = ids.groupBy("r1", "r2").agg(F.min("id").alias("component_id"))
-    return ids.join(least, ["r1", "r2"]).select(F.col("id").alias(id_col), "k1", "k2", F.concat_ws(" ", "r1", "r2").alias("fp"), "component_id")
+    ids = cut(rows.select("id", "k1", "k2", sketch("text").alias("s")).select("id", "k1", "k2", "s.fp", "s.keys", "s.bits"))
+    once = ids.groupBy("k1", "k2").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    texts = written(once.withColumn("k", F.monotonically_increasing_id()), "sketches")
+    classes = written(components(linked_fingerprints(texts.select("fp").distinct(), max_bits)).select(F.col("node").alias("fp"), "root"), "classes")
+    all_ = texts.join(classes, "fp", "left").select("k", "bits", F.posexplode(F.array_append("keys", F.coalesce("root", "fp"))).alias("at", "key"))
+    all_ = all_.select("k", "bits", F.xxhash64("at", "key").alias("bucket"))
+    shared = all_.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    places = written(all_.join(shared, "bucket"), "places")
+    meeting = written(texts.join(places.select("k").distinct(), "k", "left_semi").select("k", "k1", "k2"), "meeting")
+    known = rows.select("k1", "k2", "text").join(meeting.hint("merge"), ["k1", "k2"]).groupBy("k").agg(F.first("text").alias("text"))
+    sets = written(known.select("k", hashes("text").alias("hashes")), "shingles")
+    roots = linked_texts(places, sets, similarity)
+    groups = texts.join(roots, F.col("k") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "k").alias("group"))
+    members = ids.select("id", "k1", "k2").join(groups, ["k1", "k2"])
+    least = members.groupBy("group").agg(F.min("id").alias("component_id"))
+    return members.join(least, "group").select(F.col("id").alias(id_col), "k1", "k2", F.col("group").cast("string").alias("fp"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:
@@ -256,14 +339,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """
     found = near_duplicates(docs, id_col, text_col, **options) if similarity is None else similar_texts(docs, id_col, text_col, similarity, **options)
     found = found.withColumn("group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), "fp")))
-    won = found.groupBy("group").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "k1", "k2")).alias("w"))
-    won = cut(won.select(F.col("w.id").alias("w_id"), F.col("w.k1").alias("w_k1"), F.col("w.k2").alias("w_k2")))
-    k1, k2 = text_key(F.col(text_col).cast("string"))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "k1", "k2")
+    same = found.groupBy("group", order.alias("w")).agg(F.count("*").alias("n"))
+    won = same.groupBy("group").agg(F.min(F.struct("w", "n")).alias("b"))
+    won = written(won.select(F.col("b.w.none").alias("g_none"), F.xxhash64("b.w.id").alias("g_id"), F.col("b.w.k1").alias("g_k1"), F.col("b.w.k2").alias("g_k2"), (F.col("b.n") > 1).alias("again")), "winners")
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
-    rows = docs.toDF(*inner)
     at, text = inner[names.index(id_col)], inner[names.index(text_col)]
     k1, k2 = text_key(F.col(text).cast("string"))
-    once = rows.groupBy(F.col(at).alias("g_id"), k1.alias("g_k1"), k2.alias("g_k2")).agg(F.first(F.struct(*inner)).alias("row"))
-    kept = once.join(won, F.expr("g_id <=> w_id AND g_k1 = w_k1 AND g_k2 = w_k2"), "left_semi")
-    return kept.select(*[F.col(f"row.{c}").alias(n) for c, n in zip(inner, names, strict=True)])
+    place = ["g_none", "g_id", "g_k1", "g_k2"]
+    rows = docs.toDF(*inner).select("*", F.col(at).isNull().alias("g_none"), F.xxhash64(at).alias("g_id"), k1.alias("g_k1"), k2.alias("g_k2")).join(won.hint("merge"), place)
+    repeated = rows.where("again").groupBy(*place, at).agg(F.first(F.struct(*inner)).alias("row")).select("row.*")
+    return rows.where("NOT again").select(*inner).union(repeated).toDF(*names)
