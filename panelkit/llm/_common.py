@@ -59,5 +59,10 @@ def text_key(text) -> list:
     return [F.xxhash64(known).alias("k1"), F.xxhash64(F.lit(7), known, F.length(known)).alias("k2")]
 
 
+def longer_tasks(df: DataFrame) -> DataFrame:
+    """Neighbouring partitions together, down to three for each core, so that short Python tasks don't each start a worker."""
+    return df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

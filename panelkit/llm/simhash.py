@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm._common import cut, text_key, written
+from panelkit.llm._common import cut, longer_tasks, text_key, written
 from panelkit.llm._graph import components
 
 # Fixed value: the generator polynomial of the (23, 12) Golay code.
@@ -175,7 +175,7 @@ def _keyed(fps: DataFrame, probe: bool) -> DataFrame:
                 rows, keys = _keys(part, probe)
                 yield pd.DataFrame({"key": keys, "fp": part[rows]})
 
-    return fps.mapInPandas(run, "key long, fp long")
+    return longer_tasks(fps).mapInPandas(run, "key long, fp long")
 
 
 def linked_fingerprints(fps: DataFrame, max_bits: int = 2) -> DataFrame:
@@ -258,7 +258,7 @@ def _verified(asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     leaders = rows.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("asks"))).alias("asks")).select("block", F.explode("asks").alias("k"))
     leaders = leaders.join(rows.select("block", "k"), ["block", "k"], "left_anti").select("block", "k", F.lit(None).cast("long").alias("root"), F.lit(None).cast("array<long>").alias("asks"))
     found = rows.unionByName(leaders).join(sets, "k").repartition("block").sortWithinPartitions("block")
-    return found.mapInPandas(run, "a long, b long")
+    return longer_tasks(found).mapInPandas(run, "a long, b long")
 
 
 def linked_texts(places: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -324,7 +324,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places = written(all_.join(shared, "bucket"), "places")
     meeting = written(texts.join(places.select("k").distinct(), "k", "left_semi").select("k", "k1", "k2"), "meeting")
     known = rows.select("k1", "k2", "text").join(meeting.hint("merge"), ["k1", "k2"]).groupBy("k").agg(F.first("text").alias("text"))
-    sets = written(known.select("k", hashes("text").alias("hashes")), "shingles")
+    sets = written(longer_tasks(known).select("k", hashes("text").alias("hashes")), "shingles")
     roots = linked_texts(places, sets, similarity)
     groups = texts.join(roots, F.col("k") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "k").alias("group"))
     members = ids.select("id", "k1", "k2").join(groups, ["k1", "k2"])
