@@ -89,6 +89,7 @@ class ForcedBoundaryBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.heads = {t[0] for t in self.special}
         #: Ids of a byte's letter inside a pre-token and at its end; -1 where the vocabulary has none.
         self.inside = {c: vocab.get(c, -1) for c in self.letters.values()}
         self.ending = {c: vocab.get(c + suffix, -1) for c in self.letters.values()}
@@ -194,27 +195,33 @@ class ForcedBoundaryBpe:
             return known
         if not raw.isascii() and self.unknown.search(raw):
             return self.foreign(raw)
-        text = raw if raw.isascii() else unicodedata.normalize("NFC", raw)
-        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        body = text.rstrip(string.punctuation)
-        if body.isalpha():
-            parts = [body, text[len(body) :]] if len(body) < len(text) else [text]
-        else:
-            parts = self.pattern.findall(text)
         get, piece = self.pieces.new.get, self.piece
-        out = b"".join([x if (x := get(p)) is not None else piece(p) for p in parts])
+        out = b"".join([x if (x := get(p)) is not None else piece(p) for p in self.parts(raw)])
         if len(raw) < LONG:
             self.words.keep(raw, out)
         return out
 
-    def foreign(self, raw: str) -> bytes:
-        """``word`` for characters that only the library's tables know."""
+    def parts(self, raw: str) -> list[str]:
+        """The pre-tokens of a word, in normal form and lower case; for characters that Python's tables know."""
+        text = raw if raw.isascii() else unicodedata.normalize("NFC", raw)
+        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        body = text.rstrip(string.punctuation)
+        if body.isalpha():
+            return [body, text[len(body) :]] if len(body) < len(text) else [text]
+        return self.pattern.findall(text)
+
+    def foreign_parts(self, raw: str) -> list[str]:
+        """Pre-tokens, in the byte alphabet, of a word with characters that only the library's tables know."""
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_str(self.spec)
         text = self.library.normalizer.normalize_str(raw)
-        return b"".join(self.fragments(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text))
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def foreign(self, raw: str) -> bytes:
+        """``word`` for characters that only the library's tables know."""
+        return b"".join(map(self.fragments, self.foreign_parts(raw)))
 
     def _plain(self, text: str) -> list[bytes]:
         words = text.split() if not regex.search("[\x1c-\x1f]", text) else [w for w in WHITE.split(text) if w]
@@ -225,7 +232,7 @@ class ForcedBoundaryBpe:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.marks is None or "<" not in text:
+        if not any(c in text for c in self.heads):
             return b"".join(self._plain(text))
         out: list[bytes] = []
         for part in self.marks.split(text):

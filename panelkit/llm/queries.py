@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, embeddings, html, media, mixing, quality, sharding, simhash, substring, toxicity
+from panelkit.llm import alignment, audit, bpe, embeddings, html, media, mixing, packing, quality, sharding, simhash, substring, toxicity
 from panelkit.llm._common import table, text_key
 
 
@@ -88,7 +88,22 @@ def op10_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sampled_splitters": op1_sampled_splitters, "op3_fair_queueing": op3_fair_queueing, "op4_iso_media": op4_iso_media, "op5_lattice_hashing": op5_lattice_hashing, "op6_line_blocks": op6_line_blocks, "op2_substring_dedup": op2_substring_dedup, "op7_toxicity_crf": op7_toxicity_crf, "op8_quality_classifier": op8_quality_classifier, "op9_simhash_golay": op9_simhash_golay, "op10_bpe_forced_boundary": op10_bpe_forced_boundary}
+def op11_spill_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    # The .tiktoken file holds the ranks of the contract's byte_bpe_50k.json.
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), word_bpe())
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_sampled_splitters": op1_sampled_splitters, "op3_fair_queueing": op3_fair_queueing, "op4_iso_media": op4_iso_media, "op5_lattice_hashing": op5_lattice_hashing, "op6_line_blocks": op6_line_blocks, "op2_substring_dedup": op2_substring_dedup, "op7_toxicity_crf": op7_toxicity_crf, "op8_quality_classifier": op8_quality_classifier, "op9_simhash_golay": op9_simhash_golay, "op10_bpe_forced_boundary": op10_bpe_forced_boundary, "op11_spill_alignment": op11_spill_alignment, "op12_best_fit_packing": op12_best_fit_packing, "op13_filter_audit": op13_filter_audit}
 
 #: What SQL can state of the contracts in full. The others hold shards, models, fingerprints, media or ids that it can't make.
 ORACLES = {
@@ -101,4 +116,13 @@ n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS s FROM v WHERE e IS NOT
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) >= 0.9 * a.s * b.s),
 r(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node), m AS (SELECT node, min(root) AS root FROM r GROUP BY 1)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, root AS component_id, vec_id = root AS kept FROM embeddings JOIN m ON node = vec_id""",
+    "op13_filter_audit": r"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * len(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM w),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
+g AS (SELECT part, CAST(a AS INT) + 2 * CAST(b AS INT) + 4 * CAST(c AS INT) + 8 * CAST(d AS INT) + 16 * CAST(e AS INT) AS mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+p(o) AS (SELECT '' UNION ALL SELECT o || x FROM p, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)),
+s AS (SELECT o AS filter_order, CAST(unnest(range(1, 6)) AS INT) AS step FROM p WHERE len(o) = 5),
+b AS (SELECT filter_order, step, CAST(pow(2, ascii(filter_order[step]) - 65) AS INT) AS own, CAST(list_sum([0] || list_transform(range(1, step), lambda i: pow(2, ascii(filter_order[i]) - 65))) AS INT) AS early FROM s),
+r AS (SELECT part, filter_order, step, own, CAST(sum(CASE WHEN mask & (early + own) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN mask & early = 0 AND mask & own <> 0 THEN n ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN mask & early <> 0 AND mask & own <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN mask = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails, CAST(sum(CASE WHEN mask & early = 0 AND mask & own <> 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN mask & early = 0 AND mask & own <> 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM g, b GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
 }
