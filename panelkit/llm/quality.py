@@ -111,8 +111,8 @@ class QualityModel:
         return np.concatenate([total / n, self.again * (same / n)])
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        h = np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1)
-        return h @ self.w2 + self.b2
+        """Row by row: a product of several rows may round a row by what stands beside it, and a score must not."""
+        return np.array([np.tanh(z @ self.w1 + self.b1) @ self.w2 for z in (x - self.mean) / self.scale]) + self.b2
 
     def score(self, texts) -> np.ndarray:
         """Probability of label 1; 0 for a text without words."""

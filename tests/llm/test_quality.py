@@ -39,3 +39,12 @@ def test_long_text_and_repeats():
     text = " ".join(f"w{i}" for i in range(150_000))
     assert 0 <= model.score([text])[0] <= 1
     assert np.allclose(model.score(["a b c"] * 2), model.score(["a b c"])[0])
+
+
+def test_a_score_does_not_depend_on_its_batch():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["an", "the", "###", "0000", "river", "stone"], rng.integers(1, 300))) for _ in range(60)]
+    model = quality.fit(texts, [i % 2 for i in range(60)], rounds=20)
+    alone = model.score(texts[:1])[0]
+    for n in range(1, 41):
+        assert model.score([*texts[20 : 20 + n], texts[0]])[-1] == alone == model.score([texts[0], *texts[20 : 20 + n]])[0]
