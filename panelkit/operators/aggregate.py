@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.operators._names import refuse, spare
 from panelkit.operators.columns import ratio
+from panelkit.operators.ranges import in_ranges, quantiles
+
+#: Cells (value, period) that are compared with each other in one task.
+CELLS_PER_BLOCK = 4096
 
 
 def agg_conditional(df: DataFrame, by: list[str], cells: dict[str, tuple[str, Column | None, Column | None]]) -> DataFrame:
@@ -101,15 +106,16 @@ def agg_share_of_total(df: DataFrame, by: list[str], member: str, count: str, sh
 
 
 def agg_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, as columns q0, q1, ...; nulls are left out."""
-    all_ = F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities])).alias("_q")
-    return df.groupBy(*by).agg(all_, F.count(value).alias("n")).select(*by, "n", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probabilities))])
+    """Exact quantiles with linear interpolation, as columns q0, q1, ...; nulls are left out. Groups may be of any size."""
+    return quantiles(df, by, value, probabilities)
 
 
 def trim_quantile(df: DataFrame, by: list[str], value: str, upper: float = 0.99) -> DataFrame:
-    """Rows at or below their group's quantile; rows with a null value go."""
-    cut = df.groupBy(*by).agg(F.percentile(value, F.lit(upper)).alias("_cut"))
-    return df.join(cut, by).where(F.col(value) <= F.col("_cut")).select(*df.columns)
+    """Rows at or below their group's quantile; rows with a null value go, those of a null group stay by the same rule."""
+    own = spare(df, *[f"by{i}" for i in range(len(by))], "cut")
+    cut = quantiles(df, by, value, [upper]).select(*[F.col(b).alias(o) for b, o in zip(by, own, strict=False)], F.col("q0").alias(own[-1]))
+    same = [F.col(b).eqNullSafe(F.col(o)) for b, o in zip(by, own, strict=False)]
+    return (df.join(cut, same) if by else df.join(F.broadcast(cut))).where(F.col(value) <= F.col(own[-1])).select(*df.columns)
 
 
 def pivot_wide(df: DataFrame, index: list[str], name: str, value: str, names: list) -> DataFrame:
@@ -220,18 +226,48 @@ def share_uncertainty(df: DataFrame, by: list[str], p: str, weight: str) -> Data
     return out.withColumn("binomial_se", F.sqrt(ratio(F.col("share") * (1 - F.col("share")), F.col("n_known"))))
 
 
-def percentile_score_cumulative(df: DataFrame, by: list[str], period: str, value: str, minimum: int = 10) -> DataFrame:
+def percentile_score_cumulative(df: DataFrame, by: list[str], period: str, value: str, minimum: int = 10, cells_per_block: int = CELLS_PER_BLOCK) -> DataFrame:
     """Adds score: 10 * (values below + half the equal ones) among all rows of the class up to and including the row's period; null below ``minimum`` peers.
 
-    Rows are first counted per (class, value, period); only that table meets itself, so its size is the number of
-    different values, not of rows.
+    Dominance counting: rows are counted per (class, value, period), and these cells dealt into blocks of neighbouring
+    values. What lies in lower blocks comes from a prefix table of (class, block, period) totals; only cells of one block
+    are compared with each other, in a table of its values by its periods. Rows with a null class, period or value have no score.
+    """
+    place, n, low, same, peers = spare(df, "block", "n", "low", "same", "peers")
+    cells = df.dropna(subset=[*by, period, value]).groupBy(*by, period, value).agg(F.count("*").alias(n))
+    blocks = in_ranges(cells, [*by, value], place, cells_per_block)
+    totals = blocks.groupBy(*by, place, period).agg(F.sum(n).alias(n))
+    before = _lower_blocks(totals, by, place, period, n, low)
+    schema = blocks.select(*by, place, period, value).schema.add(same, "double")
+
+    def inside(key, pdf):
+        values, v = np.unique(pdf[value].to_numpy(), return_inverse=True)
+        periods, t = np.unique(pdf[period].to_numpy(), return_inverse=True)
+        table = np.zeros((len(values), len(periods)))
+        table[v, t] = pdf[n].to_numpy()
+        up_to = table.cumsum(axis=1)
+        return pdf[[*by, place, period, value]].assign(**{same: (up_to.cumsum(axis=0) - up_to / 2)[v, t]})
+
+    counted = blocks.groupBy(*by, place).applyInPandas(inside, schema)
+    all_ = Window.partitionBy(*by).orderBy(period)
+    sizes = cells.groupBy(*by, period).agg(F.sum(n).alias(n)).select(*by, period, F.sum(n).over(all_).alias(peers))
+    scored = counted.join(before, [*by, place, period]).join(sizes, [*by, period])
+    score = F.when(F.col(peers) >= minimum, 10 * (F.col(low) + F.col(same)) / F.col(peers))
+    return df.join(scored.select(*by, period, value, score.alias("score")), [*by, period, value], "left").select(*df.columns, "score")
+
+
+def _lower_blocks(totals: DataFrame, by: list[str], place: str, period: str, n: str, name: str) -> DataFrame:
+    """(by, block, period) with the rows of the class's lower blocks up to that period, from totals with a row for each that occurs.
+
+    Running totals over the blocks for each period, then over the periods of a block; both windows run over the
+    table of a class's blocks by its periods, a few thousandths of its cells.
     """
-    cells = df.where(F.col(value).isNotNull()).groupBy(*by, period, value).agg(F.count("*").alias("_n"))
-    right = cells.select(*by, F.col(period).alias("_t"), F.col(value).alias("_v"), F.col("_n").alias("_m"))
-    met = cells.join(right, by).where(F.col("_t") <= F.col(period))
-    below = F.sum(F.when(F.col("_v") < F.col(value), F.col("_m")).when(F.col("_v") == F.col(value), F.col("_m") / 2).otherwise(0.0))
-    scores = met.groupBy(*by, period, value).agg(F.when(F.sum("_m") >= minimum, 10 * below / F.sum("_m")).alias("score"))
-    return df.join(scores, [*by, period, value], "left").select(*df.columns, "score")
+    along = Window.partitionBy(*by, period).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.partitionBy(*by, place).orderBy(period)
+    grid = totals.select(*by, place).distinct().join(totals.select(*by, period).distinct(), by)
+    filled = grid.join(totals, [*by, place, period], "left")
+    lower = filled.select(*by, place, period, F.col(n).isNotNull().alias("held"), F.coalesce(F.sum(n).over(along), F.lit(0)).alias(n))
+    return lower.select(*by, place, period, "held", F.sum(n).over(up).alias(name)).where("held").drop("held")
 
 
 def composite_score(parts: list[str], minimum: int = 6) -> Column:
@@ -271,6 +307,7 @@ def select_authoritative(df: DataFrame, key: list[str], value: str, preference:
     joined = rows.join(best, key)
     return joined.groupBy(*key).agg(
         F.first("_b.v").alias("chosen"), F.count("*").alias("n_values"), F.array_join(F.array_sort(F.collect_set(F.when(F.col(value) != F.col("_b.v"), F.col(value).cast("string")))), ";").alias("alternatives"),
+        # The values of one key, few in number, so one task may hold them.
         F.percentile(F.when(F.col("_tier").eqNullSafe(F.col("_t")), F.col(value)), F.lit(0.5)).alias("tier_median"),
     )
 

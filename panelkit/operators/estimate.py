@@ -11,14 +11,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.operators._names import spare
 from panelkit.operators._state import checkpointed
+from panelkit.operators.ranges import in_ranges, running
 
-#: Clusters whose scores and cross products may be sent to every task of a wild bootstrap.
-MAX_WILD_CLUSTERS = 20_000
+#: Levels of effects across clusters that a wild bootstrap takes as regressors.
+MAX_DUMMIES = 100
+#: Scores that one batch of bootstrap draws of a ranking takes.
+SCORES_PER_BATCH = 256
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -111,6 +114,8 @@ class Fit:
     n: int
     absorbed: int
     dropped: list[str] = field(default_factory=list)
+    #: Absorbed when levels inside one cluster are left out: an effect nested in the clusters counts as one level.
+    apart: int = 0
 
     def x(self) -> list[str]:
         return [f"_x{i}" for i in range(len(self.terms))]
@@ -159,17 +164,17 @@ def fit(df: DataFrame, y: str, x: list[str], effects: list[str] | None = None, c
     """Least squares with absorbed effects (or an intercept); rows with a null in any variable are left out.
 
     A regressor that follows from those before it is dropped. Absorbed counts the intercept, or the levels of the effects
-    less one for each after the first.
+    less one for each after the first; apart does the same with effects nested in a cluster counted as one level each.
     """
     effects, clusters = effects or [], clusters or []
     rows = df.dropna(subset=[y, *x, *effects, *clusters])
     inner = ["_y", *[f"_x{i}" for i in range(len(x))]]
     rows = rows.select(F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(x)], *[F.col(e).alias(f"_f{i}") for i, e in enumerate(effects)], *[F.col(c).alias(f"_c{i}") for i, c in enumerate(clusters)])
     names = [f"_f{i}" for i in range(len(effects))]
-    absorbed = 1
+    absorbed = apart = 1
     if names:
-        counts = rows.agg(*[F.countDistinct(n) for n in names]).first()
-        absorbed = sum(counts) - (len(names) - 1)
+        counts = [_levels(rows, n, [f"_c{i}" for i in range(len(clusters))]) for n in names]
+        absorbed, apart = (sum(c) - (len(names) - 1) for c in zip(*counts, strict=True))
     net = demean(rows, inner, names)
     g, n = gram(net, [*inner[1:], "_y"])
     raw = np.array([v or 0.0 for v in rows.agg(*[F.var_pop(c) for c in inner[1:]]).first()]) * n if x else np.zeros(0)
@@ -181,7 +186,15 @@ def fit(df: DataFrame, y: str, x: list[str], effects: list[str] | None = None, c
     for i, b in zip(kept, beta, strict=True):
         e = e - F.lit(float(b)) * F.col(f"_x{i}")
     out = net.select(*[F.col(f"_x{i}").alias(f"_x{j}") for j, i in enumerate(kept)], "_y", e.alias("_e"), *[f"_f{i}" for i in range(len(effects))], *[f"_c{i}" for i in range(len(clusters))])
-    return Fit(out, [x[i] for i in kept], beta, inverse, n, absorbed, [c for i, c in enumerate(x) if i not in kept])
+    return Fit(out, [x[i] for i in kept], beta, inverse, n, absorbed, [c for i, c in enumerate(x) if i not in kept], apart)
+
+
+def _levels(rows: DataFrame, effect: str, clusters: list[str]) -> tuple[int, int]:
+    """Levels of an effect; and the number that counts in clustered errors, 1 where each level lies in one cluster of any of the clusterings."""
+    ends = [f(c).alias(f"{c}{i}") for c in clusters for i, f in enumerate((F.min, F.max))]
+    levels = rows.groupBy(effect).agg(F.count("*").alias("n"), *ends)
+    row = levels.agg(F.count("*").alias("n"), *[F.count(F.when(F.col(f"{c}0") != F.col(f"{c}1"), 1)).alias(c) for c in clusters]).first()
+    return row["n"], 1 if any(row[c] == 0 for c in clusters) else row["n"]
 
 
 def cluster_meat(f: Fit, by: list[str]) -> tuple[np.ndarray, int]:
@@ -190,11 +203,12 @@ def cluster_meat(f: Fit, by: list[str]) -> tuple[np.ndarray, int]:
     return gram(scores, [f"s{i}" for i in range(len(f.terms))])
 
 
-def cluster_variance(f: Fit, by: list[str]) -> tuple[np.ndarray, int]:
-    """CR1: (G / (G - 1)) ((N - 1) / (N - k - absorbed)) A^-1 M A^-1."""
-    meat, g = cluster_meat(f, by)
-    scale = g / (g - 1) * (f.n - 1) / (f.n - len(f.terms) - f.absorbed) if g > 1 else float("nan")
-    return scale * f.inverse @ meat @ f.inverse, g
+def cluster_variance(f: Fit, by: list[str], least: int | None = None) -> tuple[np.ndarray, int]:
+    """CR1: (G / (G - 1)) ((N - 1) / (N - k - apart)) A^-1 M A^-1; ``least`` stands for G where it is given."""
+    meat, own = cluster_meat(f, by)
+    g = own if least is None else least
+    scale = g / (g - 1) * (f.n - 1) / (f.n - len(f.terms) - f.apart) if g > 1 else float("nan")
+    return scale * f.inverse @ meat @ f.inverse, own
 
 
 def iid_variance(f: Fit) -> np.ndarray:
@@ -203,9 +217,10 @@ def iid_variance(f: Fit) -> np.ndarray:
 
 
 def twoway_variance(f: Fit, one: str, two: str) -> tuple[np.ndarray, int]:
-    """V1 + V2 - V12 and the smaller number of clusters; not forced to be positive."""
-    (v1, g1), (v2, g2), (v12, _) = cluster_variance(f, [one]), cluster_variance(f, [two]), cluster_variance(f, [one, two])
-    return v1 + v2 - v12, min(g1, g2)
+    """V1 + V2 - V12, all with the smallest number of clusters in their correction, and that number; not forced to be positive."""
+    least = min(f.rows.agg(F.countDistinct(one), F.countDistinct(two)).first())
+    v1, v2, v12 = (cluster_variance(f, by, least)[0] for by in ([one], [two], [one, two]))
+    return v1 + v2 - v12, least
 
 
 SCHEMA = "term string, estimate double, std_error double, t_value double, p_value double, n long, n_clusters long, dropped int"
@@ -225,7 +240,8 @@ def ols_fe(df: DataFrame, y: str, x: list[str], fe: list[str] | None = None, clu
     """One row per regressor: estimate, standard error, t, p (t with G - 1 degrees), n, clusters; collinear ones are reported as dropped.
 
     ``fe`` are absorbed; a name "a^b" means the cells of a and b. One cluster gives CR1 errors, two give two-way errors, none
-    the homoskedastic ones.
+    the homoskedastic ones. Effects nested in a cluster don't count in the correction of clustered errors, and two-way
+    errors take the smaller number of clusters in all parts.
     """
     fe = fe or []
     cells = {e: F.concat_ws("^", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in e.split("^")]) for e in fe if "^" in e}
@@ -313,9 +329,12 @@ def gelbach_decompose(df: DataFrame, y: str, focal: str, blocks: dict[str, list[
     """How much of the focal coefficient's change each block of controls accounts for: rows base, full, every block; they add up.
 
     From one cross product: the block's part is its coefficients in the full fit times the focal slopes of its columns.
+    Values are null where there are no complete rows or the focal regressor doesn't vary.
     """
     x = [focal, *[c for b in blocks.values() for c in b]]
-    g, _ = gram(df.dropna(subset=[y, *x]).withColumn("_one", F.lit(1.0)), ["_one", *x, y])
+    g, n = gram(df.dropna(subset=[y, *x]).withColumn("_one", F.lit(1.0)), ["_one", *x, y])
+    if not n or not {0, 1} <= set(independent_columns(g[:-1, :-1])):
+        return df.sparkSession.createDataFrame([(part, None) for part in ("base", "full", *blocks)], "part string, value double")
     kept = independent_columns(g[:-1, :-1])
     beta = np.zeros(len(x) + 1)
     beta[kept] = solve(g[np.ix_(kept, kept)], g[kept, -1])
@@ -328,13 +347,18 @@ def gelbach_decompose(df: DataFrame, y: str, focal: str, blocks: dict[str, list[
     return df.sparkSession.createDataFrame(rows, "part string, value double")
 
 
-def _poisson(key: np.ndarray, replicate: int, seed: int) -> np.ndarray:
-    """Poisson(1) weights from a mixed hash of the key, the same in every run and task."""
+def _mixed(key: np.ndarray, replicate: int, seed: int) -> np.ndarray:
+    """64 mixed bits of a key and a replicate."""
     with np.errstate(over="ignore"):
-        x = key.astype(np.uint64) ^ np.uint64((replicate * 0x9E3779B97F4A7C15 + seed * 0xD1B54A32D192ED03) % 2**64)
+        x = key.astype(np.int64).view(np.uint64) ^ np.uint64((replicate * 0x9E3779B97F4A7C15 + seed * 0xD1B54A32D192ED03) % 2**64)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x = x ^ (x >> np.uint64(31))
+        return x ^ (x >> np.uint64(31))
+
+
+def _poisson(key: np.ndarray, replicate: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights from a mixed hash of the key, the same in every run and task."""
+    x = _mixed(key, replicate, seed)
     cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
     return np.searchsorted(cuts, (x >> np.uint64(11)).astype(np.float64) / 2**53, side="right").astype(np.float64)
 
@@ -387,51 +411,140 @@ def bootstrap_cluster(df: DataFrame, y: str, x: list[str], cluster: str, replica
 WEBB = [-math.sqrt(1.5), -1.0, -math.sqrt(0.5), math.sqrt(0.5), 1.0, math.sqrt(1.5)]
 
 
-def bootstrap_wild_cluster(df: DataFrame, y: str, x: list[str], focal: str, cluster: str, fe: list[str] | None = None, null: float = 0.0, replicates: int = 9999, seed: int = 1) -> DataFrame:
-    """Restricted wild cluster bootstrap-t of focal = null with Webb weights: term, t_value, boot_p, n_draws, n_clusters.
+def _webb(key: np.ndarray, replicate: int, seed: int) -> np.ndarray:
+    """Webb weights from a mixed hash of the cluster, the same in every run and task."""
+    return np.array(WEBB)[(_mixed(key, replicate, seed) >> np.uint64(11)).astype(np.int64) % 6]
+
 
-    Only each cluster's restricted scores and cross products are needed; up to MAX_WILD_CLUSTERS of them are sent to the
-    tasks (more raise, as t is then normal anyway), and replicates are spread with a range.
+class WildDraws:
+    """Test statistics of a restricted wild cluster bootstrap under any hypothesis focal = r, from sums over clusters.
+
+    Restricted scores are linear in r: s_g(r) = s0_g - r s1_g. With q = a's (a: the focal row of the inverse) and z = H_g a, a
+    draw's statistic needs the sums of w s0, w s1, w q0 z, w q1 z, w w q0 q0, w w q0 q1, w w q1 q1 and, for all draws, z z'. All are
+    2 k numbers or fewer a draw, so one pass over the clusters serves every hypothesis.
+    """
+
+    def __init__(self, inverse: np.ndarray, at: int, sums: np.ndarray, cross: np.ndarray) -> None:
+        k = len(inverse)
+        self.inverse, self.at, self.cross = inverse, at, cross
+        self.s0, self.s1, self.c0, self.c1 = (sums[:, i * k : (i + 1) * k] for i in range(4))
+        self.squares = sums[:, 4 * k :]
+
+    def t(self, r: float) -> np.ndarray:
+        """|t| of all draws, the first being the data's own; up to the correction, which is the same for all."""
+        shift = (self.s0 - r * self.s1) @ self.inverse
+        with np.errstate(divide="ignore", invalid="ignore"):
+            square = self.squares @ np.array([1.0, -2.0 * r, r * r]) - 2 * np.einsum("ri,ri->r", self.c0 - r * self.c1, shift) + np.einsum("ri,ij,rj->r", shift, self.cross, shift)
+            return np.abs(shift[:, self.at]) / np.sqrt(np.maximum(square, 0.0))
+
+    def p(self, r: float) -> float:
+        t = self.t(r)
+        return float(np.mean(t[1:] >= t[0] * (1 - 1e-12))) if len(t) > 1 and np.isfinite(t[0]) else float("nan")
+
+    def end(self, start: float, step: float, level: float, reach: int = 60) -> float | None:
+        """Where p falls below ``level`` on the way from ``start``: bracketed by doubled steps, then halved; None if it never does."""
+        inside, width = start, step
+        for _ in range(reach):
+            outside = inside + width
+            if not self.p(outside) >= level:
+                break
+            inside, width = outside, 2 * width
+        else:
+            return None
+        for _ in range(60):
+            middle = (inside + outside) / 2
+            if self.p(middle) >= level:
+                inside = middle
+            else:
+                outside = middle
+        return (inside + outside) / 2
+
+
+def _outer_effects(df: DataFrame, effects: list[str], cluster: str) -> tuple[DataFrame, list[str], list[str]]:
+    """The effects nested in the clusters, and for the others 0/1 columns of all levels but the first."""
+    inside, dummies = [], {}
+    for i, e in enumerate(effects):
+        levels, apart = _levels(df.withColumn("_c", F.col(cluster)), e, ["_c"])
+        if apart == 1 and levels:
+            inside.append(e)
+            continue
+        if levels > MAX_DUMMIES:
+            raise ValueError(f"{e} has over {MAX_DUMMIES} levels and isn't nested in {cluster}")
+        for j, r in enumerate(df.select(e).distinct().orderBy(e).collect()[1:]):
+            dummies[f"_d{i}_{j}"] = (F.col(e) == F.lit(r[0])).cast("double")
+    return df.withColumns(dummies) if dummies else df, inside, list(dummies)
+
+
+def bootstrap_wild_cluster(df: DataFrame, y: str, x: list[str], focal: str, cluster: str, fe: list[str] | None = None, null: float = 0.0, replicates: int = 9999, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """Restricted wild cluster bootstrap-t of focal = null with Webb weights: term, estimate, t_value, boot_p, ci_low, ci_high, n_draws, n_clusters.
+
+    The interval holds the hypotheses that the test, with the same draws, doesn't reject; an end is null where none is rejected on
+    that side. Clusters are summed once, weigh in by a hash of their id, and a task adds up its own for all replicates, so
+    their number has no bound; the driver gets 4 k + 3 sums a draw. Effects nested in the clusters are absorbed, which changes no draw;
+    others, and the intercept, are regressors (over MAX_DUMMIES levels raise). Fewer than two clusters give nulls.
     """
     others = [c for c in x if c != focal]
-    f = fit(df, y, [*others, focal], fe, [cluster])
+    df, inside, dummies = _outer_effects(df.dropna(subset=[y, *x, *(fe or []), cluster]), fe or [], cluster)
+    f = fit(df, y, [*others, *dummies, focal], inside, [cluster])
     if focal in f.dropped:
         raise ValueError(f"{focal} can't be estimated")
-    k = len(f.terms)
-    rest = [i for i in range(k) if f.terms[i] != focal]
-    p = f.terms.index(focal)
-    a = np.linalg.inv(f.inverse)
-    b = a @ f.beta
-    held = np.zeros(k)
-    held[p] = null
-    held[rest] = solve(a[np.ix_(rest, rest)], b[rest] - a[rest, p] * null) if rest else []
-    u = F.col("_y") - sum((F.lit(float(held[i])) * F.col(c) for i, c in enumerate(f.x())), F.lit(0.0))
-    cells = [F.sum(F.col(c) * u) for c in f.x()] + [F.sum(F.col(c) * F.col(d)) for c in f.x() for d in f.x()]
-    per = f.rows.groupBy("_c0").agg(F.array(*cells).alias("v")).orderBy("_c0").limit(MAX_WILD_CLUSTERS + 1).collect()
-    if len(per) > MAX_WILD_CLUSTERS:
-        raise ValueError(f"over {MAX_WILD_CLUSTERS} clusters")
-    s = np.array([r["v"][:k] for r in per])
-    h = np.array([r["v"][k:] for r in per]).reshape(-1, k, k)
-    g, inverse = len(per), f.inverse
-    scale = g / (g - 1) * (f.n - 1) / (f.n - k - f.absorbed)
-
-    def t_values(w: np.ndarray) -> np.ndarray:
-        shift = (w @ s) @ inverse
-        scores = w[:, :, None] * s[None] - np.einsum("gij,rj->rgi", h, shift)
-        meat = np.einsum("rgi,i->rg", scores, inverse[p]) ** 2
-        return shift[:, p] / np.sqrt(scale * meat.sum(axis=1))
-
-    observed = float(t_values(np.ones((1, g)))[0])
+    if not inside and f.n:
+        k = len(f.terms)
+        f.rows, f.terms, f.beta, f.apart = f.rows.withColumn(f"_x{k}", F.lit(1.0)), [*f.terms, "(Intercept)"], np.append(f.beta, 0.0), 0
+        f.inverse = np.block([[f.inverse, np.zeros((k, 1))], [np.zeros((1, k)), np.full((1, 1), 1 / f.n)]])
+    schema = "term string, estimate double, t_value double, boot_p double, ci_low double, ci_high double, n_draws long, n_clusters long"
+    k, p = len(f.terms), f.terms.index(focal) if focal in f.terms else -1
+    cells = [F.sum(F.col(c) * F.col("_y")) for c in f.x()] + [F.sum(F.col(c) * F.col(d)) for c in f.x() for d in f.x()]
+    if p < 0:
+        return df.sparkSession.createDataFrame([(focal, None, None, None, None, None, 0, 0)], schema)
+    per = f.rows.groupBy("_c0").agg(F.array(*cells).alias("v")).select(F.xxhash64("_c0").alias("c"), "v")
+    a, inverse = np.linalg.inv(f.inverse), f.inverse
+    rest = [i for i in range(k) if i != p]
+    # The restricted coefficients are base + r * slope.
+    base, slope = np.zeros(k), np.zeros(k)
+    slope[p] = 1.0
+    if rest:
+        own = a[np.ix_(rest, rest)]
+        base[rest], slope[rest] = solve(own, (a @ f.beta)[rest]), -solve(own, a[rest, p])
+    width = 4 * k + 3
 
-    def run(batches):
+    def totals(batches):
+        out, cross, n = np.zeros((replicates + 1, width)), np.zeros((k, k)), 0
         for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                ids = pdf["id"].to_numpy()[at : at + 64]
-                w = np.stack([np.random.default_rng([seed, int(i)]).choice(WEBB, g) for i in ids])
-                yield pd.DataFrame({"t": t_values(w)})
-
-    draws = df.sparkSession.range(replicates).mapInPandas(run, "t double")
-    return draws.agg(F.lit(focal).alias("term"), F.lit(observed).alias("t_value"), F.avg((F.abs("t") >= abs(observed)).cast("int")).alias("boot_p"), F.count("*").alias("n_draws"), F.lit(g).cast("long").alias("n_clusters"))
+            for at in range(0, len(pdf), 4096):
+                part = pdf.iloc[at : at + 4096]
+                v, keys = np.stack(part["v"].to_numpy()), part["c"].to_numpy()
+                h = v[:, k:].reshape(-1, k, k)
+                s0, s1 = v[:, :k] - h @ base, h @ slope
+                z, q0, q1 = h @ inverse[p], s0 @ inverse[p], s1 @ inverse[p]
+                linear = np.column_stack([s0, s1, q0[:, None] * z, q1[:, None] * z])
+                square = np.column_stack([q0 * q0, q0 * q1, q1 * q1])
+                cross, n = cross + z.T @ z, n + len(part)
+                out[0] += np.concatenate([linear.sum(axis=0), square.sum(axis=0)])
+                for r in range(1, replicates + 1):
+                    w = _webb(keys, r, seed)
+                    out[r] += np.concatenate([w @ linear, (w * w) @ square])
+        rows = [*out, np.concatenate([cross.ravel(), [n]])]
+        if n:
+            yield pd.DataFrame({"r": range(len(rows)), "g": rows})
+
+    parts = per.mapInPandas(totals, "r int, g array<double>")
+    size = F.when(F.col("r") <= replicates, F.lit(width)).otherwise(F.lit(k * k + 1))
+    found = parts.select("r", F.posexplode(F.slice("g", F.lit(1), size)).alias("i", "v")).groupBy("r", "i").agg(F.sum("v").alias("v"))
+    sums = np.zeros((replicates + 2, max(width, k * k + 1)))
+    got = found.toPandas()
+    sums[got["r"], got["i"]] = got["v"]
+    g = int(sums[-1, k * k])
+    draws = WildDraws(inverse, p, sums[:-1, :width], sums[-1, : k * k].reshape(k, k))
+    estimate = float(f.beta[p])
+    if g < 2:
+        return df.sparkSession.createDataFrame([(focal, estimate, None, None, None, None, replicates, g)], schema)
+    v, _ = cluster_variance(f, ["_c0"])
+    se = float(np.sqrt(v[p, p]))
+    step = se if se > 0 else abs(estimate) or 1.0
+    low, high = draws.end(estimate, -step, 1 - level), draws.end(estimate, step, 1 - level)
+    row = (focal, estimate, (estimate - null) / se if se > 0 else None, draws.p(null), low, high, replicates, g)
+    return df.sparkSession.createDataFrame([row], schema)
 
 
 def permute_within_strata(df: DataFrame, key: str, y: str, x: str, stratum: str, replicates: int = 999, seed: int = 1) -> DataFrame:
@@ -440,8 +553,6 @@ def permute_within_strata(df: DataFrame, key: str, y: str, x: str, stratum: str,
     Only sum(x_perm * y) changes with the permutation. Rows are numbered by a hash of (replicate, key) inside
     (replicate, stratum), so replicates spread over tasks; the k-th takes the k-th x of its stratum in key order.
     """
-    from pyspark.sql import Window
-
     rows = demean(df.dropna(subset=[key, y, x, stratum]).select(F.col(key).alias("_k"), F.col(y).alias("_y"), F.col(x).alias("_x"), F.col(stratum).alias("_s")), ["_y", "_x"], ["_s"])
     base = rows.agg(F.sum(F.col("_x") * F.col("_y")).alias("xy"), F.sum(F.col("_x") * F.col("_x")).alias("xx"))
     placed = rows.select("_s", F.col("_x").alias("_px"), F.row_number().over(Window.partitionBy("_s").orderBy("_k")).alias("_at"))
@@ -488,45 +599,95 @@ def interaction_profile(df: DataFrame, y: str, category: str, period: str, contr
 
 
 def logit_fe_ame(df: DataFrame, y: str, x: list[str], fe: str | None = None, cluster: str | None = None, rounds: int = 50, tolerance: float = 1e-10) -> DataFrame:
-    """Logit by reweighted least squares, one aggregate a round: term, estimate, std_error, average_effect = b * mean(p (1 - p)).
+    """Logit by Newton's method: term, estimate, std_error, average_effect = b * mean(p (1 - p)), n, n_levels, n_separated.
 
-    Levels of ``fe`` become 0/1 columns (few levels; more than 200 raise). Errors are clustered (CR1) or from the information.
+    Levels of ``fe`` have intercepts of their own, of any number: a round joins them to the rows and sums weights, weighted
+    regressors and residuals per level; the step of the slopes comes from the k x k sums net of the levels, that of each
+    intercept from its own level. Levels with one outcome only tell nothing: their rows are dropped and counted as n_separated.
+    Terms that follow from others and the levels are null, as all are where the outcome is separated or nothing is left.
+    Errors are clustered (CR1, effects nested in clusters don't count) or from the information. Rows with a null are left out.
     """
-    rows = df.dropna(subset=[y, *x, *([fe] if fe else []), *([cluster] if cluster else [])])
-    levels = sorted(r[0] for r in rows.select(fe).distinct().limit(201).collect()) if fe else []
-    if len(levels) > 200:
-        raise ValueError("too many levels")
-    names = ["(Intercept)", *x, *[f"{fe}{v}" for v in levels[1:]]]
-    z = [F.lit(1.0), *[F.col(c).cast("double") for c in x], *[(F.col(fe) == v).cast("double") for v in levels[1:]]]
-    rows = rows.select(F.col(y).cast("double").alias("_y"), *[c.alias(f"_z{i}") for i, c in enumerate(z)], *([F.col(cluster).alias("_c")] if cluster else []))
-    beta, k = np.zeros(len(z)), len(z)
-    rows = checkpointed(rows)
-    numbers = rows.select("_y", *[f"_z{i}" for i in range(k)])
-
-    def parts(b: np.ndarray):
-        def f(m: np.ndarray) -> np.ndarray:
-            p = 1 / (1 + np.exp(-np.clip(m[:, 1:] @ b, -700, 700)))
-            w = p * (1 - p)
-            return np.concatenate([[len(m), w.sum()], ((m[:, 1:] * w[:, None]).T @ m[:, 1:]).ravel(), m[:, 1:].T @ (m[:, 0] - p)])
-
-        return f
-
+    names = x if fe else ["(Intercept)", *x]
+    k = len(names)
+    z = ([] if fe else [F.lit(1.0)]) + [F.col(c).cast("double") for c in x]
+    known = df.dropna(subset=[y, *x, *([fe] if fe else []), *([cluster] if cluster else [])])
+    rows = known.select(F.col(y).cast("double").alias("_y"), (F.col(fe) if fe else F.lit(0)).alias("_l"), *[c.alias(f"_z{i}") for i, c in enumerate(z)], *([F.col(cluster).alias("_c")] if cluster else []))
+    ends = rows.groupBy("_l").agg(F.min("_y").alias("lo"), F.max("_y").alias("hi"), F.count("*").alias("n"))
+    levels = checkpointed(ends.where("lo < hi").select("_l", F.lit(0.0).alias("_a")))
+    lost = ends.where("lo = hi").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = checkpointed(rows.join(levels.select("_l"), "_l", "left_semi"))
+    n, n_levels = rows.count(), levels.count()
+    schema = "term string, estimate double, std_error double, average_effect double, n long, n_levels long, n_separated long"
+
+    def nothing(which: list[str]) -> list[tuple]:
+        return [(t, None, None, None, n, n_levels, lost) for t in which]
+
+    if not n:
+        return df.sparkSession.createDataFrame(nothing(names), schema)
+    beta, kept, done = np.zeros(k), list(range(k)), False
+
+    def scored(b: np.ndarray, intercepts: DataFrame) -> DataFrame:
+        eta = F.col("_a") + sum((F.lit(float(v)) * F.col(f"_z{i}") for i, v in enumerate(b)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.least(eta, F.lit(700.0)), F.lit(-700.0))))
+        return rows.join(intercepts, "_l").withColumn("_p", p).withColumn("_w", F.col("_p") * (1 - F.col("_p"))).withColumn("_r", F.col("_y") - F.col("_p"))
+
+    def sums(b: np.ndarray, intercepts: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray, float]:
+        """Level sums, and over all levels: information and score of the slopes net of the intercepts, and the sum of weights."""
+        zs = [F.col(f"_z{i}") for i in range(k)]
+        cells = [F.sum("_w").alias("w"), F.sum("_r").alias("r"), F.first("_a").alias("_a"), *[F.sum(F.col("_w") * c).alias(f"b{i}") for i, c in enumerate(zs)], *[F.sum(F.col("_r") * c).alias(f"g{i}") for i, c in enumerate(zs)]]
+        cells += [F.sum(F.col("_w") * zs[i] * zs[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i + 1)]
+        level = checkpointed(scored(b, intercepts).groupBy("_l").agg(*cells))
+        share = (lambda c: F.try_divide(c, F.col("w"))) if fe else (lambda c: F.lit(0.0))
+        net = [F.sum(F.col(f"h{i}_{j}") - share(F.col(f"b{i}") * F.col(f"b{j}"))).alias(f"h{i}_{j}") for i in range(k) for j in range(i + 1)]
+        net += [F.sum(F.col(f"g{i}") - share(F.col(f"b{i}") * F.col("r"))).alias(f"g{i}") for i in range(k)]
+        row = level.agg(*net, F.sum("w").alias("w")).first()
+        h = np.zeros((k, k))
+        for i in range(k):
+            for j in range(i + 1):
+                h[i, j] = h[j, i] = row[f"h{i}_{j}"] or 0.0
+        return level, h, np.array([row[f"g{i}"] or 0.0 for i in range(k)]), row["w"]
+
+    spread = None
     for _ in range(rounds):
-        sums = summed(numbers, parts(beta), 2 + k * k + k)
-        h = sums[2 : 2 + k * k].reshape(k, k)
-        step = solve(h, sums[2 + k * k :])
-        if np.abs(step).max() < tolerance * (1 + np.abs(beta).max()):
+        level, h, g, weight = sums(beta, levels)
+        if spread is None:
+            raw = np.array([v or 0.0 for v in rows.agg(*[F.sum(F.col(f"_z{i}") * F.col(f"_z{i}")) for i in range(k)]).first()]) if k else np.zeros(0)
+            kept = [i for i in independent_columns(h) if h[i, i] > 1e-10 * max(raw[i], 1e-300)]
+            spread = h
+        step = np.zeros(k)
+        try:
+            step[kept] = solve(h[np.ix_(kept, kept)], g[kept]) if kept else []
+        except np.linalg.LinAlgError:
             break
+        if not np.isfinite(step).all() or weight < 1e-8 * n:
+            break
+        if fe:
+            move = (F.col("r") - sum((F.lit(float(s)) * F.col(f"b{i}") for i, s in enumerate(step)), F.lit(0.0))) / F.col("w")
+            shift = level.select("_l", "_a", F.greatest(F.least(move, F.lit(5.0)), F.lit(-5.0)).alias("m"))
+            moved = shift.agg(F.max(F.abs("m"))).first()[0] or 0.0
+            levels = checkpointed(shift.select("_l", (F.col("_a") + F.col("m")).alias("_a")))
+        else:
+            moved = 0.0
         beta = beta + step
-    eta = sum((F.lit(float(b)) * F.col(f"_z{i}") for i, b in enumerate(beta)), F.lit(0.0))
-    scored = rows.withColumn("_r", F.col("_y") - 1 / (1 + F.exp(-eta)))
-    inverse = np.linalg.inv(h)
+        if max(np.abs(step).max(initial=0.0), moved) < tolerance * (1 + np.abs(beta).max(initial=0.0)):
+            done = True
+            break
+    if not done or not kept:
+        return df.sparkSession.createDataFrame(nothing(names), schema)
+    level, h, _, weight = sums(beta, levels)
+    inverse = np.linalg.inv(h[np.ix_(kept, kept)])
     v = inverse
     if cluster:
-        meat, g = gram(scored.groupBy("_c").agg(*[F.sum(F.col("_r") * F.col(f"_z{i}")).alias(f"s{i}") for i in range(k)]), [f"s{i}" for i in range(k)])
-        v = g / (g - 1) * inverse @ meat @ inverse
-    out = [(n, float(beta[i]), float(np.sqrt(v[i, i])), float(beta[i] * sums[1] / sums[0]), int(sums[0])) for i, n in enumerate(names)]
-    return df.sparkSession.createDataFrame(out, "term string, estimate double, std_error double, average_effect double, n long")
+        means = level.select("_l", *[(F.col(f"b{i}") / F.col("w")).alias(f"m{i}") for i in kept])
+        own = scored(beta, levels).join(means, "_l") if fe else scored(beta, levels)
+        parts = [F.sum(F.col("_r") * (F.col(f"_z{i}") - F.col(f"m{i}") if fe else F.col(f"_z{i}"))).alias(f"s{j}") for j, i in enumerate(kept)]
+        meat, g = gram(own.groupBy("_c").agg(*parts), [f"s{j}" for j in range(len(kept))])
+        apart = _levels(rows, "_l", ["_c"])[1] if fe else 0
+        scale = g / (g - 1) * (n - 1) / (n - len(kept) - apart) if g > 1 else float("nan")
+        v = scale * inverse @ meat @ inverse
+    at = {i: j for j, i in enumerate(kept)}
+    out = [(t, float(beta[i]), float(np.sqrt(v[at[i], at[i]])), float(beta[i] * weight / n), n, n_levels, lost) if i in at else nothing([t])[0] for i, t in enumerate(names)]
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def auc_counts(df: DataFrame, score: str, y: str) -> DataFrame:
@@ -535,48 +696,63 @@ def auc_counts(df: DataFrame, score: str, y: str) -> DataFrame:
     return known.groupBy(F.col(score).alias("score")).agg(F.count(F.when(F.col(y) == 1, 1)).alias("n1"), F.count(F.when(F.col(y) == 0, 1)).alias("n0"))
 
 
-def auc(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+def auc(counts: DataFrame) -> DataFrame:
     """Area under the curve from counts of distinct scores: pairs won plus half the ties. Null without both outcomes.
 
-    Scores are numbered by ranges: one window per replicate in ``by``, else over a few hundred buckets of scores first, so
-    that no task sorts all of them.
+    Scores are dealt into sampled ranges and the ranges' totals carried across, so no task sorts all of them.
     """
-    from pyspark.sql import Window
-
-    by = by or []
-    if by:
-        below = F.coalesce(F.sum("n0").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = counts.withColumn("_below", below)
-    else:
-        ends = counts.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-        share = F.when(F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-        cut = counts.join(F.broadcast(ends)).withColumn("_b", F.floor(share * 255).cast("int"))
-        totals = cut.groupBy("_b").agg(F.sum("n0").alias("_t"))
-        before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-        inside = F.coalesce(F.sum("n0").over(Window.partitionBy("_b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = cut.join(F.broadcast(before), "_b").withColumn("_below", F.col("_before") + inside)
+    rows = running(counts, [], "score", {"_below": "n0"})
     won = F.sum(F.col("n1") * (F.col("_below") + F.col("n0") / 2))
-    return rows.groupBy(*by).agg(F.try_divide(won, F.sum("n1").cast("double") * F.sum("n0")).alias("auc"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    return rows.agg(F.try_divide(won, F.sum("n1").cast("double") * F.sum("n0")).alias("auc"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1"), F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"))
+
+
+def _copies(keys: np.ndarray, n: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Poisson(n) copies of each key's n rows for each replicate: by a hash for single rows, by a generator of the key for more."""
+    out = np.stack([_poisson(keys, r, seed) for r in range(1, replicates + 1)], axis=1) * (n == 1)[:, None]
+    for i in np.flatnonzero(n > 1):
+        out[i] = np.random.default_rng([seed, int(keys[i].view(np.uint64))]).poisson(n[i], replicates)
+    return out
 
 
 def auc_bootstrap_ci(df: DataFrame, score: str, y: str, replicates: int = 999, level: float = 0.95, seed: int = 1) -> DataFrame:
     """auc and its percentile interval, resampled inside each outcome: the copies of n rows of one score and outcome are Poisson(n).
 
-    Replicates work on distinct scores, not rows.
+    A range of neighbouring scores draws all replicates at once, as arrays, and gives its copies and the pairs won inside it;
+    lower ranges' losers are added by running totals over the ranges. Rows are never copied.
     """
     counts = auc_counts(df, score, y)
+    placed = in_ranges(counts.select(F.col("score").cast("double").alias("score"), "n1", "n0"), ["score"])
+    dealt = placed.repartition("_range").sortWithinPartitions("_range", "score")
 
     def resample(batches):
-        for pdf in batches:
-            for s, n1, n0 in zip(pdf["score"], pdf["n1"], pdf["n0"], strict=True):
-                rng = np.random.default_rng([seed, int(np.float64(s).view(np.uint64))])
-                a, b = rng.poisson(n1, replicates), rng.poisson(n0, replicates)
-                yield pd.DataFrame({"r": range(1, replicates + 1), "score": float(s), "n1": a, "n0": b})
+        at, held = None, None
 
-    drawn = counts.select(F.col("score").cast("double").alias("score"), "n1", "n0").mapInPandas(resample, "r int, score double, n1 long, n0 long")
-    aucs = auc(drawn, ["r"])
+        def row():
+            return pd.DataFrame({"range": [at] * replicates, "r": range(1, replicates + 1), "n1": held[0], "n0": held[1], "won": held[2]})
+
+        for pdf in batches:
+            done = []
+            for place, part in pdf.groupby("_range", sort=True):
+                if place != at:
+                    if held is not None:
+                        done.append(row())
+                    at, held = place, np.zeros((3, replicates))
+                for i in range(0, len(part), SCORES_PER_BATCH):
+                    some = part.iloc[i : i + SCORES_PER_BATCH]
+                    keys = (some["score"].to_numpy(dtype=np.float64) + 0.0).view(np.int64)
+                    a, b = (_copies(keys, some[c].to_numpy(), replicates, 2 * seed + k) for k, c in enumerate(("n1", "n0")))
+                    below = held[1] + b.cumsum(axis=0) - b / 2
+                    held += np.stack([a.sum(axis=0), b.sum(axis=0), (a * below).sum(axis=0)])
+            if done:
+                yield pd.concat(done)
+        if held is not None:
+            yield row()
+
+    parts = dealt.mapInPandas(resample, "range int, r int, n1 double, n0 double, won double")
+    lower = F.coalesce(F.sum("n0").over(Window.partitionBy("r").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    draws = parts.withColumn("lower", lower).groupBy("r").agg(F.try_divide(F.sum(F.col("won") + F.col("n1") * F.col("lower")), F.sum("n1") * F.sum("n0")).alias("auc"))
     tail = (1 - level) / 2
-    ends = aucs.agg(F.percentile("auc", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"), F.count("auc").alias("n_draws"))
+    ends = draws.agg(F.percentile("auc", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"), F.count("auc").alias("n_draws"))
     return auc(counts).join(F.broadcast(ends)).select("auc", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"), "n1", "n0", "n_draws")
 
 

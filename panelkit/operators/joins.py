@@ -158,17 +158,34 @@ def join_effective_range(rows: DataFrame, contracts: DataFrame, by: list[str], p
 def pick_in_window(windows: DataFrame, candidates: DataFrame, by: list[str], date: str, lower: str, upper: str, kind: str, strong: str, quote: str) -> DataFrame:
     """For each window, candidates with date in (lower, upper]: the earliest of the strong kind, else of any; the latest where lower is null.
 
-    Adds picked_date, picked_kind, n_dates (different dates) and quote (of the pick, ties by text). Windows without a
-    candidate keep nulls and 0.
+    Adds picked_date, picked_kind, n_dates (different dates) and quote (of the pick, ties by text). Every window row comes
+    back once, equal ones too; windows without a candidate, a key or an upper end have nulls and 0. Dates and window ends are stacked and carried
+    along in one shuffle on ``by``, so no pairs of windows and candidates are made.
     """
-    w = windows.withColumn("_row", F.struct(*windows.columns))
-    c = candidates.select(*[F.col(x).alias(f"_b{i}") for i, x in enumerate(by)], F.col(date).alias("_d"), F.col(kind).alias("_kind"), F.col(quote).alias("_q"))
-    same = reduce(lambda a, b: a & b, [F.col(x) == F.col(f"_b{i}") for i, x in enumerate(by)])
-    inside = (F.col("_d") <= F.col(upper)) & (F.col(lower).isNull() | (F.col("_d") > F.col(lower)))
-    far = F.when(F.col("_row")[lower].isNull(), -micros(F.col("_d"))).otherwise(micros(F.col("_d")))
-    order = F.when(F.col("_d").isNotNull(), F.struct((F.col("_kind") != strong).alias("weak"), far.alias("far"), F.col("_q").alias("q"), F.col("_kind").alias("k"), F.col("_d").alias("d")))
-    best = w.join(c, same & inside, "left").groupBy("_row").agg(F.min(order).alias("_best"), F.countDistinct("_d").alias("n_dates"))
-    return best.select("_row.*", F.col("_best.d").alias("picked_date"), F.col("_best.k").alias("picked_kind"), "n_dates", F.col("_best.q").alias("quote"))
+    refuse(windows, "picked_date", "picked_kind", "n_dates", "quote")
+    key = [f"_b{i}" for i in range(len(by))]
+    rename = [F.col(b).alias(k) for b, k in zip(by, key, strict=True)]
+    is_strong = F.coalesce(F.col(kind) == strong, F.lit(False))
+    said = F.struct(F.col(date).alias("d"), F.col(quote).alias("q"), F.col(kind).alias("k"))
+    days = candidates.where(_known([*by, date])).groupBy(*rename, F.col(date).alias("_t")).agg(F.min(F.when(is_strong, said)).alias("_strong"), F.min(F.when(~is_strong, said)).alias("_weak"))
+    spans = windows.where(_known([*by, upper])).select(*rename, F.col(lower).alias("_lo"), F.col(upper).alias("_hi")).distinct()
+    ends = spans.select(*key, "_lo", "_hi", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("_lo").alias("t")), F.struct(F.lit(2).alias("side"), F.col("_hi").alias("t")))).alias("e"))
+    ends = ends.select(*key, "_lo", "_hi", F.col("e.side").alias("_side"), F.col("e.t").alias("_t")).where("_t IS NOT NULL")
+    both = ends.unionByName(days.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(*key).orderBy("_t", "_side")
+    so_far, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    seen = both.select(*key, "_lo", "_hi", "_side", F.count(F.when(F.col("_side") == 0, 1)).over(so_far).alias("n"), *[f(c, ignorenulls=True).over(o).alias(n) for c in ("_strong", "_weak") for f, o, n in ((F.last, so_far, f"{c}_last"), (F.first, on, f"{c}_next"))]).where("_side > 0")
+    high, low = F.col("_side") == 2, F.col("_side") == 1
+    at = seen.groupBy(*key, "_lo", "_hi").agg(F.max(F.when(high, F.col("n"))).alias("n_high"), F.max(F.when(low, F.col("n"))).alias("n_low"), *[F.max(F.when(low if c.endswith("next") else high, F.col(c))).alias(c) for c in ("_strong_last", "_weak_last", "_strong_next", "_weak_next")])
+
+    def pick(c: str) -> Column:
+        later = F.col(f"{c}_next")
+        return F.when(F.col("_lo").isNull(), F.col(f"{c}_last")).otherwise(F.when(later["d"] <= F.col("_hi"), later))
+
+    n = F.col("n_high") - F.when(F.col("_lo").isNull(), 0).otherwise(F.least("n_low", "n_high"))
+    found = at.select(*key, "_lo", "_hi", F.coalesce(pick("_strong"), pick("_weak")).alias("_best"), n.alias("_n"))
+    same = reduce(lambda x, y: x & y, [F.col(b) == F.col(k) for b, k in zip(by, key, strict=True)]) & (F.col(upper) == F.col("_hi")) & F.col(lower).eqNullSafe(F.col("_lo"))
+    return windows.join(found, same, "left").select(*windows.columns, F.col("_best.d").alias("picked_date"), F.col("_best.k").alias("picked_kind"), F.coalesce("_n", F.lit(0)).alias("n_dates"), F.col("_best.q").alias("quote"))
 
 
 def cascade_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rules: list[tuple[str, list[tuple[str, str]]]]) -> DataFrame:

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions import lgamma
+from panelkit.operators._names import spare
 from panelkit.operators._state import checkpointed
 from panelkit.operators.aggregate import ratio
 from panelkit.operators.estimate import auc, auc_counts, gram, independent_columns, solve, summed
+from panelkit.operators.ranges import running
 
-#: Cells of a prior's design, and of its likelihoods, that a fit may bring to the driver.
+#: Different rows of covariates, of any number of data rows, that a fit may bring to the driver.
 MAX_CELLS = 100_000
 
 
@@ -122,57 +124,74 @@ def _multinomial_step(design: np.ndarray, mass: np.ndarray, gamma: np.ndarray, p
     return gamma
 
 
-def em_prior_fit(df: DataFrame, covariates: list[str], likelihood: str, categories: int, weight: str | None = None, penalty: float = 0.1, tolerance: float = 1e-6, rounds: int = 500) -> tuple[DataFrame, np.ndarray, list[float]]:
-    """EM for P(c | X) = softmax(X gamma) with given likelihoods of rows; returns the frame with prior and posterior, gamma and the path of log likelihoods.
+def em_prior_fit(df: DataFrame, covariates: list[str], likelihood: str, categories: int, weight: str | None = None, penalty: float = 0.1, tolerance: float = 1e-6, rounds: int = 500, start: list[float] | str | None = None) -> tuple[DataFrame, np.ndarray, list[float]]:
+    """EM for P(c | X) = softmax(X gamma) with given likelihoods of rows; returns the frame with prior and posterior, gamma and the path of penalised log likelihoods.
 
-    Covariates are codes with main effects. Rows are summed once to (covariates, likelihood) with their weight, which is
-    bounded by the covariates' and the evidence's levels; more than MAX_CELLS of these raise. EM runs on that table, and
-    only the fitted prior per covariate cell goes back to the rows. Rows with a null are left out of the fit, and get nulls.
+    Covariates are codes with main effects. A round's E-step is one aggregate over all rows: the expected counts of each covariate
+    cell, and the log likelihood. Only that table, of at most MAX_CELLS cells (more raise), reaches the driver, where the M-step
+    fits gamma; likelihoods may be as many different vectors as there are rows. ``start`` is the prior of the first E-step: a
+    vector, or a column of vectors; else all categories are alike. A row whose likelihoods are all 0 under the prior counts nowhere.
+    Rows with a null are left out of the fit, and get nulls; without rows gamma is 0 and the path empty.
     """
-    known = df.dropna(subset=[*covariates, likelihood])
-    w = F.count("*").cast("double") if weight is None else F.sum(weight).cast("double")
-    cells = known.groupBy(*covariates, likelihood).agg(w.alias("_w")).limit(MAX_CELLS + 1).collect()
-    if len(cells) > MAX_CELLS:
-        raise ValueError(f"over {MAX_CELLS} different rows of covariates and likelihoods; round the likelihoods first")
-    keys = [tuple(r[c] for c in covariates) for r in cells]
-    levels = [sorted({k[i] for k in keys}) for i in range(len(covariates))]
-
-    def row(k: tuple) -> list[float]:
-        return [1.0, *[float(k[i] == v) for i, values in enumerate(levels) for v in values[1:]]]
-
-    places = {k: i for i, k in enumerate(sorted(set(keys)))}
-    design = np.array([row(k) for k in places]) if places else np.zeros((0, 1))
-    at = np.array([places[k] for k in keys], dtype=int)
-    like = np.array([r[likelihood] for r in cells], dtype=float).reshape(-1, categories)
-    n = np.array([r["_w"] for r in cells])
-    gamma, path = np.zeros((categories - 1, design.shape[1])), []
-    for _ in range(rounds if len(cells) else 0):
-        prior = softmax(np.column_stack([design @ gamma.T, np.zeros(len(design))]))
-        joint = prior[at] * like
-        total = joint.sum(axis=1)
-        path.append(float(n @ np.log(total) - penalty / 2 * (gamma[:, 1:] ** 2).sum()))
+    spark, k = df.sparkSession, categories
+    cell, like, w, first = spare(df, "cell", "like", "w", "first")
+    known = df.dropna(subset=[*covariates, likelihood, *([weight] if weight else []), *([start] if isinstance(start, str) else [])])
+    keys = [tuple(r) for r in known.select(*covariates).distinct().limit(MAX_CELLS + 1).collect()]
+    if len(keys) > MAX_CELLS:
+        raise ValueError(f"over {MAX_CELLS} different rows of covariates")
+    keys.sort()
+    levels = [sorted({key[i] for key in keys}) for i in range(len(covariates))]
+    design = np.array([[1.0, *[float(key[i] == v) for i, values in enumerate(levels) for v in values[1:]]] for key in keys]) if keys else np.zeros((0, 1))
+    kinds = [df.schema[c].dataType.simpleString() for c in covariates]
+    named = spare(df, *[f"key{i}" for i in range(len(covariates))])
+
+    def table(values: list[tuple], *kind: str) -> DataFrame:
+        return spark.createDataFrame([(*key, *v) for key, v in zip(keys, values, strict=True)], ", ".join([*[f"`{c}` {t}" for c, t in zip(named, kinds, strict=True)], *kind]))
+
+    on = [F.col(c) == F.col(n) for c, n in zip(covariates, named, strict=True)]
+    numbered = known.join(F.broadcast(table([(i,) for i in range(len(keys))], f"`{cell}` int")), on)
+    given = F.lit(None).cast("array<double>") if start is None else F.col(start).cast("array<double>") if isinstance(start, str) else F.array(*[F.lit(float(v)) for v in start])
+    rows = numbered.select(cell, F.col(likelihood).cast("array<double>").alias(like), (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias(w), given.alias(first))
+    # Equal evidence of a cell is one row with its weight.
+    rows = checkpointed(rows.groupBy(cell, like, first).agg(F.sum(w).alias(w)))
+
+    def expected(prior: Column, frame: DataFrame) -> tuple[np.ndarray, float]:
+        joint = times(prior, F.col(like))
+        total = F.aggregate(joint, F.lit(0.0), lambda a, x: a + x)
+        held = frame.select(cell, w, joint.alias("_joint"), total.alias("_total")).where("_total > 0")
+        sums = held.groupBy(cell).agg(F.sum(F.col(w) * F.log("_total")).alias("ll"), *[F.sum(F.col(w) * F.col("_joint")[i] / F.col("_total")).alias(f"m{i}") for i in range(k)])
+        mass, ll = np.zeros((len(keys), k)), 0.0
+        for r in sums.collect():
+            mass[r[0]] = r[2:]
+            ll += r[1]
+        return mass, ll
+
+    def prior_of(gamma: np.ndarray) -> np.ndarray:
+        return softmax(np.column_stack([design @ gamma.T, np.zeros(len(design))]))
+
+    gamma, path = np.zeros((k - 1, design.shape[1])), []
+    if start is not None and keys:
+        gamma = _multinomial_step(design, expected(F.col(first), rows)[0], gamma, penalty)
+    for _ in range(rounds if keys else 0):
+        now = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(prior_of(gamma))], f"`{cell}` int, _prior array<double>")
+        mass, ll = expected(F.col("_prior"), rows.join(F.broadcast(now), cell))
+        path.append(ll - penalty / 2 * float((gamma[:, 1:] ** 2).sum()))
         if len(path) > 1 and abs(path[-1] - path[-2]) <= tolerance * abs(path[-2]):
             break
-        mass = np.zeros((len(design), categories))
-        np.add.at(mass, at, joint / total[:, None] * n[:, None])
         gamma = _multinomial_step(design, mass, gamma, penalty)
-    prior = softmax(np.column_stack([design @ gamma.T, np.zeros(len(design))]))
-    kinds = [df.schema[c].dataType.simpleString() for c in covariates]
-    schema = ", ".join([*[f"`_c{i}` {t}" for i, t in enumerate(kinds)], "prior array<double>"])
-    fitted = df.sparkSession.createDataFrame([(*k, [float(x) for x in prior[i]]) for k, i in places.items()], schema)
-    on = [F.col(c) == F.col(f"_c{i}") for i, c in enumerate(covariates)]
-    out = df.join(fitted, on, "left").drop(*[f"_c{i}" for i in range(len(covariates))])
+    fitted = table([([float(x) for x in p],) for p in prior_of(gamma)] if keys else [], "prior array<double>")
+    out = df.join(F.broadcast(fitted), on, "left").drop(*named)
     return out.withColumn("posterior", normalised(times(F.col("prior"), F.col(likelihood)))), gamma, path
 
 
-def em_variants(df: DataFrame, covariates: list[str], variants: dict[str, str], main: str, categories: int, observed: str | None = None) -> DataFrame:
+def em_variants(df: DataFrame, covariates: list[str], variants: dict[str, str], main: str, categories: int, observed: str | None = None, **options) -> DataFrame:
     """Aggregates of the same fit under several likelihood columns: variant, category, mean posterior, mean change against the main one.
 
-    ``observed`` (a category number or null) overrides a row's posterior by certainty.
+    ``observed`` (a category number or null) overrides a row's posterior by certainty; ``options`` go to each fit.
     """
     rows = df
     for name, column in variants.items():
-        fitted, _, _ = em_prior_fit(rows, covariates, column, categories)
+        fitted, _, _ = em_prior_fit(rows, covariates, column, categories, **options)
         post = F.col("posterior")
         if observed:
             sure = F.transform(F.sequence(F.lit(0), F.lit(categories - 1)), lambda k: (k == F.col(observed)).cast("double"))
@@ -224,13 +243,10 @@ def reliability(df: DataFrame, score: str, y: str, bins: int = 10) -> DataFrame:
 
 
 def tie_keeping_deciles(df: DataFrame, score: str, y: str, parts: int = 10) -> DataFrame:
-    """decile, n, mean outcome, with equal scores in one decile: that of the score's middle rank."""
-    from pyspark.sql import Window
-
+    """decile, n, mean outcome, with equal scores in one decile: that of the score's middle rank. Ranks come from ranges of scores."""
     counts = auc_counts(df, score, y).withColumn("n", F.col("n1") + F.col("n0"))
     total = counts.agg(F.sum("n").alias("_all"))
-    below = F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    placed = counts.withColumn("_below", below).join(F.broadcast(total))
+    placed = running(counts, [], "score", {"_below": "n"}).join(F.broadcast(total))
     decile = F.least(F.floor((F.col("_below") + (F.col("n") + 1) / 2 - 0.5) / F.col("_all") * parts) + 1, F.lit(parts)).cast("int")
     return placed.groupBy(decile.alias("decile")).agg(F.sum("n").alias("n"), (F.sum("n1") / F.sum("n")).alias("mean_outcome"))
 

@@ -8,22 +8,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions import jaro_winkler
+from panelkit.operators._names import refuse
 from panelkit.operators.joins import anti, distinct_from
 
 
+#: Letters from rare to frequent in names; others count as rarer still.
+RARE_FIRST = "qxzjvwkfpbgycmhduotslrniea"
+
+
+def _first_name_keys(name: Column, min_similarity: float) -> Column:
+    """Keys of which two names share one if their Jaro-Winkler similarity reaches ``min_similarity`` (0.7 to 1).
+
+    Names with the same first letter share that key. Others have no common prefix, so their Jaro similarity itself is
+    s = min_similarity or more: with lengths a, b and m letters in common m / a + m / b >= 3 s - 1, and as m is at most the
+    shorter length, m >= (3 s - 2) a. Two such names then share one of each's rarest a - m + 1 letters, counted with repeats.
+    """
+    letters = F.filter(F.split(name, ""), lambda c: c != "")
+    numbered = F.transform(letters, lambda c, i: F.concat(c, F.lit("#"), F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c))))
+    order = F.transform(numbered, lambda x: F.struct(F.instr(F.lit(RARE_FIRST), F.substring(x, 1, 1)).alias("o"), x.alias("x")))
+    needed = F.ceil((3 * min_similarity - 2) * F.size(letters) - 1e-9)
+    rare = F.slice(F.array_sort(order), F.lit(1), F.greatest(F.size(letters) - needed.cast("int") + 1, F.lit(0)))
+    return F.array_append(F.transform(rare, lambda o: o["x"]), F.concat(F.lit("^"), F.substring(name, 1, 1)))
+
+
 def block_fuzzy_pairs(a: DataFrame, b: DataFrame, block: str, first: str, a_id: str, b_id: str, min_prefix: int = 3, min_similarity: float = 0.85) -> DataFrame:
     """(a_id, b_id, how) of rows with equal blocking key whose first names agree: equal, prefix (of min_prefix letters or more) or similar.
 
-    The similarity is asked for pairs only that neither are equal nor prefixes; each pair comes once, with its strongest reason.
+    Different names of a block are compared, not rows: prefixes meet on the cut name, similar names under keys that are
+    complete for the similarity, so a block is split by key and never met as all pairs. Each pair comes once, with its
+    strongest reason; rows with a null block or name are in none.
     """
-    l = a.select(F.col(a_id), F.col(block).alias("_k"), F.col(first).alias("_fa"))
-    r = b.select(F.col(b_id), F.col(block).alias("_k"), F.col(first).alias("_fb"))
-    pairs = l.join(r, "_k")
-    long = F.least(F.length("_fa"), F.length("_fb")) >= min_prefix
-    sure = F.when(F.col("_fa") == F.col("_fb"), 1).when(long & (F.startswith("_fa", "_fb") | F.startswith("_fb", "_fa")), 2)
-    pairs = pairs.withColumn("_sure", sure)
-    near = pairs.where("_sure IS NULL").where(jaro_winkler("_fa", "_fb") >= min_similarity).withColumn("_sure", F.lit(3))
-    found = pairs.where("_sure IS NOT NULL").union(near).groupBy(a_id, b_id).agg(F.min("_sure").alias("_s"))
+    if not 0.7 < min_similarity <= 1:
+        raise ValueError("keys are complete for similarities above 0.7 only")
+    l = a.select(F.col(a_id), F.col(block).alias("_k"), F.col(first).alias("_fa")).where("_k IS NOT NULL AND _fa IS NOT NULL")
+    r = b.select(F.col(b_id), F.col(block).alias("_k"), F.col(first).alias("_fb")).where("_k IS NOT NULL AND _fb IS NOT NULL")
+    na, nb = l.select("_k", "_fa").distinct(), r.select("_k", "_fb").distinct()
+
+    def cuts(names: DataFrame, name: str) -> DataFrame:
+        whole = F.length(name)
+        starts = F.when(whole >= min_prefix, F.transform(F.sequence(F.lit(min_prefix), whole), lambda n: F.substring(F.col(name), F.lit(1), n))).otherwise(F.array().cast("array<string>"))
+        return names.select("_k", name, F.explode(starts).alias("_cut"))
+
+    equal = na.join(nb, (na["_k"] == nb["_k"]) & (F.col("_fa") == F.col("_fb"))).select(na["_k"], "_fa", "_fb", F.lit(1).alias("_s"))
+    parts = [x.join(y, ["_k", "_cut"]).where(F.col("_fa") != F.col("_fb")).select("_k", "_fa", "_fb", F.lit(2).alias("_s")) for x, y in ((cuts(na, "_fa"), nb.withColumn("_cut", F.col("_fb"))), (na.withColumn("_cut", F.col("_fa")), cuts(nb, "_fb")))]
+    keyed = [x.select("_k", n, F.explode(_first_name_keys(F.col(n), min_similarity)).alias("_key")) for x, n in ((na, "_fa"), (nb, "_fb"))]
+    shortest, longest = F.least(F.length("_fa"), F.length("_fb")), F.greatest(F.length("_fa"), F.length("_fb"))
+    # With four letters of common prefix the Jaro part is (s - 0.4) / 0.6 or more, and so the lengths' ratio 3 times that less 2.
+    ratio = 3 * (min_similarity - 0.4) / 0.6 - 2
+    met = keyed[0].join(keyed[1], ["_k", "_key"]).where((F.col("_fa") != F.col("_fb")) & (shortest >= ratio * longest)).select("_k", "_fa", "_fb").distinct()
+    near = met.where(jaro_winkler("_fa", "_fb") >= min_similarity).withColumn("_s", F.lit(3))
+    names = reduce(DataFrame.union, [equal, *parts, near]).groupBy("_k", "_fa", "_fb").agg(F.min("_s").alias("_s"))
+    found = l.join(names, ["_k", "_fa"]).join(r, ["_k", "_fb"]).groupBy(a_id, b_id).agg(F.min("_s").alias("_s"))
     return found.select(a_id, b_id, F.when(F.col("_s") == 1, "exact").when(F.col("_s") == 2, "prefix").otherwise("similar").alias("how"))
 
 
@@ -171,24 +206,25 @@ def override_timeline(base: DataFrame, key: list[str], time: str, holder: str, c
     """Adds holder_final, holder_source, unknown_window: dated corrections first, then bracketed changes, else the base.
 
     ``corrections``: key, after, until (null: open), new_holder; they hold for after < time <= until, the latest ``after``
-    wins. ``brackets``: key, seen_old, seen_new, next_holder; from seen_new on the new holder, between both unknown.
+    wins. ``brackets``: key, seen_old, seen_new, next_holder; from seen_new on the new holder, between both unknown. The
+    winner is found for each (key, time) that occurs and joined back, so every base row comes back once, equal ones too.
     """
-    row = F.struct(*base.columns).alias("_row")
-    same = lambda p: reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{p}{i}") for i, k in enumerate(key)])
-    rename = lambda df, p: df.select(*[F.col(k).alias(f"{p}{i}") for i, k in enumerate(key)], *[c for c in df.columns if c not in key])
-    c = rename(corrections, "_c")
-    fixed = base.join(c, same("_c") & (F.col(time) > F.col("after")) & (F.col("until").isNull() | (F.col(time) <= F.col("until"))), "left")
-    fixed = fixed.groupBy(row).agg(F.max_by("new_holder", F.struct("after", "new_holder")).alias("_fixed"), F.count("*").alias("_x"))
-    rows = fixed.select("_row.*", "_fixed")
-    b = rename(brackets, "_b")
-    row = F.struct(*base.columns, "_fixed").alias("_row")
-    late = F.col(time) >= F.col("seen_new")
-    seen = rows.join(b, same("_b") & (F.col(time) > F.col("seen_old")), "left").groupBy(row).agg(
+    refuse(base, "holder_final", "holder_source", "unknown_window")
+    at = [f"_k{i}" for i in range(len(key))]
+    points = base.select(*[F.col(k).alias(a) for k, a in zip(key, at, strict=True)], F.col(time).alias("_t")).dropna().distinct()
+    rename = lambda df: df.select(*[F.col(k).alias(a) for k, a in zip(key, at, strict=True)], *[c for c in df.columns if c not in key])
+    inside = (F.col("_t") > F.col("after")) & (F.col("until").isNull() | (F.col("_t") <= F.col("until")))
+    fixed = points.join(rename(corrections), at).where(inside).groupBy(*at, "_t").agg(F.max_by("new_holder", F.struct("after", "new_holder")).alias("_fixed"))
+    late = F.col("_t") >= F.col("seen_new")
+    seen = points.join(rename(brackets), at).where(F.col("_t") > F.col("seen_old")).groupBy(*at, "_t").agg(
         F.max_by(F.when(late, F.col("next_holder")), F.when(late, F.struct("seen_new", "next_holder"))).alias("_next"), F.coalesce(F.bool_or(~late), F.lit(False)).alias("_open")
     )
-    out = seen.select("_row.*", "_next", "_open")
+    changes = fixed.join(seen, [*at, "_t"], "full_outer")
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(a) for k, a in zip([*key, time], [*at, "_t"], strict=True)])
+    out = base.join(changes, same, "left")
     source = F.when(F.col("_fixed").isNotNull(), "correction").when(F.col("_next").isNotNull(), "bracket").otherwise("base")
-    return out.select(*base.columns, F.coalesce("_fixed", "_next", holder).alias("holder_final"), source.alias("holder_source"), (F.col("_fixed").isNull() & F.col("_open")).cast("int").alias("unknown_window"))
+    unknown = F.col("_fixed").isNull() & F.coalesce("_open", F.lit(False))
+    return out.select(*base.columns, F.coalesce("_fixed", "_next", holder).alias("holder_final"), source.alias("holder_source"), unknown.cast("int").alias("unknown_window"))
 
 
 def flag_suspect_links(df: DataFrame, link: str, contradictions: dict[str, Column]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelkit.operators import aggregate
+from panelkit.operators._state import checkpointed
 from panelkit.plans import fixtures as fx
 from panelkit.registry import query
 
@@ -173,14 +174,39 @@ def _(spark, d):
     return rounded(rounded(aggregate.share_uncertainty(rows, ["lang"], "q", "n_chars"), 9, "share", "lower", "upper", "binomial_se"), 12, "variance")
 
 
-@query("percentile_score_cumulative", """WITH r AS (SELECT o_orderkey, o_orderpriority AS cls, year(o_orderdate) AS yr, round(o_totalprice, -4) AS v FROM orders), c AS (SELECT cls, yr, v, count(*) AS n FROM r GROUP BY 1, 2, 3),
-s AS (SELECT a.cls, a.yr, a.v, CASE WHEN sum(b.n) >= 10 THEN 10 * sum(CASE WHEN b.v < a.v THEN b.n WHEN b.v = a.v THEN b.n / 2 ELSE 0 END) / sum(b.n) END AS score FROM c a JOIN c b ON a.cls = b.cls AND b.yr <= a.yr GROUP BY 1, 2, 3)
-SELECT o_orderkey, round(score, 8) AS score FROM r LEFT JOIN s USING (cls, yr, v)""")
+def _score_sql(rows: str, value: str) -> str:
+    """id and score of ``value`` among all rows of the class up to the row's year."""
+    return f"""(WITH c AS (SELECT cls, yr, {value} AS v, count(*) AS n FROM {rows} WHERE {value} IS NOT NULL GROUP BY 1, 2, 3), s AS (SELECT a.cls, a.yr, a.v, CASE WHEN sum(b.n) >= 10 THEN 10 * sum(CASE WHEN b.v < a.v THEN b.n WHEN b.v = a.v THEN b.n / 2 ELSE 0 END) / sum(b.n) END AS score
+FROM c a JOIN c b ON a.cls = b.cls AND b.yr <= a.yr GROUP BY 1, 2, 3) SELECT o_orderkey, score FROM {rows} r LEFT JOIN s ON r.cls = s.cls AND r.yr = s.yr AND r.{value} = s.v)"""
+
+
+@query("percentile_score_cumulative", f"""WITH r AS (SELECT o_orderkey, o_orderpriority AS cls, year(o_orderdate) AS yr, o_totalprice AS v FROM orders) SELECT o_orderkey, round(score, 8) AS score FROM {_score_sql("r", "v")}""")
 def _(spark, d):
-    r = t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("cls"), F.year("o_orderdate").alias("yr"), F.round("o_totalprice", -4).alias("v"))
+    r = t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("cls"), F.year("o_orderdate").alias("yr"), F.col("o_totalprice").alias("v"))
     return rounded(aggregate.percentile_score_cumulative(r, ["cls"], "yr", "v"), 8, "score").select("o_orderkey", "score")
 
 
+_PARTS = ["lines", "quantity", "price", "discount", "tax", "suppliers"]
+_PART_ROWS = """r AS (SELECT o_orderkey, o_orderpriority AS cls, year(o_orderdate) AS yr, count(l_orderkey) AS lines, sum(l_quantity) AS quantity, CASE WHEN o_orderkey % 11 > 0 THEN o_totalprice END AS price, CAST(round(100 * sum(l_discount)) AS INT) AS discount, CAST(round(100 * sum(l_tax)) AS INT) AS tax, count(DISTINCT l_suppkey) AS suppliers
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, cls, yr, o_totalprice)"""
+
+
+@query("composite_rescore", f"""WITH {_PART_ROWS}, {", ".join(f"s_{c} AS {_score_sql('r', c)}" for c in _PARTS)},
+m AS (SELECT o_orderkey, cls, yr, CASE WHEN {" AND ".join(f"s_{c}.score IS NOT NULL" for c in _PARTS)} THEN round(({" + ".join(f"s_{c}.score" for c in _PARTS)}) / 6, 7) END AS composite FROM r {" ".join(f"JOIN s_{c} USING (o_orderkey)" for c in _PARTS)})
+SELECT o_orderkey, composite, round(score, 8) AS score FROM m JOIN {_score_sql("m", "composite")} USING (o_orderkey)""")
+def _(spark, d):
+    """Six measures of an order, each scored among its class so far; their mean where all are known, scored again."""
+    line = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"), F.round(100 * F.sum("l_discount")).cast("int").alias("discount"), F.round(100 * F.sum("l_tax")).cast("int").alias("tax"), F.countDistinct("l_suppkey").alias("suppliers"))
+    r = t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("cls"), F.year("o_orderdate").alias("yr"), F.when(F.col("o_orderkey") % 11 > 0, F.col("o_totalprice")).alias("price")).join(line, "o_orderkey")
+    r = checkpointed(r)
+    base = r.select("o_orderkey", "cls", "yr")
+    for c in _PARTS:
+        scored = aggregate.percentile_score_cumulative(r, ["cls"], "yr", c)
+        base = base.join(scored.select("o_orderkey", F.col("score").alias(f"s_{c}")), "o_orderkey")
+    r = checkpointed(base.withColumn("composite", F.round(aggregate.composite_score([f"s_{c}" for c in _PARTS]), 7)))
+    return rounded(aggregate.percentile_score_cumulative(r, ["cls"], "yr", "composite"), 8, "score").select("o_orderkey", "composite", "score")
+
+
 @query("modal_mass_reference", """WITH c AS (SELECT CAST(floor(l_quantity) AS INT) % 9 AS cell, round(l_tax + CASE WHEN l_quantity > 30 THEN l_discount ELSE 0 END, 2) AS v, count(*) AS n FROM lineitem GROUP BY 1, 2), m AS (SELECT cell, sum(n) AS n, max(n) AS top, arg_max(v, n * 1000 - v) AS modal FROM c GROUP BY 1),
 g AS (SELECT cell, n, CASE WHEN top >= 3 AND top >= 0.1 * n THEN modal END AS modal FROM m), f AS (SELECT *, last_value(modal IGNORE NULLS) OVER (ORDER BY cell) AS reference FROM g)
 SELECT cell, CAST(n AS BIGINT) AS n, modal, reference, max(reference) OVER (ORDER BY cell) AS running_max FROM f""")

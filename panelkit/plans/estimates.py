@@ -17,10 +17,16 @@ a AS (SELECT sum(x1 * x1) AS a11, sum(x1 * x2) AS a12, sum(x2 * x2) AS a22, sum(
 b AS (SELECT *, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS e1, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS e2, a22 / (a11 * a22 - a12 * a12) AS i11, -a12 / (a11 * a22 - a12 * a12) AS i12, a11 / (a11 * a22 - a12 * a12) AS i22 FROM a)"""
 
 
-def _meat(tag: str, by: str) -> str:
+def _meat(tag: str, by: str, clusters: str = "cl", least: str = "g") -> str:
+    """The sandwich of clusters ``by``. The effect counts as one level where each of its levels lies in one of the ``clusters``."""
+    nested = f"(SELECT CASE WHEN max(k) = 1 THEN 1 ELSE count(*) END FROM (SELECT count(DISTINCT {clusters}) AS k FROM d GROUP BY fe))"
     return f"""{tag}s AS (SELECT sum(x1 * (y - e1 * x1 - e2 * x2)) AS s1, sum(x2 * (y - e1 * x1 - e2 * x2)) AS s2 FROM d, b GROUP BY {by}),
-{tag} AS (SELECT i11, i12, i22, g::DOUBLE / (g - 1) * (n - 1) / (n - 2 - nf) AS c, m11, m12, m22, g, n FROM b, (SELECT count(*) AS g, sum(s1 * s1) AS m11, sum(s1 * s2) AS m12, sum(s2 * s2) AS m22 FROM {tag}s)),
-{tag}v AS (SELECT g, n, c * (i11 * i11 * m11 + 2 * i11 * i12 * m12 + i12 * i12 * m22) AS v1, c * (i12 * i12 * m11 + 2 * i12 * i22 * m12 + i22 * i22 * m22) AS v2 FROM {tag})"""
+{tag} AS (SELECT i11, i12, i22, CAST({least} AS DOUBLE) / ({least} - 1) * (n - 1) / (n - 2 - {nested}) AS c, m11, m12, m22, g, n FROM b, (SELECT count(*) AS g, sum(s1 * s1) AS m11, sum(s1 * s2) AS m12, sum(s2 * s2) AS m22 FROM {tag}s)),
+{tag}v AS (SELECT g, n, c * (i11 * i11 * m11 + 2 * i11 * i12 * m12 + i12 * i12 * m22) AS v1, c * (i12 * i12 * m11 + 2 * i12 * i22 * m12 + i22 * i22 * m22) AS v2, c * (i11 * i12 * m11 + (i11 * i22 + i12 * i12) * m12 + i12 * i22 * m22) AS v12 FROM {tag})"""
+
+
+#: Two ways, cl and fe: the smaller number of clusters corrects all parts.
+_LEAST = "(SELECT least(count(DISTINCT cl), count(DISTINCT fe)) FROM d)"
 
 
 def _rows(spark, d):
@@ -36,12 +42,18 @@ def _(spark, d):
     return _out(estimate.ols_fe(_rows(spark, d), "y", ["x1", "x2"], ["fe"], "cl"))
 
 
-@query("se_twoway", with_fx(f"""WITH {_NET}, {_meat("m", "cl")}, {_meat("k", "fe")}, {_meat("w", "cl, fe")} SELECT 'x1' AS term, round(e1, 8) AS estimate, round(sqrt(mv.v1 + kv.v1 - wv.v1), 8) AS std_error, mv.n, least(mv.g, kv.g) AS n_clusters FROM b, mv, kv, wv
+@query("se_twoway", with_fx(f"""WITH {_NET}, {_meat("m", "cl", "fe", _LEAST)}, {_meat("k", "fe", "fe", _LEAST)}, {_meat("w", "cl, fe", "fe", _LEAST)} SELECT 'x1' AS term, round(e1, 8) AS estimate, round(sqrt(mv.v1 + kv.v1 - wv.v1), 8) AS std_error, mv.n, least(mv.g, kv.g) AS n_clusters FROM b, mv, kv, wv
 UNION ALL SELECT 'x2', round(e2, 8), round(sqrt(mv.v2 + kv.v2 - wv.v2), 8), mv.n, least(mv.g, kv.g) FROM b, mv, kv, wv""", "fx_design"))
 def _(spark, d):
     return _out(estimate.ols_fe(_rows(spark, d), "y", ["x1", "x2"], ["fe"], ["cl", "fe"]))
 
 
+@query("ols_fe_nested", with_fx(f"""WITH {_NET}, {_meat("m", "fe", "fe")} SELECT 'x1' AS term, round(e1, 8) AS estimate, round(sqrt(v1), 8) AS std_error, mv.n, g AS n_clusters FROM b, mv UNION ALL SELECT 'x2', round(e2, 8), round(sqrt(v2), 8), mv.n, g FROM b, mv""", "fx_design"))
+def _(spark, d):
+    """Effects nested in the clusters, which then don't count in the correction."""
+    return _out(estimate.ols_fe(_rows(spark, d), "y", ["x1", "x2"], ["fe"], "fe"))
+
+
 @query("ols_interacted_effect", with_fx("""WITH d AS (SELECT y - avg(y) OVER w AS y, x1 - avg(x1) OVER w AS x1 FROM fx_design WINDOW w AS (PARTITION BY grp, yr)) SELECT 'x1' AS term, round(sum(x1 * y) / sum(x1 * x1), 8) AS estimate, count(*) AS n FROM d""", "fx_design"))
 def _(spark, d):
     return _out(estimate.ols_fe(_rows(spark, d), "y", ["x1"], ["grp^yr"], "cl")).select("term", "estimate", "n")
@@ -111,10 +123,11 @@ def _(spark, d):
     return estimate.permute_within_strata(n, "key", "mean_price", "n_orders", "yr", 999)
 
 
-@query("ols_joint_test", with_fx(f"""WITH {_NET}, {_meat("m", "cl")} SELECT 'x1 = 0' AS restriction, round(e1, 8) AS gap, round(e1 * e1 / v1, 5) AS f_value, 1 AS df1 FROM b, mv UNION ALL SELECT 'x2 = 1', round(e2 - 1, 8), round((e2 - 1) * (e2 - 1) / v2, 5), 1 FROM b, mv""", "fx_design"))
+@query("ols_joint_test", with_fx(f"""WITH {_NET}, {_meat("m", "cl")} SELECT 'x1 = 0' AS restriction, round(e1, 8) AS gap, round(e1 * e1 / v1, 5) AS f_value, 1 AS df1 FROM b, mv UNION ALL SELECT 'x2 = 1', round(e2 - 1, 8), round((e2 - 1) * (e2 - 1) / v2, 5), 1 FROM b, mv
+UNION ALL SELECT 'joint', NULL, round((e1 * e1 * v2 - 2 * e1 * (e2 - 1) * v12 + (e2 - 1) * (e2 - 1) * v1) / (v1 * v2 - v12 * v12) / 2, 5), 2 FROM b, mv""", "fx_design"))
 def _(spark, d):
     out = estimate.ols_joint_test(_rows(spark, d), "y", ["x1", "x2"], {"x1 = 0": ({"x1": 1.0}, 0.0), "x2 = 1": ({"x2": 1.0}, 1.0)}, ["fe"], "cl")
-    return out.where("restriction <> 'joint'").select("restriction", F.round("gap", 8).alias("gap"), F.round("f_value", 5).alias("f_value"), "df1")
+    return out.select("restriction", F.round("gap", 8).alias("gap"), F.round("f_value", 5).alias("f_value"), "df1")
 
 
 _DID = "r AS (SELECT c_nationkey AS u, CAST(year(o_orderdate) >= 1998 AS INT) AS post, CAST(c_nationkey < 10 AS INT) AS treated, o_totalprice AS y FROM orders JOIN customer ON o_custkey = c_custkey)"

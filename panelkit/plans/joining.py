@@ -169,7 +169,7 @@ def _(spark, d):
     return joins.resolve_shared_link(p, "p_partkey", "linked", [("own", True), ("p_size", False)]).select("p_partkey", "linked")
 
 
-_WORDS = "SELECT p_partkey, split_part(p_name, ' ', 2) AS block, split_part(p_name, ' ', 1) || CASE WHEN p_size % 4 = 0 THEN 'er' WHEN p_size % 4 = 1 THEN substr(p_brand, 7) ELSE '' END AS first FROM part WHERE p_size % 10 < 3"
+_WORDS = "SELECT p_partkey, split_part(p_name, ' ', 2) AS block, split_part(p_name, ' ', 1) || CASE WHEN p_size % 4 = 0 THEN 'er' WHEN p_size % 4 = 1 THEN substr(p_brand, 7) ELSE '' END AS first FROM part"
 
 
 @query("block_fuzzy_pairs", f"""WITH w AS ({_WORDS}), a AS (SELECT p_partkey AS a_id, block, first FROM w WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS b_id, block, first FROM w WHERE p_partkey % 2 = 1)
@@ -177,7 +177,7 @@ SELECT a_id, b_id, CASE WHEN a.first = b.first THEN 'exact' WHEN least(length(a.
 WHERE a.first = b.first OR least(length(a.first), length(b.first)) >= 3 AND (starts_with(a.first, b.first) OR starts_with(b.first, a.first)) OR jaro_winkler_similarity(a.first, b.first) >= 0.85""")
 def _(spark, d):
     words, size = F.split("p_name", " "), F.col("p_size") % 4
-    w = t(spark, d, "part").where("p_size % 10 < 3").select("p_partkey", words[1].alias("block"), F.concat(words[0], F.when(size == 0, "er").when(size == 1, F.substring("p_brand", 7, 9)).otherwise("")).alias("first"))
+    w = t(spark, d, "part").select("p_partkey", words[1].alias("block"), F.concat(words[0], F.when(size == 0, "er").when(size == 1, F.substring("p_brand", 7, 9)).otherwise("")).alias("first"))
     a, b = w.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "a_id"), w.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "b_id")
     return linkage.block_fuzzy_pairs(a, b, "block", "first", "a_id", "b_id")
 

@@ -83,18 +83,42 @@ def _evidence(spark, d):
     return rows.join(F.broadcast(table), "band").withColumn("region", F.col("nation").cast("int") % 5).withColumn("half", F.col("c_custkey") % 2)
 
 
-@query("em_prior_fit")
+def _em_sql(rows: str, cell: str, rounds: int) -> str:
+    """(cell, q0..q4): a prior per cell after so many rounds of plain EM from equal shares; with one covariate and no penalty the M-step is the mean posterior."""
+    w = [f"q{i} * e.l{i}" for i in range(5)]
+    total = f"({' + '.join(w)})"
+    return f"""(WITH RECURSIVE em AS (SELECT 0 AS i, {cell}, {", ".join(f"CAST(0.2 AS DOUBLE) AS q{i}" for i in range(5))} FROM {rows} GROUP BY {cell}
+UNION ALL SELECT em.i + 1, e.{cell}, {", ".join(f"avg({x} / {total})" for x in w)} FROM em JOIN {rows} e ON e.{cell} = em.{cell} WHERE em.i < {rounds} GROUP BY em.i, e.{cell}) SELECT * FROM em WHERE i = {rounds})"""
+
+
+_EVIDENCE_SQL = f"""{POSTERIOR_SQL}, e AS (SELECT c_custkey, CAST(nation AS INT) % 5 AS region, {", ".join(f"b{i} / m{i} AS l{i}" for i in range(5))} FROM s JOIN fb ON fb.k = band AND fb.k <> 'ALL OTHER', ba),
+h AS (SELECT c_custkey, region, {", ".join(f"sqrt(l{i}) AS l{i}" for i in range(5))} FROM e)"""
+EM_ROUNDS = 12
+
+
+def _posterior_sql(rows: str, cell: str) -> str:
+    total = " + ".join(f"q{i} * l{i}" for i in range(5))
+    return f"""(SELECT c_custkey, {rows}.{cell}, {", ".join(f"q{i}" for i in range(5))}, {", ".join(f"q{i} * l{i} / ({total}) AS p{i}" for i in range(5))}, ln({total}) AS ll FROM {rows} JOIN {_em_sql(rows, cell, EM_ROUNDS)} g ON g.{cell} = {rows}.{cell})"""
+
+
+@query("em_prior_fit", f"""WITH {_EVIDENCE_SQL}, f AS {_posterior_sql("e", "region")}
+SELECT region, count(*) AS n, {", ".join(f"round(avg(q{i}), 7) AS prior{i}, round(avg(p{i}), 7) AS posterior{i}" for i in range(5))}, round((SELECT sum(ll) FROM f), 4) AS log_likelihood FROM f GROUP BY region""")
 def _(spark, d):
-    """Mean fitted prior and posterior per covariate cell."""
-    out, _, path = latent.em_prior_fit(_evidence(spark, d), ["region", "half"], "like", 5)
-    cells = [F.avg(F.col(c)[i]).alias(f"{c}{i}") for c in ("prior", "posterior") for i in range(5)]
-    return out.groupBy("region", "half").agg(F.count("*").alias("n"), *cells).withColumn("log_likelihood", F.lit(path[-1] if path else None).cast("double"))
+    """Mean fitted prior and posterior per covariate cell after a stated number of rounds, and the log likelihood of that prior."""
+    out, _, _ = latent.em_prior_fit(_evidence(spark, d), ["region"], "like", 5, penalty=0.0, tolerance=0.0, rounds=EM_ROUNDS)
+    told = F.log(F.aggregate(latent.times(F.col("prior"), F.col("like")), F.lit(0.0), lambda a, x: a + x))
+    cells = [F.round(F.avg(F.col(c)[i]), 7).alias(f"{c}{i}") for c in ("prior", "posterior") for i in range(5)]
+    by = out.groupBy("region").agg(F.count("*").alias("n"), *cells, F.sum(told).alias("_ll"))
+    return by.join(F.broadcast(by.agg(F.round(F.sum("_ll"), 4).alias("log_likelihood")))).drop("_ll")
 
 
-@query("em_variants")
+@query("em_variants", f"""WITH {_EVIDENCE_SQL}, x AS {_posterior_sql("e", "region")}, y AS {_posterior_sql("h", "region")}, o AS (SELECT c_custkey, {", ".join(f"CASE WHEN c_custkey % 10 = 0 THEN CAST({int(i == 1)} AS DOUBLE) ELSE x.p{i} END AS x{i}, CASE WHEN c_custkey % 10 = 0 THEN CAST({int(i == 1)} AS DOUBLE) ELSE y.p{i} END AS y{i}" for i in range(5))} FROM x JOIN y USING (c_custkey)),
+u AS ({" UNION ALL ".join(f"SELECT '{v}' AS variant, {i} AS category, {c}{i} AS p, x{i} AS m FROM o" for v, c in (("main", "x"), ("flat", "y")) for i in range(5))})
+SELECT variant, category, round(avg(p), 7) AS mean_posterior, round(avg(abs(p - m)), 7) AS mean_change, round(max(abs(p - m)), 7) AS max_change FROM u GROUP BY 1, 2""")
 def _(spark, d):
     rows = _evidence(spark, d).withColumn("flat", F.transform("like", lambda x: F.sqrt(x))).withColumn("seen", F.when(F.col("c_custkey") % 10 == 0, F.lit(1)))
-    return latent.em_variants(rows, ["region"], {"main": "like", "flat": "flat"}, "main", 5, "seen")
+    out = latent.em_variants(rows, ["region"], {"main": "like", "flat": "flat"}, "main", 5, "seen", penalty=0.0, tolerance=0.0, rounds=EM_ROUNDS)
+    return out.select("variant", "category", *[F.round(c, 7).alias(c) for c in ("mean_posterior", "mean_change", "max_change")])
 
 
 @query("rake_to_margin", f"""WITH {POSTERIOR_SQL}, g AS (SELECT nation, 0.3 AS target, count(*) AS n FROM po GROUP BY 1) SELECT nation, n, round(target, 6) AS reached FROM g""")
