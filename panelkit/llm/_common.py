@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset and the master local, as in tests. A cluster without it raises."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not path and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
     return path or context.getCheckpointDir()
 
@@ -59,9 +62,26 @@ def text_key(text) -> list:
     return [F.xxhash64(known).alias("k1"), F.xxhash64(F.lit(7), known, F.length(known)).alias("k2")]
 
 
+#: Bytes of rows that one Python task takes, about.
+TASK_BYTES = 64 << 20
+
+
 def longer_tasks(df: DataFrame) -> DataFrame:
-    """Neighbouring partitions together, down to three for each core, so that short Python tasks don't each start a worker."""
-    return df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism)
+    """Neighbouring partitions together, so that short Python tasks don't each start a worker: about TASK_BYTES of rows a task, as the
+    optimizer sizes them, and no fewer tasks than three for each core that is there."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(3 * df.sparkSession.sparkContext.defaultParallelism, min(size // TASK_BYTES, 1 << 20)))
+
+
+_state: dict = {}
+
+
+def worker_state(key, make):
+    """What a Python worker keeps between tasks, made once: one operator's at a time, so that a worker which serves several holds the last one's alone."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelkit.llm._common import shared_dir, written
+from panelkit.llm._common import shared_dir, worker_state, written
 
 #: Radix partitions; links and documents of a run; runs of one merge and of one pass back; pairs of a block of counts.
 RADIX, LINKS_PER_RUN, DOCS_PER_RUN, MERGED_RUNS, STREAMED_RUNS, PAIRS_PER_BLOCK = 256, 1 << 22, 1 << 16, 128, 1024, 1 << 16
@@ -217,15 +217,8 @@ def in_batches(rows, schema: pa.Schema, most: int):
         yield pa.RecordBatch.from_pylist(part, schema=schema)
 
 
-_loaded: dict[int, Vocabularies] = {}
-
-
 def _aligner(shared) -> Aligner:
-    key, *files = shared.value
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Vocabularies(*files)
-    return Aligner(_loaded[key])
+    return Aligner(worker_state(("alignment", shared.value[0]), lambda: Vocabularies(*shared.value[1:])))
 
 
 def runs_of(docs: DataFrame, shared, id_col: str, text_col: str, links_per_run: int) -> DataFrame:

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelkit.llm._common import worker_state
+
 
 #: Words and pre-tokens whose ids a Python worker keeps.
 CACHED_WORDS, CACHED_PIECES = 100_000, 60_000
@@ -251,14 +253,8 @@ class ForcedBoundaryBpe:
             return " ".join(self.token[i] for i in numbers if i in self.token)
 
 
-_loaded: dict[int, ForcedBoundaryBpe] = {}
-
-
 def _coder(shared) -> ForcedBoundaryBpe:
-    if shared.value[0] not in _loaded:
-        _loaded.clear()
-        _loaded[shared.value[0]] = ForcedBoundaryBpe(shared.value[1])
-    return _loaded[shared.value[0]]
+    return worker_state(("bpe", shared.value[0]), lambda: ForcedBoundaryBpe(shared.value[1]))
 
 
 def _share(spark, tokenizer_path: str):

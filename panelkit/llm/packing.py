@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelkit.llm._common import cut, written
+from panelkit.llm._common import cut, worker_state, written
 from panelkit.llm.bpe import SLICE, WHITE, ForcedBoundaryBpe
 
 #: Tokens of a sequence, the id at a document's end, open bins of a packer, and the sequences that a task is dealt.
@@ -132,15 +132,8 @@ class WordIds:
         return out
 
 
-_loaded: dict[int, WordIds] = {}
-
-
 def _coder(shared) -> WordIds:
-    key, *made = shared.value
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = WordIds(*made)
-    return _loaded[key]
+    return worker_state(("packing", shared.value[0]), lambda: WordIds(*shared.value[1:]))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:

@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelkit.llm._common import cut, longer_tasks, text_key, written
 from panelkit.llm._graph import components
@@ -34,6 +36,15 @@ _CHUNK = 1 << 16
 BANDS, BAND_ROWS = 16, 4
 #: Leaders that a member meets as one list, and members that are verified together.
 CHUNK = 256
+#: Bytes of shingle hashes that a block's own texts have, about; and rows of a batch that are taken out of Arrow together.
+BLOCK_BYTES, ROWS = 16 << 20, 64
+
+
+def sliced(batches):
+    """Short slices of Arrow batches, so that a worker holds few rows besides the batch itself."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def _parity(info: np.ndarray) -> np.ndarray:
@@ -240,25 +251,31 @@ def _verified(asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 out += [(a, k) for k in linked.values()]
             return out
 
-        for pdf in batches:
+        def linked(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
+
+        for part in sliced(batches):
             done = []
-            for to, k, root, leaders, data in zip(pdf["block"], pdf["k"], pdf["root"], pdf["asks"], pdf["hashes"], strict=True):
+            for to, k, root, leaders, data in zip(*(part.column(c).to_pylist() for c in ("block", "k", "root", "asks", "hashes")), strict=True):
                 if to != block:
                     done += close()
                     block, held, asks, roots = to, {}, {}, {}
                 held[k] = np.frombuffer(data, dtype=np.uint64)
                 if leaders is not None:
                     asks[k], roots[k] = leaders, root
-            yield pd.DataFrame(done, columns=["a", "b"])
-        yield pd.DataFrame(close(), columns=["a", "b"])
-
-    rows = written(asked, "asked")
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+            if done:
+                yield linked(done)
+        yield linked(close())
+
+    rows = written(asked.join(sets.select("k", "size"), "k"), "asked")
+    # Texts of a block and their hashes are both bounded.
+    most = F.greatest(F.count("*") / CHUNK, 8 * F.sum("size") / BLOCK_BYTES)
+    sizes = rows.groupBy("bucket").agg(F.ceil(most).alias("chunks"))
     rows = rows.join(sizes, "bucket").select(F.xxhash64("bucket", F.pmod(F.xxhash64("k"), "chunks")).alias("block"), "k", "root", "asks")
     leaders = rows.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("asks"))).alias("asks")).select("block", F.explode("asks").alias("k"))
     leaders = leaders.join(rows.select("block", "k"), ["block", "k"], "left_anti").select("block", "k", F.lit(None).cast("long").alias("root"), F.lit(None).cast("array<long>").alias("asks"))
-    found = rows.unionByName(leaders).join(sets, "k").repartition("block").sortWithinPartitions("block")
-    return longer_tasks(found).mapInPandas(run, "a long, b long")
+    found = rows.unionByName(leaders).join(sets.select("k", "hashes"), "k").repartition("block").sortWithinPartitions("block")
+    return longer_tasks(found).mapInArrow(run, "a long, b long")
 
 
 def linked_texts(places: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -297,34 +314,39 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words share all keys and are linked; null counts as the empty text; null ids and repeated rows are kept.
     """
 
-    @F.pandas_udf("fp long, keys array<long>, bits long")
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        fps, keys, bits = [], [], []
-        for t in texts:
-            found = shingle_hashes(t, shingle_words)
-            fps.append(voted(found))
-            own, sketched = band_keys(np.unique(found))
-            keys.append(own)
-            bits.append(sketched)
-        return pd.DataFrame({"fp": np.array(fps, dtype=np.uint64).view(np.int64), "keys": keys, "bits": bits})
-
-    @F.pandas_udf("binary")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in texts])
+    def sketch(batches):
+        for part in sliced(batches):
+            fps, keys, bits, sizes = [], [], [], []
+            for t in part.column(3).to_pylist():
+                found = shingle_hashes(t, shingle_words)
+                fps.append(voted(found))
+                distinct = np.unique(found)
+                own, sketched = band_keys(distinct)
+                keys.append(own)
+                bits.append(sketched)
+                sizes.append(len(distinct))
+            columns = [pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.int64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=["id", "k1", "k2", "fp", "keys", "bits", "size"])
+
+    def hashes(batches):
+        for part in sliced(batches):
+            found = [np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["k", "hashes"])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), *text_key(text))
-    ids = cut(rows.select("id", "k1", "k2", sketch("text").alias("s")).select("id", "k1", "k2", "s.fp", "s.keys", "s.bits"))
-    once = ids.groupBy("k1", "k2").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    kind = docs.select(F.col(id_col).alias("id")).schema.add("k1", "long").add("k2", "long").add("fp", "long").add("keys", T.ArrayType(T.LongType())).add("bits", "long").add("size", "long")
+    ids = cut(rows.select("id", "k1", "k2", "text").mapInArrow(sketch, kind))
+    once = ids.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("fp", "keys", "bits", "size")])
     texts = written(once.withColumn("k", F.monotonically_increasing_id()), "sketches")
     classes = written(components(linked_fingerprints(texts.select("fp").distinct(), max_bits)).select(F.col("node").alias("fp"), "root"), "classes")
     all_ = texts.join(classes, "fp", "left").select("k", "bits", F.posexplode(F.array_append("keys", F.coalesce("root", "fp"))).alias("at", "key"))
     all_ = all_.select("k", "bits", F.xxhash64("at", "key").alias("bucket"))
     shared = all_.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     places = written(all_.join(shared, "bucket"), "places")
-    meeting = written(texts.join(places.select("k").distinct(), "k", "left_semi").select("k", "k1", "k2"), "meeting")
+    meeting = written(texts.join(places.select("k").distinct(), "k", "left_semi").select("k", "k1", "k2", "size"), "meeting")
     known = rows.select("k1", "k2", "text").join(meeting.hint("merge"), ["k1", "k2"]).groupBy("k").agg(F.first("text").alias("text"))
-    sets = written(longer_tasks(known).select("k", hashes("text").alias("hashes")), "shingles")
+    sets = written(longer_tasks(known).select("k", "text").mapInArrow(hashes, "k long, hashes binary"), "shingles").join(meeting.select("k", "size"), "k")
     roots = linked_texts(places, sets, similarity)
     groups = texts.join(roots, F.col("k") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "k").alias("group"))
     members = ids.select("id", "k1", "k2").join(groups, ["k1", "k2"])
