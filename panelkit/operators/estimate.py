@@ -11,13 +11,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.operators._names import spare
 from panelkit.operators._state import checkpointed
-from panelkit.operators.ranges import in_ranges, running
+from panelkit.operators.ranges import dense_ranks, in_ranges, running
 
+#: Rows of a stratum that lie in one block of a permutation test.
+STRATUM_BLOCK = 1 << 17
 #: Levels of effects across clusters that a wild bootstrap takes as regressors.
 MAX_DUMMIES = 100
 #: Scores that one batch of bootstrap draws of a ranking takes.
@@ -547,20 +550,68 @@ def bootstrap_wild_cluster(df: DataFrame, y: str, x: list[str], focal: str, clus
     return df.sparkSession.createDataFrame([row], schema)
 
 
-def permute_within_strata(df: DataFrame, key: str, y: str, x: str, stratum: str, replicates: int = 999, seed: int = 1) -> DataFrame:
+def permuted(rank: np.ndarray, n: np.ndarray, key: np.ndarray, replicate: int, seed: int) -> np.ndarray:
+    """Where a keyed bijection on 0 .. n - 1 takes each rank: Feistel rounds on the next even power of two, walked on while outside."""
+    half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64) + 1) // 2)
+    out, left = rank.astype(np.int64), np.arange(len(rank))
+    while len(left):
+        h = half[left]
+        mask = (np.int64(1) << h) - 1
+        a, b = out[left] >> h, out[left] & mask
+        for turn in range(6):
+            mixed = _mixed(key[left] ^ (b * 8 + turn), replicate, seed)
+            a, b = b, a ^ ((mixed >> np.uint64(20)).astype(np.int64) & mask)
+        out[left] = a << h | b
+        left = left[out[left] >= n[left]]
+    return out
+
+
+def permute_within_strata(df: DataFrame, key: str, y: str, x: str, stratum: str, replicates: int = 999, seed: int = 1, block: int = STRATUM_BLOCK) -> DataFrame:
     """Slope of y on x net of strata, and the two-sided p = (1 + #) / (R + 1) of x permuted inside strata.
 
-    Only sum(x_perm * y) changes with the permutation. Rows are numbered by a hash of (replicate, key) inside
-    (replicate, stratum), so replicates spread over tasks; the k-th takes the k-th x of its stratum in key order.
+    Only sum(x_perm * y) changes with the permutation. Rows are ranked in their stratum by key once, and laid in blocks of ranks;
+    a replicate sends each rank to another by a keyed bijection, so no row is copied or sorted for it. Each block of y meets each
+    block of x of its stratum, all replicates are summed there, and R numbers a task are all that is passed on: what is shuffled
+    doesn't grow with R. Rows with a null are left out; without rows the slope and p are null.
     """
     rows = demean(df.dropna(subset=[key, y, x, stratum]).select(F.col(key).alias("_k"), F.col(y).alias("_y"), F.col(x).alias("_x"), F.col(stratum).alias("_s")), ["_y", "_x"], ["_s"])
     base = rows.agg(F.sum(F.col("_x") * F.col("_y")).alias("xy"), F.sum(F.col("_x") * F.col("_x")).alias("xx"))
-    placed = rows.select("_s", F.col("_x").alias("_px"), F.row_number().over(Window.partitionBy("_s").orderBy("_k")).alias("_at"))
-    many = rows.select("_s", "_k", "_y", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r"))
-    numbered = many.withColumn("_at", F.row_number().over(Window.partitionBy("_r", "_s").orderBy(F.xxhash64(F.lit(seed), "_r", "_k"), "_k")))
-    sums = numbered.join(placed, ["_s", "_at"]).groupBy("_r").agg(F.sum(F.col("_px") * F.col("_y")).alias("pxy"))
-    out = sums.join(F.broadcast(base)).agg(F.first(F.col("xy") / F.col("xx")).alias("slope"), F.count(F.when(F.abs("pxy") >= F.abs("xy") * (1 - 1e-12), 1)).alias("n_extreme"), F.count("*").alias("n_draws"))
-    return out.withColumn("p_value", (1 + F.col("n_extreme")) / (1 + F.col("n_draws")))
+    ranked = dense_ranks(rows, ["_s"], ["_k", "_y", "_x"], "_at")
+    held = F.array_sort(F.collect_list(F.struct("_at", "_y", "_x")))
+    blocks = ranked.groupBy("_s", F.floor(F.col("_at") / block).alias("_b")).agg(held.alias("h"))
+    blocks = checkpointed(blocks.select(F.xxhash64("_s").alias("s"), (F.col("_b") * block).alias("at"), F.transform("h", lambda r: r["_y"]).alias("ys"), F.transform("h", lambda r: r["_x"]).alias("xs")))
+    sizes = blocks.groupBy("s").agg(F.sum(F.size("ys")).alias("n"))
+    pairs = blocks.select("s", F.col("at").alias("a"), "ys").join(sizes, "s").join(blocks.select("s", F.col("at").alias("b"), "xs"), "s").select("s", "n", "a", "ys", "b", "xs")
+
+    def sums(batches):
+        out = np.zeros(replicates)
+
+        def add(part):
+            ys, xs = part.column(3).flatten().to_numpy(zero_copy_only=False), part.column(5).flatten().to_numpy(zero_copy_only=False)
+            wide, deep = (part.column(c).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in (3, 5))
+            s, n, a, b = (np.repeat(part.column(c).to_numpy(), wide) for c in (0, 1, 2, 4))
+            rank = a + np.arange(len(ys)) - np.repeat(np.cumsum(wide) - wide, wide)
+            start, many = np.repeat(np.cumsum(deep) - deep, wide), np.repeat(deep, wide)
+            for r in range(replicates):
+                to = permuted(rank, n, s, r + 1, seed) - b
+                here = (to >= 0) & (to < many)
+                out[r] += ys[here] @ xs[start[here] + to[here]]
+
+        for batch in batches:
+            at, size = 0, 0
+            lengths = batch.column(3).value_lengths().to_pylist()
+            for i, n in enumerate(lengths):
+                size += n
+                if size >= block or i + 1 == len(lengths):
+                    add(batch.slice(at, i + 1 - at))
+                    at, size = i + 1, 0
+        yield pa.RecordBatch.from_arrays([pa.array(range(replicates), pa.int32()), pa.array(out)], names=["r", "v"])
+
+    some = blocks.isEmpty()
+    draws = pairs.mapInArrow(sums, "r int, v double").groupBy("r").agg(F.sum("v").alias("pxy")).where(F.lit(not some))
+    out = base.join(draws, F.lit(True), "left") if some else draws.join(F.broadcast(base))
+    found = out.agg(F.first(F.try_divide("xy", "xx")).alias("slope"), F.count(F.when(F.abs("pxy") >= F.abs("xy") * (1 - 1e-12), 1)).alias("n_extreme"), F.count("pxy").alias("n_draws"))
+    return found.withColumn("p_value", F.when(F.col("n_draws") > 0, (1 + F.col("n_extreme")) / (1 + F.col("n_draws"))))
 
 
 def did_event_study(df: DataFrame, y: str, unit: str, period: str, treated: str, reference: int, periods: list[int], cluster: str | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.operators._state import checkpointed
+
 # Abbreviations after which a full stop doesn't end a sentence, and English months.
 ABBREVIATIONS = "mr|mrs|ms|dr|jr|sr|st|vs|no|inc|co|corp|prof|gen|sen|rep|gov"
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
@@ -40,20 +42,30 @@ def extract_candidate_sentences(docs: DataFrame, key: str, text: str, terms: dic
     )
 
 
+def word_grams(text: Column, longest: int) -> Column:
+    """The different runs of one to ``longest`` words of a text, lower case, joined by one space."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+    every = [F.when(F.size(words) >= k, runs(k)).otherwise(F.array().cast("array<string>")) for k in range(1, longest + 1)]
+    return F.array_distinct(F.concat(*every))
+
+
 def extract_dated_statements(docs: DataFrame, key: str, text: str, verb: str, exclude: str, entities: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Sentences with exactly one written date, a required verb, no exclusion pattern and one entity (name, entity_id): dated rows with their kind.
 
-    ``kinds`` map a kind to a pattern, the first that holds wins, else "other". The names are folded into one array on a
-    single row, as for rules; dates that don't exist give no row.
+    ``kinds`` map a kind to a pattern, the first that holds wins, else "other". The sentences' word runs, as long as the
+    longest name, are joined with the names, so there may be any number of them; names with other than letters, digits and
+    single spaces are found nowhere. Repeated documents give their rows again; dates that don't exist give no row.
     """
-    dims = entities.agg(F.array_sort(F.collect_set(F.struct(F.lower("name").alias("n"), F.col("entity_id").alias("e")))).alias("_dims"))
+    spaced = F.col("name").isNotNull() & ~F.lower("name").rlike(r"[^\p{L}\p{N} ]|^ | $|  ") & (F.col("name") != "")
+    names = entities.where(spaced).groupBy(F.lower("name").alias("_gram")).agg(F.min("entity_id").alias("_least"), F.max("entity_id").alias("_most"))
+    longest = names.agg(F.coalesce(F.max(F.size(F.split("_gram", " "))), F.lit(1))).first()[0]
     rows = docs.select(F.col(key), F.posexplode(sentence_array(F.col(text))).alias("number", "sentence"))
     dates = F.regexp_extract_all("sentence", F.lit(f"({DATE})"), 1)
     rows = rows.withColumn("_dates", F.array_distinct(dates)).where((F.size("_dates") == 1) & F.col("sentence").rlike(verb) & ~F.col("sentence").rlike(exclude))
-    rows = rows.join(F.broadcast(dims))
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("sentence"), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    found = F.array_distinct(F.transform(F.filter("_dims", lambda d: F.contains(F.col("_padded"), F.concat(F.lit(" "), d["n"], F.lit(" ")))), lambda d: d["e"]))
-    rows = rows.withColumn("_padded", padded).withColumn("_found", found).where(F.size("_found") == 1)
+    rows = checkpointed(rows.withColumn("_id", F.monotonically_increasing_id()))
+    met = rows.select("_id", F.explode(word_grams(F.col("sentence"), longest)).alias("_gram")).join(names, "_gram")
+    one = met.groupBy("_id").agg(F.min("_least").alias("_least"), F.max("_most").alias("_most")).where("_least = _most")
     kind = F.coalesce(*[F.when(F.col("sentence").rlike(p), F.lit(k)) for k, p in kinds.items()], F.lit("other"))
     day = F.to_date(F.try_to_timestamp(F.col("_dates")[0], F.lit("MMMM d, yyyy")))
-    return rows.select(key, "number", F.col("_found")[0].alias("entity_id"), day.alias("date"), kind.alias("kind"), "sentence").where("date IS NOT NULL")
+    return rows.join(one, "_id").select(key, "number", F.col("_least").alias("entity_id"), day.alias("date"), kind.alias("kind"), "sentence").where("date IS NOT NULL")

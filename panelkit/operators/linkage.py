@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelkit.functions import jaro_winkler
 from panelkit.operators._names import refuse
@@ -202,6 +203,51 @@ def reconcile_sources(left: DataFrame, right: DataFrame, key: list[str], values:
     return both.select(*[F.coalesce(f"_l{i}", f"_r{i}").alias(k) for i, k in enumerate(key)], status.alias("status"), F.when(there, n).alias("n_agree"), F.when(there, differ).alias("differ"))
 
 
+def match_ordered(left: DataFrame, right: DataFrame, key: list[str], order: str, name: Column, surname: Column, strict: bool = False) -> DataFrame:
+    """Two ordered lists per key, the left one authoritative: key, place, left_row, right_row, how, problem.
+
+    Left entries in their order take a right entry that no earlier one has: of equal ``name``, else of equal ``surname``
+    (expressions over both frames' columns); how is exact or surname. Several that fit are "ambiguous" and none is taken. An entry
+    without a match is left_only: a note, but a problem ("first unmatched") before any match. Right entries that are
+    left are right_only, a problem ("not listed"). place counts matches; rows are structs of the frames' columns. With
+    ``strict`` a problem raises. A list is a few entries of one key, so it is folded as one sorted array; ties of order go
+    by name; null keys meet.
+    """
+    def listed(df: DataFrame, side: str) -> DataFrame:
+        entry = F.struct(F.col(order).alias("o"), name.alias("n"), surname.alias("s"), F.struct(*df.columns).alias("row"))
+        return df.groupBy(*[F.col(k).alias(f"_{side}{i}") for i, k in enumerate(key)]).agg(F.array_sort(F.collect_list(entry)).alias(f"_{side}"))
+
+    l, r = listed(left, "l"), listed(right, "r")
+    both = l.join(r, reduce(lambda x, y: x & y, [F.col(f"_l{i}").eqNullSafe(F.col(f"_r{i}")) for i in range(len(key))]), "full_outer")
+    row_l, row_r = left.select(F.struct(*left.columns).alias("r")).schema["r"].dataType, right.select(F.struct(*right.columns).alias("r")).schema["r"].dataType
+    types = {"rest": r.schema["_r"].dataType, "out": T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("place", T.IntegerType()), ("left_row", row_l), ("right_row", row_r), ("how", T.StringType()), ("problem", T.StringType()))]))}
+    start = F.struct(F.coalesce("_r", F.array().cast(types["rest"])).alias("rest"), F.array().cast(types["out"]).alias("out"), F.lit(0).alias("n"))
+
+    def step(state: Column, e: Column) -> Column:
+        same = F.filter(state["rest"], lambda x: x["n"] == e["n"])
+        near = F.filter(state["rest"], lambda x: x["s"] == e["s"])
+        fits = F.when(F.size(same) > 0, same).otherwise(near)
+        one = F.size(fits) == 1
+        taken = F.get(fits, F.lit(0))
+        n = state["n"] + one.cast("int")
+        how = F.when(F.size(fits) > 1, "ambiguous").when(~one, "left_only").when(F.size(same) > 0, "exact").otherwise("surname")
+        problem = F.when(F.size(fits) > 1, "ambiguous").when(~one & (state["n"] == 0), "first unmatched").otherwise("")
+        got = F.struct(F.when(one, n).alias("place"), e["row"].alias("left_row"), F.when(one, taken["row"]).alias("right_row"), how.alias("how"), problem.alias("problem"))
+        at = F.array_position(state["rest"], taken)
+        rest = F.when(one, F.concat(F.slice(state["rest"], F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int")), F.slice(state["rest"], at.cast("int") + 1, F.size(state["rest"])))).otherwise(state["rest"])
+        return F.struct(rest.alias("rest"), F.concat(state["out"], F.array(got)).cast(types["out"]).alias("out"), n.alias("n"))
+
+    folded = F.aggregate(F.coalesce("_l", F.array().cast(l.schema["_l"].dataType)), start, step)
+    left_over = lambda s: F.transform(s["rest"], lambda x: F.struct(F.lit(None).cast("int").alias("place"), F.lit(None).cast(row_l).alias("left_row"), x["row"].alias("right_row"), F.lit("right_only").alias("how"), F.lit("not listed").alias("problem")))
+    done = both.select(*[F.coalesce(f"_l{i}", f"_r{i}").alias(k) for i, k in enumerate(key)], folded.alias("_s"))
+    rows = done.select(*key, F.inline(F.concat(F.col("_s.out"), left_over(F.col("_s")).cast(types["out"]))))
+    problem = F.nullif("problem", F.lit(""))
+    if strict:
+        said = F.concat(F.lit("lists don't match: "), problem, F.lit(" at "), F.to_json(F.struct(*key)))
+        problem = F.when(problem.isNotNull(), F.raise_error(said).cast("string"))
+    return rows.select(*key, "place", "left_row", "right_row", "how", problem.alias("problem"))
+
+
 def override_timeline(base: DataFrame, key: list[str], time: str, holder: str, corrections: DataFrame, brackets: DataFrame) -> DataFrame:
     """Adds holder_final, holder_source, unknown_window: dated corrections first, then bracketed changes, else the base.
 

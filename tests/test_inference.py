@@ -247,3 +247,68 @@ def test_fuzzy_keys_are_complete(spark):
                 elif _jaro_winkler(m, n) >= least:
                     want[i, j] = "similar"
         assert got == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 16, 100, 257])
+def test_permuted_is_a_bijection(n):
+    at, size, key = np.arange(n), np.full(n, n), np.full(n, -5)
+    seen = {tuple(estimate.permuted(at, size, key, r, 1).tolist()) for r in range(60)}
+    assert all(sorted(p) == list(range(n)) for p in seen) and len(seen) >= min(math.factorial(min(n, 5)), 20) * 0.8
+    if n == 3:
+        first = [estimate.permuted(at, size, key, r, 1)[0] for r in range(3000)]
+        assert all(900 < first.count(i) < 1100 for i in range(3))
+
+
+@pytest.mark.parametrize("block", [8, 1 << 17])
+def test_permutation_equals_a_plain_one(spark, block):
+    rng = np.random.default_rng(6)
+    s = np.where(rng.random(120) < 0.6, 0, rng.integers(1, 9, 120))
+    x = rng.normal(size=120)
+    y = 0.15 * x + s + rng.normal(size=120)
+    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, (a, b, c) in enumerate(zip(y, x, s, strict=True))] + [(None, 1.0, 1.0, 1), (500, None, 1.0, 1)], "id int, y double, x double, s int")
+    got = estimate.permute_within_strata(df.repartition(3), "id", "y", "x", "s", 99, 1, block).first()
+    a, b = net(x, s), net(y, s)
+    hashes = {r.s: r.h for r in df.selectExpr("s", "xxhash64(s) AS h").distinct().collect()}
+    extreme = 0
+    for r in range(1, 100):
+        total = 0.0
+        for v in np.unique(s):
+            own = np.flatnonzero(s == v)
+            to = estimate.permuted(np.arange(len(own)), np.full(len(own), len(own)), np.full(len(own), hashes[v]), r, 1)
+            total += b[own] @ a[own[to]]
+        extreme += abs(total) >= abs(a @ b) * (1 - 1e-12)
+    assert got.n_extreme == extreme and got.n_draws == 99 and got.slope == pytest.approx(a @ b / (a @ a)) and got.p_value == (1 + extreme) / 100
+    none = estimate.permute_within_strata(df.limit(0), "id", "y", "x", "s", 9).first()
+    assert none.slope is None and none.p_value is None and none.n_draws == 0
+
+
+def plain_lists(left, right):
+    rest, out, n = list(right), [], 0
+    for e in left:
+        fits = [r for r in rest if r[2] == e[2]] or [r for r in rest if r[2].split()[-1] == e[2].split()[-1]]
+        if len(fits) == 1:
+            n += 1
+            rest.remove(fits[0])
+            out.append((n, e[2], fits[0][2], "exact" if fits[0][2] == e[2] else "surname", None))
+        else:
+            how = "ambiguous" if fits else "left_only"
+            out.append((None, e[2], None, how, "ambiguous" if fits else None if n else "first unmatched"))
+    return out + [(None, None, r[2], "right_only", "not listed") for r in rest]
+
+
+def test_ordered_lists(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    people = ["ann lee", "bob lee", "cy ray", "di fox", "al fox", "ed poe"]
+    left, right = ([(rng.choice([1, 2, 3, 4, None]), i, rng.choice(people)) for i in range(20)] for _ in range(2))
+    right.append((9, 0, "ed poe"))
+    frames = [spark.createDataFrame(x, "k int, pos int, who string") for x in (left, right)]
+    surname = F.element_at(F.split("who", " "), -1)
+    got = linkage.match_ordered(*frames, ["k"], "pos", F.col("who"), surname)
+    rows = [(r.k, r.place, r.left_row and r.left_row.who, r.right_row and r.right_row.who, r.how, r.problem) for r in got.collect()]
+    want = [(k, *row) for k in {1, 2, 3, 4, None, 9} for row in plain_lists(*(sorted([e for e in x if e[0] == k], key=lambda e: e[1]) for x in (left, right)))]
+    assert sorted(map(str, rows)) == sorted(map(str, want))
+    with pytest.raises(Exception, match="lists don't match"):
+        linkage.match_ordered(*frames, ["k"], "pos", F.col("who"), surname, strict=True).collect()
+    assert linkage.match_ordered(frames[0].limit(0), frames[1].limit(0), ["k"], "pos", F.col("who"), surname).count() == 0
