@@ -267,6 +267,23 @@ def _(spark, d):
     return linkage.reconcile_sources(a, b, ["k"], ["yr", "total"], 0.5)
 
 
+@query("match_ordered", """WITH RECURSIVE n AS (SELECT l_orderkey AS k, l_linenumber AS i, l_partkey, split_part(p_name, ' ', 2) AS s, p_name FROM lineitem JOIN part ON l_partkey = p_partkey),
+l AS (SELECT k, list({'n': p_name, 's': s} ORDER BY i, p_name) AS ls FROM n GROUP BY 1), r AS (SELECT k, list({'n': CASE WHEN i % 3 = 0 THEN 'odd ' || s ELSE p_name END, 's': s} ORDER BY l_partkey) AS rs FROM n WHERE i <> 5 GROUP BY 1),
+f AS (SELECT coalesce(l.k, r.k) AS k, 0 AS i, coalesce(ls, []) AS ls, coalesce(rs, []) AS rest, 0 AS n, CAST(NULL AS INT) AS place, CAST(NULL AS VARCHAR) AS left_name, CAST(NULL AS VARCHAR) AS right_name, '' AS how, CAST(NULL AS VARCHAR) AS problem FROM l FULL JOIN r ON l.k = r.k
+UNION ALL SELECT k, i + 1, ls, CASE WHEN len(fits) = 1 THEN rest[: list_position(rest, fits[1]) - 1] || rest[list_position(rest, fits[1]) + 1 :] ELSE rest END, n + CAST(len(fits) = 1 AS INT), CASE WHEN len(fits) = 1 THEN n + 1 END, e.n, CASE WHEN len(fits) = 1 THEN fits[1].n END,
+CASE WHEN len(fits) > 1 THEN 'ambiguous' WHEN len(fits) = 0 THEN 'left_only' WHEN len(same) > 0 THEN 'exact' ELSE 'surname' END, CASE WHEN len(fits) > 1 THEN 'ambiguous' WHEN len(fits) = 0 AND n = 0 THEN 'first unmatched' END
+FROM (SELECT *, CASE WHEN len(same) > 0 THEN same ELSE near END AS fits FROM (SELECT *, ls[i + 1] AS e, list_filter(rest, lambda x: x.n = ls[i + 1].n) AS same, list_filter(rest, lambda x: x.s = ls[i + 1].s) AS near FROM f WHERE i < len(ls))))
+SELECT k, place, left_name, right_name, how, problem FROM f WHERE how <> '' UNION ALL SELECT k, NULL, NULL, u.n, 'right_only', 'not listed' FROM (SELECT k, unnest(rest) AS u FROM f WHERE i = len(ls))""")
+def _(spark, d):
+    """An order's parts by line, against the same by part number with some names changed and the fifth line missing."""
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
+    n = t(spark, d, "lineitem").join(p, "l_partkey").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", "name", F.split("name", " ")[1].alias("last"))
+    left = n.select("k", F.col("l_linenumber").alias("at"), "name", "last")
+    right = n.where("l_linenumber <> 5").select("k", F.col("l_partkey").alias("at"), F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("odd "), "last")).otherwise(F.col("name")).alias("name"), "last")
+    out = linkage.match_ordered(left, right, ["k"], "at", F.col("name"), F.col("last"))
+    return out.select("k", "place", F.col("left_row.name").alias("left_name"), F.col("right_row.name").alias("right_name"), "how", "problem")
+
+
 @query("override_timeline", """WITH g AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day, o_orderstatus AS holder FROM orders), c AS (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS after, CASE WHEN o_custkey % 2 = 0 THEN min(CAST(o_orderdate AS DATE)) + 200 END AS until, 'fixed' AS h FROM orders WHERE o_custkey % 5 = 0 GROUP BY 1),
 b AS (SELECT o_custkey, DATE '1998-01-01' AS seen_old, DATE '1998-06-01' AS seen_new, 'next' AS h FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1)
 SELECT o_orderkey, coalesce(c.h, CASE WHEN day >= seen_new THEN b.h END, holder) AS holder_final, CASE WHEN c.h IS NOT NULL THEN 'correction' WHEN day >= seen_new THEN 'bracket' ELSE 'base' END AS holder_source, CAST(c.h IS NULL AND coalesce(day < seen_new, false) AS INT) AS unknown_window

@@ -156,10 +156,11 @@ def _(spark, d):
     return out.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.avg(F.col("posterior")[0]).alias("first_kind")).withColumns({f"slope{k}": F.lit(float(f["beta"][1])) for k, f in enumerate(fits)})
 
 
-@query("estimable_contrast", """WITH g AS (SELECT l_returnflag AS f, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1)
-SELECT l_orderkey, l_linenumber, l_partkey, round((x.a - y.a) + (x.b - y.b) * l_quantity, 3) AS contrast FROM lineitem, (SELECT * FROM g WHERE f = 'A') x, (SELECT * FROM g WHERE f = 'R') y WHERE l_returnflag IN ('A', 'R')""")
+@query("estimable_contrast", """WITH l AS (SELECT *, CAST(l_returnflag = 'A' AS INT) AS p FROM lineitem), g AS (SELECT p, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM l GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_partkey, round((x.a - y.a) + (x.b - y.b) * l_quantity, 3) AS contrast FROM l, (SELECT * FROM g WHERE p = 1) x, (SELECT * FROM g WHERE p = 0) y""")
 def _(spark, d):
     """Certain categories, so that the contrast is the gap of two separate lines; a doubled control doesn't change it."""
-    line = t(spark, d, "lineitem").where("l_returnflag IN ('A', 'R')").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", (2 * F.col("l_quantity")).alias("again"), (F.col("l_returnflag") == "A").cast("double").alias("p"), (F.col("l_returnflag") == "R").cast("double").alias("q"))
+    own = (F.col("l_returnflag") == "A").cast("double")
+    line = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", (2 * F.col("l_quantity")).alias("again"), own.alias("p"), (1 - own).alias("q"))
     out = latent.estimable_contrast(line, "l_extendedprice", ["l_quantity", "again"], "p", "q")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("contrast", 3).alias("contrast"))

@@ -21,12 +21,12 @@ def user_days(spark, d):
 _DAYS = "days AS (SELECT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS day, event_type, event_id, value, ts FROM events)"
 
 
-@query("mobility_measures", f"""WITH m AS (SELECT l_suppkey % 50 AS person, l_returnflag AS owner, year(l_shipdate) AS yr, CAST(min(l_linenumber) AS INT) AS tier FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1, 2, 3),
+@query("mobility_measures", f"""WITH m AS (SELECT l_suppkey % 50 AS person, l_returnflag AS owner, year(l_shipdate) AS yr, CAST(min(l_linenumber) AS INT) AS tier FROM lineitem GROUP BY 1, 2, 3),
 ob AS (SELECT DISTINCT owner, yr FROM m WHERE yr % 3 > 0), c AS (SELECT person, yr, row_number() OVER w AS periods_anywhere, lag(o) OVER w AS previous_owners FROM (SELECT person, yr, string_agg(DISTINCT owner, '|' ORDER BY owner) AS o FROM m GROUP BY 1, 2) WINDOW w AS (PARTITION BY person ORDER BY yr))
 SELECT m.*, c.periods_anywhere, c.previous_owners, CASE WHEN ob.owner IS NOT NULL THEN CAST(b.person IS NULL AS INT) END AS new_to_owner, CASE WHEN ob.owner IS NOT NULL THEN CAST(coalesce(m.tier < b.tier, false) AS INT) END AS promoted
 FROM m JOIN c USING (person, yr) LEFT JOIN ob ON ob.owner = m.owner AND ob.yr = m.yr - 1 LEFT JOIN m b ON b.person = m.person AND b.owner = m.owner AND b.yr = m.yr - 1""")
 def _(spark, d):
-    line = t(spark, d, "lineitem").where("l_orderkey % 40 = 0").groupBy((F.col("l_suppkey") % 50).alias("person"), F.col("l_returnflag").alias("owner"), F.year("l_shipdate").alias("yr"))
+    line = t(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("person"), F.col("l_returnflag").alias("owner"), F.year("l_shipdate").alias("yr"))
     m = line.agg(F.min("l_linenumber").cast("int").alias("tier"))
     return spells.mobility_measures(m, m.where("yr % 3 > 0"), "person", "owner", "yr", "tier")
 
@@ -80,20 +80,20 @@ def _(spark, d):
     return spells.retention_outcomes(s, "e", "p", {"retained": "held", "retained_large": "large"}, "owners", "amb", 4002, [3994]).drop("held", "large", "owners", "amb")
 
 
-@query("effective_start_recurrence", """WITH RECURSIVE c AS (SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) AS INT) AS signed, CASE WHEN o_orderkey % 13 > 0 THEN CAST(1 + o_orderkey % 5 AS INT) END AS years, o_orderpriority < '3' AS ext, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderkey) AS i FROM orders WHERE o_orderkey % 3 = 0),
+@query("effective_start_recurrence", """WITH RECURSIVE c AS (SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) AS INT) AS signed, CASE WHEN o_orderkey % 13 > 0 THEN CAST(1 + o_orderkey % 5 AS INT) END AS years, o_orderpriority < '3' AS ext, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderkey) AS i FROM orders),
 r AS (SELECT o_orderkey, o_custkey, i, signed AS eff_start, CASE WHEN years >= 1 THEN signed + years - 1 END AS fin FROM c WHERE i = 1
 UNION ALL SELECT o_orderkey, o_custkey, i, s, CASE WHEN years >= 1 THEN s + years - 1 END FROM (SELECT c.*, CASE WHEN c.ext AND r.fin IS NOT NULL THEN greatest(c.signed, least(r.fin + 1, c.signed + 2)) ELSE c.signed END AS s FROM r JOIN c ON c.o_custkey = r.o_custkey AND c.i = r.i + 1))
 SELECT o_orderkey, eff_start FROM r""")
 def _(spark, d):
-    c = t(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("signed"), F.when(F.col("o_orderkey") % 13 > 0, (1 + F.col("o_orderkey") % 5).cast("int")).alias("years"), (F.col("o_orderpriority") < "3").alias("ext"))
+    c = t(spark, d, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("signed"), F.when(F.col("o_orderkey") % 13 > 0, (1 + F.col("o_orderkey") % 5).cast("int")).alias("years"), (F.col("o_orderpriority") < "3").alias("ext"))
     return spells.effective_start_recurrence(c, ["o_custkey"], ["o_orderkey"], "signed", "years", "ext").select("o_orderkey", "eff_start")
 
 
-_MONTHS = "m AS (SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INT) AS ym FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT *, count(*) OVER (PARTITION BY o_custkey, ym) AS k FROM m), s AS (SELECT *, CASE WHEN k > 1 THEN 'ambiguous' WHEN ym > min(CASE WHEN k > 1 THEN ym END) OVER (PARTITION BY o_custkey) THEN 'after_ambiguous' ELSE 'ordered' END AS state FROM n)"
+_MONTHS = "m AS (SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INT) AS ym FROM orders), n AS (SELECT *, count(*) OVER (PARTITION BY o_custkey, ym) AS k FROM m), s AS (SELECT *, CASE WHEN k > 1 THEN 'ambiguous' WHEN ym > min(CASE WHEN k > 1 THEN ym END) OVER (PARTITION BY o_custkey) THEN 'after_ambiguous' ELSE 'ordered' END AS state FROM n)"
 
 
 def _ordered(spark, d):
-    m = t(spark, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey", (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).cast("int").alias("ym"))
+    m = t(spark, d, "orders").select("o_orderkey", "o_custkey", (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).cast("int").alias("ym"))
     return spells.order_events_strict(m, "o_custkey", "ym")
 
 
@@ -121,10 +121,10 @@ def _(spark, d):
     return spells.classify_transitions(h, "u", "yr", "f", "l")
 
 
-@query("predetermined_weights", """WITH m AS (SELECT c_nationkey AS u, o_custkey AS c, CAST(year(o_orderdate) AS INT) AS yr, max(c_acctbal) AS bal, sum(o_totalprice) AS use FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 = 0 GROUP BY 1, 2, 3), f AS (SELECT u, c FROM m WHERE yr = (SELECT min(yr) FROM m x WHERE x.u = m.u))
+@query("predetermined_weights", """WITH m AS (SELECT c_nationkey AS u, o_custkey AS c, CAST(year(o_orderdate) AS INT) AS yr, max(c_acctbal) AS bal, sum(o_totalprice) AS use FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3), f AS (SELECT u, c FROM m WHERE yr = (SELECT min(yr) FROM m x WHERE x.u = m.u))
 SELECT m.u, m.yr, count(*) AS n_members, round(sum(m.bal * b.use) FILTER (b.use IS NOT NULL) / sum(b.use), 6) AS weighted, round((SELECT sum(x.use) FROM m x WHERE x.u = m.u AND x.yr = m.yr - 1), 2) AS lagged_usage FROM m JOIN f USING (u, c) LEFT JOIN m b ON b.u = m.u AND b.c = m.c AND b.yr = m.yr - 1 GROUP BY m.u, m.yr""")
 def _(spark, d):
-    o = t(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("c"), F.year("o_orderdate").alias("yr"), "o_totalprice")
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("c"), F.year("o_orderdate").alias("yr"), "o_totalprice")
     m = o.join(t(spark, d, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("u"), "c_acctbal"), "c").groupBy("u", "c", "yr").agg(F.max("c_acctbal").alias("bal"), F.sum("o_totalprice").alias("use"))
     out = spells.predetermined_weights(m, "u", "c", "yr", "bal", "use")
     return out.select("u", "yr", "n_members", F.round("weighted", 6).alias("weighted"), F.round("lagged_usage", 2).alias("lagged_usage"))
