@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame, materialised in the folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset, as in tests."""
-    context = df.sparkSession.sparkContext
+def _shared(context, path: str | None) -> str:
+    """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset and the master local. A cluster without it raises."""
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        if not path and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
+    return path or context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame, materialised in the shared checkpoint folder."""
+    spark = df.sparkSession
+    _shared(spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None))
     return df.checkpoint()
 
 
 def scratch(spark, label: str) -> str:
     """A new folder name beside the checkpoints, which all executors see."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    base = _shared(spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None))
     return f"{base.rstrip('/')}/panelkit-{label}-{uuid.uuid4().hex}"

@@ -239,12 +239,12 @@ def coefficient_rows(spark, f: Fit, v: np.ndarray, g: int) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def ols_fe(df: DataFrame, y: str, x: list[str], fe: list[str] | None = None, cluster: list[str] | str | None = None) -> DataFrame:
+def ols_fe(df: DataFrame, y: str, x: list[str], fe: list[str] | None = None, cluster: list[str] | str | None = None, count_nested: bool = False) -> DataFrame:
     """One row per regressor: estimate, standard error, t, p (t with G - 1 degrees), n, clusters; collinear ones are reported as dropped.
 
     ``fe`` are absorbed; a name "a^b" means the cells of a and b. One cluster gives CR1 errors, two give two-way errors, none
-    the homoskedastic ones. Effects nested in a cluster don't count in the correction of clustered errors, and two-way
-    errors take the smaller number of clusters in all parts.
+    the homoskedastic ones. Effects nested in a cluster don't count in the correction of clustered errors unless
+    ``count_nested`` says so, and two-way errors take the smaller number of clusters in all parts.
     """
     fe = fe or []
     cells = {e: F.concat_ws("^", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in e.split("^")]) for e in fe if "^" in e}
@@ -252,6 +252,8 @@ def ols_fe(df: DataFrame, y: str, x: list[str], fe: list[str] | None = None, clu
     rows = df.withColumns({names[e]: c for e, c in cells.items()}) if cells else df
     by = [cluster] if isinstance(cluster, str) else list(cluster or [])
     f = fit(rows, y, x, [names.get(e, e) for e in fe], by)
+    if count_nested:
+        f.apart = f.absorbed
     if len(by) == 2:
         v, g = twoway_variance(f, "_c0", "_c1")
     elif by:

@@ -143,8 +143,11 @@ def test_fixed_effects_match_dummies(make):
     inverse = np.linalg.inv(design.T @ design)
     meat = sum(np.outer(s, s) for s in (design[g == i].T @ e[g == i] for i in range(12)))
     v = 12 / 11 * (len(y) - 1) / (len(y) - 2 - 20) * inverse @ meat @ inverse
-    out = {r.term: r for r in estimate.ols_fe(df, "y", ["x1", "x2", "copy"], ["g", "h"], "g").collect()}
+    out = {r.term: r for r in estimate.ols_fe(df, "y", ["x1", "x2", "copy"], ["g", "h"], "g", count_nested=True).collect()}
     assert out["copy"].dropped == 1
+    # The levels of g lie inside the clusters: by default they count as one.
+    apart = {r.term: r.std_error for r in estimate.ols_fe(df, "y", ["x1", "x2"], ["g", "h"], "g").collect()}
+    assert abs(apart["x1"] - out["x1"].std_error * np.sqrt((len(y) - 2 - 20) / (len(y) - 2 - 9))) < 1e-8
     for i, t in enumerate(("x1", "x2")):
         assert abs(out[t].estimate - beta[i]) < 1e-8 and abs(out[t].std_error - np.sqrt(v[i, i])) < 1e-8 and out[t].n == 400 and out[t].n_clusters == 12
 
