@@ -140,34 +140,112 @@ def gram_ols(df: DataFrame, y: str, x: list[str], keep: list[str] | None = None)
     return dict.fromkeys(names, 0.0) | {names[i]: float(b) for i, b in zip(kept, beta, strict=True)}
 
 
-def demean(df: DataFrame, columns: list[str], effects: list[str], tolerance: float = 1e-10, rounds: int = 1000) -> DataFrame:
-    """The columns net of the means of each effect: exact at once for one effect, by alternating projections for several.
+def demean(df: DataFrame, columns: list[str], effects: list[str], tolerance: float = 1e-13, rounds: int = 2000) -> DataFrame:
+    """The columns (without nulls) net of the effects: of the means of one effect, of the least squares fit on the levels of several.
 
-    Means are small grouped tables that join back, so frequent levels combine on the map side. With several effects each
-    round is checkpointed and ends when no mean is left to take out.
+    Rows are read for the grand means, for sums per level or cell of levels, and for the join of what each level takes out,
+    however many rounds several effects need: those run on the table of cells (``level_effects``). Frequent levels combine
+    on the map side. Null levels count as a level.
     """
     grand = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
     out = df.withColumns({c: F.col(c).cast("double") - F.lit(float(grand[c] or 0.0)) for c in columns})
-    for r in range(rounds):
-        for e in effects:
-            means = out.groupBy(e).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-            joined = out.withColumnRenamed(e, "_level").join(means.withColumnRenamed(e, "_other"), F.col("_level").eqNullSafe(F.col("_other")))
-            out = joined.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).withColumnRenamed("_level", e).drop("_other", *[f"_m_{c}" for c in columns])
-        if len(effects) < 2:
-            break
-        out = checkpointed(out)
-        left = out.groupBy(effects[0]).agg(*[F.avg(c).alias(c) for c in columns]).agg(*[F.max(F.abs(c)).alias(c) for c in columns])
-        spread = out.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
-        if all((v or 0.0) <= tolerance * max(spread[i] or 0.0, 1e-300) or not spread[i] for i, v in enumerate(left.first())):
-            break
+    if len(effects) == 1:
+        takes = [out.groupBy(F.col(effects[0]).alias("level")).agg(*[F.avg(c).alias(f"a{j}") for j, c in enumerate(columns)])]
+    else:
+        takes = level_effects(out, columns, effects, tolerance, rounds) if effects else []
+    for e, take in zip(effects, takes, strict=True):
+        level, *own = spare(out, "level", *[f"a{j}" for j in range(len(columns))])
+        take = take.select(F.col("level").alias(level), *[F.col(f"a{j}").alias(a) for j, a in enumerate(own)])
+        out = out.join(take, F.col(e).eqNullSafe(F.col(level))).withColumns({c: F.col(c) - F.col(a) for c, a in zip(columns, own, strict=True)}).drop(level, *own)
     return out
 
 
-def fit(df: DataFrame, y: str, x: list[str], effects: list[str] | None = None, clusters: list[str] | None = None) -> Fit:
+def level_graph(df: DataFrame, columns: list[str], effects: list[str]) -> tuple[list[DataFrame], DataFrame]:
+    """Levels and cells of effects, as checkpointed tables from one aggregate of the rows.
+
+    Levels, one table for each effect: level, id, d (rows), r0, r1, ... (sums of the columns), q0, q1, ... (of their squares).
+    Cells: n (rows), i0, i1, ... (ids of the levels that meet there).
+    """
+    k, m = range(len(columns)), range(len(effects))
+    sums = [F.sum(c).alias(f"r{j}") for j, c in enumerate(columns)] + [F.sum(F.col(c) * F.col(c)).alias(f"q{j}") for j, c in enumerate(columns)]
+    cells = checkpointed(df.groupBy(*[F.col(e).alias(f"l{i}") for i, e in enumerate(effects)]).agg(F.count("*").alias("n"), *sums))
+    carried = [F.sum(f"{v}{j}").alias(f"{v}{j}") for v in "rq" for j in k]
+    levels = [checkpointed(cells.groupBy(F.col(f"l{i}").alias("level")).agg(F.sum("n").alias("d"), *carried).withColumn("id", F.monotonically_increasing_id())) for i in m]
+    graph = cells.select("n", *[f"l{i}" for i in m])
+    for i in m:
+        ids = levels[i].select(F.col("level").alias("other"), F.col("id").alias(f"i{i}"))
+        graph = graph.join(ids, F.col(f"l{i}").eqNullSafe(F.col("other"))).drop("other", f"l{i}")
+    return levels, checkpointed(graph)
+
+
+def level_effects(df: DataFrame, columns: list[str], effects: list[str], tolerance: float = 1e-13, rounds: int = 2000) -> list[DataFrame]:
+    """Least squares of each column on the levels of all effects: for each effect (level, a0, a1, ...), whose sums are the fit.
+
+    Conjugate gradients with the levels' sizes as weights, all columns at once. A round sends each level's direction to its
+    cells and sums it back per level; k numbers reach the driver. A column ends where the levels' means of its residual have
+    ``tolerance`` of its spread; a graph whose parts hang on few cells takes more rounds. Raises where the rounds are used up.
+    """
+    k, m = range(len(columns)), range(len(effects))
+    levels, graph = level_graph(df, columns, effects)
+
+    def numbers(frame: DataFrame, cells: list[Column]) -> np.ndarray:
+        return np.array([v or 0.0 for v in frame.agg(*[F.sum(c).alias(f"v{j}") for j, c in enumerate(cells)]).first()])
+
+    spread = numbers(levels[0], [F.col(f"q{j}") for j in k])
+    start = [F.col("d").cast("double").alias("d"), *[F.lit(0.0).alias(f"x{j}") for j in k], *[F.col(f"r{j}") for j in k], *[(F.col(f"r{j}") / F.col("d")).alias(f"p{j}") for j in k]]
+    state = levels[0].select(F.lit(0).alias("e"), "id", *start)
+    for i in m[1:]:
+        state = state.unionByName(levels[i].select(F.lit(i).alias("e"), "id", *start))
+    state = checkpointed(state)
+    left = numbers(state, [F.col(f"r{j}") * F.col(f"r{j}") / F.col("d") for j in k])
+    live, used = left > tolerance**2 * spread, 0
+    while live.any():
+        if used == rounds:
+            raise ArithmeticError(f"effects {effects} are not absorbed after {rounds} rounds")
+        used += 1
+        met = graph
+        for i in m:
+            met = met.join(state.where(F.col("e") == i).select(F.col("id").alias(f"i{i}"), *[F.col(f"p{j}").alias(f"p{i}_{j}") for j in k]), f"i{i}")
+        ends = F.inline(F.array(*[F.struct(F.lit(i).alias("e"), F.col(f"i{i}").alias("id")) for i in m]))
+        back = met.select(ends, *[(F.col("n") * sum((F.col(f"p{i}_{j}") for i in m[1:]), F.col(f"p0_{j}"))).alias(f"t{j}") for j in k])
+        step = checkpointed(state.join(back.groupBy("e", "id").agg(*[F.sum(f"t{j}").alias(f"t{j}") for j in k]), ["e", "id"]))
+        curve = numbers(step, [F.col(f"p{j}") * F.col(f"t{j}") for j in k])
+        along = np.where(live & (curve > 0), left / np.where(curve > 0, curve, 1.0), 0.0)
+        rest = [F.col(f"r{j}") - F.lit(float(along[j])) * F.col(f"t{j}") for j in k]
+        now = numbers(step, [c * c / F.col("d") for c in rest])
+        turn = np.where(live & (left > 0), now / np.where(left > 0, left, 1.0), 0.0)
+        left, live = now, live & (curve > 0) & (now > tolerance**2 * spread)
+        state = step.select("e", "id", "d", *[(F.col(f"x{j}") + F.lit(float(along[j])) * F.col(f"p{j}")).alias(f"x{j}") for j in k], *[rest[j].alias(f"r{j}") for j in k], *[(rest[j] / F.col("d") + F.lit(float(turn[j])) * F.col(f"p{j}")).alias(f"p{j}") for j in k])
+    return [levels[i].select("level", "id").join(state.where(F.col("e") == i).select("id", *[F.col(f"x{j}").alias(f"a{j}") for j in k]), "id").drop("id") for i in m]
+
+
+def level_components(df: DataFrame, one: str, two: str) -> int:
+    """Connected parts of the graph whose points are the levels of two effects and whose links are the cells with rows.
+
+    Labels go down to the smallest in reach: over the cells, then to the label of the label, until none changes.
+    """
+    levels, graph = level_graph(df, [], [one, two])
+    links = graph.select(F.col("i0").alias("a"), (-1 - F.col("i1")).alias("b"))
+    links = checkpointed(links.union(links.select("b", "a")))
+    labels = checkpointed(levels[0].select(F.col("id").alias("a"), F.col("id").alias("c")).union(levels[1].select((-1 - F.col("id")).alias("a"), (-1 - F.col("id")).alias("c"))))
+    while True:
+        near = links.join(labels.select(F.col("a").alias("b"), F.col("c").alias("o")), "b").groupBy("a").agg(F.min("o").alias("o"))
+        low = checkpointed(labels.join(near, "a").select("a", F.least("c", "o").alias("n"), "c"))
+        over = low.select(F.col("a").alias("n"), F.col("n").alias("nn"))
+        low = checkpointed(low.join(over, "n").select("a", F.least("n", "nn").alias("n"), "c"))
+        changed = low.where("n <> c").count()
+        labels = low.select("a", F.col("n").alias("c"))
+        if not changed:
+            return labels.where("a = c").count()
+
+
+def fit(df: DataFrame, y: str, x: list[str], effects: list[str] | None = None, clusters: list[str] | None = None, exact: bool = False) -> Fit:
     """Least squares with absorbed effects (or an intercept); rows with a null in any variable are left out.
 
     A regressor that follows from those before it is dropped. Absorbed counts the intercept, or the levels of the effects
     less one for each after the first; apart does the same with effects nested in a cluster counted as one level each.
+    ``exact`` takes one off for each further part into which the levels of the first two effects fall; effects after these
+    still lose one each.
     """
     effects, clusters = effects or [], clusters or []
     rows = df.dropna(subset=[y, *x, *effects, *clusters])
@@ -178,6 +256,9 @@ def fit(df: DataFrame, y: str, x: list[str], effects: list[str] | None = None, c
     if names:
         counts = [_levels(rows, n, [f"_c{i}" for i in range(len(clusters))]) for n in names]
         absorbed, apart = (sum(c) - (len(names) - 1) for c in zip(*counts, strict=True))
+        if exact and len(names) > 1:
+            more = max(level_components(rows, *names[:2]) - 1, 0)
+            absorbed, apart = absorbed - more, apart - (more if counts[0][0] == counts[0][1] and counts[1][0] == counts[1][1] else 0)
     net = demean(rows, inner, names)
     g, n = gram(net, [*inner[1:], "_y"])
     raw = np.array([v or 0.0 for v in rows.agg(*[F.var_pop(c) for c in inner[1:]]).first()]) * n if x else np.zeros(0)
@@ -239,19 +320,20 @@ def coefficient_rows(spark, f: Fit, v: np.ndarray, g: int) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def ols_fe(df: DataFrame, y: str, x: list[str], fe: list[str] | None = None, cluster: list[str] | str | None = None, count_nested: bool = False) -> DataFrame:
+def ols_fe(df: DataFrame, y: str, x: list[str], fe: list[str] | None = None, cluster: list[str] | str | None = None, count_nested: bool = False, exact_levels: bool = False) -> DataFrame:
     """One row per regressor: estimate, standard error, t, p (t with G - 1 degrees), n, clusters; collinear ones are reported as dropped.
 
     ``fe`` are absorbed; a name "a^b" means the cells of a and b. One cluster gives CR1 errors, two give two-way errors, none
     the homoskedastic ones. Effects nested in a cluster don't count in the correction of clustered errors unless
-    ``count_nested`` says so, and two-way errors take the smaller number of clusters in all parts.
+    ``count_nested`` says so, and two-way errors take the smaller number of clusters in all parts. ``exact_levels`` counts
+    the levels of effects that fall into unconnected parts exactly, which takes further rounds over the table of cells.
     """
     fe = fe or []
     cells = {e: F.concat_ws("^", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in e.split("^")]) for e in fe if "^" in e}
     names = {e: f"_cell{i}" for i, e in enumerate(cells)}
     rows = df.withColumns({names[e]: c for e, c in cells.items()}) if cells else df
     by = [cluster] if isinstance(cluster, str) else list(cluster or [])
-    f = fit(rows, y, x, [names.get(e, e) for e in fe], by)
+    f = fit(rows, y, x, [names.get(e, e) for e in fe], by, exact_levels)
     if count_nested:
         f.apart = f.absorbed
     if len(by) == 2:
