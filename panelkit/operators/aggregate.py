@@ -381,6 +381,18 @@ def agreement_kappa(df: DataFrame, a: str, b: str, by: list[str] | None = None)
     return out.select(*by, "n", po.alias("agreement"), F.when(pe < 1, (po - pe) / (1 - pe)).alias("kappa"))
 
 
+def adjudication_list(df: DataFrame, key: list[str], a: str, b: str, also: dict[str, Column] | None = None) -> DataFrame:
+    """Rows that need a decision: key, both codes and the reasons, joined by "; ".
+
+    "coders disagree" where both codes are known and differ, "one coder only" where one is null; then the names of the
+    conditions of ``also`` that hold (null: doesn't hold). Rows without a reason, those without any code among them, are left out.
+    """
+    one, two = F.col(a), F.col(b)
+    reasons = [F.when(one != two, F.lit("coders disagree")), F.when(one.isNull() != two.isNull(), F.lit("one coder only"))]
+    reasons += [F.when(c, F.lit(name)) for name, c in (also or {}).items()]
+    return df.select(*key, one, two, F.concat_ws("; ", *reasons).alias("reasons")).where("reasons <> ''")
+
+
 def confusion_rates(df: DataFrame, truth: Column, said: Column, by: list[str] | None = None) -> DataFrame:
     """Sensitivity, specificity and positive predictive value of a 0/1 code against another."""
     n = lambda c: F.count(F.when(c, 1))

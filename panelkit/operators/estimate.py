@@ -283,7 +283,7 @@ def _levels(rows: DataFrame, effect: str, clusters: list[str]) -> tuple[int, int
 
 def cluster_meat(f: Fit, by: list[str]) -> tuple[np.ndarray, int]:
     """Sum over clusters of the outer product of their scores, and the number of clusters; two aggregates."""
-    scores = f.rows.groupBy(*by).agg(*[F.sum(F.col(c) * F.col("_e")).alias(f"s{i}") for i, c in enumerate(f.x())])
+    scores = f.rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(F.col(c) * F.col("_e")).alias(f"s{i}") for i, c in enumerate(f.x())])
     return gram(scores, [f"s{i}" for i in range(len(f.terms))])
 
 
@@ -700,13 +700,41 @@ def permute_within_strata(df: DataFrame, key: str, y: str, x: str, stratum: str,
 
 def did_event_study(df: DataFrame, y: str, unit: str, period: str, treated: str, reference: int, periods: list[int], cluster: str | None = None) -> DataFrame:
     """Coefficients of treated x period with the reference period left out, net of unit and period effects; term is the period."""
-    names = {p: f"_ev{i}" for i, p in enumerate(q for q in periods if q != reference)}
-    rows = df.withColumns({n: (F.col(treated).cast("double") * (F.col(period) == p).cast("double")) for p, n in names.items()})
+    rows, names = _event_columns(df, treated, period, reference, periods)
     out = ols_fe(rows, y, list(names.values()), [unit, period], cluster or unit)
     label = F.create_map(*[F.lit(v) for p, n in names.items() for v in (n, str(p))])
     return out.withColumn("term", label[F.col("term")])
 
 
+def _event_columns(df: DataFrame, treated: str, period: str, reference: int, periods: list[int]) -> tuple[DataFrame, dict[int, str]]:
+    names = {p: f"_ev{i}" for i, p in enumerate(q for q in periods if q != reference)}
+    return df.withColumns({n: (F.col(treated).cast("double") * (F.col(period) == p).cast("double")) for p, n in names.items()}), names
+
+
+def pretrend_tests(df: DataFrame, y: str, unit: str, period: str, treated: str, reference: int, periods: list[int], cluster: str | None = None, short: int = 4) -> DataFrame:
+    """What speaks against parallel trends before the reference period: test, estimate, std_error, f_value, df1, p_value.
+
+    "joint leads" tests all coefficients of the event study before the reference, "last leads" those of the ``short`` last
+    ones; either is null with fewer than two leads that can be estimated. "trend" is the slope of treated x (period - reference)
+    on the rows up to the reference. Net of unit and period effects, errors clustered by ``cluster`` or unit.
+    """
+    by = cluster or unit
+    rows, names = _event_columns(df, treated, period, reference, periods)
+    f = fit(rows, y, list(names.values()), [unit, period], [by])
+    v, g = cluster_variance(f, ["_c0"])
+    leads = sorted(p for p in periods if p < reference)
+    out = []
+    for test, some in (("joint leads", leads), ("last leads", leads[-short:])):
+        at = [f.terms.index(names[p]) for p in some if names[p] in f.terms]
+        stat = float(f.beta[at] @ np.linalg.solve(v[np.ix_(at, at)], f.beta[at]) / len(at)) if len(at) > 1 and g > len(at) else None
+        out.append((test, None, None, stat, len(at), None if stat is None else f_p_value(stat, len(at), g - 1)))
+    (trend,) = spare(df, "trend")
+    before = df.where(F.col(period) <= reference).withColumn(trend, F.col(treated).cast("double") * (F.col(period) - reference))
+    row = ols_fe(before, y, [trend], [unit, period], by).first()
+    out.append(("trend", row["estimate"], row["std_error"], None if row["t_value"] is None else row["t_value"] ** 2, 1, row["p_value"]))
+    return df.sparkSession.createDataFrame(out, "test string, estimate double, std_error double, f_value double, df1 int, p_value double")
+
+
 def placebo_leads(df: DataFrame, by: list[str], period: str, y: str, x: str, leads: list[int], fe: list[str], cluster: str) -> DataFrame:
     """The effect of x and of its value in later periods (leads that exist exactly); an effect of a lead speaks against the design."""
     from panelkit.operators.panel import lag_consecutive
@@ -717,6 +745,30 @@ def placebo_leads(df: DataFrame, by: list[str], period: str, y: str, x: str, lea
     return ols_fe(rows, y, [x, *[f"lead{k}" for k in leads]], fe, cluster)
 
 
+def reverse_placebo(df: DataFrame, by: list[str], period: str, y: str, x: str, fe: list[str], cluster: str) -> DataFrame:
+    """The regression turned around: x on y and x of the period before (where it exists exactly); terms lag_y and lag_x.
+
+    An effect of lag_y says that the outcome leads the regressor.
+    """
+    from panelkit.operators.panel import lag_consecutive
+
+    rows = lag_consecutive(lag_consecutive(df, by, period, y, "lag_y", 1), by, period, x, "lag_x", 1)
+    return ols_fe(rows, x, ["lag_y", "lag_x"], fe, cluster)
+
+
+def group_difference(df: DataFrame, member: str, values: list[str], cluster: str) -> DataFrame:
+    """Difference of means between members and others, with errors by cluster: variable, difference, std_error, n, n_clusters.
+
+    ``member`` is 0/1 or a probability; for the latter the difference is the slope on it. Rows with a null in the value, the
+    member or the cluster are left out; a difference is null where the member doesn't vary.
+    """
+    out = None
+    for v in values:
+        row = ols_fe(df, v, [member], None, cluster).select(F.lit(v).alias("variable"), F.col("estimate").alias("difference"), "std_error", "n", "n_clusters")
+        out = row if out is None else out.union(row)
+    return out
+
+
 def interaction_profile(df: DataFrame, y: str, category: str, period: str, controls: list[str], periods: list, cluster: str) -> DataFrame:
     """Per period the gap of a 0/1 category in y, raw and with shared slopes of controls, on the same rows; the support, and 100 (e^b - 1)."""
     rows = df.dropna(subset=[y, category, period, cluster, *controls])
@@ -901,10 +953,11 @@ def sample_flow(df: DataFrame, steps: dict[str, Column], entity: str) -> DataFra
     return long.groupBy("step", "name").agg(F.count(F.when(F.col("on"), 1)).alias("n_rows"), F.countDistinct(F.when(F.col("on"), F.col("_e"))).alias("n_entities"))
 
 
-def sensitivity_grid(df: DataFrame, main: str, variants: dict[str, dict], term: str) -> DataFrame:
+def sensitivity_grid(df: DataFrame, main: str, variants: dict[str, dict], term: str, fitted: float | None = None) -> DataFrame:
     """One row per variant (arguments of ``ols_fe``, with ``where`` for a sample): the coefficient of its focal regressor, and its ratio to the main one's.
 
-    A variant names its focal regressor as ``focal``; else ``term``.
+    A variant names its focal regressor as ``focal``; else ``term``. Raises where the main cell is not within 1e-6 of ``fitted``,
+    the main fit's own estimate.
     """
     out = None
     for name, spec in variants.items():
@@ -914,4 +967,8 @@ def sensitivity_grid(df: DataFrame, main: str, variants: dict[str, dict], term:
         rows = rows.select(F.lit(name).alias("variant"), F.col("estimate"), F.col("std_error"), "n")
         out = rows if out is None else out.union(rows)
     first = out.where(F.col("variant") == main).select(F.col("estimate").alias("_main"))
+    if fitted is not None:
+        cell = first.first()
+        if cell is None or cell[0] is None or abs(cell[0] - fitted) > 1e-6:
+            raise ValueError(f"the main cell is {cell and cell[0]}, the main fit {fitted}")
     return out.join(F.broadcast(first)).withColumn("to_main", F.try_divide(F.col("estimate"), F.col("_main"))).drop("_main")

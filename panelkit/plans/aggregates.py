@@ -267,6 +267,14 @@ def _(spark, d):
     return rounded(out, 9, "agreement", "kappa", "sensitivity", "specificity", "ppv")
 
 
+@query("adjudication_list", with_fx("""SELECT doc_id, quality AS a, b, reasons FROM (SELECT *, concat_ws('; ', CASE WHEN quality <> b THEN 'coders disagree' END, CASE WHEN (quality IS NULL) <> (b IS NULL) THEN 'one coder only' END, CASE WHEN n_chars < 200 THEN 'short text' END) AS reasons
+FROM (SELECT doc_id, n_chars, quality, CASE WHEN n_chars % 7 = 0 THEN NULL WHEN n_chars % 5 = 0 THEN 1 - quality ELSE quality END AS b FROM fx_labels)) WHERE reasons <> ''""", "fx_labels"))
+def _(spark, d):
+    other = F.when(F.col("n_chars") % 7 != 0, F.when(F.col("n_chars") % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    rows = fx.labels(spark, d).select("doc_id", "n_chars", F.col("quality").alias("a"), other.alias("b"))
+    return aggregate.adjudication_list(rows, ["doc_id"], "a", "b", {"short text": F.col("n_chars") < 200})
+
+
 @query("coverage_table", with_fx("""WITH c AS (SELECT lang, source, avg(CAST(quality IS NOT NULL AS INT)) AS cov FROM fx_labels GROUP BY 1, 2) SELECT doc_id, CASE WHEN cov >= 0.4 THEN quality END AS quality, round(cov, 9) AS cov FROM fx_labels JOIN c USING (lang, source)""", "fx_labels"))
 def _(spark, d):
     rows = fx.labels(spark, d)

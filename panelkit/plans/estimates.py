@@ -157,6 +157,32 @@ def _(spark, d):
     return out.select("term", F.round("estimate", 5).alias("estimate"), "n")
 
 
+@query("reverse_placebo", with_fx("""WITH p AS (SELECT a.n_nationkey AS u, CAST(a.n_orders AS DOUBLE) AS y, b.revenue / b.n_orders AS x, CAST(b.n_orders AS DOUBLE) AS z FROM fx_nation_year a JOIN fx_nation_year b ON b.n_nationkey = a.n_nationkey AND b.yr = a.yr - 1),
+d AS (SELECT y - avg(y) OVER w AS y, x - avg(x) OVER w AS x1, z - avg(z) OVER w AS x2 FROM p WINDOW w AS (PARTITION BY u)), a AS (SELECT sum(x1 * x1) AS a11, sum(x1 * x2) AS a12, sum(x2 * x2) AS a22, sum(x1 * y) AS b1, sum(x2 * y) AS b2, count(*) AS n FROM d)
+SELECT 'lag_y' AS term, round((a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12), 8) AS estimate, n FROM a UNION ALL SELECT 'lag_x', round((a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12), 8), n FROM a""", "fx_nation_year"))
+def _(spark, d):
+    n = fx.nation_year(spark, d).withColumn("y", F.col("revenue") / F.col("n_orders"))
+    out = estimate.reverse_placebo(n, ["n_nationkey"], "yr", "y", "n_orders", ["n_nationkey"], "n_nationkey")
+    return out.select("term", F.round("estimate", 8).alias("estimate"), "n")
+
+
+@query("pretrend_tests")
+def _(spark, d):
+    n = fx.nation_year(spark, d).select("n_nationkey", "yr", (F.col("revenue") / F.col("n_orders")).alias("y"), (F.col("n_nationkey") < 10).cast("int").alias("treated"))
+    return estimate.pretrend_tests(n, "y", "n_nationkey", "yr", "treated", 1998, list(range(1995, 2002)), short=2)
+
+
+_DIFFERENCE = """SELECT '{v}' AS variable, round(e, 4) AS difference, round(sqrt(m * g / (g - 1) * (n - 1) / (n - 2)) / a, 4) AS std_error, n, g AS n_clusters FROM (SELECT e, a, n, sum(s * s) AS m, count(*) AS g FROM (SELECT c, any_value(e) AS e, any_value(a) AS a, any_value(n) AS n, sum(x * ({v} - e * x)) AS s
+FROM d, (SELECT sum(x * {v}) / sum(x * x) AS e, sum(x * x) AS a, count(*) AS n FROM d) GROUP BY c) GROUP BY 1, 2, 3)"""
+
+
+@query("group_difference", "WITH d AS (SELECT l_suppkey AS c, l_discount * 10 - avg(l_discount * 10) OVER () AS x, l_extendedprice - avg(l_extendedprice) OVER () AS l_extendedprice, l_quantity - avg(l_quantity) OVER () AS l_quantity FROM lineitem) " + " UNION ALL ".join(_DIFFERENCE.format(v=v) for v in ("l_extendedprice", "l_quantity")))
+def _(spark, d):
+    rows = t(spark, d, "lineitem").withColumn("p", F.col("l_discount") * 10)
+    out = estimate.group_difference(rows, "p", ["l_extendedprice", "l_quantity"], "l_suppkey")
+    return out.select("variable", F.round("difference", 4).alias("difference"), F.round("std_error", 4).alias("std_error"), "n", "n_clusters")
+
+
 @query("interaction_profile", with_fx("""SELECT CAST(yr AS INT) AS yr, count(*) AS n, count(*) FILTER (grp = 'A') AS n_category, round(avg(y) FILTER (grp = 'A') - avg(y) FILTER (grp <> 'A'), 7) AS raw FROM fx_design GROUP BY 1""", "fx_design"))
 def _(spark, d):
     rows = _rows(spark, d).withColumn("is_a", (F.col("grp") == "A").cast("int"))
@@ -187,5 +213,5 @@ def _(spark, d):
 e AS (SELECT variant, sum(x * y) / sum(x * x) AS e, count(*) AS n FROM d GROUP BY 1) SELECT variant, round(e, 8) AS estimate, n, round(e / (SELECT e FROM e WHERE variant = 'main'), 6) AS to_main FROM e""", "fx_design"))
 def _(spark, d):
     spec = {"y": "y", "x": ["x1"], "fe": ["fe"], "cluster": "fe"}
-    out = estimate.sensitivity_grid(_rows(spark, d), "main", {"main": spec, "late": spec | {"where": "yr >= 1999"}, "discount": spec | {"x": ["x2"], "focal": "x2"}}, "x1")
+    out = estimate.sensitivity_grid(_rows(spark, d), "main", {"main": spec, "late": spec | {"where": "yr >= 1999"}, "discount": spec | {"x": ["x2"], "focal": "x2"}}, "x1", estimate.ols_fe(_rows(spark, d), **spec).first()["estimate"])
     return out.select("variant", F.round("estimate", 8).alias("estimate"), "n", F.round("to_main", 6).alias("to_main"))

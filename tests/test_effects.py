@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from panelkit.operators import estimate
+from panelkit.operators import aggregate, estimate
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,36 @@ def test_three_effects_and_edges(spark):
     assert max(abs(r["y"]) for r in estimate.demean(gaps, ["y"], ["level", "c"]).collect()) < 1e-9
     with pytest.raises(ArithmeticError, match="not absorbed"):
         estimate.demean(rows, ["y"], ["level", "c"], rounds=1)
+
+
+def test_pretrend_tests(spark):
+    """A planted trend is found by all three tests, whose numbers equal those of dummies; one period before is no trend."""
+    rng = np.random.default_rng(5)
+    u, p = (v.ravel() for v in np.meshgrid(np.arange(12), np.arange(6), indexing="ij"))
+    treated = (u < 6).astype(float)
+    y = rng.normal(size=len(u)) * 0.3 + u + p + treated * 0.8 * p
+    df = spark.createDataFrame([(int(a), int(b), int(c), float(e)) for a, b, c, e in zip(u, p, treated, y, strict=True)], "u int, p int, treated int, y double")
+    out = {r["test"]: r for r in estimate.pretrend_tests(df, "y", "u", "p", "treated", 3, list(range(6)), short=2).collect()}
+    d = dummies(u, p)
+    x = np.column_stack([treated * (p == k) for k in (0, 1, 2, 4, 5)])
+    x, r = (v - d @ np.linalg.lstsq(d, v, rcond=None)[0] for v in (x, y))
+    inverse = np.linalg.inv(x.T @ x)
+    beta = inverse @ x.T @ r
+    s = np.array([x[u == k].T @ (r - x @ beta)[u == k] for k in range(12)])
+    # Unit effects lie inside the clusters and count as one level with the intercept, period effects as five more.
+    v = 12 / 11 * (len(u) - 1) / (len(u) - 5 - 6) * inverse @ s.T @ s @ inverse
+    for test, at in (("joint leads", [0, 1, 2]), ("last leads", [1, 2])):
+        assert out[test]["f_value"] == pytest.approx(beta[at] @ np.linalg.solve(v[np.ix_(at, at)], beta[at]) / len(at), rel=1e-6)
+        assert out[test]["df1"] == len(at) and out[test]["p_value"] < 0.01
+    assert out["trend"]["estimate"] == pytest.approx(0.8, abs=0.3) and out["trend"]["p_value"] < 0.01
+
+
+def test_adjudication_and_difference_edges(spark):
+    k = spark.createDataFrame([(1, 1, 0, 5), (2, 1, None, 5), (3, 1, 1, None), (4, None, None, 5), (5, 1, 1, 1), (1, 1, 0, 5)], "k int, a int, b int, n int")
+    out = aggregate.adjudication_list(k, ["k"], "a", "b", {"short": F.col("n") < 3})
+    assert sorted((r["k"], r["reasons"]) for r in out.collect()) == [(1, "coders disagree"), (1, "coders disagree"), (2, "one coder only"), (5, "short")]
+    assert aggregate.adjudication_list(k.limit(0), ["k"], "a", "b").count() == 0
+    same = spark.createDataFrame([(1, 2.0, 1), (1, 3.0, 2), (None, 9.0, 1)], "m int, y double, c int")
+    assert tuple(estimate.group_difference(same, "m", ["y"], "c").first())[:4] == ("y", None, None, 2)
+    with pytest.raises(ValueError, match="main cell"):
+        estimate.sensitivity_grid(same.withColumn("m", F.col("c")), "main", {"main": {"y": "y", "x": ["m"]}}, "m", fitted=9.0)
