@@ -320,6 +320,17 @@ def series_with_basis(series: DataFrame, denominators: DataFrame, key: list[str]
     return rows.withColumns({"percent_used": F.when(basis == "derived", derived).when(basis == "printed", F.col(percent)), "basis": basis})
 
 
+def era_summary(df: DataFrame, period: str, value: str, eras: dict[str, tuple[int | None, int | None]], by: list[str] | None = None) -> DataFrame:
+    """era, n, mean, low and high of a series in each era (first and last period, null: open), per ``by``; eras may overlap.
+
+    Null values and rows of a null period are left out, as are eras without a row.
+    """
+    open_or = lambda end, c: F.lit(True) if end is None else c
+    inside = [F.when(open_or(first, F.col(period) >= F.lit(first)) & open_or(last, F.col(period) <= F.lit(last)), F.lit(name)) for name, (first, last) in eras.items()]
+    known = df.where(F.col(period).isNotNull() & F.col(value).isNotNull())
+    return known.select(*(by or []), F.col(value).alias("_v"), F.explode(F.array_compact(F.array(*inside))).alias("era")).groupBy(*(by or []), "era").agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+
+
 def assign_first_tier(ids: DataFrame, key: str, sets: list[tuple[str, DataFrame]], rest: str = "none") -> DataFrame:
     """Adds tier: the name of the first set (frames with the key) that holds the id, else ``rest``; null ids are in none."""
     out, cases = ids, F.when(F.lit(False), F.lit(None).cast("string"))

@@ -412,6 +412,28 @@ def residual_sd(df: DataFrame, x: str, effects: list[str], controls: list[str] |
     return math.sqrt((row["s"] or 0.0) / (f.n - 1)) if f.n > 1 else float("nan")
 
 
+def variance_shares(df: DataFrame, score: str, covariates: list[str]) -> DataFrame:
+    """How much of a score's variance covariates explain: r2_main (their levels side by side), r2_cells (means of their cells),
+    r2_first (the first alone), within_cells = 1 - r2_cells, n.
+
+    Null levels count as a level, null scores are left out; shares are null where the score doesn't vary.
+    """
+    (v,) = spare(df, "v")
+    rows = df.where(F.col(score).isNotNull()).select(*covariates, F.col(score).cast("double").alias(v))
+    total = rows.agg(F.count("*"), F.var_pop(v)).first()
+    n, spread = total[0], (total[1] or 0.0) * total[0]
+
+    def explained(by: list[str]) -> float | None:
+        within = rows.groupBy(*by).agg((F.var_pop(v) * F.count("*")).alias(v)).agg(F.sum(v)).first()[0]
+        return 1 - within / spread if spread > 0 else None
+
+    cells = explained(covariates)
+    left = demean(rows, [v], covariates).agg(F.sum(F.col(v) * F.col(v))).first()[0] if spread > 0 and len(covariates) > 1 else None
+    main = cells if left is None else 1 - left / spread
+    row = (main, cells, explained(covariates[:1]), None if cells is None else 1 - cells, n)
+    return df.sparkSession.createDataFrame([row], "r2_main double, r2_cells double, r2_first double, within_cells double, n long")
+
+
 def gelbach_decompose(df: DataFrame, y: str, focal: str, blocks: dict[str, list[str]]) -> DataFrame:
     """How much of the focal coefficient's change each block of controls accounts for: rows base, full, every block; they add up.
 

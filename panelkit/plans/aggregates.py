@@ -275,6 +275,14 @@ def _(spark, d):
     return aggregate.adjudication_list(rows, ["doc_id"], "a", "b", {"short text": F.col("n_chars") < 200})
 
 
+@query("era_summary", """WITH s AS (SELECT year(o_orderdate) AS yr, o_orderpriority, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2), e AS (SELECT 'early' AS era, * FROM s WHERE yr <= 1997 UNION ALL SELECT 'late', * FROM s WHERE yr >= 1998 UNION ALL SELECT 'all', * FROM s)
+SELECT o_orderpriority, era, count(*) AS n, round(avg(v), 4) AS mean, round(min(v), 4) AS low, round(max(v), 4) AS high FROM e GROUP BY 1, 2""")
+def _(spark, d):
+    s = t(spark, d, "orders").groupBy(F.year("o_orderdate").alias("yr"), "o_orderpriority").agg(F.avg("o_totalprice").alias("v"))
+    out = aggregate.era_summary(s, "yr", "v", {"early": (None, 1997), "late": (1998, None), "all": (None, None)}, ["o_orderpriority"])
+    return rounded(out, 4, "mean", "low", "high")
+
+
 @query("coverage_table", with_fx("""WITH c AS (SELECT lang, source, avg(CAST(quality IS NOT NULL AS INT)) AS cov FROM fx_labels GROUP BY 1, 2) SELECT doc_id, CASE WHEN cov >= 0.4 THEN quality END AS quality, round(cov, 9) AS cov FROM fx_labels JOIN c USING (lang, source)""", "fx_labels"))
 def _(spark, d):
     rows = fx.labels(spark, d)

@@ -100,6 +100,15 @@ def _(spark, d):
     return spark.createDataFrame([(round(estimate.residual_sd(rows, "x1", ["fe"]), 8), round(estimate.residual_sd(rows, "x1", ["fe"], ["x2"]), 8))], "within_sd double, net_sd double")
 
 
+@query("variance_shares", """WITH r AS (SELECT CAST(o_totalprice AS DOUBLE) AS y, CAST(o_orderstatus = 'F' AS INT) AS a, CAST(o_orderpriority = '1-URGENT' AS INT) AS b FROM orders), v AS (SELECT var_pop(y) AS s, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ca, covar_pop(b, y) AS cb, count(*) AS n FROM r),
+c AS (SELECT sum(v) / sum(k) AS w FROM (SELECT var_pop(y) * count(*) AS v, count(*) AS k FROM r GROUP BY a, b))
+SELECT round((ca * ca * vb + cb * cb * va - 2 * ca * cb * ab) / (va * vb - ab * ab) / s, 9) AS r2_main, round(1 - w / s, 9) AS r2_cells, round(ca * ca / va / s, 9) AS r2_first, round(w / s, 9) AS within_cells, n FROM v, c""")
+def _(spark, d):
+    rows = t(spark, d, "orders").select("o_totalprice", (F.col("o_orderstatus") == "F").alias("a"), (F.col("o_orderpriority") == "1-URGENT").alias("b"))
+    out = estimate.variance_shares(rows, "o_totalprice", ["a", "b"])
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns if c != "n"], "n")
+
+
 @query("gelbach_decompose", with_fx("""WITH g AS (SELECT covar_pop(x1, x1) AS a, covar_pop(x1, x2) AS c, covar_pop(x2, x2) AS b, covar_pop(x1, y) AS p, covar_pop(x2, y) AS q FROM fx_design), s AS (SELECT *, (b * p - c * q) / (a * b - c * c) AS e1, (a * q - c * p) / (a * b - c * c) AS e2 FROM g)
 SELECT 'base' AS part, round(p / a, 9) AS value FROM s UNION ALL SELECT 'full', round(e1, 9) FROM s UNION ALL SELECT 'discount', round(e2 * c / a, 9) FROM s""", "fx_design"))
 def _(spark, d):

@@ -104,3 +104,13 @@ def test_adjudication_and_difference_edges(spark):
     assert tuple(estimate.group_difference(same, "m", ["y"], "c").first())[:4] == ("y", None, None, 2)
     with pytest.raises(ValueError, match="main cell"):
         estimate.sensitivity_grid(same.withColumn("m", F.col("c")), "main", {"main": {"y": "y", "x": ["m"]}}, "m", fitted=9.0)
+
+
+def test_shares_and_eras_edges(spark):
+    v = spark.createDataFrame([(1, "a", 2.0), (1, "a", 2.0), (None, "b", None), (2, None, 5.0), (2, "a", 4.0)], "p int, g string, y double")
+    row = estimate.variance_shares(v, "y", ["p", "g"]).first()
+    assert row["n"] == 4 and row["r2_cells"] == pytest.approx(1) and row["r2_main"] == pytest.approx(1) and row["r2_first"] == pytest.approx(1 - 0.5 / 6.75)
+    assert tuple(estimate.variance_shares(v.limit(0), "y", ["p", "g"]).first()) == (None, None, None, None, 0)
+    out = aggregate.era_summary(v, "p", "y", {"one": (1, 1), "from": (2, None), "none": (9, None), "all": (None, None)})
+    assert sorted(map(tuple, out.collect())) == [("all", 4, 3.25, 2.0, 5.0), ("from", 2, 4.5, 4.0, 5.0), ("one", 2, 2.0, 2.0, 2.0)]
+    assert aggregate.era_summary(v.limit(0), "p", "y", {"all": (None, None)}).count() == 0
