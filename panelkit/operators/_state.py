@@ -29,3 +29,14 @@ def scratch(spark, label: str) -> str:
     """A new folder name beside the checkpoints, which all executors see."""
     base = _shared(spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None))
     return f"{base.rstrip('/')}/panelkit-{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a new table beside the checkpoints, for loops that join a state to itself.
+
+    A checkpoint keeps the size that the optimizer guessed for its plan, a product over joins, whose digits such a loop
+    multiplies in each round; a table has the size of its files.
+    """
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

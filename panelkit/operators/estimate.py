@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.operators._names import spare
-from panelkit.operators._state import checkpointed
+from panelkit.operators._state import checkpointed, written
 from panelkit.operators.ranges import dense_ranks, in_ranges, running
 
 #: Rows of a stratum that lie in one block of a permutation test.
@@ -208,7 +208,7 @@ def level_effects(df: DataFrame, columns: list[str], effects: list[str], toleran
             met = met.join(state.where(F.col("e") == i).select(F.col("id").alias(f"i{i}"), *[F.col(f"p{j}").alias(f"p{i}_{j}") for j in k]), f"i{i}")
         ends = F.inline(F.array(*[F.struct(F.lit(i).alias("e"), F.col(f"i{i}").alias("id")) for i in m]))
         back = met.select(ends, *[(F.col("n") * sum((F.col(f"p{i}_{j}") for i in m[1:]), F.col(f"p0_{j}"))).alias(f"t{j}") for j in k])
-        step = checkpointed(state.join(back.groupBy("e", "id").agg(*[F.sum(f"t{j}").alias(f"t{j}") for j in k]), ["e", "id"]))
+        step = written(state.join(back.groupBy("e", "id").agg(*[F.sum(f"t{j}").alias(f"t{j}") for j in k]), ["e", "id"]), "effects")
         curve = numbers(step, [F.col(f"p{j}") * F.col(f"t{j}") for j in k])
         along = np.where(live & (curve > 0), left / np.where(curve > 0, curve, 1.0), 0.0)
         rest = [F.col(f"r{j}") - F.lit(float(along[j])) * F.col(f"t{j}") for j in k]
@@ -230,9 +230,9 @@ def level_components(df: DataFrame, one: str, two: str) -> int:
     labels = checkpointed(levels[0].select(F.col("id").alias("a"), F.col("id").alias("c")).union(levels[1].select((-1 - F.col("id")).alias("a"), (-1 - F.col("id")).alias("c"))))
     while True:
         near = links.join(labels.select(F.col("a").alias("b"), F.col("c").alias("o")), "b").groupBy("a").agg(F.min("o").alias("o"))
-        low = checkpointed(labels.join(near, "a").select("a", F.least("c", "o").alias("n"), "c"))
+        low = written(labels.join(near, "a").select("a", F.least("c", "o").alias("n"), "c"), "parts")
         over = low.select(F.col("a").alias("n"), F.col("n").alias("nn"))
-        low = checkpointed(low.join(over, "n").select("a", F.least("n", "nn").alias("n"), "c"))
+        low = written(low.join(over, "n").select("a", F.least("n", "nn").alias("n"), "c"), "parts")
         changed = low.where("n <> c").count()
         labels = low.select("a", F.col("n").alias("c"))
         if not changed:
