@@ -260,19 +260,46 @@ def apply_policy_registry(df: DataFrame, registry: list[dict], period: str, timi
     return df.withColumns(new | {"era": F.coalesce(*reversed(begun))})
 
 
-def classify_by_rules(df: DataFrame, key: list[str], text: str, rules: DataFrame, sep: str = "[/,]") -> DataFrame:
+def classify_by_rules(
+    df: DataFrame, key: list[str], text: str, rules: DataFrame, sep: str = "[/,]", joiner: str | None = None, standalone: list[str] | None = None,
+    whole: str | None = None, interim: str | None = None, head: list[str] | None = None, once: bool = False,
+) -> DataFrame:
     """One row for each fragment of a text: its place, the first rule (rule_order, pattern, code, rank) that it matches, is_primary.
 
     Patterns are regular expressions without case. Fragments without a rule have code null; is_primary marks the fragment
     of smallest (rank, place), classified ones first. Keys with null or blank text are left out. The rules are folded into
     one array on a single row, so fragments meet them without a shuffle.
+
+    ``joiner`` (" and ", "&") parts a fragment further, but only where a piece by itself has a code of ``standalone`` and the
+    fragment doesn't match ``whole``. ``interim`` is taken out of the text and marked in a column of that name: on fragments
+    with a code of ``head`` if the text has one, else on all. ``once`` keeps the first fragment of each code of a text.
     """
-    folded = rules.agg(F.array_sort(F.collect_list(F.struct("rule_order", "pattern", "code", "rank"))).alias("rules"))
-    parts = df.select(*key, F.posexplode(F.split(text, sep)).alias("place", "fragment")).withColumn("fragment", F.trim("fragment")).where("fragment <> ''")
-    rows = parts.join(F.broadcast(folded)).withColumn("hit", F.expr("try_element_at(filter(rules, r -> rlike(lower(fragment), lower(r.pattern))), 1)"))
-    rows = rows.select(*key, "place", "fragment", "hit.code", "hit.rank")
-    best = rows.groupBy(*key).agg(F.min(F.struct(F.col("rank").isNull().alias("n"), "rank", "place")).alias("b")).select(*key, F.col("b.place").alias("primary_place"))
-    return rows.join(best, key).select(*key, "place", "fragment", "code", "rank", (F.col("place") == F.col("primary_place")).cast("int").alias("is_primary"))
+    (at,) = spare(df.select(*key), "rules")
+    folded = rules.agg(F.array_sort(F.collect_list(F.struct("rule_order", "pattern", "code", "rank"))).alias(at))
+    hit = lambda f: F.try_element_at(F.filter(F.col(at), lambda r: F.rlike(F.lower(f), F.lower(r["pattern"]))), F.lit(1))
+    body = F.col(text) if interim is None else F.regexp_replace(F.col(text), f"(?i){interim}", "")
+    parts = F.split(body, sep)
+    if joiner is not None:
+        alone = F.array(*[F.lit(c) for c in standalone or []]).cast("array<string>")
+
+        def pieces(f: Column) -> Column:
+            some = F.filter(F.split(f, joiner), lambda p: F.trim(p) != "")
+            apart = (F.size(some) > 1) & F.exists(some, lambda p: F.array_contains(alone, F.coalesce(hit(F.trim(p))["code"], F.lit(""))))
+            return F.when(apart if whole is None else apart & ~F.rlike(F.lower(f), F.lower(F.lit(whole))), some).otherwise(F.array(f))
+
+        parts = F.flatten(F.transform(parts, pieces))
+    marks = [] if interim is None else [F.rlike(F.lower(F.col(text)), F.lower(F.lit(interim))).cast("int").alias("interim")]
+    rows = df.join(F.broadcast(folded)).select(*key, *marks, at, F.posexplode(parts).alias("place", "fragment")).withColumn("fragment", F.trim("fragment")).where("fragment <> ''")
+    rows = rows.withColumn("hit", hit(F.col("fragment"))).select(*key, *[c for c in ["interim"] if marks], "place", "fragment", "hit.code", "hit.rank")
+    if once:
+        first = rows.where("code IS NOT NULL").groupBy(*key, "code").agg(F.min("place").alias("place"))
+        rows = rows.where("code IS NULL").unionByName(rows.join(first, [*key, "code", "place"], "left_semi"))
+    heads = F.max(F.coalesce(F.col("code").isin(head or []), F.lit(False))).alias("has_head")
+    best = rows.groupBy(*key).agg(F.min(F.struct(F.col("rank").isNull().alias("n"), "rank", "place")).alias("b"), heads).select(*key, F.col("b.place").alias("primary_place"), "has_head")
+    if marks:
+        own = F.when(F.col("has_head"), F.coalesce(F.col("code").isin(head or []), F.lit(False)).cast("int")).otherwise(1)
+        marks = [(F.col("interim") * own).alias("interim")]
+    return rows.join(best, key).select(*key, "place", "fragment", "code", "rank", *marks, (F.col("place") == F.col("primary_place")).cast("int").alias("is_primary"))
 
 
 def detect_unrecorded_periods(df: DataFrame, period: str, stats: list[str], share: float = 0.25) -> DataFrame:

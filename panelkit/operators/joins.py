@@ -107,6 +107,19 @@ def join_mirror_self(df: DataFrame, key: str, side: str, values: list[str]) -> D
     return out.select(*df.columns, *[other(i).alias(f"opp_{v}") for i, v in enumerate(values)])
 
 
+def mirror_agreement(df: DataFrame, key: str, side: str, pairs: dict[str, str]) -> DataFrame:
+    """One row: n_keys, n_unpaired (a side missing or repeated) and n_disagree, the paired keys whose rows contradict each other.
+
+    ``pairs`` maps a column to the one that must hold the same value in the other row (points for: points against); two nulls
+    agree. Rows with a null key are left out.
+    """
+    value = {(c, s): F.max(F.when(F.col(side) == s, F.col(c))) for c in {*pairs, *pairs.values()} for s in (0, 1)}
+    differ = reduce(lambda a, b: a | b, [distinct_from(value[a, s], value[b, 1 - s]) for a, b in pairs.items() for s in (0, 1)])
+    paired = (F.count("*") == 2) & (F.countDistinct(F.when(F.col(side).isin(0, 1), F.col(side))) == 2)
+    per = df.where(F.col(key).isNotNull()).groupBy(key).agg(paired.alias("paired"), differ.alias("differ"))
+    return per.agg(F.count("*").alias("n_keys"), F.count(F.when(~F.col("paired"), 1)).alias("n_unpaired"), F.count(F.when(F.col("paired") & F.col("differ"), 1)).alias("n_disagree"))
+
+
 def unique_both_sides(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct pairs in which neither id stands in another pair; pairs with a null id are left out."""
     p = pairs.where(_known([a, b])).distinct()

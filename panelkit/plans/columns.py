@@ -175,6 +175,21 @@ def _(spark, d):
     return columns.classify_by_rules(p, ["p_partkey"], "title", spark.createDataFrame(_RULES, "rule_order int, pattern string, code string, rank int"))
 
 
+@query("classify_joined_titles", """WITH w AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_size % 4 = 0 AS mark, p_size % 3 = 0 AS kept FROM part),
+c AS (SELECT *, CASE WHEN regexp_matches(a, 'sm.ll') THEN 'S' WHEN regexp_matches(a, '^(red|blue)$') THEN 'C' WHEN regexp_matches(a, 'r$|rod') THEN 'R' WHEN regexp_matches(a, 'ring|gear') THEN 'G' END AS ca, CASE WHEN regexp_matches(b, 'sm.ll') THEN 'S' WHEN regexp_matches(b, '^(red|blue)$') THEN 'C' WHEN regexp_matches(b, 'r$|rod') THEN 'R' WHEN regexp_matches(b, 'ring|gear') THEN 'G' END AS cb,
+CASE WHEN kept THEN a || ' and ' || b || ' to all' ELSE a || ' and ' || b END AS j FROM w), s AS (SELECT *, NOT kept AND (coalesce(ca, '') IN ('C', 'G') OR coalesce(cb, '') IN ('C', 'G')) AS apart FROM c),
+f AS (SELECT p_partkey, 0 AS place, a AS fragment, ca AS code, mark FROM s WHERE apart UNION ALL SELECT p_partkey, 1, b, cb, mark FROM s WHERE apart
+UNION ALL SELECT p_partkey, 0, j, CASE WHEN regexp_matches(j, 'sm.ll') THEN 'S' WHEN regexp_matches(j, '^(red|blue)$') THEN 'C' WHEN regexp_matches(j, 'r$|rod') THEN 'R' WHEN regexp_matches(j, 'ring|gear') THEN 'G' END, mark FROM s WHERE NOT apart),
+g AS (SELECT *, min(place) OVER (PARTITION BY p_partkey, code) AS first, max(code = 'G') OVER (PARTITION BY p_partkey) AS has FROM f), o AS (SELECT *, CASE code WHEN 'S' THEN 3 WHEN 'C' THEN 2 WHEN 'R' THEN 2 WHEN 'G' THEN 1 END AS rank FROM g WHERE code IS NULL OR place = first)
+SELECT p_partkey, CAST(place AS INT) AS place, fragment, code, rank, CAST(mark AND (NOT coalesce(has, FALSE) OR coalesce(code = 'G', FALSE)) AS INT) AS interim, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY rank NULLS LAST, place) = 1 AS INT) AS is_primary FROM o""")
+def _(spark, d):
+    """Names joined by "and", parted where a piece stands alone; some say that they are for the time being, some are kept whole."""
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit(" and ")), F.when(F.col("p_size") % 3 == 0, " to all").otherwise(""))
+    p = t(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("Interim "), name)).otherwise(name).alias("title"))
+    rules = spark.createDataFrame(_RULES, "rule_order int, pattern string, code string, rank int")
+    return columns.classify_by_rules(p, ["p_partkey"], "title", rules, joiner=r"\s+and\s+", standalone=["C", "G"], whole=" to all$", interim="\\binterim\\s+", head=["G"], once=True)
+
+
 @query("detect_unrecorded_periods", """WITH p AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'purchase' AND value <> 0 AND day(ts) % 7 <> 3) AS buys, count(*) FILTER (event_type = 'click' AND value <> 0) AS clicks FROM events GROUP BY 1),
 l AS (SELECT day, 'buys' AS stat, buys AS n_nonzero FROM p UNION ALL SELECT day, 'clicks', clicks FROM p), m AS (SELECT stat, quantile_cont(n_nonzero, 0.5) AS median FROM l GROUP BY 1)
 SELECT stat, CAST(day AS VARCHAR) AS day, n_nonzero, median, CAST(n_nonzero >= 0.25 * median AS INT) AS recorded FROM l JOIN m USING (stat)""")

@@ -40,6 +40,16 @@ def _(spark, d):
     return joins.join_mirror_self(m.union(none).union(lone), "l_orderkey", "side", ["l_suppkey"])
 
 
+@query("mirror_agreement", fx.with_fixtures("""SELECT count(DISTINCT l_orderkey) + (SELECT count(*) FROM fx_mirror WHERE side = 0 AND l_orderkey % 50 = 1) AS n_keys, (SELECT count(*) FROM fx_mirror WHERE side = 0 AND l_orderkey % 50 = 1) AS n_unpaired,
+count(DISTINCT l_orderkey) FILTER (l_orderkey % 7 = 0) AS n_disagree FROM fx_mirror""", "fx_mirror"))
+def _(spark, d):
+    """Each row with its own and the other row's supplier; every seventh order is wrong on one side, some sides are alone."""
+    m = fx.mirror(spark, d).alias("a").join(fx.mirror(spark, d).alias("b"), F.expr("a.l_orderkey = b.l_orderkey AND a.side <> b.side"))
+    m = m.select("a.l_orderkey", "a.side", F.col("a.l_suppkey").alias("own"), F.expr("b.l_suppkey + IF(a.side = 1 AND a.l_orderkey % 7 = 0, 1, 0)").alias("other"))
+    lone = m.where("side = 0 AND l_orderkey % 50 = 1").withColumn("l_orderkey", -F.col("l_orderkey") - 1)
+    return joins.mirror_agreement(m.union(lone), "l_orderkey", "side", {"own": "other"})
+
+
 @query("unique_both_sides", """WITH p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT * FROM p
 WHERE l_orderkey IN (SELECT l_orderkey FROM p GROUP BY 1 HAVING count(*) = 1) AND l_partkey % 1000 IN (SELECT l_partkey % 1000 FROM p WHERE l_partkey IS NOT NULL GROUP BY 1 HAVING count(*) > 0)
 AND l_partkey IN (SELECT l_partkey FROM p GROUP BY 1 HAVING count(*) = 1)

@@ -31,7 +31,7 @@ def _(spark, d):
 def _(spark, d):
     nested = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), F.struct(F.col("user_id").alias("id"), F.col("event_type").alias("kind")).alias("By")))
     e = t(spark, d, "events").select("event_id", nested.alias("payload"))
-    return sources.scan_json_flatten(e, "payload", "k long, By struct<id:long,kind:string>", "p").drop("payload")
+    return sources.scan_json_flatten(e, "payload", "k long, By struct<id:long,kind:string>", "p", {"p_by_id": F.col("p_by_id")}).drop("payload")
 
 
 @query("explode_nested_history", """SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS INT) AS seq, l_linenumber AS n, l_partkey AS part FROM lineitem""")
@@ -60,12 +60,14 @@ def _(spark, d):
     return out.select("name", *[F.round(c, 7).alias(c) for c in "abcd"])
 
 
-@query("write_full_refresh", """SELECT 'orders' AS table_name, count(*) AS n_rows, CAST(6 AS BIGINT) AS n_cols, 'driver' AS source, 'second' AS note FROM orders""")
+@query("write_full_refresh", """SELECT 'orders' AS table_name, count(*) AS n_rows, CAST(6 AS BIGINT) AS n_cols, 'driver' AS source, 'second' AS note, CAST(2 AS BIGINT) AS n_builds FROM orders
+UNION ALL SELECT 'customer', count(*), 5, 'driver', 'first', 1 FROM customer""")
 def _(spark, d):
-    """The second write replaces the first."""
+    """The second write of a name replaces the first; the log keeps both."""
     path = scratch(spark, "refresh")
-    sources.write_full_refresh(t(spark, d, "customer"), path, "orders", "driver", "first")
-    return sources.write_full_refresh(t(spark, d, "orders"), path, "orders", "driver", "second")
+    for name, table, note in (("orders", "customer", "first"), ("customer", "customer", "first"), ("orders", "orders", "second")):
+        sources.write_full_refresh(t(spark, d, table), path, name, "driver", note)
+    return sources.build_log(spark, path).drop("built_at")
 
 
 @query("write_sample", """SELECT 'c_custkey' AS variable, 'bigint' AS type, count(*) AS n_rows, CAST(1 AS DOUBLE) AS share_present, CAST(min(c_custkey) AS VARCHAR) AS min_value, CAST(max(c_custkey) AS VARCHAR) AS max_value, 'customer id' AS label FROM customer
@@ -82,6 +84,13 @@ def _(spark, d):
     return sources.merge_curated_overlay(c.where("c_custkey % 4 > 0").select("c_custkey", "c_name", "c_mktsegment"), sheet, "c_custkey", ["note"])
 
 
+@query("manual_cells", """SELECT 'note' AS "column", count(c_nationkey) AS n_before, count(c_nationkey) AS n_after, CAST(0 AS BIGINT) AS lost FROM customer WHERE c_custkey % 3 > 0""")
+def _(spark, d):
+    c = t(spark, d, "customer")
+    sheet = c.where("c_custkey % 3 > 0").select("c_custkey", "c_name", F.col("c_nationkey").alias("note"))
+    return sources.manual_cells(sheet, sources.merge_curated_overlay(c.where("c_custkey % 4 > 0").select("c_custkey", "c_name"), sheet, "c_custkey", ["note"]), ["note"])
+
+
 @query("verify_source_checksum")
 def _(spark, d):
     """Files of two tables against a manifest of their own sums, with one of them changed, one missing and one unlisted."""
