@@ -778,6 +778,34 @@ def reverse_placebo(df: DataFrame, by: list[str], period: str, y: str, x: str, f
     return ols_fe(rows, x, ["lag_y", "lag_x"], fe, cluster)
 
 
+def placebo_breaks(
+    df: DataFrame, y: str, treated: str, period: str, eras: dict[str, tuple[int, int]], breaks: dict[str, list[int]], controls: list[str] | None = None,
+    fe: list[str] | None = None, cluster: str | None = None, least_rows: int = 20, least_treated: float = 3,
+) -> DataFrame:
+    """What the effect of ``treated`` does inside an era (name: first and last period), where nothing should break.
+
+    One row for each era, its test "trend" (treated x periods since the era's first) and a test "break" for each period named
+    for it (treated x at or after that period): era, test, at, estimate, std_error, p_value, n, n_treated. Each is fitted
+    beside ``treated``, the controls and the effects. Estimates are null with fewer than ``least_rows`` known rows or
+    ``least_treated`` treated ones (a sum, so probabilities count), and where the term is collinear.
+    """
+    effect, *_ = spare(df, "term")
+    known = df.dropna(subset=[c for c in {y, treated, period, *(controls or []), *[p for e in fe or [] for p in e.split("^")], *([cluster] if cluster else [])}])
+    within = {e: F.col(period).between(*span) for e, span in eras.items()}
+    counts = known.agg(*[c for e, w in within.items() for c in (F.count(F.when(w, 1)).alias(f"n_{e}"), F.coalesce(F.sum(F.when(w, F.col(treated))), F.lit(0)).cast("double").alias(f"t_{e}"))]).first()
+    out = []
+    for era, (first, _) in eras.items():
+        n, mass = counts[f"n_{era}"], counts[f"t_{era}"]
+        tests = [("trend", None, F.col(period) - first), *[("break", b, (F.col(period) >= b).cast("int")) for b in breaks.get(era, [])]]
+        for test, at, part in tests:
+            row = None
+            if n >= least_rows and mass >= least_treated:
+                rows = known.where(within[era]).withColumn(effect, F.col(treated).cast("double") * part)
+                row = ols_fe(rows, y, [treated, effect, *(controls or [])], fe, cluster).where(F.col("term") == effect).first()
+            out.append((era, test, at, *([row["estimate"], row["std_error"], row["p_value"]] if row else [None] * 3), n, mass))
+    return df.sparkSession.createDataFrame(out, "era string, test string, at int, estimate double, std_error double, p_value double, n long, n_treated double")
+
+
 def group_difference(df: DataFrame, member: str, values: list[str], cluster: str) -> DataFrame:
     """Difference of means between members and others, with errors by cluster: variable, difference, std_error, n, n_clusters.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -297,30 +298,71 @@ def mixture_regression_em(df: DataFrame, y: str, x: list[str], probabilities: st
     return rows.withColumn("posterior", normalised(F.array(*[F.exp(c - top) for c in logs]))), fits
 
 
-def estimable_contrast(df: DataFrame, y: str, controls: list[str], p: str, q: str) -> DataFrame:
-    """Adds contrast: the fitted y at p minus that at q in y ~ X, pX, null on rows that the data can't tell.
-
-    The design is [p x, q x] for x in the intercept and the controls; a row's contrast is estimable where its
-    difference of design rows lies in the space of the design. That space comes from one cross product; a row is
-    checked as a column, against the directions without data.
-    """
+def _contrast(df: DataFrame, y: str, controls: list[str], p: str, q: str, beside: bool) -> tuple[Column, Column, int, int]:
+    """The contrast of a row, whether it is estimable, and the rank and number of columns of the design."""
     base = [F.lit(1.0), *[F.col(c).cast("double") for c in controls]]
     known = df.dropna(subset=[y, p, q, *controls])
-    design = known.select(*[(F.col(s).cast("double") * c).alias(f"_{s0}{i}") for s0, s in (("p", p), ("q", q)) for i, c in enumerate(base)], F.col(y).cast("double").alias("_y"))
+    parts = [F.col(p).cast("double"), F.col(q).cast("double"), *([F.lit(1.0)] if beside else [])]
+    design = known.select(*[(s * c).alias(f"_{j}_{i}") for j, s in enumerate(parts) for i, c in enumerate(base)], F.col(y).cast("double").alias("_y"))
     names = [c for c in design.columns if c != "_y"]
-    g, n = gram(design, [*names, "_y"])
+    g, _ = gram(design, [*names, "_y"])
     a = g[:-1, :-1]
     scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
     values, vectors = np.linalg.eigh(a / scale / scale[:, None])
-    null = vectors[:, values <= 1e-9 * max(values.max(), 1e-300)]
     live = values > 1e-9 * max(values.max(), 1e-300)
+    null = vectors[:, ~live]
     beta = (vectors[:, live] / values[live]) @ (vectors[:, live].T @ (g[:-1, -1] / scale)) / scale
     k = len(base)
-    contrast = sum((F.lit(float(beta[i] - beta[k + i])) * c for i, c in enumerate(base)), F.lit(0.0))
-    free = F.lit(True)
+    less = 0.0 if beside else 1.0
+    contrast = sum((F.lit(float(beta[i] - less * beta[k + i])) * c for i, c in enumerate(base)), F.lit(0.0))
+    free = reduce(lambda a, b: a & b, [c.isNotNull() for c in base])
     for v in null.T:
         d = v / scale
-        part = sum((F.lit(float(d[i] - d[k + i])) * c for i, c in enumerate(base)), F.lit(0.0))
+        part = sum((F.lit(float(d[i] - less * d[k + i])) * c for i, c in enumerate(base)), F.lit(0.0))
         size = F.lit(float(np.abs(d).max())) * sum((F.abs(c) for c in base), F.lit(0.0))
         free = free & (F.abs(part) <= 1e-7 * size)
+    return contrast, free, int(live.sum()), len(names)
+
+
+def estimable_contrast(df: DataFrame, y: str, controls: list[str], p: str, q: str, beside: bool = False) -> DataFrame:
+    """Adds contrast: what category p adds to the fitted y of a row, null on rows that the data can't tell.
+
+    The design is [p x, q x] for x in the intercept and the controls, and the contrast is p against q; with ``beside`` it is
+    [p x, q x, x], and the contrast is p against the category that neither p nor q holds. A row's contrast is estimable where
+    its difference of design rows lies in the space of the design. That space comes from one cross product; a row is
+    checked as a column, against the directions without data.
+    """
+    contrast, free, *_ = _contrast(df, y, controls, p, q, beside)
     return df.withColumn("contrast", F.when(free, contrast))
+
+
+def gap_ladder(df: DataFrame, y: str, controls: list[str], p: str, q: str, fitted: str, posterior: str) -> DataFrame:
+    """The gap between category p and the one that neither p nor q holds, step by step: one row (step, value) each.
+
+    - slope: y on p and q alone; slope_given_x: with the controls
+    - interacted_prior: the estimable contrasts of [p x, q x, x], weighted by p
+    - fitted_prior, fitted: ``fitted`` (a latent-category fit's gap for the row) on the same rows, weighted by p and by ``posterior``
+    - fitted_all: ``fitted`` on all rows, weighted by ``posterior``
+    - n, n_supported, share_supported (of p), rank, columns
+
+    Rows with a null in any of the columns are left out. A step without weight, or whose p follows from the other columns,
+    is null. Rows are read for two cross products and one aggregate.
+    """
+    rows = df.dropna(subset=[y, p, q, fitted, posterior, *controls])
+    contrast, free, rank, width = _contrast(rows, y, controls, p, q, True)
+    mean = lambda v, w, where: F.try_divide(F.sum(F.when(where, v * w)), F.sum(F.when(where, w)))
+    pp, post, gap = F.col(p).cast("double"), F.col(posterior).cast("double"), F.col(fitted).cast("double")
+    every = F.lit(True)
+    steps = {
+        "interacted_prior": mean(contrast, pp, free), "fitted_prior": mean(gap, pp, free), "fitted": mean(gap, post, free), "fitted_all": mean(gap, post, every),
+        "n": F.count("*").cast("double"), "n_supported": F.count(F.when(free, 1)).cast("double"), "share_supported": F.try_divide(F.sum(F.when(free, pp)), F.sum(pp)),
+    }
+    found = rows.agg(*[c.alias(n) for n, c in steps.items()]).first().asDict()
+    (one,) = spare(rows, "one")
+    g, _ = gram(rows.withColumn(one, F.lit(1.0)), [one, q, *controls, p, y])
+    for name, at in (("slope", [0, 1, len(g) - 2]), ("slope_given_x", list(range(len(g) - 1)))):
+        kept = [at[i] for i in independent_columns(g[np.ix_(at, at)])]
+        found[name] = float(solve(g[np.ix_(kept, kept)], g[kept, -1])[-1]) if at[-1] in kept else None
+    found |= {"rank": float(rank), "columns": float(width)}
+    order = ["slope", "slope_given_x", "interacted_prior", "fitted_prior", "fitted", "fitted_all", "n", "n_supported", "share_supported", "rank", "columns"]
+    return df.sparkSession.createDataFrame([(n, found[n]) for n in order], "step string, value double")

@@ -181,6 +181,19 @@ def _(spark, d):
     return estimate.pretrend_tests(n, "y", "n_nationkey", "yr", "treated", 1998, list(range(1995, 2002)), short=2)
 
 
+_BREAKS = """SELECT '{era}' AS era, '{test}' AS test, CAST({at} AS INT) AS "at", (SELECT round((a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12), 4) FROM (SELECT sum(a * a) AS a11, sum(a * b) AS a12, sum(b * b) AS a22, sum(a * y) AS b1, sum(b * y) AS b2 FROM
+(SELECT y - avg(y) OVER w AS y, x - avg(x) OVER w AS a, x * {part} - avg(x * {part}) OVER w AS b FROM p WHERE {within} WINDOW w AS (PARTITION BY yr)))) AS estimate, count(*) AS n, CAST(sum(x) AS DOUBLE) AS n_treated FROM p WHERE {within}"""
+_BREAK_TESTS = [("before", "trend", "NULL", "(yr - 1993)", "yr BETWEEN 1993 AND 1996"), ("before", "break", "1995", "CAST(yr >= 1995 AS INT)", "yr BETWEEN 1993 AND 1996"), ("after", "trend", "NULL", "(yr - 1997)", "yr BETWEEN 1997 AND 2001")]
+
+
+@query("placebo_breaks", with_fx("WITH p AS (SELECT yr, revenue / n_orders AS y, CASE WHEN n_nationkey < 10 THEN 1.0 ELSE 0.0 END AS x FROM fx_nation_year) " + " UNION ALL ".join(_BREAKS.format(era=e, test=k, at=a, part=c, within=w) for e, k, a, c, w in _BREAK_TESTS) + " UNION ALL SELECT 'never', 'trend', NULL, NULL, 0, 0.0", "fx_nation_year"))
+def _(spark, d):
+    """Trends and a break of the first ten nations' effect in eras without a rule, and an era without rows."""
+    n = fx.nation_year(spark, d).select("n_nationkey", "yr", (F.col("revenue") / F.col("n_orders")).alias("y"), (F.col("n_nationkey") < 10).cast("double").alias("x"))
+    out = estimate.placebo_breaks(n, "y", "x", "yr", {"before": (1993, 1996), "after": (1997, 2001), "never": (1890, 1891)}, {"before": [1995]}, fe=["yr"], cluster="n_nationkey")
+    return out.drop("std_error", "p_value").withColumn("estimate", F.round("estimate", 4))
+
+
 _DIFFERENCE = """SELECT '{v}' AS variable, round(e, 4) AS difference, round(sqrt(m * g / (g - 1) * (n - 1) / (n - 2)) / a, 4) AS std_error, n, g AS n_clusters FROM (SELECT e, a, n, sum(s * s) AS m, count(*) AS g FROM (SELECT c, any_value(e) AS e, any_value(a) AS a, any_value(n) AS n, sum(x * ({v} - e * x)) AS s
 FROM d, (SELECT sum(x * {v}) / sum(x * x) AS e, sum(x * x) AS a, count(*) AS n FROM d) GROUP BY c) GROUP BY 1, 2, 3)"""
 

@@ -164,3 +164,15 @@ def _(spark, d):
     line = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", (2 * F.col("l_quantity")).alias("again"), own.alias("p"), (1 - own).alias("q"))
     out = latent.estimable_contrast(line, "l_extendedprice", ["l_quantity", "again"], "p", "q")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("contrast", 3).alias("contrast"))
+
+
+@query("gap_ladder", """WITH l AS (SELECT l_returnflag AS f, l_extendedprice AS y, l_quantity AS x, l_discount AS g, l_tax AS w FROM lineitem), k AS (SELECT f, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(y) AS my, avg(x) AS mx, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx FROM l GROUP BY 1),
+s AS (SELECT sum(sxy) / sum(sxx) AS b FROM k), o AS (SELECT a.a - r.a AS a, a.b - r.b AS b, a.my - r.my AS my, a.mx - r.mx AS mx FROM k a, k r WHERE a.f = 'A' AND r.f = 'R')
+SELECT 'slope' AS step, round(my, 3) AS value FROM o UNION ALL SELECT 'slope_given_x', round(my - s.b * mx, 3) FROM o, s UNION ALL SELECT 'interacted_prior', round((SELECT avg(o.a + o.b * x) FROM l, o WHERE f = 'A'), 3)
+UNION ALL SELECT 'fitted_prior', round(avg(g) FILTER (f = 'A'), 3) FROM l UNION ALL SELECT 'fitted', round(sum(g * w) / sum(w), 3) FROM l UNION ALL SELECT 'fitted_all', round(sum(g * w) / sum(w), 3) FROM l
+UNION ALL SELECT 'n', count(*) FROM l UNION ALL SELECT 'n_supported', count(*) FROM l UNION ALL SELECT 'share_supported', 1 UNION ALL SELECT 'rank', 6 UNION ALL SELECT 'columns', 9""")
+def _(spark, d):
+    """Certain categories, so that each step has a plain form; a doubled control takes three of nine columns."""
+    flag = lambda v: (F.col("l_returnflag") == v).cast("double")
+    line = t(spark, d, "lineitem").withColumns({"p": flag("A"), "q": flag("N"), "again": 2 * F.col("l_quantity")})
+    return latent.gap_ladder(line, "l_extendedprice", ["l_quantity", "again"], "p", "q", "l_discount", "l_tax").withColumn("value", F.round("value", 3))

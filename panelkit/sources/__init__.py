@@ -122,9 +122,10 @@ def merge_curated_overlay(universe: DataFrame, sheet: DataFrame, key: str, manua
         if rows.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
             raise ValueError(f"the {side} repeats a key of {key}")
     identity = [c for c in universe.columns if c != key]
-    u, s = universe.alias("u"), sheet.alias("s")
+    (here,) = spare(universe, "here")
+    u, s = universe.withColumn(here, F.lit(1)).alias("u"), sheet.alias("s")
     joined = u.join(s, F.col(f"u.{key}") == F.col(f"s.{key}"), "full_outer")
-    gone = F.col(f"u.{key}").isNull()
+    gone = F.col(f"u.{here}").isNull()
     return joined.select(
         F.coalesce(f"u.{key}", f"s.{key}").alias(key),
         *[F.when(gone, F.col(f"s.{c}")).otherwise(F.col(f"u.{c}")).alias(c) if c in sheet.columns else F.col(f"u.{c}").alias(c) for c in identity],
