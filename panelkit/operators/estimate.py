@@ -346,21 +346,27 @@ def ols_fe(df: DataFrame, y: str, x: list[str], fe: list[str] | None = None, clu
 
 
 def ols_joint_test(df: DataFrame, y: str, x: list[str], restrictions: dict[str, tuple[dict[str, float], float]], fe: list[str] | None = None, cluster: str | None = None) -> DataFrame:
-    """Wald tests with the clustered variance: one row for each linear restriction (name: weights of terms, value) and one, "joint", for all."""
+    """Wald tests with the clustered variance: one row for each linear restriction (name: weights of terms, value) and one, "joint", for all.
+
+    A restriction on a term that can't be estimated has nulls and is no part of the joint test, whose df1 counts those that are.
+    """
     f = fit(df, y, x, fe, [cluster] if cluster else [])
     v, g = cluster_variance(f, ["_c0"]) if cluster else (iid_variance(f), f.n - len(f.terms) - f.absorbed + 1)
     at = {t: i for i, t in enumerate(f.terms)}
-    r = np.zeros((len(restrictions), len(f.terms)))
-    q = np.array([value for _, value in restrictions.values()])
-    for k, (weights, _) in enumerate(restrictions.values()):
+    told = {name: r for name, r in restrictions.items() if set(r[0]) <= set(at)}
+    r = np.zeros((len(told), len(f.terms)))
+    q = np.array([value for _, value in told.values()])
+    for k, (weights, _) in enumerate(told.values()):
         for term, w in weights.items():
             r[k, at[term]] = w
     gap = r @ f.beta - q
-    rows = []
-    for k, name in enumerate(restrictions):
+    rows = [(name, None, None, 1, None) for name in restrictions if name not in told]
+    for k, name in enumerate(told):
         stat = float(gap[k] ** 2 / (r[k] @ v @ r[k]))
         rows.append((name, float(gap[k]), stat, 1, f_p_value(stat, 1, g - 1)))
-    if len(restrictions) > 1:
+    if len(restrictions) > 1 and not told:
+        rows.append(("joint", None, None, 0, None))
+    elif len(restrictions) > 1:
         stat = float(gap @ np.linalg.solve(r @ v @ r.T, gap) / len(q))
         rows.append(("joint", None, stat, len(q), f_p_value(stat, len(q), g - 1)))
     return df.sparkSession.createDataFrame(rows, "restriction string, gap double, f_value double, df1 int, p_value double")
@@ -592,16 +598,18 @@ def bootstrap_wild_cluster(df: DataFrame, y: str, x: list[str], focal: str, clus
     their number has no bound; the driver gets 4 k + 3 sums a draw. Effects nested in the clusters are absorbed, which changes no draw;
     others, and the intercept, are regressors (over MAX_DUMMIES levels raise). Fewer than two clusters give nulls.
     """
+    schema = "term string, estimate double, t_value double, boot_p double, ci_low double, ci_high double, n_draws long, n_clusters long"
     others = [c for c in x if c != focal]
     df, inside, dummies = _outer_effects(df.dropna(subset=[y, *x, *(fe or []), cluster]), fe or [], cluster)
     f = fit(df, y, [*others, *dummies, focal], inside, [cluster])
+    if not f.n:
+        return df.sparkSession.createDataFrame([(focal, None, None, None, None, None, replicates, 0)], schema)
     if focal in f.dropped:
         raise ValueError(f"{focal} can't be estimated")
     if not inside and f.n:
         k = len(f.terms)
         f.rows, f.terms, f.beta, f.apart = f.rows.withColumn(f"_x{k}", F.lit(1.0)), [*f.terms, "(Intercept)"], np.append(f.beta, 0.0), 0
         f.inverse = np.block([[f.inverse, np.zeros((k, 1))], [np.zeros((1, k)), np.full((1, 1), 1 / f.n)]])
-    schema = "term string, estimate double, t_value double, boot_p double, ci_low double, ci_high double, n_draws long, n_clusters long"
     k, p = len(f.terms), f.terms.index(focal) if focal in f.terms else -1
     cells = [F.sum(F.col(c) * F.col("_y")) for c in f.x()] + [F.sum(F.col(c) * F.col(d)) for c in f.x() for d in f.x()]
     if p < 0:
@@ -824,7 +832,7 @@ def interaction_profile(df: DataFrame, y: str, category: str, period: str, contr
     rows = df.dropna(subset=[y, category, period, cluster, *controls])
     names = {p: f"_p{i}" for i, p in enumerate(periods)}
     rows = rows.withColumns({n: F.col(category).cast("double") * (F.col(period) == p).cast("double") for p, n in names.items()})
-    label = F.create_map(*[F.lit(v) for p, n in names.items() for v in (n, p)])
+    label = F.create_map(*[F.lit(v) for p, n in names.items() for v in (n, p)]) if names else F.create_map(F.lit(""), F.lit(None).cast(rows.schema[period].dataType))
 
     def gaps(extra: list[str], tag: str) -> DataFrame:
         out = ols_fe(rows, y, [*names.values(), *extra], [period], cluster).where(F.col("term").isin(list(names.values())))
@@ -994,13 +1002,15 @@ def auc_bootstrap_ci(df: DataFrame, score: str, y: str, replicates: int = 999, l
 
 
 def sample_flow(df: DataFrame, steps: dict[str, Column], entity: str) -> DataFrame:
-    """Rows and entities left after each restriction in turn, the input first; one pass. Null conditions don't hold."""
+    """Rows and entities left after each restriction in turn, the input first; one pass. Null conditions don't hold; an empty input gives zeros."""
     held, cells = F.lit(True), [F.struct(F.lit(0).alias("step"), F.lit("input").alias("name"), F.lit(True).alias("on"))]
     for i, (name, c) in enumerate(steps.items()):
         held = held & F.coalesce(c, F.lit(False))
         cells.append(F.struct(F.lit(i + 1).alias("step"), F.lit(name).alias("name"), held.alias("on")))
     long = df.select(F.col(entity).alias("_e"), F.inline(F.array(*cells)))
-    return long.groupBy("step", "name").agg(F.count(F.when(F.col("on"), 1)).alias("n_rows"), F.countDistinct(F.when(F.col("on"), F.col("_e"))).alias("n_entities"))
+    found = long.groupBy("step", "name").agg(F.count(F.when(F.col("on"), 1)).alias("n_rows"), F.countDistinct(F.when(F.col("on"), F.col("_e"))).alias("n_entities"))
+    all_steps = df.sparkSession.createDataFrame(list(enumerate(["input", *steps])), "step int, name string")
+    return all_steps.join(found, ["step", "name"], "left").fillna(0, ["n_rows", "n_entities"])
 
 
 def sensitivity_grid(df: DataFrame, main: str, variants: dict[str, dict], term: str, fitted: float | None = None) -> DataFrame:

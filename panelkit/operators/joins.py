@@ -222,14 +222,14 @@ def cascade_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str
 def pair_kth_duplicate(a: DataFrame, b: DataFrame, a_id: str, b_id: str, passes: list[tuple[str, list[str]]]) -> DataFrame:
     """(a_id, b_id, method): rows of equal terms are paired in order of their ids, k-th with k-th; later passes take what is left on weaker terms.
 
-    Rows with a null term are left out of that pass. Each pass is one numbering a side and one join.
+    Rows with a null term are left out of that pass, rows without an id of all. Each pass is one numbering a side and one join.
     """
     out = None
     for name, keys in passes:
         sides = []
         for df, own in ((a, a_id), (b, b_id)):
             left = df if out is None else anti(df, out, [own])
-            numbered = left.where(_known(keys)).select(F.col(own), *keys, F.row_number().over(Window.partitionBy(*keys).orderBy(own)).alias("_k"))
+            numbered = left.where(_known([own, *keys])).select(F.col(own), *keys, F.row_number().over(Window.partitionBy(*keys).orderBy(own)).alias("_k"))
             sides.append(numbered)
         found = sides[0].join(sides[1], [*keys, "_k"]).select(a_id, b_id, F.lit(name).alias("method"))
         out = found if out is None else out.union(found)

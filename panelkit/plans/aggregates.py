@@ -198,11 +198,11 @@ def _(spark, d):
     """Six measures of an order, each scored among its class so far; their mean where all are known, scored again."""
     line = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"), F.round(100 * F.sum("l_discount")).cast("int").alias("discount"), F.round(100 * F.sum("l_tax")).cast("int").alias("tax"), F.countDistinct("l_suppkey").alias("suppliers"))
     r = t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("cls"), F.year("o_orderdate").alias("yr"), F.when(F.col("o_orderkey") % 11 > 0, F.col("o_totalprice")).alias("price")).join(line, "o_orderkey")
-    r = checkpointed(r)
-    base = r.select("o_orderkey", "cls", "yr")
+    r = checkpointed(r.withColumn("row", F.monotonically_increasing_id()))
+    base = r.select("row", "o_orderkey", "cls", "yr")
     for c in _PARTS:
         scored = aggregate.percentile_score_cumulative(r, ["cls"], "yr", c)
-        base = base.join(scored.select("o_orderkey", F.col("score").alias(f"s_{c}")), "o_orderkey")
+        base = base.join(scored.select("row", F.col("score").alias(f"s_{c}")), "row")
     r = checkpointed(base.withColumn("composite", F.round(aggregate.composite_score([f"s_{c}" for c in _PARTS]), 7)))
     return rounded(aggregate.percentile_score_cumulative(r, ["cls"], "yr", "composite"), 8, "score").select("o_orderkey", "composite", "score")
 

@@ -24,7 +24,7 @@ def _(spark, d):
     """Shares of two bands, one row of which sums to 1.1."""
     n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     p = fx.shares(spark, d).groupBy("p_brand").agg(n(F.col("band") < 2).alias("low"), n(F.col("band") >= 2).alias("high"), F.sum("n").alias("total"))
-    p = p.withColumns({"a": F.col("low") / F.col("total"), "b": F.col("high") / F.col("total") + F.when(F.col("p_brand") == "Brand#3", 0.1).otherwise(0.0)})
+    p = p.withColumns({"a": F.try_divide("low", "total"), "b": F.try_divide("high", "total") + F.when(F.col("p_brand") == "Brand#3", 0.1).otherwise(0.0)})
     return quality.assert_ranges(p, {"probabilities": quality.sums_to_one(["a", "b"]), "arithmetic": F.col("total") == F.col("low") + F.col("high")})
 
 

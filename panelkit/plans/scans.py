@@ -50,7 +50,7 @@ def _(spark, d):
 f AS (SELECT p_brand, round(a, 6) AS a, CASE WHEN r > 0 THEN round(b, 6) END AS b, CASE WHEN r > 1 THEN round(c, 6) END AS c, round(d, 6) AS d FROM w), g AS (SELECT *, CASE WHEN b IS NULL THEN 1 ELSE 0 END + CASE WHEN c IS NULL THEN 1 ELSE 0 END AS gaps, greatest(1 - (a + coalesce(b, 0) + coalesce(c, 0) + d), 0) AS rest FROM f),
 h AS (SELECT CASE WHEN p_brand = 'Brand#1' THEN 'NULL' ELSE p_brand END AS name, a, coalesce(b, rest / gaps) AS b, coalesce(c, rest / gaps) AS c, d FROM g) SELECT name, round(a / (a + b + c + d), 7) AS a, round(b / (a + b + c + d), 7) AS b, round(c / (a + b + c + d), 7) AS c, round(d / (a + b + c + d), 7) AS d FROM h""", "fx_shares"))
 def _(spark, d):
-    n = lambda i: F.sum(F.when(F.col("band") == i, F.col("n")).otherwise(0)) / F.sum("n")
+    n = lambda i: F.try_divide(F.sum(F.when(F.col("band") == i, F.col("n")).otherwise(0)), F.sum("n"))
     w = fx.shares(spark, d).groupBy("p_brand").agg(*[F.round(n(i), 6).cast("decimal(18,6)").cast("string").alias(c) for i, c in enumerate("abcd")])
     r = F.substring("p_brand", 7, 9).cast("int") % 3
     name = F.when(F.col("p_brand") == "Brand#1", "NULL").otherwise(F.col("p_brand"))

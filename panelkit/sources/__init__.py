@@ -160,7 +160,7 @@ def verify_source_checksum(spark: SparkSession, paths: list[str], manifest: Data
     """file_name, sha256 and status (ok, mismatch, missing, unlisted) of files against (file_name, recorded).
 
     Files up to ``WHOLE_FILE`` bytes are one value each; larger ones are read in pieces by a task, from a file system that
-    pyarrow knows.
+    pyarrow knows. Spark lists no empty files, so those count as missing.
     """
     found = spark.read.format("binaryFile").load(paths)
     name = F.element_at(F.split("path", "/"), -1).alias("file_name")

@@ -118,4 +118,19 @@ def test_log_sheet_and_checksums(make, spark, tmp_path, monkeypatch):
     manifest = make([(f"f{i}.bin", hashlib.sha256((tmp_path / f"f{i}.bin").read_bytes()).hexdigest()) for i in range(3)], "file_name string, recorded string")
     for whole in (1 << 28, 100):
         monkeypatch.setattr(sources, "WHOLE_FILE", whole)
-        assert rows(sources.verify_source_checksum(spark, [f"{tmp_path}/f*.bin"], manifest).select("file_name", "status")) == [(f"f{i}.bin", "ok") for i in range(3)]
+        assert rows(sources.verify_source_checksum(spark, [f"{tmp_path}/f*.bin"], manifest).select("file_name", "status")) == [("f0.bin", "missing"), ("f1.bin", "ok"), ("f2.bin", "ok")]  # f0 is empty
+
+
+def test_fits_that_cannot_tell(make):
+    df = make([(float(i % 5), float(i), 2.0 * i, i % 3) for i in range(30)], "y double, x double, twice double, g int")
+    tests = {"x = 0": ({"x": 1.0}, 0.0), "twice = 0": ({"twice": 1.0}, 0.0)}
+    out = {r.restriction: r for r in estimate.ols_joint_test(df, "y", ["x", "twice"], tests, cluster="g").collect()}
+    assert out["twice = 0"].f_value is None and out["x = 0"].f_value is not None and out["joint"].df1 == 1
+    none = {r.restriction: r.f_value for r in estimate.ols_joint_test(df.limit(0), "y", ["x", "twice"], tests, cluster="g").collect()}
+    assert none == {"x = 0": None, "twice = 0": None, "joint": None}
+    assert estimate.bootstrap_wild_cluster(df.limit(0), "y", ["x"], "x", "g", replicates=9).first().estimate is None
+    assert estimate.interaction_profile(df.limit(0), "y", "x", "g", ["twice"], [], "g").count() == 0
+    flow = estimate.sample_flow(df.limit(0), {"late": F.col("x") > 1}, "g").orderBy("step").collect()
+    assert [tuple(r) for r in flow] == [(0, "input", 0, 0), (1, "late", 0, 0)]
+    a, b = make([(1, "u"), (None, "u"), (2, "w")], "i int, t string"), make([(7, "u"), (8, "u"), (9, None)], "j int, t string")
+    assert rows(joins.pair_kth_duplicate(a, b, "i", "j", [("same", ["t"]), ("again", ["t"])])) == [(1, 7, "same")]
