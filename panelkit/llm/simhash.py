@@ -316,37 +316,36 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def sketch(batches):
         for part in sliced(batches):
-            fps, keys, bits, sizes = [], [], [], []
+            fps, keys, bits = [], [], []
             for t in part.column(3).to_pylist():
                 found = shingle_hashes(t, shingle_words)
                 fps.append(voted(found))
-                distinct = np.unique(found)
-                own, sketched = band_keys(distinct)
+                own, sketched = band_keys(np.unique(found))
                 keys.append(own)
                 bits.append(sketched)
-                sizes.append(len(distinct))
-            columns = [pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.int64()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=["id", "k1", "k2", "fp", "keys", "bits", "size"])
+            columns = [pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=["id", "k1", "k2", "fp", "keys", "bits"])
 
     def hashes(batches):
         for part in sliced(batches):
-            found = [np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["k", "hashes"])
+            found = [np.unique(shingle_hashes(t, shingle_words)) for t in part.column(1).to_pylist()]
+            columns = [pa.array([x.tobytes() for x in found], pa.binary()), pa.array(list(map(len, found)), pa.int64())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["k", "hashes", "size"])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), *text_key(text))
-    kind = docs.select(F.col(id_col).alias("id")).schema.add("k1", "long").add("k2", "long").add("fp", "long").add("keys", T.ArrayType(T.LongType())).add("bits", "long").add("size", "long")
+    kind = docs.select(F.col(id_col).alias("id")).schema.add("k1", "long").add("k2", "long").add("fp", "long").add("keys", T.ArrayType(T.LongType())).add("bits", "long")
     ids = cut(rows.select("id", "k1", "k2", "text").mapInArrow(sketch, kind))
-    once = ids.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("fp", "keys", "bits", "size")])
+    once = ids.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("fp", "keys", "bits")])
     texts = written(once.withColumn("k", F.monotonically_increasing_id()), "sketches")
     classes = written(components(linked_fingerprints(texts.select("fp").distinct(), max_bits)).select(F.col("node").alias("fp"), "root"), "classes")
     all_ = texts.join(classes, "fp", "left").select("k", "bits", F.posexplode(F.array_append("keys", F.coalesce("root", "fp"))).alias("at", "key"))
     all_ = all_.select("k", "bits", F.xxhash64("at", "key").alias("bucket"))
     shared = all_.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     places = written(all_.join(shared, "bucket"), "places")
-    meeting = written(texts.join(places.select("k").distinct(), "k", "left_semi").select("k", "k1", "k2", "size"), "meeting")
+    meeting = written(texts.join(places.select("k").distinct(), "k", "left_semi").select("k", "k1", "k2"), "meeting")
     known = rows.select("k1", "k2", "text").join(meeting.hint("merge"), ["k1", "k2"]).groupBy("k").agg(F.first("text").alias("text"))
-    sets = written(longer_tasks(known).select("k", "text").mapInArrow(hashes, "k long, hashes binary"), "shingles").join(meeting.select("k", "size"), "k")
+    sets = written(longer_tasks(known).select("k", "text").mapInArrow(hashes, "k long, hashes binary, size long"), "shingles")
     roots = linked_texts(places, sets, similarity)
     groups = texts.join(roots, F.col("k") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "k").alias("group"))
     members = ids.select("id", "k1", "k2").join(groups, ["k1", "k2"])

@@ -3,7 +3,8 @@ import random
 
 import numpy as np
 import xxhash
-from panelkit.llm import simhash
+import pytest
+from panelkit.llm import _graph, simhash
 
 
 def brute(text):
@@ -125,3 +126,43 @@ def test_stage_keeps_one_of_similar_texts(spark):
     kept = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()}
     assert kept == jaccard_roots(rows)
     assert corpus_pipeline.simhash_near_dedup(spark, df.limit(0), "").count() == 0
+
+
+def edges():
+    """A chain, a star, a ring, loops and random pairs, as (a, b)."""
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(100, 400)] + [(1000, 1001 + i) for i in range(50)] + [(2000 + i, 2000 + (i + 1) % 40) for i in range(40)]
+    pairs += [(5, 5), (-7, 9), (9, -7)] + [(rng.randrange(3000, 3300), rng.randrange(3000, 3300)) for _ in range(200)]
+    rng.shuffle(pairs)
+    return pairs
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_by_one_task_and_by_rounds(spark, kind, monkeypatch):
+    pairs = [(a, b) if kind == "long" else (f"é{a}", f"é{b}") for a, b in edges()]
+    root = {x: x for pair in pairs for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    linked = {x for a, b in pairs for x in (a, b) if a != b}
+    df = spark.createDataFrame(pairs, f"a {kind}, b {kind}")
+    for most in (_graph.EDGES, 100, 0):
+        monkeypatch.setattr(_graph, "EDGES", most)
+        got = [(r.node, r.root) for r in _graph.components(df).collect()]
+        assert sorted(got) == sorted((x, find(x)) for x in linked)
+    assert _graph.components(df.limit(0)).count() == 0
+
+
+def test_few_edges_take_few_jobs(spark):
+    df = spark.createDataFrame(edges(), "a long, b long")
+    spark.sparkContext.setJobGroup("components", "")
+    assert _graph.components(df).count() > 0
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("components")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) <= 10
