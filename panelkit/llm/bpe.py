@@ -31,7 +31,7 @@ from panelkit.llm._common import worker_state
 
 
 #: Words and pre-tokens whose ids a Python worker keeps.
-CACHED_WORDS, CACHED_PIECES = 100_000, 60_000
+CACHED_WORDS, CACHED_PIECES = 160_000, 60_000
 #: Rows whose ids and texts a Python worker holds at a time.
 SLICE = 256
 #: From this many symbols on, merges are taken from a heap.
@@ -79,6 +79,17 @@ class Recent:
         self.new[key] = value
 
 
+class Spelled(dict):
+    """The letters of the byte alphabet that stand for a character, made when it is first met."""
+
+    def __init__(self, letters: dict[int, str]) -> None:
+        self.letters = letters
+
+    def __missing__(self, char: str) -> str:
+        self[char] = out = "".join(self.letters[b] for b in char.encode("utf-8", "surrogatepass"))
+        return out
+
+
 class ForcedBoundaryBpe:
     def __init__(self, tokenizer_json: str) -> None:
         spec = json.loads(tokenizer_json)
@@ -104,6 +115,12 @@ class ForcedBoundaryBpe:
             self.rank[vocab[left] << self.bits | vocab[right]] = i
             self.made.append(vocab[left + right])
         self.none = len(self.made)
+        #: The same ranks, by the id of the left side, then of the right side; the last entry stays empty, for ids that are missing (-1).
+        self.after: list[dict[int, int]] = [{}] * (max(self.token) + 2)
+        for pair, i in self.rank.items():
+            left = pair >> self.bits
+            self.after[left] = self.after[left] or {}
+            self.after[left][pair & (1 << self.bits) - 1] = i
         #: Pairs of letters that occur inside a token, with their ranks; every other pair is a certain cut.
         self.inner: dict[tuple[str, str], int] = {}
         for t in vocab:
@@ -113,6 +130,10 @@ class ForcedBoundaryBpe:
                     self.inner[a, b] = self.rank.get(self.inside.get(a, -1) << self.bits | self.inside.get(b, -1), self.none)
         self.words, self.pieces = Recent(CACHED_WORDS), Recent(CACHED_PIECES)
         self.unknown, self.library, self.spec = unknown_characters(), None, tokenizer_json
+        #: Characters met so far that Python's tables know, and the spelling of characters.
+        self.met: set[str] = set()
+        self.spelled = Spelled(self.letters)
+        self.packs = [struct.Struct(f"<{n}I").pack for n in range(LONG)]
 
     def cut(self, piece: str) -> list[str]:
         """The fragments of a pre-token (in the byte alphabet) between its forced boundaries."""
@@ -125,7 +146,7 @@ class ForcedBoundaryBpe:
         known = self.pieces.find(text)
         if known is not None:
             return known
-        chars = text if text.isascii() and text.isprintable() else text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        chars = text if text.isascii() and text.isprintable() else "".join(map(self.spelled.__getitem__, text))
         out = self.fragments(chars)
         if len(text) < LONG:
             self.pieces.keep(text, out)
@@ -148,24 +169,25 @@ class ForcedBoundaryBpe:
             ids = self._merge(ids, ranks)
         if -1 in ids:
             ids = [i for i in ids if i >= 0]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self.packs[len(ids)](*ids) if len(ids) < LONG else struct.pack(f"<{len(ids)}I", *ids)
 
     def _merge(self, ids: list[int], ranks: list[int]) -> list[int]:
         """Merges a fragment's ids, lowest rank first and leftmost of equals; ranks[i] is that of ids i and i + 1."""
         if len(ids) >= LONG:
             return self._merge_long(ids, ranks)
-        get, none, bits, made = self.rank.get, self.none, self.bits, self.made
-        while ranks:
+        after, none, made, left = self.after, self.none, self.made, len(ranks)
+        while left:
             best = min(ranks)
             if best == none:
                 break
             i = ranks.index(best)
             ids[i] = both = made[best]
             del ids[i + 1], ranks[i]
+            left -= 1
             if i:
-                ranks[i - 1] = get(ids[i - 1] << bits | both, none)
-            if i < len(ranks):
-                ranks[i] = get(both << bits | ids[i + 1], none)
+                ranks[i - 1] = after[ids[i - 1]].get(both, none)
+            if i < left:
+                ranks[i] = after[both].get(ids[i + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int], ranks: list[int]) -> list[int]:
@@ -195,8 +217,10 @@ class ForcedBoundaryBpe:
         known = self.words.find(raw)
         if known is not None:
             return known
-        if not raw.isascii() and self.unknown.search(raw):
-            return self.foreign(raw)
+        if not raw.isascii() and not self.met.issuperset(raw):
+            if self.unknown.search(raw):
+                return self.foreign(raw)
+            self.met.update(raw)
         get, piece = self.pieces.new.get, self.piece
         out = b"".join([x if (x := get(p)) is not None else piece(p) for p in self.parts(raw)])
         if len(raw) < LONG:
@@ -226,7 +250,7 @@ class ForcedBoundaryBpe:
         return b"".join(map(self.fragments, self.foreign_parts(raw)))
 
     def _plain(self, text: str) -> list[bytes]:
-        words = text.split() if not regex.search("[\x1c-\x1f]", text) else [w for w in WHITE.split(text) if w]
+        words = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else [w for w in WHITE.split(text) if w]
         get, word = self.words.new.get, self.word
         return [x if (x := get(w)) is not None else word(w) for w in words]
 

@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -57,3 +58,28 @@ def test_characters_newer_than_pythons_tables_and_bad_ids():
     for text in texts:
         assert coder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
     assert coder.decode(np.array([1, 2**32 - 1, 2], dtype="<u4").tobytes() + b"\x01") == coder.decode(np.array([1, 2], dtype="<u4").tobytes())
+
+
+def test_characters_are_looked_up_once():
+    coder = bpe.ForcedBoundaryBpe(open(PATH, encoding="utf-8").read())
+    pattern, asked = coder.unknown, []
+
+    class Counted:
+        def search(self, text):
+            asked.append(text)
+            return pattern.search(text)
+
+    coder.unknown = Counted()
+    library = Tokenizer.from_file(PATH)
+    text = " ".join(f"é{a}è{b}" for a in "abcdefgh" for b in "abcdefgh") + " éa͸è éa͸e aé"
+    assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(asked) <= 20 and len(coder.met) < 30
+
+
+def test_letters_that_the_vocabulary_lacks():
+    letters = {c: i for i, c in enumerate("abcd")} | {"b</w>": 4, "ab</w>": 5, "cab</w>": 6, "dd": 7}
+    split = {"type": "Split", "pattern": {"Regex": r"\S+"}, "behavior": "Removed", "invert": True}
+    model = {"vocab": letters, "merges": ["a b</w>", "c ab</w>", "d d"], "end_of_word_suffix": "</w>"}
+    coder = bpe.ForcedBoundaryBpe(json.dumps({"model": model, "added_tokens": [], "pre_tokenizer": {"pretokenizers": [split]}}))
+    for text, want in [("cab", [6]), ("xab", [5]), ("cxab", [2, 5]), ("axb", [0, 4]), ("ddx", [7]), ("xdd", [3]), ("dddb", [7, 3, 4])]:
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == want, text
