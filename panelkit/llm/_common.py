@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,9 +82,27 @@ def worker_state(key, make):
     """What a Python worker keeps between tasks, made once: one operator's at a time, so that a worker which serves several holds the last one's alone."""
     if key not in _state:
         _state.clear()
+        give_back()
         _state[key] = make()
     return _state[key]
 
 
+#: Of the C library that has it; without it, freed memory stays with the worker.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; workers live for many tasks and otherwise keep their largest task's."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def fresh(operator: str) -> None:
+    """For the start of a Python task that keeps nothing: drops what another operator has left in this worker, and gives freed memory back."""
+    worker_state((operator,), dict)
+    give_back()
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelkit.llm._common import cut
+from panelkit.llm._common import cut, fresh
 
 #: Edges that one task joins at most. Rounds of contraction are for more: each is nine exchanges, whose threads stay in the driver for a minute.
 EDGES = 1 << 17
@@ -20,6 +20,7 @@ def _joined(pairs: DataFrame) -> DataFrame:
     kind = pairs.schema["a"].dataType
 
     def run(batches):
+        fresh("components")
         up: dict = {}
 
         def top(x):

@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.llm._common import worker_state
+
 #: Labelled rows that the model is fitted on at most, taken in order of a hash of the id.
 MAX_TRAINING_ROWS = 4000
 DIMENSIONS, BUCKETS, HIDDEN = 48, 1 << 14, 16
@@ -220,6 +222,7 @@ def with_score(docs: DataFrame, model, text_col: str = "text", out_col: str = "s
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
+        worker_state(("quality",), dict)
         return pd.Series(shared.value.score(texts), dtype="float64")
 
     return docs.withColumn(out_col, run(F.col(text_col).cast("string")))

@@ -11,7 +11,7 @@ Texts that share four fifths of their shingles differ in ten bits on average, an
 would bring a fixed share of all pairs together. ``similar_texts`` therefore takes more keys from the same shingle
 hashes, bands of minima, and verifies pairs that meet on the shingles themselves. A bucket of a key elects leaders and
 compares its members with them: near copies of one text settle in the first round, and only members that are still
-apart from the bucket's largest component lead in later ones, so no bucket's pairs are made at once.
+apart from the bucket's largest component lead in later ones, so no bucket's pairs are made at once; who has led goes.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelkit.llm._common import cut, longer_tasks, text_key, written
+from panelkit.llm._common import cut, fresh, longer_tasks, text_key, written
 from panelkit.llm._graph import components
 
 # Fixed value: the generator polynomial of the (23, 12) Golay code.
@@ -36,6 +36,9 @@ _CHUNK = 1 << 16
 BANDS, BAND_ROWS = 16, 4
 #: Leaders that a member meets as one list, and members that are verified together.
 CHUNK = 256
+#: Leaders that a bucket elects in its second round at most, and the factor from round to round. All members that stay apart lead in the end,
+#: so fewer, larger rounds compare few pairs more, and a round is some twenty exchanges.
+LEADERS = 64
 #: Bytes of shingle hashes that a block's own texts have, about; and rows of a batch that are taken out of Arrow together.
 BLOCK_BYTES, ROWS = 16 << 20, 64
 
@@ -179,6 +182,7 @@ def _keys(values: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
 
 def _keyed(fps: DataFrame, probe: bool) -> DataFrame:
     def run(batches):
+        fresh("simhash")
         for pdf in batches:
             values = pdf["fp"].to_numpy(dtype=np.int64)
             for at in range(0, len(values), 4096):
@@ -238,6 +242,7 @@ def _verified(asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     """
 
     def run(batches):
+        fresh("simhash")
         block, held, asks, roots = None, {}, {}, {}
 
         def close():
@@ -282,29 +287,29 @@ def linked_texts(places: DataFrame, sets: DataFrame, similarity: float) -> DataF
     """(node, root) of the components of similar texts that share a bucket.
 
     ``places`` holds (bucket, k, bits), a row for every bucket of a text. Each round a bucket's leaders are compared with
-    all members of other components; buckets that have become one component go. It is done when all members outside the
-    largest component of their bucket have led: then any two texts of a bucket in different components have been compared.
+    all its members of other components that have not led before; a member that has led is compared with all others and
+    goes. A bucket goes when those that have not led are one component: then any two of its texts in different components
+    have been compared. That stays true however components grow, so no bucket comes back.
     """
     places = places.withColumn("root", F.col("k"))
     leaders = places.groupBy("bucket").agg(F.min("k").alias("l"), F.min_by("bits", "k").alias("l_bits")).withColumn("l_root", F.col("l"))
-    asked = leaders.select("bucket", F.col("l").alias("k"))
-    edges, width = cut(_verified(_asked(places, leaders, similarity), sets, similarity)), 8
+    edges, width = cut(_verified(_asked(places, leaders, similarity), sets, similarity)), LEADERS
     while True:
         roots = components(edges)
-        state = places.drop("root").join(roots, F.col("k") == F.col("node"), "left").select("bucket", "k", "bits", F.coalesce("root", "k").alias("root"))
+        rest = places.drop("root").join(leaders.select("bucket", F.col("l").alias("k")), ["bucket", "k"], "left_anti")
+        state = rest.join(roots, F.col("k") == F.col("node"), "left").select("bucket", "k", "bits", F.coalesce("root", "k").alias("root"))
         counts = state.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        split = counts.groupBy("bucket").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+        split = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
         apart = written(state.join(split, "bucket"), "apart")
-        minor = apart.where("root <> main").join(asked, ["bucket", "k"], "left_anti")
+        minor = apart.where("root <> main")
         leaders = minor.groupBy("bucket", F.pmod(F.xxhash64("k"), F.lit(width)).alias("way")).agg(F.min("k").alias("l"), F.min_by("bits", "k").alias("l_bits"), F.min_by("root", "k").alias("l_root"))
         leaders = written(leaders.drop("way"), "leaders")
         if leaders.isEmpty():
             return roots
         places = apart.drop("main")
-        asked = cut(asked.join(places.select("bucket").distinct(), "bucket", "left_semi").union(leaders.select("bucket", F.col("l").alias("k"))))
         new = _verified(_asked(places, leaders, similarity), sets, similarity)
         edges = cut(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(new))
-        width *= 8
+        width *= LEADERS
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, max_bits: int = 2, shingle_words: int = 5) -> DataFrame:
@@ -315,6 +320,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def sketch(batches):
+        fresh("simhash")
         for part in sliced(batches):
             fps, keys, bits = [], [], []
             for t in part.column(3).to_pylist():
@@ -327,6 +333,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=["id", "k1", "k2", "fp", "keys", "bits"])
 
     def hashes(batches):
+        fresh("simhash")
         for part in sliced(batches):
             found = [np.unique(shingle_hashes(t, shingle_words)) for t in part.column(1).to_pylist()]
             columns = [pa.array([x.tobytes() for x in found], pa.binary()), pa.array(list(map(len, found)), pa.int64())]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm._common import cut, made, parallelism, text_key, written
+from panelkit.llm._common import cut, fresh, made, parallelism, text_key, written
 
 #: Different passages in one automaton, about; an anchor with more is dealt into several shards.
 SHARD = 2048
@@ -199,6 +199,7 @@ def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
     def run(batches):
+        fresh("substring")
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
@@ -215,6 +216,7 @@ def _passages(texts: DataFrame, window: int) -> DataFrame:
     """One row for every run of window starts with a shared anchor: the words that these windows cover."""
 
     def run(batches):
+        fresh("substring")
         for pdf in batches:
             out: list[tuple] = []
             for k1, k2, copies, text, runs in zip(pdf["k1"], pdf["k2"], pdf["copies"], pdf["text"], pdf["runs"], strict=True):
@@ -240,6 +242,7 @@ def _shard_results(different: DataFrame, window: int) -> DataFrame:
     """
 
     def run(batches):
+        fresh("substring")
         key, keys, texts, counts = None, [], [], []
 
         def close():
@@ -280,6 +283,7 @@ def _masks(different: DataFrame, window: int, shard: int) -> DataFrame:
 
 def _kept(texts: DataFrame, window: int) -> DataFrame:
     def run(batches):
+        fresh("substring")
         for pdf in batches:
             out = []
             for k1, k2, copies, text, found in zip(pdf["k1"], pdf["k2"], pdf["copies"], pdf["text"], pdf["found"], strict=True):

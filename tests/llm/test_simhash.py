@@ -4,7 +4,7 @@ import random
 import numpy as np
 import xxhash
 import pytest
-from panelkit.llm import _graph, simhash
+from panelkit.llm import _common, _graph, simhash
 
 
 def brute(text):
@@ -166,3 +166,31 @@ def test_few_edges_take_few_jobs(spark):
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("components")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < len(jobs) <= 10
+
+
+def test_workers_drop_what_another_operator_left(monkeypatch):
+    monkeypatch.setattr(_common, "_state", {})
+    calls = []
+    monkeypatch.setattr(_common, "_trim", calls.append)
+    _common.worker_state(("bpe", 1), lambda: bytearray(1 << 20))
+    _common.fresh("simhash")
+    assert ("bpe", 1) not in _common._state and calls
+    kept = _common.worker_state(("bpe", 1), object)
+    assert _common.worker_state(("bpe", 1), object) is kept
+
+
+def test_texts_far_apart_in_one_bucket_take_few_rounds(spark, monkeypatch):
+    """Every pair of the bucket is compared, in three rounds; two texts are alike."""
+    sets = [(k, np.arange(100 * k, 100 * k + 10, dtype=np.uint64).tobytes(), 10) for k in range(60)]
+    sets += [(60, sets[37][1], 10)]
+    rounds, verified = [], simhash._verified
+
+    def counted(*args):
+        rounds.append(1)
+        return verified(*args)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    places = spark.createDataFrame([(1, k, 0) for k, _, _ in sets], "bucket long, k long, bits long")
+    got = simhash.linked_texts(places, spark.createDataFrame([(k, bytearray(h), n) for k, h, n in sets], "k long, hashes binary, size long"), 0.8)
+    assert sorted((r.node, r.root) for r in got.collect()) == [(37, 37), (60, 37)]
+    assert len(rounds) <= 3
