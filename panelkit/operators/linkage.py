@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from panelkit.functions import jaro_winkler
 from panelkit.operators._names import refuse
+from panelkit.operators._pairs import linked_pairs
 from panelkit.operators.joins import anti, distinct_from
 
 
@@ -37,7 +38,8 @@ def block_fuzzy_pairs(a: DataFrame, b: DataFrame, block: str, first: str, a_id:
 
     Different names of a block are compared, not rows: prefixes meet on the cut name, similar names under keys that are
     complete for the similarity, so a block is split by key and never met as all pairs. Each pair comes once, with its
-    strongest reason; rows with a null block or name are in none.
+    strongest reason; rows with a null block or name are in none. The pairs found, whose number grows with the square of the
+    rows of a name, are made by the last step and not shuffled, but for those of ids with several names.
     """
     if not 0.7 < min_similarity <= 1:
         raise ValueError("keys are complete for similarities above 0.7 only")
@@ -59,7 +61,7 @@ def block_fuzzy_pairs(a: DataFrame, b: DataFrame, block: str, first: str, a_id:
     met = keyed[0].join(keyed[1], ["_k", "_key"]).where((F.col("_fa") != F.col("_fb")) & (shortest >= ratio * longest)).select("_k", "_fa", "_fb").distinct()
     near = met.where(jaro_winkler("_fa", "_fb") >= min_similarity).withColumn("_s", F.lit(3))
     names = reduce(DataFrame.union, [equal, *parts, near]).groupBy("_k", "_fa", "_fb").agg(F.min("_s").alias("_s"))
-    found = l.join(names, ["_k", "_fa"]).join(r, ["_k", "_fb"]).groupBy(a_id, b_id).agg(F.min("_s").alias("_s"))
+    found = linked_pairs(l, r, a_id, b_id, names, "_s")
     return found.select(a_id, b_id, F.when(F.col("_s") == 1, "exact").when(F.col("_s") == 2, "prefix").otherwise("similar").alias("how"))
 
 
