@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from panelkit.functions import jaro_winkler
 from panelkit.operators._names import refuse
 from panelkit.operators._pairs import linked_pairs
-from panelkit.operators.joins import anti, distinct_from
+from panelkit.operators.joins import anti, distinct_from, semi
 
 
 #: Letters from rare to frequent in names; others count as rarer still.
@@ -138,15 +138,24 @@ def xwalk_primary(links: DataFrame, master: str, other: str, order: list[Column]
     )
 
 
-def link_transitive(ab: DataFrame, bc: DataFrame, direct: DataFrame) -> DataFrame:
+def link_transitive(ab: DataFrame, bc: DataFrame, direct: DataFrame | tuple[DataFrame, DataFrame]) -> DataFrame:
     """(a, c, confidence, via): links a-b and b-c, each with a confidence (smaller is better), give a-c with the worse of both.
 
-    The best path of a pair counts; ``direct`` (a, c, confidence) is used only for a without such a path.
+    The best path of a pair counts; ``direct`` (a, c, confidence) is used only for a without such a path. Where these rows
+    are all a and c of equal ``by``, two frames (a, by) and (by, c, confidence) stand for them: a with a path go before
+    pairs are made, and pairs, whose number grows with the square of a group, are made by the last step and not shuffled,
+    but for those of ids with several groups or confidences.
     """
     left, right = ab.select("a", "b", F.col("confidence").alias("_x")), bc.select("b", "c", F.col("confidence").alias("_y"))
     paths = left.join(right, "b").groupBy("a", "c").agg(F.min(F.greatest("_x", "_y")).alias("confidence")).withColumn("via", F.lit("path"))
-    rest = anti(direct, paths, ["a"]).groupBy("a", "c").agg(F.min("confidence").alias("confidence")).withColumn("via", F.lit("direct"))
-    return paths.unionByName(rest)
+    linked = semi(ab.select("a", "b"), bc, ["b"]).select("a").distinct()
+    if isinstance(direct, DataFrame):
+        rest = anti(direct, linked, ["a"]).groupBy("a", "c").agg(F.min("confidence").alias("confidence"))
+    else:
+        free = anti(direct[0].select("a", F.col("by").alias("_by")), linked, ["a"]).where("_by IS NOT NULL")
+        ends = direct[1].where("by IS NOT NULL").groupBy(F.col("by").alias("_by"), "c").agg(F.min("confidence").alias("_y"))
+        rest = linked_pairs(free, ends, "a", "c", ends.select("_by", "_y").distinct().withColumn("confidence", F.col("_y")), "confidence")
+    return paths.unionByName(rest.withColumn("via", F.lit("direct")))
 
 
 def adopt_unique_name(entries: DataFrame, name: str, entity: str, group: str, kind: str, period: str, aliases: dict | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from panelkit.functions.strings import _jaro_winkler
 from panelkit.operators import _pairs, joins, linkage
 from pyspark.sql import functions as F
 from test_edges import make, rows  # noqa: F401
-from test_oracles import plain
+from test_oracles import SF, plain
 
 
 def same_as_sql(spark, folder, name, tables):
@@ -70,3 +70,24 @@ def test_pairs_are_made_last(spark, monkeypatch):
     found = linkage.block_fuzzy_pairs(one, one.withColumnRenamed("x", "y"), "k", "n", "x", "y")
     assert "Exchange" not in over_pairs(found) and "Aggregate" not in over_pairs(found)
     assert found.agg(F.count("*"), F.count_distinct("x", "y")).first()[:] == (90000, 90000)
+
+
+def test_direct_links_by_group(spark):
+    """Two frames give the links that their joined rows give, over repeated rows, several groups and confidences, and nulls."""
+    rng = random.Random(9)
+    pick = lambda n: rng.choice([None, *range(n)])
+    ab, bc = ([(pick(12), pick(12), rng.randint(1, 3)) for _ in range(6)] for _ in "12")
+    ab, bc = spark.createDataFrame(ab, "a int, b int, confidence int"), spark.createDataFrame(bc, "b int, c int, confidence int")
+    l = spark.createDataFrame([(pick(12), pick(3)) for _ in range(30)], "a int, by int")
+    r = spark.createDataFrame([(pick(3), pick(8), rng.choice([None, 5, 6, 7])) for _ in range(30)], "by int, c int, confidence int")
+    got, want = linkage.link_transitive(ab, bc, (l, r)), linkage.link_transitive(ab, bc, l.join(r, "by").drop("by"))
+    assert rows(got) == rows(want) and got.where("via = 'direct'").count() > 20 and got.where("via = 'path'").count()
+    l, r = l.groupBy("a").agg(F.min("by").alias("by")), r.groupBy("c").agg(F.min("by").alias("by"), F.min("confidence").alias("confidence"))
+    assert rows(linkage.link_transitive(ab, bc, (l, r))) == rows(linkage.link_transitive(ab, bc, l.join(r, "by").drop("by")))
+
+
+def test_direct_links_are_not_shuffled(spark):
+    found = registry.QUERIES["link_transitive"](spark, SF)
+    plan = over_pairs(found)
+    direct = plan[plan.rindex("direct AS via") :]
+    assert "Exchange" not in direct and "Aggregate" not in direct
