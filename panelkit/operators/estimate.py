@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.operators._names import spare
-from panelkit.operators._state import checkpointed, written
+from panelkit.operators._state import checkpointed, removed, scratch, written
 from panelkit.operators.ranges import dense_ranks, in_ranges, running
 
 #: Rows of a stratum that lie in one block of a permutation test.
@@ -384,21 +385,65 @@ def export_estimates(models: dict[str, tuple[DataFrame, str, str]], confidence_t
     return out
 
 
+def _coded(df: DataFrame, effects: list[str]) -> tuple[DataFrame, list[str]]:
+    """The rows with a whole number for each effect's level, null for none, and the names of these columns.
+
+    Whole numbers stand for themselves and a number beyond them for null; other levels are numbered in a table.
+    """
+    whole = [e for e, (_, kind) in zip(effects, df.select(*effects).dtypes, strict=True) if kind in ("tinyint", "smallint", "int", "bigint")]
+    ends = df.agg(F.lit(0), *[f(F.col(e).cast("long")) for e in whole for f in (F.min, F.max)]).first()
+    codes, low, high = spare(df, *[f"e{i}" for i in range(len(effects))]), dict(zip(whole, ends[1::2], strict=True)), dict(zip(whole, ends[2::2], strict=True))
+    rows = df
+    for e, c in zip(effects, codes, strict=True):
+        none = 0 if low.get(e) is None else high[e] + 1 if high[e] < 2**63 - 1 else low[e] - 1
+        if e in low and none >= -(2**63):
+            rows = rows.withColumn(c, F.coalesce(F.col(e).cast("long"), F.lit(none).cast("long")))
+        else:
+            (v,) = spare(rows, "v")
+            levels = written(df.select(F.col(e).alias(v)).distinct().withColumn(c, F.monotonically_increasing_id()), "levels")
+            rows = rows.join(levels, F.col(e).eqNullSafe(F.col(v))).drop(v)
+    return rows, codes
+
+
+#: Dropped rows that are sent to every task, at most.
+SENT = 100_000
+
+
 def drop_singletons(df: DataFrame, effects: list[str]) -> DataFrame:
     """Rows left when rows that are alone in a level of any effect are dropped again and again; null levels count as a level.
 
-    Each round counts grouped tables and joins them back; it is checkpointed so that the plan stays short.
+    Rows are read to count the levels, and at the end. For each level is written how many rows it has and the exclusive or of
+    these rows' levels of the other effects: what is left of it when all rows but one are taken out names the last row. So a
+    round takes the dropped rows out of their levels only, and what is written besides are dropped rows.
     """
-    out, before = df, df.count()
+    if not effects:
+        return df
+    spark = df.sparkSession
+    rows, codes = _coded(df, effects)
+    state, dropped = scratch(spark, "levels"), scratch(spark, "dropped")
+
+    def others(i: int) -> list[str]:
+        return [c for c in codes if c != codes[i]]
+
+    for i, c in enumerate(codes):
+        rows.groupBy(c).agg(F.count("*").alias("n"), *[F.bit_xor(o).alias(o) for o in others(i)]).write.parquet(f"{state}/{i}")
+    levels = [spark.read.parquet(f"{state}/{i}") for i in range(len(codes))]
+    kind, last = ", ".join(f"{c} long" for c in codes), [x.where("n = 1").select(*codes) for x in levels]
+    turn = total = 0
     while True:
-        for i, e in enumerate(effects):
-            held = out.groupBy(F.col(e).alias(f"_s{i}")).agg(F.count("*").alias(f"_n{i}")).where(f"_n{i} > 1").drop(f"_n{i}")
-            out = out.join(held, F.col(e).eqNullSafe(F.col(f"_s{i}")), "left_semi")
-        out = checkpointed(out)
-        now = out.count()
-        if now == before:
-            return out
-        before = now
+        reduce(DataFrame.union, last).distinct().write.parquet(f"{dropped}/turn={turn}")
+        new = spark.read.schema(kind).parquet(f"{dropped}/turn={turn}").count()
+        gone = spark.read.schema(f"{kind}, turn int").parquet(dropped)
+        if not new:
+            removed(spark, state)
+            gone = gone.select(*codes)
+            return rows.join(F.broadcast(gone) if total <= SENT else gone, codes, "left_anti").select(*df.columns)
+        last, total = [], total + new
+        for i, c in enumerate(codes):
+            taken = gone.groupBy(c).agg(F.count("*").alias("_n"), F.max("turn").alias("_t"), *[F.bit_xor(o).alias(f"_{o}") for o in others(i)]).where(F.col("_t") == turn)
+            left = levels[i].join(F.broadcast(taken) if new <= SENT else taken, c).where("n - _n = 1")
+            last.append(left.select(*[F.col(o) if o == c else F.col(o).bitwiseXOR(F.col(f"_{o}")).alias(o) for o in codes]))
+        turn += 1
 
 
 def common_sample(df: DataFrame, specs: list[list[str]], limit: float = 0.1) -> DataFrame:
